@@ -37,6 +37,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.url_rules import judge_urls, url_labels
 
@@ -45,7 +51,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_quality, op4_html, op5_exact_dedup, op10_url_rules)}
+    return {f.__name__: f for f in (op2_packing, op3_quality, op4_html, op5_exact_dedup, op9_embeddings, op10_url_rules)}
 
 
 #: DuckDB SQL over the same tables.

@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import new_folder, saved, squeezed
+from weftline.llm.linking import small
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # many small stores: no preallocated log files, and commits upload changes only
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 FILES_PER_BATCH = 256
 
@@ -79,8 +83,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     states = stream_states(spark, log.inputFiles()[0].rpartition("/")[0] if log.inputFiles() else _empty(spark, log))
     groups = saved(states.filter("group_size > 1").select("text_sha256", "first", "group_size"), "groups")
 
-    # full bytes of all hits; Spark combines equal texts before the shuffle
-    bytes_of = with_digest(docs.select("text")).join(groups.select("text_sha256"), "text_sha256", "left_semi").select("text_sha256", squeezed(F.col("text")).alias("bytes"))
+    # full bytes of all hits, found by half of their digest; Spark combines equal texts before the shuffle
+    hit = small(groups.select(F.xxhash64("text_sha256").alias("hit")))
+    bytes_of = with_digest(docs.select("text")).join(hit, F.xxhash64("text_sha256") == F.col("hit"), "left_semi").select("text_sha256", squeezed(F.col("text")).alias("bytes"))
     differing = bytes_of.groupBy("text_sha256", "bytes").count().groupBy("text_sha256").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     clash = [r[0] for r in differing.limit(1).collect()]
     if clash:
@@ -102,12 +107,13 @@ def _empty(spark: SparkSession, log: DataFrame) -> str:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that exact deduplication keeps, with all their columns."""
     result = exact_dedup(docs)
+    result = saved(result, "decided")
     gone = saved(result.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "gone")
     twice = result.filter("kept").select("doc_id", "text_sha256").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left_semi")
     spare = saved(twice.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "spare")
     marked = with_digest(docs)
     same = marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["text_sha256"] == F.col("_sha"))
-    kept = marked.join(gone, same, "left_anti").select(docs.columns)
+    kept = marked.join(small(gone), same, "left_anti").select(docs.columns)
     # ids that occur twice with one text: one of the repeated rows stays
-    again = marked.join(spare, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(docs.columns)
+    again = marked.join(small(spare), same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(docs.columns)
     return kept.unionByName(again)

@@ -111,6 +111,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Discriminant]:
+    """The saved statistics (doc_id, x) of all rows, and the model of those with a label that may serve."""
+    x = saved(with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "statistics")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).filter(~held_out(F.col("doc_id")))
+    return x, fit(x.join(known, "doc_id"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches the threshold; rows are judged where they are read, without a shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels)[1])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([statistics(t.as_py()) for t in b.column("text")], float).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.value.score(x) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
@@ -118,10 +137,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     out, as are those of held-out ids; repeated labels count as often as they occur. Without labels of both classes every row
     gets the one class that there is (1 if there is none). Other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    x = saved(with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "statistics")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).filter(~held_out(F.col("doc_id")))
-    model = spark.sparkContext.broadcast(fit(x.join(known, "doc_id")))
+    x, fitted = learn(docs, labels)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

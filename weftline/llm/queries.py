@@ -43,6 +43,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "selected")
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.embedding_dedup import embedding_dedup
 
@@ -57,7 +63,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_quality, op4_html, op5_exact_dedup, op9_embeddings, op10_url_rules)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_quality, op4_html, op5_exact_dedup, op8_mixing, op9_embeddings, op10_url_rules)}
 
 
 #: DuckDB SQL over the same tables.

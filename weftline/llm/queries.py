@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.recompression import with_kept_text
+
+    return with_kept_text(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.mixing import mix_sources
 
@@ -63,7 +70,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_quality, op4_html, op5_exact_dedup, op8_mixing, op9_embeddings, op10_url_rules)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_quality, op4_html, op5_exact_dedup, op6_substring_dedup, op8_mixing, op9_embeddings, op10_url_rules)}
 
 
 #: DuckDB SQL over the same tables.

@@ -7,9 +7,11 @@ follows the number of documents, and every shard is packed on its own, so no tas
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -22,41 +24,72 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 END_ID = 2
 DOCS_PER_SHARD = 8000
-#: Words that a worker remembers; the memory of a task is bounded by it and by one document.
-REMEMBERED_WORDS = 400_000
+#: Words, and pieces of words, that a worker remembers; the memory of a task is bounded by it and by one document.
+REMEMBERED_WORDS = 600_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 #: Texts in which splitting at white space could differ from the tokenizer's own rules.
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
+_LATIN = re.compile("[!-~\xa1-\u024f]*")
+_PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?|]*)")
+#: The steps before merging that ``WordIds`` may take piece by piece, as they stand in a tokenizer's file.
+_STEPS = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
 
 
 class WordIds(dict):
-    """Word -> its ids as little-endian 32-bit bytes. The tokenizer drops white space and merges only inside
-    words, so ids of a text are the ids of its words in order."""
+    """Word -> its ids as little-endian 32-bit bytes, learnt as words come.
+
+    A tokenizer that lowers case, drops white space and merges only inside pieces of one kind gives a text the ids of its pieces
+    in order, so each piece is merged once and remembered. Any other tokenizer encodes whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: list[str]) -> None:
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self[word] = np.array(got.ids, "<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        before = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_piece = (said.get("normalizer") or {}).get("normalizers") == _STEPS["normalizer"] and [x.get("type") for x in before] == ["Split", "ByteLevel"] and before[0]["pattern"] == {"Regex": _STEPS["split"]} and before[0]["behavior"] == "Removed" and before[0]["invert"]
+        self.split = regex.compile(_STEPS["split"]).findall
+        self.piece_ids: dict[str, bytes] = {}
+        # byte-level alphabets write printable bytes as themselves and the others as characters from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
+
+    def of_piece(self, piece: str) -> bytes:
+        got = self.piece_ids.get(piece)
+        if got is None:
+            if len(self.piece_ids) > REMEMBERED_WORDS:
+                self.piece_ids.clear()
+            written = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            got = self.piece_ids[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(written)], "<u4").tobytes()
+        return got
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > REMEMBERED_WORDS:
+            self.clear()
+        plain = _PLAIN.fullmatch(word)
+        if plain:
+            letters, marks = plain.groups()
+            got = self.of_piece(letters.lower()) + (self.of_piece(marks) if marks else b"")
+        elif _LATIN.fullmatch(word):  # Unicode versions and rules agree on these letters
+            got = b"".join(map(self.of_piece, self.split(unicodedata.normalize("NFC", word).lower())))
+        else:
+            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = got
+        return got
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if not self.by_piece or _ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            if len(self) > REMEMBERED_WORDS:
-                self.clear()
-            self.learn([w for w in dict.fromkeys(words) if w not in self])
-            return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def pieces(ids: bytes, window: int) -> Iterator[tuple[int, int, int]]:

@@ -1,11 +1,515 @@
-"""The registered lineage queries and their SQL."""
+"""The registered lineage queries, each over whole derived tables, with the same query in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions import refs
+from weftline.operators import cost, graph, hops, paths, report, scope, sharing
+from weftline.sources import metadata
+from weftline.sources.derived import view, with_views
+
+SEED, LAST, SCHEMA = "cat0.bronze.t0", "cat2.gold.t119", ("cat0", "silver")
+AS_OF, DAYS = "2000-01-01 12:00:00", 365
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str) -> Callable:
+    """Register the decorated function; ``sql`` is its oracle over the derived ``views``."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLE[f.__name__] = with_views(sql, *views) if views else sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.records(view(spark, sf_dir, "v_lineage"))
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.routed(_records(spark, sf_dir))
+
+
+def _hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_hops")
+
+
+def _hop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hops(spark, sf_dir).select(F.col("src_node_id").alias("source"), F.col("dst_node_id").alias("target"))
+
+
+# --- SQL fragments shared by oracles ------------------------------------------------------------
+
+R_REC = """rec AS (SELECT coalesce(source_table_full_name, 'cat' || substr(split_part(replace(source_path, 'dbfs:', ''), '/', 3), 4) || '.' || split_part(replace(source_path, 'dbfs:', ''), '/', 4) || '.' || split_part(replace(source_path, 'dbfs:', ''), '/', 5)) AS source,
+ target_table_full_name AS target, source_table_full_name AS sname, source_path, entity_type, entity_id, created_by, event_time, CASE WHEN entity_type IS NOT NULL AND entity_id IS NOT NULL THEN 'entity:' || entity_type || ':' || entity_id END AS entity FROM v_lineage)"""
+R_W = "w AS (SELECT DISTINCT entity, target FROM rec WHERE entity IS NOT NULL AND target IS NOT NULL), r AS (SELECT DISTINCT entity, source FROM rec WHERE entity IS NOT NULL AND source IS NOT NULL)"
+R_ROUTED = f"""{R_REC}, {R_W}, edges AS (
+ SELECT entity AS source, target FROM w
+ UNION SELECT source, entity FROM r WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.entity = r.entity AND w.target = r.source)
+ UNION SELECT source, target FROM rec WHERE entity IS NOT NULL AND target IS NOT NULL AND EXISTS (SELECT 1 FROM w WHERE w.entity = rec.entity AND w.target = rec.source)
+ UNION SELECT source, target FROM rec WHERE entity IS NULL AND source IS NOT NULL AND target IS NOT NULL)"""
+R_PAIRS = f"{R_REC}, pairs AS (SELECT DISTINCT source, target FROM rec WHERE source IS NOT NULL AND target IS NOT NULL AND source <> target)"
+
+
+def _walk(edges: str, seed: str, forward: bool, hops_: int, name: str = "walk") -> str:
+    a, b = ("source", "target") if forward else ("target", "source")
+    return f"{name}(node, depth) AS (SELECT '{seed}', 0 UNION SELECT e.{b}, {name}.depth + 1 FROM {name} JOIN {edges} e ON e.{a} = {name}.node WHERE {name}.depth < {hops_})"
+
+
+# --- ids, filters, metadata ---------------------------------------------------------------------
+
+
+@query(f"WITH {R_REC} SELECT DISTINCT source, CASE WHEN sname IS NULL THEN 'VOLUME' ELSE 'TABLE' END AS source_kind, target, entity FROM rec", "v_lineage")
+def lineage_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).select("source", "source_kind", "target", "entity").distinct()
+
+
+@query("SELECT count(*) AS n, count(DISTINCT target_table_full_name) AS targets FROM v_lineage WHERE event_time > CAST('1999-01-01' AS TIMESTAMP)", "v_lineage")
+def window_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_lineage").filter(refs.in_window(F.col("event_time"), F.lit(AS_OF), DAYS)).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("target_table_full_name").alias("targets"))
+
+
+@query("SELECT source_table_full_name, target_table_full_name, source_path, count(*) AS n FROM v_lineage WHERE source_table_full_name LIKE 'cat0.bronze.%' OR target_table_full_name LIKE 'cat0.bronze.%' OR source_path LIKE '/Volumes/cat0/bronze/%' OR source_path LIKE 'dbfs:/Volumes/cat0/bronze/%' GROUP BY ALL", "v_lineage")
+def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.scoped(_records(spark, sf_dir), "cat0", "bronze").groupBy("source_table_full_name", "target_table_full_name", "source_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT table_catalog AS catalog FROM v_tables ORDER BY 1", "v_tables")
+def list_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = view(spark, sf_dir, "v_tables").select(F.col("table_catalog").alias("catalog"))
+    return metadata.catalogs(names.unionByName(spark.createDataFrame([("system",), ("__databricks_internal",)], "catalog string")))
+
+
+@query("SELECT DISTINCT table_schema AS databaseName FROM v_tables WHERE table_schema NOT IN ('information_schema', 'default') ORDER BY 1", "v_tables")
+def list_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.schemas(view(spark, sf_dir, "v_tables").select(F.col("table_schema").alias("databaseName")))
+
+
+@query("SELECT table_catalog, table_schema, table_name, table_catalog || '.' || table_schema || '.' || table_name AS full_name, coalesce(table_type, 'TABLE') AS table_type FROM v_tables WHERE table_schema NOT IN ('information_schema', 'default') AND table_name NOT LIKE 'event\\_log\\_%' ESCAPE '\\'", "v_tables")
+def list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.all_tables(view(spark, sf_dir, "v_tables"))
+
+
+@query("SELECT column_name AS name, data_type AS type, is_nullable = 'YES' AS nullable FROM v_columns WHERE table_catalog || '.' || table_schema || '.' || table_name = 'cat1.bronze.t1' ORDER BY ordinal_position", "v_columns")
+def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.columns_of(view(spark, sf_dir, "v_columns"), "cat1.bronze.t1")
+
+
+@query("SELECT node, string_agg(column_name || ' ' || full_data_type || ' ' || is_nullable, ',' ORDER BY ordinal_position) AS columns FROM (SELECT *, table_catalog || '.' || table_schema || '.' || table_name AS node FROM v_columns) c WHERE node IN (SELECT source_table_full_name FROM v_lineage) GROUP BY node", "v_columns", "v_lineage")
+def batched_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = view(spark, sf_dir, "v_lineage").select(F.col("source_table_full_name").alias("node"))
+    got = metadata.columns_by_table(view(spark, sf_dir, "v_columns"), wanted, full_types=True)
+    return got.select("node", F.array_join(F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["type"], F.when(c["nullable"], "YES").otherwise("NO"))), ",").alias("columns"))
+
+
+@query("SELECT table_catalog, count(DISTINCT table_schema) AS schemas, count(*) AS tables FROM v_tables WHERE table_schema NOT IN ('information_schema', 'default') AND NOT starts_with(table_name, 'event_log_') GROUP BY 1", "v_tables")
+def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.catalog_stats(view(spark, sf_dir, "v_tables"))
+
+
+@query("SELECT table_schema, count(*) AS tables FROM v_tables WHERE table_catalog = 'cat0' AND table_schema NOT IN ('information_schema', 'default') AND NOT starts_with(table_name, 'event_log_') GROUP BY 1", "v_tables")
+def schema_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.schema_stats(view(spark, sf_dir, "v_tables"), "cat0")
+
+
+@query("SELECT full_name, CASE WHEN lower(n) = 'ring' THEN 1000.0 WHEN starts_with(lower(n), 'ring') THEN 500 + (1 - length(n) / 100.0) WHEN contains(lower(n), 'ring') THEN 200 + (1 - length(n) / 100.0) ELSE 100.0 END AS score FROM (SELECT p_name AS n, 'c.' || p_brand || '.' || p_name AS full_name FROM part) WHERE contains(lower(full_name), 'ring')")
+def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("table_name"), F.concat_ws(".", F.lit("c"), "p_brand", "p_name").alias("full_name"))
+    return metadata.search(part, "ring", None)
+
+
+@query("SELECT count(*) AS matches FROM part WHERE contains(lower('c.' || p_brand || '.' || p_name), 'brand#2')")
+def search_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat_ws(".", F.lit("c"), "p_brand", "p_name").alias("full_name"))
+    return metadata.match_count(part, "Brand#2")
+
+
+@query("SELECT * FROM v_tables WHERE contains(lower(concat_ws(' ', table_catalog, table_schema, table_name, table_type, table_owner, comment, fqn)), 'silver') ORDER BY table_name", "v_tables")
+def grid_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.grid(view(spark, sf_dir, "v_tables"), "SILVER", "table_name")
+
+
+@query(f"SELECT DISTINCT workspace_id, entity_type, entity_id, entity_run_id, source_table_full_name, target_table_full_name FROM v_column_lineage WHERE event_time > CAST('1999-01-01' AS TIMESTAMP) AND entity_type IN ('JOB', 'NOTEBOOK') AND entity_run_id IS NOT NULL AND (source_table_full_name IN ('{SEED}', 'cat1.bronze.t1') OR target_table_full_name IN ('{SEED}', 'cat1.bronze.t1', 'cat2.gold.t80') OR source_table_full_name = 'cat2.gold.t80')", "v_column_lineage")
+def discover_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.discover_runs(view(spark, sf_dir, "v_column_lineage"), [SEED, "cat1.bronze.t1", "cat2.gold.t80"], as_of=AS_OF, days=DAYS, kinds=("JOB", "NOTEBOOK"))
+
+
+@query("SELECT DISTINCT try_cast(entity_run_id AS BIGINT) AS run_id FROM v_column_lineage WHERE try_cast(entity_run_id AS BIGINT) IS NOT NULL", "v_column_lineage")
+def numeric_run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.numeric_run_ids(view(spark, sf_dir, "v_column_lineage"))
+
+
+@query("SELECT DISTINCT entity_id FROM v_column_lineage WHERE entity_type = 'NOTEBOOK'", "v_column_lineage")
+def notebook_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.entities_of(view(spark, sf_dir, "v_column_lineage"), "NOTEBOOK")
+
+
+@query("SELECT DISTINCT fqn AS full_name FROM v_tables WHERE fqn NOT IN (SELECT target_table_full_name FROM v_column_lineage) AND fqn NOT IN (SELECT fqn FROM v_tables WHERE table_type = 'VIEW')", "v_tables", "v_column_lineage")
+def uncovered_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = view(spark, sf_dir, "v_tables")
+    names = t.select(F.col("fqn").alias("full_name"))
+    return metadata.uncovered(names, names.join(t.filter("table_type = 'VIEW'").select(F.col("fqn").alias("full_name")), "full_name", "left_semi"), view(spark, sf_dir, "v_column_lineage"))
+
+
+@query(
+    """SELECT e.entity_type, e.entity_id, coalesce(CASE e.entity_type WHEN 'JOB' THEN j.name ELSE p.name END, e.entity_type || ' ' || substr(e.entity_id, 1, 12)) AS name, CASE e.entity_type WHEN 'JOB' THEN coalesce(j.run_as_user_name, j.creator_user_name) END AS owner
+FROM (SELECT DISTINCT entity_type, entity_id FROM v_lineage WHERE entity_id IS NOT NULL) e LEFT JOIN v_jobs j ON e.entity_type = 'JOB' AND j.job_id = e.entity_id LEFT JOIN v_pipelines p ON e.entity_type = 'PIPELINE' AND p.pipeline_id = e.entity_id""",
+    "v_lineage", "v_jobs", "v_pipelines",
+)
+def entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = spark.createDataFrame([], "notebook_id string, nb_path string")
+    return metadata.entity_names(view(spark, sf_dir, "v_lineage"), view(spark, sf_dir, "v_jobs"), view(spark, sf_dir, "v_pipelines"), none)
+
+
+@query(
+    r"""SELECT id, CASE WHEN expr = '' THEN 'unknown' WHEN regexp_full_match(trim(expr), '[\w."''` ]+') OR regexp_full_match(trim(expr), '(?i)(col|F\.col)\(\s*["''][\w]+["'']\s*\)') THEN 'projection' WHEN regexp_matches(expr, '(?i)\bover\s*\(') THEN 'window'
+ WHEN regexp_matches(expr, '(?i)\b(sum|avg|mean|count|min|max|first|last)\s*\(') THEN 'aggregation' WHEN regexp_matches(expr, '(?i)\bcase\s+when\b') THEN 'case' WHEN regexp_matches(expr, '(?i)\b(coalesce|ifnull|nvl|nullif)\s*\(') THEN 'null_handling'
+ WHEN regexp_matches(expr, '(?i)\bcast\s*\(') OR regexp_matches(expr, '::\s*[\w()]+') THEN 'cast' WHEN regexp_matches(expr, '(?i)\b(upper|trim)\s*\(') THEN 'string_fn' WHEN regexp_matches(expr, '(?i)\bdate_trunc\s*\(') THEN 'date_fn' WHEN regexp_matches(expr, '[+\-*/%]') THEN 'arithmetic' ELSE 'other' END AS category FROM v_exprs""",
+    "v_exprs",
+)
+def classify_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_exprs").select("id", refs.category(F.col("expr")).alias("category"))
+
+
+@query("SELECT DISTINCT transform_category AS category, CASE upper(transform_category) WHEN 'AGGREGATION' THEN '#3B82F6' WHEN 'CAST' THEN '#10B981' WHEN 'PROJECTION' THEN '#6366F1' END AS colour FROM v_hops", "v_hops")
+def category_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hops(spark, sf_dir).select(F.col("transform_category").alias("category"), refs.category_colour(F.upper("transform_category")).alias("colour")).distinct()
+
+
+# --- joins and aggregations ---------------------------------------------------------------------
+
+R_COST = """SELECT 'JOB' AS entity_type, u.job_id AS entity_id, CAST(ROUND(SUM(u.usage_quantity * lp.price), 2) AS DOUBLE) AS cost_usd FROM v_usage u JOIN v_list_prices lp ON u.sku_name = lp.sku_name AND u.usage_unit = lp.usage_unit AND u.usage_start_time >= lp.price_start_time AND (lp.price_end_time IS NULL OR u.usage_start_time < lp.price_end_time) WHERE u.job_id IS NOT NULL AND u.sku_name LIKE '%JOBS_SERVERLESS%' GROUP BY u.job_id
+UNION ALL SELECT 'PIPELINE', u.dlt_pipeline_id, CAST(ROUND(SUM(u.usage_quantity * lp.price), 2) AS DOUBLE) FROM v_usage u JOIN v_list_prices lp ON u.sku_name = lp.sku_name AND u.usage_unit = lp.usage_unit AND u.usage_start_time >= lp.price_start_time AND (lp.price_end_time IS NULL OR u.usage_start_time < lp.price_end_time) WHERE u.dlt_pipeline_id IS NOT NULL GROUP BY u.dlt_pipeline_id"""
+
+
+@query(R_COST, "v_usage", "v_list_prices")
+def cost_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cost.cost_by_entity(view(spark, sf_dir, "v_usage"), view(spark, sf_dir, "v_list_prices"))
+
+
+R_ROLLUP = f"""{R_REC}, roll AS (SELECT entity, entity_type, entity_id, count(DISTINCT source) AS n_sources, count(DISTINCT target) AS n_targets, max(event_time) AS last_run, max({{'t': event_time, 'b': created_by}}).b AS owner FROM rec WHERE entity IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"WITH {R_ROLLUP} SELECT * FROM roll", "v_lineage")
+def entity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.rollup(_records(spark, sf_dir))
+
+
+@query(f"WITH {R_ROLLUP}, c AS ({R_COST}) SELECT r.entity, r.entity_type, r.entity_id, r.last_run, c.cost_usd, CAST(round(CAST(c.cost_usd AS DECIMAL(18,4)) * 0.85, 2) AS DOUBLE) AS discounted FROM roll r LEFT JOIN c USING (entity_type, entity_id)", "v_lineage", "v_usage", "v_list_prices")
+def entity_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = scope.rollup(_records(spark, sf_dir)).select("entity", "entity_type", "entity_id", "last_run")
+    return cost.with_cost(own, cost_by_entity(spark, sf_dir)).withColumn("discounted", refs.discounted(F.col("cost_usd"), 15))
+
+
+@query(f"WITH {R_REC}, {R_W} SELECT entity, source AS node FROM r JOIN w USING (entity) WHERE source = target", "v_lineage")
+def read_after_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.read_after_write(_records(spark, sf_dir))
+
+
+@query(f"WITH {R_ROUTED} SELECT DISTINCT source, target FROM edges", "v_lineage")
+def routed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed(spark, sf_dir)
+
+
+@query(f"WITH {R_ROUTED}, n AS (SELECT source AS node FROM edges UNION SELECT target FROM edges) SELECT node, coalesce(u, 0) AS upstream_count, coalesce(d, 0) AS downstream_count, CASE WHEN u > 0 AND d > 0 THEN 'connected' WHEN d > 0 THEN 'root' WHEN u > 0 THEN 'leaf' ELSE 'orphan' END AS lineage_status FROM n LEFT JOIN (SELECT target AS node, count(*) AS u FROM edges GROUP BY 1) USING (node) LEFT JOIN (SELECT source AS node, count(*) AS d FROM edges GROUP BY 1) USING (node) WHERE node NOT LIKE 'entity:%'", "v_lineage")
+def node_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _routed(spark, sf_dir)
+    return graph.degrees(e.select(F.explode(F.array("source", "target")).alias("node")), e)
+
+
+R_TABLE_VIEW = "tv AS (SELECT source, target FROM edges WHERE source NOT LIKE 'entity:%' AND target NOT LIKE 'entity:%' UNION SELECT a.source, b.target FROM edges a JOIN edges b ON a.target = b.source WHERE a.target LIKE 'entity:%' AND a.source <> b.target)"
+
+
+@query(f"WITH {R_ROUTED}, {R_TABLE_VIEW} SELECT * FROM tv", "v_lineage")
+def table_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.view(_routed(spark, sf_dir), "table")
+
+
+@query(f"WITH {R_ROUTED} SELECT DISTINCT a.source AS source, b.target AS target FROM edges a JOIN edges b ON a.target = b.source WHERE a.source LIKE 'entity:%' AND b.target LIKE 'entity:%' AND a.target NOT LIKE 'entity:%' AND a.source <> b.target", "v_lineage")
+def pipeline_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.view(_routed(spark, sf_dir), "pipeline")
+
+
+@query("SELECT DISTINCT source_table_full_name AS source, target_table_full_name AS target, entity_type, entity_id FROM v_lineage WHERE (source_table_full_name LIKE 'cat0.silver.%' OR target_table_full_name LIKE 'cat0.silver.%') AND source_table_full_name IS NOT NULL AND source_table_full_name <> target_table_full_name", "v_lineage")
+def real_table_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.real_edges(_records(spark, sf_dir), *SCHEMA)
+
+
+@query("SELECT extraction_id, max_by(content_sha256, recorded_at) AS content_sha256 FROM (SELECT extraction_id, recorded_at, max(content_sha256) AS content_sha256 FROM v_versions GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1", "v_versions")
+def latest_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = view(spark, sf_dir, "v_versions")
+    one = v.groupBy("extraction_id", "recorded_at").agg(F.max("content_sha256").alias("content_sha256"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    return hops.latest_sha(one)
+
+
+@query(f"SELECT pipeline_run_id, max(CASE WHEN dst_fqn = '{LAST}' THEN 1 ELSE 0 END) AS writes, max(materialized_at) AS materialized_at FROM v_run_hops WHERE src_fqn = '{LAST}' OR dst_fqn = '{LAST}' GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 DESC LIMIT 1", "v_run_hops")
+def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hops.latest_run(view(spark, sf_dir, "v_run_hops"), LAST)
+
+
+@query(f"SELECT count(*) > 0 AS exists, count(*) AS edge_count, max(materialized_at) AS last_built, CAST(floor(date_diff('second', max(materialized_at), TIMESTAMP '2003-01-01 00:00:00') / 86400) AS BIGINT) || 'd ago' AS age, true AS is_stale FROM v_run_hops WHERE src_fqn = '{SEED}' OR dst_fqn = '{SEED}'", "v_run_hops")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hops.freshness(view(spark, sf_dir, "v_run_hops"), SEED, "2003-01-01 00:00:00")
+
+
+@query("SELECT (SELECT count(*) FROM v_column_lineage WHERE event_time > CAST('1999-01-01' AS TIMESTAMP)) AS system_lineage_row_count, (SELECT count(*) FROM v_run_hops WHERE pipeline_run_id = 'run1') AS parsed_edge_count_run", "v_column_lineage", "v_run_hops")
+def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hops.reconciliation(view(spark, sf_dir, "v_column_lineage"), view(spark, sf_dir, "v_run_hops"), "run1", AS_OF, DAYS)
+
+
+@query("WITH s AS (SELECT DISTINCT source_table_full_name, source_column_name, target_table_full_name, target_column_name FROM v_column_lineage), p AS (SELECT DISTINCT src_fqn, src_col, dst_fqn, dst_col FROM v_hops WHERE transform_category <> 'cast') SELECT s.*, 'system' AS found_in FROM (SELECT * FROM s EXCEPT SELECT * FROM p) s UNION ALL SELECT *, 'parsed' FROM (SELECT * FROM p EXCEPT SELECT * FROM s)", "v_column_lineage", "v_hops")
+def reconciliation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hops.pair_differences(view(spark, sf_dir, "v_column_lineage"), _hops(spark, sf_dir).filter("transform_category <> 'cast'"))
+
+
+@query("SELECT 0.5 AS share, (SELECT value FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS r, count(*) OVER () AS n FROM events) WHERE r = floor(n * 0.5)) AS value UNION ALL SELECT 0.95, (SELECT value FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS r, count(*) OVER () AS n FROM events) WHERE r = floor(n * 0.95)) UNION ALL SELECT 0.99, (SELECT value FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS r, count(*) OVER () AS n FROM events) WHERE r = floor(n * 0.99))")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.percentiles(spark.read.parquet(f"{sf_dir}/events.parquet"), "value").withColumn("share", F.col("share").cast("decimal(3,2)"))
+
+
+# --- sharing ------------------------------------------------------------------------------------
+
+R_SHARE = "rc AS (SELECT share_name, string_agg(DISTINCT recipient_name, ',' ORDER BY recipient_name) AS recipients FROM v_privileges WHERE privilege_type = 'SELECT' GROUP BY 1)"
+
+
+@query(f"WITH {R_SHARE} SELECT * FROM rc", "v_privileges")
+def share_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharing.recipients_by_share(view(spark, sf_dir, "v_privileges")).withColumn("recipients", F.array_join("recipients", ","))
+
+
+@query(f"WITH {R_SHARE} SELECT DISTINCT catalog_name || '.' || schema_name || '.' || table_name AS full_name, share_name, CASE WHEN shared_as_schema IS NOT NULL OR shared_as_table IS NOT NULL THEN coalesce(shared_as_schema, schema_name) || '.' || coalesce(shared_as_table, table_name) END AS shared_as, coalesce(recipients, '') AS recipients FROM v_table_shares LEFT JOIN rc USING (share_name)", "v_privileges", "v_table_shares")
+def shared_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharing.shared_out(view(spark, sf_dir, "v_table_shares"), view(spark, sf_dir, "v_privileges")).withColumn("recipients", F.array_join("recipients", ","))
+
+
+@query("SELECT catalog_name, coalesce(p.provider_name, u.provider_name, 'unknown') AS provider_name, max(cloud) AS cloud, max(region) AS region, string_agg(DISTINCT share_name, ',' ORDER BY share_name) AS share_names FROM v_catalog_uses u LEFT JOIN v_providers p USING (provider_name) GROUP BY 1, 2", "v_catalog_uses", "v_providers")
+def foreign_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharing.foreign_catalogs(view(spark, sf_dir, "v_catalog_uses"), view(spark, sf_dir, "v_providers")).withColumn("share_names", F.array_join("share_names", ","))
+
+
+@query("SELECT (SELECT count(DISTINCT share_name) FROM v_privileges) AS shares, (SELECT count(DISTINCT recipient_name) FROM v_privileges) AS recipients, (SELECT count(DISTINCT provider_name) FROM v_providers) AS providers, (SELECT count(DISTINCT catalog_name) FROM v_catalog_uses) AS foreign_catalogs, (SELECT count(DISTINCT catalog_name || '.' || schema_name || '.' || table_name) FROM v_table_shares) AS shared_tables", "v_privileges", "v_providers", "v_catalog_uses", "v_table_shares")
+def sharing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "v_privileges")
+    return sharing.totals(p, p, view(spark, sf_dir, "v_providers"), view(spark, sf_dir, "v_catalog_uses"), view(spark, sf_dir, "v_table_shares"))
+
+
+@query("SELECT share_name, count(DISTINCT catalog_name || '.' || schema_name || '.' || table_name) AS tables FROM v_table_shares GROUP BY 1", "v_table_shares")
+def tables_per_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharing.tables_per_share(view(spark, sf_dir, "v_table_shares"))
+
+
+@query(
+    f"""WITH {R_ROUTED}, {R_TABLE_VIEW}, n AS (SELECT source AS node FROM tv UNION SELECT target FROM tv), {R_SHARE}, o AS (SELECT DISTINCT catalog_name || '.' || schema_name || '.' || table_name AS full_name, share_name, recipient_name FROM v_table_shares LEFT JOIN (SELECT * FROM v_privileges WHERE privilege_type = 'SELECT') USING (share_name))
+SELECT source, target FROM tv UNION SELECT full_name, 'sharing:share:' || share_name FROM o JOIN n ON n.node = o.full_name UNION SELECT 'sharing:share:' || share_name, 'sharing:recipient:' || recipient_name FROM o JOIN n ON n.node = o.full_name WHERE recipient_name IS NOT NULL
+UNION SELECT 'sharing:provider:' || coalesce(provider_name, 'unknown'), node FROM n JOIN (SELECT DISTINCT catalog_name, provider_name FROM v_catalog_uses) u ON split_part(node, '.', 1) = catalog_name""",
+    "v_lineage", "v_privileges", "v_table_shares", "v_catalog_uses",
+)
+def sharing_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table_view(spark, sf_dir)
+    n = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    out = sharing.shared_out(view(spark, sf_dir, "v_table_shares"), view(spark, sf_dir, "v_privileges"))
+    return sharing.augmented(n, e, out, sharing.foreign_catalogs(view(spark, sf_dir, "v_catalog_uses"), view(spark, sf_dir, "v_providers")))[1]
+
+
+# --- graphs -------------------------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {R_PAIRS}, {_walk('pairs', SEED, True, 16)} SELECT node, min(depth) AS depth FROM walk GROUP BY 1", "v_lineage")
+def trace_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.descendants(_records(spark, sf_dir), SEED)
+
+
+@query(f"WITH RECURSIVE {R_PAIRS}, {_walk('pairs', LAST, False, 16)} SELECT node, min(depth) AS depth FROM walk GROUP BY 1", "v_lineage")
+def trace_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.ancestors(_records(spark, sf_dir), LAST)
+
+
+R_MID = "cat0.silver.t60"
+
+
+@query(f"WITH RECURSIVE {R_PAIRS}, {_walk('pairs', R_MID, False, 16, 'up')}, {_walk('pairs', R_MID, True, 16, 'down')} SELECT DISTINCT source, target, entity FROM rec WHERE target IN (SELECT node FROM up WHERE depth < 16) OR source IN (SELECT node FROM down WHERE depth < 16)", "v_lineage")
+def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.trace_rows(_records(spark, sf_dir), R_MID)[0].select("source", "target", "entity")
+
+
+R_SCOPE = f"""{R_REC}, loc AS (SELECT table_catalog || '.' || table_schema || '.' || table_name AS node FROM v_tables WHERE table_catalog = 'cat0' AND table_schema = 'silver' AND NOT starts_with(table_name, 'event_log_')),
+near AS (SELECT * FROM rec WHERE sname LIKE 'cat0.silver.%' OR target LIKE 'cat0.silver.%' OR source_path LIKE '%/Volumes/cat0/silver/%'),
+ent AS (SELECT DISTINCT entity FROM near WHERE entity IS NOT NULL AND (source IN (SELECT node FROM loc) OR target IN (SELECT node FROM loc))),
+w AS (SELECT DISTINCT entity, target FROM rec WHERE entity IN (SELECT entity FROM ent) AND target IS NOT NULL), r AS (SELECT DISTINCT entity, source FROM rec WHERE entity IN (SELECT entity FROM ent) AND source IS NOT NULL),
+edges AS (SELECT source, entity AS target FROM r WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.entity = r.entity AND w.target = r.source) UNION SELECT entity, target FROM w
+ UNION SELECT source, target FROM near WHERE entity IS NULL AND source IS NOT NULL AND target IS NOT NULL AND (source IN (SELECT node FROM loc) OR target IN (SELECT node FROM loc)) AND NOT EXISTS (SELECT 1 FROM r JOIN w USING (entity) WHERE r.source = near.source AND w.target = near.target)
+ UNION SELECT rec.source, rec.target FROM rec WHERE rec.entity IN (SELECT entity FROM ent) AND rec.source IS NOT NULL AND rec.target IS NOT NULL AND EXISTS (SELECT 1 FROM w WHERE w.entity = rec.entity AND w.target = rec.source))"""
+
+
+@query(f"WITH {R_SCOPE} SELECT * FROM edges", "v_lineage", "v_tables")
+def scope_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.scope_graph(_records(spark, sf_dir), view(spark, sf_dir, "v_tables"), *SCHEMA)[1]
+
+
+@query(f"WITH {R_SCOPE}, n AS (SELECT node FROM loc UNION SELECT source FROM edges WHERE source NOT LIKE 'entity:%' UNION SELECT target FROM edges WHERE target NOT LIKE 'entity:%' UNION SELECT source FROM r UNION SELECT target FROM w) SELECT node, node NOT IN (SELECT node FROM loc) AS external, coalesce(u, 0) AS upstream_count, coalesce(d, 0) AS downstream_count, CASE WHEN u > 0 AND d > 0 THEN 'connected' WHEN d > 0 THEN 'root' WHEN u > 0 THEN 'leaf' ELSE 'orphan' END AS lineage_status FROM n LEFT JOIN (SELECT target AS node, count(*) AS u FROM edges GROUP BY 1) USING (node) LEFT JOIN (SELECT source AS node, count(*) AS d FROM edges GROUP BY 1) USING (node)", "v_lineage", "v_tables")
+def scope_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.scope_graph(_records(spark, sf_dir), view(spark, sf_dir, "v_tables"), *SCHEMA)[0].drop("name", "kind")
+
+
+def _cone_sql(depth: int) -> str:
+    def walk(a: str, b: str, name: str) -> str:
+        return f"{name}(node, depth) AS (SELECT '{R_MID}', 0 UNION SELECT e.{b}, {name}.depth + CASE WHEN e.{b} LIKE 'entity:%' THEN 0 ELSE 1 END FROM {name} JOIN edges e ON e.{a} = {name}.node WHERE ({name}.node LIKE 'entity:%' OR {name}.depth < {depth}) AND {name}.depth + CASE WHEN e.{b} LIKE 'entity:%' THEN 0 ELSE 1 END <= {depth})"
+
+    return f"WITH RECURSIVE {R_ROUTED}, {walk('target', 'source', 'up')}, {walk('source', 'target', 'down')}, f AS (SELECT node FROM up UNION SELECT node FROM down) SELECT node FROM f UNION SELECT target FROM edges WHERE source LIKE 'entity:%' AND source IN (SELECT node FROM f) UNION SELECT source FROM edges WHERE target LIKE 'entity:%' AND target IN (SELECT node FROM f)"
+
+
+@query(_cone_sql(2), "v_lineage")
+def cone_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cone(_routed(spark, sf_dir), R_MID, 2)
+
+
+@query(f"WITH RECURSIVE {R_PAIRS}, {_walk('pairs', 'cat0.gold.t90', False, 60, 'up')}, {_walk('pairs', SEED, True, 60, 'down')} SELECT node FROM (SELECT node FROM up INTERSECT SELECT node FROM down) UNION SELECT 'cat0.gold.t90'", "v_lineage")
+def path_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.isolate(_records(spark, sf_dir), SEED, "cat0.gold.t90")
+
+
+@query(f"WITH RECURSIVE {R_PAIRS}, {_walk('pairs', R_MID, False, 60, 'up')}, {_walk('pairs', R_MID, True, 60, 'down')} SELECT node FROM up UNION SELECT node FROM down", "v_lineage")
+def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.highlight(_records(spark, sf_dir), R_MID)
+
+
+@query(f"WITH RECURSIVE {R_PAIRS}, walk(node, layer) AS (SELECT source, 0 FROM pairs UNION SELECT target, 0 FROM pairs UNION SELECT p.target, walk.layer + 1 FROM walk JOIN pairs p ON p.source = walk.node) SELECT node, max(layer) AS layer FROM walk GROUP BY 1", "v_lineage")
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.layers(_records(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {R_PAIRS}, both_ AS (SELECT source, target FROM pairs UNION SELECT target, source FROM pairs), {_walk('both_', R_MID, True, 2)} SELECT node, min(depth) AS depth FROM walk GROUP BY 1", "v_lineage")
+def undirected_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _records(spark, sf_dir)
+    return graph.undirected_ball(e, graph.seed_of(e, R_MID), 2)
+
+
+# --- columns ------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT source_table_full_name, source_column_name, target_table_full_name, target_column_name FROM v_column_lineage WHERE (source_table_full_name LIKE 'cat0.silver.%' OR target_table_full_name LIKE 'cat0.silver.%') AND (source_table_full_name <> target_table_full_name OR source_column_name <> target_column_name)", "v_column_lineage")
+def column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.column_edges(view(spark, sf_dir, "v_column_lineage"), *SCHEMA)
+
+
+@query(f"SELECT DISTINCT source_table_full_name, source_column_name, target_table_full_name, target_column_name FROM v_column_lineage WHERE (source_table_full_name = '{R_MID}' AND source_column_name = 'c1') OR (target_table_full_name = '{R_MID}' AND target_column_name = 'c1')", "v_column_lineage")
+def edges_of_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.edges_of_column(paths.column_edges(view(spark, sf_dir, "v_column_lineage"), "cat0", "silver"), R_MID, "c1")
+
+
+R_COLS = "ce AS (SELECT DISTINCT source_table_full_name || '::' || lower(source_column_name) AS source, target_table_full_name || '::' || lower(target_column_name) AS target FROM v_column_lineage)"
+
+
+@query(f"WITH RECURSIVE {R_COLS}, {_walk('ce', R_MID + '::c1', False, 60, 'up')}, {_walk('ce', R_MID + '::c1', True, 60, 'down')} SELECT split_part(node, '::', 1) AS \"table\", split_part(node, '::', 2) AS \"column\", 'up' AS direction, min(depth) AS depth FROM up GROUP BY ALL UNION ALL SELECT split_part(node, '::', 1), split_part(node, '::', 2), 'down', min(depth) FROM down GROUP BY ALL", "v_column_lineage")
+def column_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.column_trace(view(spark, sf_dir, "v_column_lineage"), R_MID, "C1")
+
+
+R_TARGET_TABLE = "cat0.gold.t114"
+R_TARGET = f"col:{R_TARGET_TABLE}::c1"
+R_HE = "he AS (SELECT src_node_id AS source, dst_node_id AS target, edge_id FROM v_hops WHERE src_node_id <> dst_node_id)"
+
+
+@query(f"WITH RECURSIVE {R_HE}, {_walk('he', R_TARGET, False, 6)} SELECT node, min(depth) AS depth, node NOT IN (SELECT target FROM he) AS is_source FROM walk WHERE node IN (SELECT source FROM he UNION SELECT target FROM he) GROUP BY 1", "v_hops")
+def backtrack_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.backtrack(_hops(spark, sf_dir), R_TARGET)[0]
+
+
+@query(f"WITH RECURSIVE {R_HE}, {_walk('he', R_TARGET, False, 5)}, l AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1) SELECT source AS src_node_id, target AS dst_node_id, edge_id, depth + 1 AS depth FROM he JOIN l ON l.node = he.target", "v_hops")
+def backtrack_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.backtrack(_hops(spark, sf_dir), R_TARGET)[1]
+
+
+@query(f"WITH RECURSIVE he AS (SELECT src_node_id AS source, dst_node_id AS target FROM v_hops WHERE src_node_id <> dst_node_id AND transform_category IN ('cast', 'projection') AND NOT regexp_matches(src_fqn, '(?i)^CAT1')), {_walk('he', R_TARGET, False, 6)} SELECT node, min(depth) AS depth, node NOT IN (SELECT dst_node_id FROM v_hops) AS is_source FROM walk GROUP BY 1", "v_hops")
+def backtrack_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.backtrack(_hops(spark, sf_dir), R_TARGET, 6, ("CAST", "projection"), ("^CAT1",))[0]
+
+
+@query(f"WITH RECURSIVE {R_HE}, {_walk('he', R_TARGET, False, 8)} SELECT min(depth) AS level, CASE WHEN min(depth) = 0 THEN 'Target Column' ELSE 'Upstream Layer ' || min(depth) END AS label, node, split_part(substr(node, 5), '::', 1) AS \"table\", split_part(node, '::', 2) AS \"column\", node NOT IN (SELECT target FROM he) AS is_source_column FROM walk WHERE node IN (SELECT source FROM he UNION SELECT target FROM he) GROUP BY node", "v_hops")
+def transform_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.service_backtrack(_hops(spark, sf_dir), R_TARGET_TABLE, "c1")[0].drop("colour")
+
+
+@query(f"SELECT 1 AS level, src_node_id AS source, dst_node_id AS target, expr AS expression, upper(transform_category) AS category FROM v_hops WHERE dst_node_id = '{R_TARGET}' AND src_node_id <> dst_node_id", "v_hops")
+def transform_edges_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.service_backtrack(_hops(spark, sf_dir), R_TARGET_TABLE, "c1", touching_only=True)[1].drop("colour")
+
+
+R_FROM = "col:cat2.silver.t50::c0"
+R_PATHS = f"{R_HE}, reach(node, depth, nodes) AS (SELECT '{R_FROM}', 0, ['{R_FROM}'] UNION ALL SELECT e.target, reach.depth + 1, list_append(reach.nodes, e.target) FROM reach JOIN he e ON e.source = reach.node WHERE reach.depth < 4 AND NOT list_contains(reach.nodes, e.target))"
+R_TO = R_TARGET
+
+
+@query(f"WITH RECURSIVE {R_HE}, {_walk('he', R_FROM, True, 6)} SELECT min(depth) AS hops FROM walk WHERE node = '{R_TO}'", "v_hops")
+def shortest_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.shortest_path(_hops(spark, sf_dir), R_FROM, R_TO).agg(F.max("step").alias("hops"))
+
+
+@query(f"WITH RECURSIVE {R_PATHS} SELECT array_to_string(nodes, ' ') AS nodes, depth AS length FROM reach WHERE node = '{R_TO}'", "v_hops")
+def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.simple_paths(_hops(spark, sf_dir), R_FROM, R_TO, 4, None).select(F.array_join("nodes", " ").alias("nodes"), "length")
+
+
+@query("SELECT source, via, target FROM (SELECT DISTINCT source_table_full_name AS source, target_table_full_name AS target, coalesce(CASE entity_type WHEN 'JOB' THEN j.name WHEN 'PIPELINE' THEN p.name END, entity_type || ' ' || entity_id, 'direct') AS via FROM v_lineage LEFT JOIN v_jobs j ON entity_type = 'JOB' AND j.job_id = entity_id LEFT JOIN v_pipelines p ON entity_type = 'PIPELINE' AND p.pipeline_id = entity_id WHERE (source_table_full_name LIKE 'cat0.silver.%' OR target_table_full_name LIKE 'cat0.silver.%') AND source_table_full_name IS NOT NULL AND source_table_full_name <> target_table_full_name)", "v_lineage", "v_jobs", "v_pipelines")
+def sheet_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.lineage_sheet(real_table_edges(spark, sf_dir), entity_names(spark, sf_dir))
+
+
+@query(f"WITH {R_SCOPE}, n AS (SELECT node FROM loc UNION SELECT source FROM edges UNION SELECT target FROM edges UNION SELECT source FROM r UNION SELECT target FROM w) SELECT count(*) FILTER (node NOT LIKE 'entity:%') AS tables, count(*) FILTER (node NOT LIKE 'entity:%' AND node NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)) AS orphans, count(*) FILTER (node LIKE 'entity:%') AS entities, (SELECT count(*) FROM edges) AS edges FROM n", "v_lineage", "v_tables")
+def sheet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = scope.scope_graph(_records(spark, sf_dir), view(spark, sf_dir, "v_tables"), *SCHEMA)
+    entities = edges.select(F.explode(F.array("source", "target")).alias("node")).filter(graph.is_entity(F.col("node"))).distinct()
+    return report.summary(nodes.select("node", "lineage_status").unionByName(entities.withColumn("lineage_status", F.lit(None).cast("string"))), edges)
+
+
+@query("SELECT table_catalog || '.' || table_schema AS schema, count(*) AS tables, count(*) FILTER (table_catalog || '.' || table_schema || '.' || table_name NOT IN (SELECT target_table_full_name FROM v_lineage) AND table_catalog || '.' || table_schema || '.' || table_name NOT IN (SELECT source_table_full_name FROM v_lineage WHERE source_table_full_name IS NOT NULL)) AS orphans FROM v_tables WHERE table_schema <> 'information_schema' AND NOT starts_with(table_name, 'event_log_') GROUP BY 1", "v_lineage", "v_tables")
+def sheet_by_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = metadata.all_tables(view(spark, sf_dir, "v_tables")).select(F.col("full_name").alias("node"))
+    return report.by_schema(graph.degrees(nodes, _routed(spark, sf_dir)))
+
+
+# --- graph records from code --------------------------------------------------------------------
+
+
+def _mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _hops(spark, sf_dir)
+    return h.select(F.concat(F.lit("ext_"), F.substring_index("dst_fqn", ".", -1)).alias("artifact_id"), F.col("dst_col").alias("output_column"), F.col("dst_fqn").alias("output_table_fqn"), F.col("src_fqn").alias("source_fqn"), F.col("src_col").alias("source_column"), F.concat_ws(".", F.substring_index("src_fqn", ".", -1), "src_col").alias("source_ref"), "expr", F.when(F.col("transform_category") == "cast", "pyspark").otherwise("sql").alias("expr_lang"))
+
+
+@query("SELECT node_type, count(*) AS n FROM (SELECT 'transformation' AS node_type, split_part(dst_fqn, '.', 3) AS id FROM v_hops UNION SELECT 'table', src_fqn FROM v_hops UNION SELECT 'column', src_node_id FROM v_hops UNION SELECT 'column', dst_node_id FROM v_hops) GROUP BY 1", "v_hops")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _mappings(spark, sf_dir)
+    nodes, _ = hops.graph_of(m, m.select("artifact_id", F.col("source_fqn").alias("table_fqn")).distinct())
+    return nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT src_node_id, src_fqn, src_col, dst_node_id, dst_fqn, dst_col, '/src/' || split_part(dst_fqn, '.', 3) AS source_path, expr, CASE WHEN transform_category <> 'cast' THEN expr ELSE 'T(' || expr || ')' END AS expr_sql, CASE WHEN src_col = 'c0' THEN 'aggregation' WHEN src_col = 'c1' THEN 'cast' ELSE 'projection' END AS transform_category FROM v_hops", "v_hops")
+def edge_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _mappings(spark, sf_dir)
+    nodes, edges = hops.graph_of(m, m.select("artifact_id", F.col("source_fqn").alias("table_fqn")).distinct())
+    code = m.select(F.col("artifact_id").alias("extraction_id"), F.concat(F.lit("/src/"), F.substring("artifact_id", 5, 100)).alias("source_path")).distinct()
+    cache = spark.createDataFrame([], "expr_sha string, pyspark_expr string, sql_expr string")
+    full, _ = hops.enriched(hops.edge_endpoints(nodes, edges, code), cache, lambda e: F.concat(F.lit("T("), e, F.lit(")")))
+    return full.drop("edge_id", "artifact_id", "expr_lang")
+
+
+@query("SELECT extraction_id, sha256('weftline_1' || chr(0) || extraction_id) AS token, max_by(content_sha256, recorded_at) <> sha256('weftline_1' || chr(0) || extraction_id) AS is_new FROM (SELECT extraction_id, recorded_at, seq, CASE WHEN seq % 2 = 0 THEN content_sha256 ELSE sha256('weftline_1' || chr(0) || extraction_id) END AS content_sha256 FROM v_versions) GROUP BY 1", "v_versions")
+def changed_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = view(spark, sf_dir, "v_versions").withColumn("content_sha256", F.when(F.col("seq") % 2 == 0, F.col("content_sha256")).otherwise(refs.version_token(F.col("extraction_id"), hops.PARSER)))
+    return hops.changed(v.select("extraction_id", F.col("extraction_id").alias("raw_source")).distinct(), v)

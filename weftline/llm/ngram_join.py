@@ -160,7 +160,7 @@ def ngram_join(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
     sets = rows.filter("kid is not null")
     kinds = saved(sets.groupBy("kid").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")), "kinds")
 
-    def explode(column: str, width: int) -> DataFrame:
+    def explode(column: str, width: int, of: DataFrame) -> DataFrame:
         names = ["path"] if width == 1 else ["parent", "path"]
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,12 +170,37 @@ def ngram_join(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
                 flat = np.concatenate(parts) if parts else np.zeros((0, width), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(kid), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(width))], ["kid", *names])
 
-        return sets.select("kid", column).mapInArrow(spread, ", ".join(["kid long", *(f"{x} long" for x in names)])).distinct()
+        return of.select("kid", column).mapInArrow(spread, ", ".join(["kid long", *(f"{x} long" for x in names)]))
 
-    # level-one buckets with company
-    first = explode("p1", 1)
-    shared = first.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("kid").alias("leader")).filter("n > 1")
-    meeting = saved(first.join(shared, "path").select("kid", "path", "n", "leader"), "meeting")
+    # one row of each distinct set: rows that repeat a set are left out by the few sets that have copies
+    twice = small(saved(kinds.filter("copies > 1").select(F.col("kid").alias("_kid"), F.col("doc").alias("_doc")), "twice"))
+    single = sets.join(twice, (F.col("kid") == F.col("_kid")) & (F.col("doc_id") != F.col("_doc")), "left_anti")
+
+    # level-one buckets with company, and the smallest set in each: a task streams through its sorted paths and holds one row of a bucket
+    def with_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, leader, told = None, 0, False
+        for b in batches:
+            path, kid = b.column("path").to_numpy(), b.column("kid").to_numpy()
+            if not len(path):
+                continue
+            goes_on = last is not None and path[0] == last
+            new = np.concatenate([[not goes_on], path[1:] != path[:-1]])
+            lead = np.where(new, kid, 0)
+            if goes_on:
+                lead[0] = leader
+            mark = np.maximum.accumulate(np.where(new, np.arange(len(path)), 0))
+            lead = lead[mark]
+            followed = np.concatenate([~new[1:], [False]])  # the last row's company comes with the next batch
+            keep = ~new | followed
+            out_kid, out_path, out_lead = kid[keep], path[keep], lead[keep]
+            if goes_on and not told:  # the row that ended the batch before has company after all
+                out_kid, out_path, out_lead = np.append(out_kid, leader), np.append(out_path, last), np.append(out_lead, leader)
+            told = bool(keep[-1]) or (goes_on and path[-1] == last)
+            last, leader = path[-1], lead[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (out_kid, out_path, out_lead)], ["kid", "path", "leader"])
+
+    placed_paths = explode("p1", 1, single).repartition("path").sortWithinPartitions("path", "kid")
+    meeting = saved(placed_paths.mapInArrow(with_leader, "kid long, path long, leader long"), "meeting")
 
     # first round: each set against the set it meets most often
     often = meeting.filter("kid != leader").groupBy("kid", "leader").count().filter(F.col("count") >= MEETINGS)
@@ -231,7 +256,9 @@ def ngram_join(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
     ready, large = open_buckets(meeting.select("kid", "path"))
     for column in ("p2", "p3")[: depth - 1]:
         above = large.select("kid", F.col("path").alias("parent"))
-        deeper = explode(column, 2).join(above, ["kid", "parent"], "left_semi").select("kid", "path").distinct()
+        # only the sets in large buckets are taken apart further
+        crowded = single.join(small(saved(above.select("kid").distinct(), "crowded")), "kid", "left_semi")
+        deeper = explode(column, 2, crowded).join(above, ["kid", "parent"], "left_semi").select("kid", "path").distinct()
         more, large = open_buckets(deeper)
         ready = ready.unionByName(more)
     candidates = in_blocks(ready.unionByName(large), "path", "kid", BLOCK_ROWS)

@@ -20,7 +20,7 @@ from weftline.llm.linking import mapped_groups
 
 #: Bits of an anchor and of a document's number in its batch, together one 64-bit word.
 KEY_BITS, DOC_BITS = 44, 20
-DOCS_PER_RANGE = 4000
+DOCS_PER_RANGE = 32768
 #: Anchors that a task gathers before it sends them.
 BATCH_ANCHORS = 1_500_000
 

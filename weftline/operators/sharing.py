@@ -71,7 +71,7 @@ def augmented(nodes: DataFrame, edges: DataFrame, out: DataFrame, foreign: DataF
     shown = out.join(nodes.select(F.col("node").alias("full_name")), "full_name", "left_semi")
     share = F.concat(F.lit("sharing:share:"), "share_name")
     to_share = shown.select(F.col("full_name").alias("source"), share.alias("target"))
-    to_people = shown.select(share.alias("source"), F.concat(F.lit("sharing:recipient:"), F.explode("recipients")).alias("target"))
+    to_people = shown.select(share.alias("source"), F.explode("recipients").alias("r")).select("source", F.concat(F.lit("sharing:recipient:"), "r").alias("target"))
     by_catalog = nodes.withColumn("catalog_name", F.substring_index("node", ".", 1)).join(foreign, "catalog_name")
     from_provider = by_catalog.select(F.concat(F.lit("sharing:provider:"), "provider_name").alias("source"), F.col("node").alias("target"))
     extra = to_share.unionByName(to_people).unionByName(from_provider).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import refs
 from weftline.operators import cost, graph, hops, paths, report, scope, sharing
+from weftline.plans.durable import saved
 from weftline.sources import metadata
 from weftline.sources.derived import view, with_views
 
@@ -43,7 +44,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scope.routed(_records(spark, sf_dir))
+    return saved(scope.routed(_records(spark, sf_dir)), "routed")
 
 
 def _hops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +322,7 @@ UNION SELECT 'sharing:provider:' || coalesce(provider_name, 'unknown'), node FRO
     "v_lineage", "v_privileges", "v_table_shares", "v_catalog_uses",
 )
 def sharing_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table_view(spark, sf_dir)
+    e = saved(table_view(spark, sf_dir), "shown")
     n = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
     out = sharing.shared_out(view(spark, sf_dir, "v_table_shares"), view(spark, sf_dir, "v_privileges"))
     return sharing.augmented(n, e, out, sharing.foreign_catalogs(view(spark, sf_dir, "v_catalog_uses"), view(spark, sf_dir, "v_providers")))[1]

@@ -148,10 +148,11 @@ def repeated_words(docs: DataFrame) -> DataFrame:
         order = np.lexsort((start, rk))
         rk, start = rk[order], start[order]
         cut = np.flatnonzero(np.concatenate([[True], rk[1:] != rk[:-1], [True]])) if len(rk) else [0]
-        return [(int(rk[a]), pack(start[a:b].astype(np.uint64))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        start = start.astype("<i4")
+        return [(int(rk[a]), start[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def unite(table: pa.Table) -> list[tuple]:
-        start = np.concatenate([unpack(x) for x in table.column("starts").to_pylist()]).astype(np.int64)
+        start = np.frombuffer(b"".join(table.column("starts").to_pylist()), "<i4").astype(np.int64)
         a, b = merged_ranges(start, start + WINDOW)
         return [(int(table.column("rk")[0].as_py()), pack(a.astype(np.uint64)), pack(b.astype(np.uint64)))]
 

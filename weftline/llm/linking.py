@@ -57,13 +57,13 @@ def mapped_groups(rows: DataFrame, key: str, work: Callable[[pa.Table], list[tup
     return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-def in_blocks(rows: DataFrame, key: str, ident: str, limit: int) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, ident: str, limit: int, sizes_of: DataFrame | None = None) -> DataFrame:
     """Split groups over ``limit`` rows so that every pair of rows of a group still meets.
 
     Adds ``g``, the new group, and ``block``. A group of n rows is dealt into b = ceil(n / limit) blocks, and each pair of blocks
     is a group of about 2 * limit rows; a row goes to b of them. Pairs inside one block are to be compared only in the
-    group that has that block alone (``alone``)."""
-    sizes = saved(rows.groupBy(key).count().filter(F.col("count") > limit).select(F.col(key).alias("_k"), F.ceil(F.col("count") / limit).cast("int").alias("_b")), "sizes")
+    group that has that block alone (``alone``). ``sizes_of`` is a lighter table with the same keys to count, if there is one."""
+    sizes = saved((rows if sizes_of is None else sizes_of).groupBy(key).count().filter(F.col("count") > limit).select(F.col(key).alias("_k"), F.ceil(F.col("count") / limit).cast("int").alias("_b")), "sizes")
     b = F.coalesce("_b", F.lit(1))
     dealt = rows.join(small(sizes), F.col(key) == F.col("_k"), "left").withColumn("_n", b).withColumn("block", F.pmod(F.xxhash64(ident), "_n").cast("int"))
     dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))

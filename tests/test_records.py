@@ -103,7 +103,7 @@ def test_sql_mappings(spark, sql, want):
 def test_merge_and_bad_sql(spark):
     found, reads, _ = code.sql_mappings(spark, "A", "MERGE INTO a.b.t USING a.b.s ON t.id = s.id WHEN MATCHED THEN DELETE")
     assert not found and reads == [("A", "a.b.s")]
-    assert code.sql_mappings(spark, "A", "SELECT FROM WHERE")[2]
+    assert code.sql_mappings(spark, "A", "SELECT a FROM b WHERE (")[2]
 
 
 def test_python_mappings():

@@ -49,7 +49,10 @@ def cells_of(raw: str | None, language: str | None) -> list[tuple[str, str]]:
             bare = line.lstrip()
             if declared and bare.startswith(f"{MAGIC} %") or bare.startswith("# DBTITLE"):
                 continue
-            lines.append(bare[len(MAGIC) :].removeprefix(" ") if declared and bare.startswith(MAGIC) else line)
+            if declared and bare.startswith(MAGIC):
+                lines.append(bare[len(MAGIC) :].removeprefix(" "))
+            elif not (lang == "sql" and bare.startswith("#")):  # the file's own comments are Python's
+                lines.append(line)
         out.append((lang, _without_magics("\n".join(lines))))
     return out
 

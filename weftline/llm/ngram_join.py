@@ -245,13 +245,21 @@ def ngram_join(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
     edges = saved(mapped_groups(placed.join(fetched(placed), "kid").select("g", "kid", "block", "text"), "g", against_head, "a long, b long"), "links")
     component = saved(connected_components(edges), "components")
 
-    # second round: buckets with more than one component, split while they are large
+    # second round: buckets with more than one component
     def open_buckets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(kid, path, component) of buckets with several components, and of those over the limit."""
+        """Rows of buckets with several components: those to compare now, in groups ``g``, and those of buckets that are to be split.
+
+        A bucket is ready if it is small, or if few of its rows are outside its largest component: each block of that component's rows then
+        meets all the others, and rows of the component need not meet each other."""
         own = members.join(component.withColumnRenamed("id", "kid"), "kid", "left").withColumn("component", F.coalesce("component", "kid"))
-        sizes = own.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 1 and lo != hi").select("path", "n")
-        both = saved(own.join(sizes, "path").select("kid", "path", "component", "n"), "open")
-        return both.filter(F.col("n") <= BUCKET_ROWS).drop("n"), both.filter(F.col("n") > BUCKET_ROWS).drop("n")
+        parts = own.groupBy("path", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("most"))
+        sizes = parts.filter("n > most.c").select("path", "n", F.col("n") - F.col("most.c"), F.col("most.component")).toDF("path", "n", "outside", "main")
+        both = saved(own.join(sizes, "path").select("kid", "path", "component", "n", "outside", "main"), "open")
+        fits = (F.col("n") <= BUCKET_ROWS) | (F.col("outside") <= BUCKET_ROWS)
+        b = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+        part = F.when(F.col("component") == F.col("main"), F.array(F.pmod(F.xxhash64("kid"), b).cast("int"))).otherwise(F.sequence(F.lit(0), b - 1))
+        now = both.filter(fits).withColumn("part", F.explode(part))
+        return now.select(F.xxhash64("path", "part").alias("g"), "kid", "component", F.lit(0).alias("block"), F.lit(1).alias("alone")), both.filter(~fits).select("kid", "path", "component")
 
     ready, large = open_buckets(meeting.select("kid", "path"))
     for column in ("p2", "p3")[: depth - 1]:
@@ -261,8 +269,9 @@ def ngram_join(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
         deeper = explode(column, 2, crowded).join(above, ["kid", "parent"], "left_semi").select("kid", "path").distinct()
         more, large = open_buckets(deeper)
         ready = ready.unionByName(more)
-    candidates = in_blocks(ready.unionByName(large), "path", "kid", BLOCK_ROWS)
-    sketches = sets.join(small(saved(ready.unionByName(large).select("kid").distinct(), "sketched")), "kid", "left_semi").groupBy("kid").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"))
+    # what is large to the end is compared block by block
+    candidates = saved(ready.unionByName(in_blocks(large, "path", "kid", BLOCK_ROWS).select("g", "kid", "component", "block", "alone")), "candidates")
+    sketches = sets.join(small(saved(candidates.select("kid").distinct(), "sketched")), "kid", "left_semi").groupBy("kid").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"))
 
     def likely(table: pa.Table) -> list[tuple]:
         """Rows of a bucket that may be similar to a row of another component."""

@@ -88,7 +88,7 @@ def hops_of(spark, pairs):
 
 def test_paths_on_a_random_graph(spark):
     rng = random.Random(3)
-    pairs = sorted({(f"c{rng.randrange(12)}", f"c{rng.randrange(12)}") for _ in range(26)})
+    pairs = sorted({(f"c{rng.randrange(12)}", f"c{rng.randrange(12)}") for _ in range(60)})
     h = hops_of(spark, pairs)
     found = []
 
@@ -101,6 +101,7 @@ def test_paths_on_a_random_graph(spark):
                     walk([*path, b])
 
     walk(["c0"])
+    assert found
     got = sorted(tuple(x.rpartition("::")[2] for x in r["nodes"]) for r in paths.simple_paths(h, "col:t::c0", "col:t::c5", 5, None).collect())
     assert got == sorted(found)
     steps = paths.shortest_path(h, "col:t::c0", "col:t::c5", 6).orderBy("step").collect()

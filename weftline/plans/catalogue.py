@@ -437,7 +437,7 @@ def backtrack_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.backtrack(_hops(spark, sf_dir), R_TARGET)[1]
 
 
-@query(f"WITH RECURSIVE he AS (SELECT src_node_id AS source, dst_node_id AS target FROM v_hops WHERE src_node_id <> dst_node_id AND transform_category IN ('cast', 'projection') AND NOT regexp_matches(src_fqn, '(?i)^CAT1')), {_walk('he', R_TARGET, False, 6)} SELECT node, min(depth) AS depth, node NOT IN (SELECT dst_node_id FROM v_hops) AS is_source FROM walk GROUP BY 1", "v_hops")
+@query(f"WITH RECURSIVE he AS (SELECT src_node_id AS source, dst_node_id AS target FROM v_hops WHERE src_node_id <> dst_node_id AND transform_category IN ('cast', 'projection') AND NOT regexp_matches(src_fqn, '(?i)^CAT1')), {_walk('he', R_TARGET, False, 6)} SELECT node, min(depth) AS depth, node NOT IN (SELECT dst_node_id FROM v_hops) AS is_source FROM walk WHERE node IN (SELECT src_node_id FROM v_hops UNION SELECT dst_node_id FROM v_hops) GROUP BY 1", "v_hops")
 def backtrack_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.backtrack(_hops(spark, sf_dir), R_TARGET, 6, ("CAST", "projection"), ("^CAT1",))[0]
 

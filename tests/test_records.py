@@ -45,6 +45,7 @@ def test_identifiers():
         with pytest.raises(ValueError, match="not an id"):
             api.checked_entity(kind, "1; DROP TABLE x --")
     assert api.checked_entity("JOB", "12345") == "12345"
+    assert api.step_of(0) == (0, "Validating Table") and api.step_of(41) == (4, "Dependency Parsing") and api.step_of(100)[0] == 7
     assert api.checked_table("a.b.c") == "a.b.c"
     for bad in ("a.b", "a.b.c.d", "a.b.c;"):
         with pytest.raises(ValueError, match="three parts"):

@@ -21,9 +21,10 @@ def recipients_by_share(privileges: DataFrame) -> DataFrame:
 def shared_out(table_shares: DataFrame, privileges: DataFrame) -> DataFrame:
     """(full_name, share_name, shared_as, recipients): which tables go out, under which name, to whom."""
     full = F.concat_ws(".", "catalog_name", "schema_name", "table_name")
-    alias = F.concat_ws(".", F.coalesce("shared_as_schema", "schema_name"), F.coalesce("shared_as_table", "table_name"))
-    named = F.when(F.col("shared_as_schema").isNotNull() | F.col("shared_as_table").isNotNull(), alias)
-    rows = table_shares.select(full.alias("full_name"), "share_name", named.alias("shared_as")).distinct()
+    schema = F.coalesce(F.nullif("shared_as_schema", F.lit("")), "schema_name")
+    named = F.when(F.coalesce("shared_as_table", F.lit("")) != "", F.concat_ws(".", schema, "shared_as_table"))
+    cdf = F.lower(F.col("cdf_enabled").cast("string")) == "true" if "cdf_enabled" in table_shares.columns else F.lit(False)
+    rows = table_shares.select(full.alias("full_name"), "share_name", named.alias("shared_as"), F.coalesce(cdf, F.lit(False)).alias("cdf_enabled")).distinct()
     return rows.join(recipients_by_share(privileges), "share_name", "left").withColumn("recipients", F.coalesce("recipients", F.array().cast("array<string>")))
 
 

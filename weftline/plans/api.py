@@ -17,9 +17,24 @@ from weftline.plans.store import Store
 from weftline.sources import code
 
 _PART, _TABLE = re.compile(r"^[A-Za-z0-9_]{1,255}$"), re.compile(r"^[A-Za-z0-9_]{1,255}(\.[A-Za-z0-9_]{1,255}){2}$")
-_ENTITY = {"JOB": re.compile(r"^\d{1,32}$"), "PIPELINE": re.compile(r"^[0-9A-Za-z\-]{1,64}$"), "NOTEBOOK": re.compile(r"^[0-9]{1,32}$|^/[\w./ @\-]{1,512}$"), "DASHBOARD_V3": re.compile(r"^[0-9A-Za-z\-]{1,64}$")}
-# Steps of a build by share of its progress.
-STEPS = ((0.0, "queued"), (0.1, "extracting"), (0.4, "parsing"), (0.7, "building graph"), (0.9, "materializing"), (1.0, "done"))
+# What ids of each kind of entity look like; the last is for all other kinds.
+_ENTITY = {
+    "JOB": re.compile(r"^[0-9]{1,32}$"),
+    "PIPELINE": re.compile(r"^[a-fA-F0-9-]{8,64}$"),
+    "NOTEBOOK": re.compile(r"^[A-Za-z0-9_./@ +-]{1,512}$"),
+    "": re.compile(r"^[A-Za-z0-9_./@ +-]{1,256}$"),
+}
+# The steps of a build and the progress in per cent up to which each lasts.
+STEPS = (
+    ("Validating Table", 5),
+    ("Initializing Job", 10),
+    ("Schema Discovery", 25),
+    ("SQL Extraction", 40),
+    ("Dependency Parsing", 55),
+    ("Graph Construction", 70),
+    ("Edge Materialization", 90),
+    ("Cache Update", 100),
+)
 
 
 def checked_identifier(text: str) -> str:
@@ -35,8 +50,8 @@ def checked_table(text: str) -> str:
 
 
 def checked_entity(kind: str, ident: str) -> str:
-    pattern = _ENTITY.get(kind)
-    if pattern is None or not pattern.match(ident or ""):
+    ident = (ident or "").strip()
+    if not _ENTITY.get(kind.upper(), _ENTITY[""]).match(ident):
         raise ValueError(f"not an id of {kind}: {ident!r}")
     return ident
 
@@ -138,9 +153,10 @@ def build_unless_fresh(store: Store, artifacts: DataFrame, table: str, run: str,
     return {"status": "built"} | build(store, artifacts, run, now, force=force, **options)
 
 
-def step_of(progress: float) -> str:
-    """The step that a build is in at a share of its progress."""
-    return [name for least, name in STEPS if progress >= least][-1]
+def step_of(percent: float) -> tuple[int, str]:
+    """Number and name of the step that a build is in."""
+    number = next((k for k, (_, upto) in enumerate(STEPS) if percent <= upto), len(STEPS) - 1)
+    return number, STEPS[number][0]
 
 
 def find_paths(store: Store, source: str, target: str, *, run: str | None = None, mode: str = "shortest", max_depth: int = paths.MAX_DEPTH, max_paths: int = paths.MAX_PATHS, now: str | None = None) -> DataFrame:

@@ -294,7 +294,7 @@ def share_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharing.recipients_by_share(view(spark, sf_dir, "v_privileges")).withColumn("recipients", F.array_join("recipients", ","))
 
 
-@query(f"WITH {R_SHARE} SELECT DISTINCT catalog_name || '.' || schema_name || '.' || table_name AS full_name, share_name, CASE WHEN shared_as_schema IS NOT NULL OR shared_as_table IS NOT NULL THEN coalesce(shared_as_schema, schema_name) || '.' || coalesce(shared_as_table, table_name) END AS shared_as, coalesce(recipients, '') AS recipients FROM v_table_shares LEFT JOIN rc USING (share_name)", "v_privileges", "v_table_shares")
+@query(f"WITH {R_SHARE} SELECT DISTINCT catalog_name || '.' || schema_name || '.' || table_name AS full_name, share_name, CASE WHEN shared_as_table IS NOT NULL THEN coalesce(shared_as_schema, schema_name) || '.' || shared_as_table END AS shared_as, false AS cdf_enabled, coalesce(recipients, '') AS recipients FROM v_table_shares LEFT JOIN rc USING (share_name)", "v_privileges", "v_table_shares")
 def shared_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharing.shared_out(view(spark, sf_dir, "v_table_shares"), view(spark, sf_dir, "v_privileges")).withColumn("recipients", F.array_join("recipients", ","))
 

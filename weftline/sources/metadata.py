@@ -15,10 +15,10 @@ from weftline.functions import refs
 
 # Statements that cannot have produced a table.
 NOT_PRODUCING = (
-    "SHOW", "DESCRIBE", "EXPLAIN", "USE", "SET", "GRANT", "REVOKE", "ANALYZE", "OPTIMIZE", "VACUUM", "REFRESH", "DROP", "ALTER", "TRUNCATE", "SELECT", "DELETE", "UPDATE", "COMMENT",
+    "SELECT", "USE", "SET", "SHOW", "DESCRIBE", "DROP", "ALTER", "GRANT", "REVOKE", "OPTIMIZE", "VACUUM", "ANALYZE", "EXPLAIN", "REFRESH", "COMMENT", "TRUNCATE", "DELETE", "UPDATE",
 )
 DEFINED_TYPES = ("VIEW", "MATERIALIZED_VIEW", "STREAMING_TABLE")
-HISTORY_ROWS = 40
+HISTORY_ROWS, MATCHES_SHOWN = 40, 12
 
 
 def live_catalogs(spark: SparkSession) -> DataFrame:
@@ -79,7 +79,7 @@ def search_score(name: F.Column, full: F.Column, text: str) -> F.Column:
     return F.when(low == q, F.lit(1000.0)).when(low.startswith(q), 500 + shorter).when(low.contains(q), 200 + shorter).when(F.lower(full).contains(q), F.lit(100.0)).otherwise(F.lit(0.0))
 
 
-def search(tables: DataFrame, text: str, limit: int | None = 20) -> DataFrame:
+def search(tables: DataFrame, text: str, limit: int | None = MATCHES_SHOWN) -> DataFrame:
     """(full_name, score) of matching tables, the best first, then by name; ``limit`` is the number of results to show."""
     rows = tables.select("full_name", search_score(F.col("table_name"), F.col("full_name"), text).alias("score")).filter("score > 0").orderBy(F.desc("score"), "full_name")
     return rows if limit is None else rows.limit(limit)
@@ -145,8 +145,9 @@ def cached_paths(audit: DataFrame, wanted: DataFrame, cache: DataFrame, *, as_of
 
 
 def language_of(path: F.Column) -> F.Column:
+    """sql or python by the file's name; notebooks are Python; null for anything else."""
     low = F.lower(path)
-    return F.when(low.endswith(".sql"), "sql").when(low.endswith(".scala"), "scala").when(low.endswith(".r"), "r").otherwise("python")
+    return F.when(low.endswith(".sql"), "sql").when(low.endswith(".py") | low.endswith(".ipynb") | low.contains("/notebooks/"), "python")
 
 
 def task_sources(run_tasks: DataFrame) -> DataFrame:
@@ -156,13 +157,13 @@ def task_sources(run_tasks: DataFrame) -> DataFrame:
     kind = F.when(F.col("git_url").isNotNull(), "git").otherwise("workspace")
     what = F.when(F.col("notebook_path").isNotNull(), "notebook").when(F.col("python_file").isNotNull(), "python").otherwise("sql")
     rows = t.withColumn("source_path", path).filter("source_path is not null")
-    return rows.select("run_id", "task_key", F.concat_ws("_", kind, what).alias("source_kind"), "source_path", F.when(what == "sql", "sql").otherwise(language_of(F.col("source_path"))).alias("language"))
+    return rows.select("run_id", "task_key", F.concat_ws("_", kind, what).alias("source_kind"), "source_path", F.when(what == "sql", "sql").when(what == "notebook", F.coalesce(language_of(F.col("source_path")), F.lit("python"))).otherwise(language_of(F.col("source_path"))).alias("language"))
 
 
 def library_sources(pipelines: DataFrame) -> DataFrame:
     """(pipeline_id, source_kind, source_path, language) from pipelines with an array of libraries (notebook, file)."""
     lib = pipelines.select("pipeline_id", F.explode("libraries").alias("l")).select("pipeline_id", "l.notebook", "l.file").withColumn("source_path", F.coalesce("notebook", "file")).filter("source_path is not null")
-    return lib.select("pipeline_id", F.when(F.col("notebook").isNotNull(), "pipeline_notebook").otherwise("pipeline_file").alias("source_kind"), "source_path", language_of(F.col("source_path")).alias("language"))
+    return lib.select("pipeline_id", F.when(F.col("notebook").isNotNull(), "pipeline_notebook").otherwise("pipeline_file").alias("source_kind"), "source_path", F.coalesce(language_of(F.col("source_path")), F.lit("python")).alias("language"))
 
 
 def fetched(sources: DataFrame, files: DataFrame) -> DataFrame:
@@ -192,7 +193,7 @@ def uncovered(wanted: DataFrame, covered: DataFrame, runs: DataFrame) -> DataFra
 def producing_queries(history: DataFrame, wanted: DataFrame, *, as_of: str, hours: int) -> DataFrame:
     """(full_name, n, statement_text, start_time): finished statements that name a wanted table, the newest first, at most HISTORY_ROWS a table (a feature:
     the newest that parses to the table is its producer)."""
-    rows = history.filter((F.col("execution_status") == "FINISHED") & (F.col("start_time") > F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {max(24, hours)} HOURS")) & ~F.col("statement_type").isin(*NOT_PRODUCING))
+    rows = history.filter((F.col("execution_status") == "FINISHED") & (F.col("start_time") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {max(24, hours)} HOURS")) & ~F.col("statement_type").isin(*NOT_PRODUCING))
     # a statement names a table by its parts, so the join is on words of the text, not on every pair
     words = rows.withColumn("_id", F.xxhash64("statement_text", "start_time")).withColumn("word", F.explode(F.array_distinct(F.split(F.lower("statement_text"), r"[^\w.]+"))))
     names = wanted.select("full_name", F.lower("full_name").alias("word")).unionByName(wanted.select("full_name", F.lower(F.substring_index("full_name", ".", -1)).alias("word"))).unionByName(wanted.select("full_name", F.lower(F.substring_index("full_name", ".", -2)).alias("word")))

@@ -169,3 +169,13 @@ def edges_of_column(edges: DataFrame, table: str, column: str, *, exact_case: bo
     same = (lambda c: F.col(c) == column) if exact_case else (lambda c: F.lower(c) == column.lower())
     at = lambda end: (F.col(f"{end}_table_full_name") == table) & same(f"{end}_column_name")
     return edges.filter(at("source") | at("target"))
+
+
+def visible(edges: DataFrame, hidden: Sequence[str]) -> DataFrame:
+    """Edges (category) without those of hidden categories, in any case of letters."""
+    return edges.filter(~F.upper("category").isin([h.upper() for h in hidden])) if hidden else edges
+
+
+def categories(edges: DataFrame) -> DataFrame:
+    """The categories that occur among edges (category), sorted."""
+    return edges.select("category").distinct().orderBy("category")

@@ -514,3 +514,72 @@ def edge_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changed_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = view(spark, sf_dir, "v_versions").withColumn("content_sha256", F.when(F.col("seq") % 2 == 0, F.col("content_sha256")).otherwise(refs.version_token(F.col("extraction_id"), hops.PARSER)))
     return hops.changed(v.select("extraction_id", F.col("extraction_id").alias("raw_source")).distinct(), v)
+
+
+# --- sheets, caches and small listings ----------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {R_HE}, {_walk('he', R_TARGET, False, 7)}, l AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1) SELECT DISTINCT depth + 1 AS level, src_node_id AS source, dst_node_id AS target, upper(transform_category) AS category FROM v_hops JOIN l ON l.node = dst_node_id WHERE upper(transform_category) <> 'CAST' AND src_node_id <> dst_node_id", "v_hops")
+def transform_edges_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.visible(paths.service_backtrack(_hops(spark, sf_dir), R_TARGET_TABLE, "c1")[1], ["cast"]).select("level", "source", "target", "category")
+
+
+@query("SELECT DISTINCT upper(transform_category) AS category FROM v_hops", "v_hops")
+def trace_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.categories(_hops(spark, sf_dir).select(F.upper("transform_category").alias("category")))
+
+
+@query("SELECT DISTINCT expr AS pyspark_expr FROM v_hops WHERE transform_category = 'cast' AND expr NOT IN (SELECT 'cast(c9 as int)')", "v_hops")
+def pending_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _hops(spark, sf_dir).select("expr", F.when(F.col("transform_category") == "cast", "pyspark").otherwise("sql").alias("expr_lang"), F.lit(None).cast("string").alias("expr_sql"))
+    cache = spark.createDataFrame([("cast(c9 as int)",)], "e string").select(F.sha2("e", 256).alias("expr_sha"))
+    return hops.pending_expressions(h, cache).select("pyspark_expr")
+
+
+@query("SELECT extraction_id, content_sha256 AS source_path, priority FROM (SELECT *, row_number() OVER (PARTITION BY extraction_id ORDER BY priority, content_sha256) AS n FROM (SELECT extraction_id, content_sha256, seq % 3 AS priority FROM v_versions)) WHERE n = 1", "v_versions")
+def one_artifact_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = view(spark, sf_dir, "v_versions").select("extraction_id", F.col("content_sha256").alias("source_path"), (F.col("seq") % 3).alias("priority"))
+    return metadata.one_artifact_each(v)
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS size, CAST(o_orderkey % 100 AS DOUBLE) AS stored_at, greatest(0.0, 60.0 - (100.0 - o_orderkey % 100)) AS ttl_remaining FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+def cache_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("size"), (F.col("o_orderkey") % 100).cast("double").alias("stored_at"))
+    return report.inventory(o, 100.0, 60.0)
+
+
+@query("SELECT fqn AS full_name, position FROM (SELECT fqn FROM v_tables) t JOIN (SELECT 'cat0.bronze.t' || (r_regionkey * 3) AS fqn, r_regionkey AS position FROM region) v USING (fqn) ORDER BY position LIMIT 5", "v_tables")
+def recent_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    visited = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.concat(F.lit("cat0.bronze.t"), (F.col("r_regionkey") * 3).cast("string")).alias("full_name"), F.col("r_regionkey").alias("position"))
+    return metadata.recent(view(spark, sf_dir, "v_tables").select(F.col("fqn").alias("full_name")), visited)
+
+
+@query(f"WITH {R_SCOPE}, n AS (SELECT node FROM loc UNION SELECT source FROM edges WHERE source NOT LIKE 'entity:%' UNION SELECT target FROM edges WHERE target NOT LIKE 'entity:%' UNION SELECT source FROM r UNION SELECT target FROM w) SELECT node AS full_name, split_part(node, '.', 2) AS schema, table_owner AS owner, comment, coalesce(k, 0) AS column_count, created AS created_at FROM n LEFT JOIN (SELECT table_catalog || '.' || table_schema || '.' || table_name AS node, table_owner, comment, created FROM v_tables) t USING (node) LEFT JOIN (SELECT table_catalog || '.' || table_schema || '.' || table_name AS node, count(*) AS k FROM v_columns GROUP BY 1) c USING (node)", "v_lineage", "v_tables", "v_columns")
+def sheet_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = view(spark, sf_dir, "v_tables")
+    nodes, _ = scope.scope_graph(_records(spark, sf_dir), t, *SCHEMA)
+    return report.tables_sheet(nodes, t, view(spark, sf_dir, "v_columns")).select("full_name", "schema", "owner", "comment", "column_count", "created_at")
+
+
+@query(f"WITH {R_ROLLUP}, c AS ({R_COST}) SELECT r.entity_type, coalesce(j.name, p.name, r.entity_type || ' ' || r.entity_id) AS name, r.entity_id, r.last_run, r.owner, c.cost_usd FROM roll r LEFT JOIN c USING (entity_type, entity_id) LEFT JOIN v_jobs j ON r.entity_type = 'JOB' AND j.job_id = r.entity_id LEFT JOIN v_pipelines p ON r.entity_type = 'PIPELINE' AND p.pipeline_id = r.entity_id", "v_lineage", "v_usage", "v_list_prices", "v_jobs", "v_pipelines")
+def sheet_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.pipelines_sheet(scope.rollup(_records(spark, sf_dir)), entity_names(spark, sf_dir), cost_by_entity(spark, sf_dir))
+
+
+@query("SELECT DISTINCT source_table_full_name AS source_table, source_column_name AS source_column, target_table_full_name AS target_table, target_column_name AS target_column FROM v_column_lineage WHERE source_table_full_name LIKE 'cat0.silver.%' OR target_table_full_name LIKE 'cat0.silver.%'", "v_column_lineage")
+def sheet_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.column_sheet(paths.column_edges(view(spark, sf_dir, "v_column_lineage"), *SCHEMA))
+
+
+@query(f"WITH {R_ROUTED}, b AS (SELECT source AS node, target AS near FROM edges UNION SELECT target, source FROM edges), own AS (SELECT DISTINCT split_part(node, '.', 1) || '.' || split_part(node, '.', 2) AS schema, node FROM b WHERE node NOT LIKE 'entity:%'), top AS (SELECT schema FROM own GROUP BY 1 ORDER BY count(*) DESC, schema LIMIT 12), n AS (SELECT schema, near AS node FROM own JOIN b USING (node)) SELECT * FROM (SELECT schema, node FROM own UNION SELECT * FROM n UNION SELECT n.schema, b.near FROM n JOIN b USING (node) WHERE n.node LIKE 'entity:%') WHERE schema IN (SELECT schema FROM top)", "v_lineage")
+def schema_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _routed(spark, sf_dir)
+    return report.schema_maps(e.select(F.explode(F.array("source", "target")).alias("node")).distinct(), e)
+
+
+@query("SELECT full_name, table_type, skip_reason FROM (SELECT fqn AS full_name, table_type, CASE WHEN table_type = 'FOREIGN' THEN 'external_source' WHEN length(table_name) % 2 = 0 THEN 'definition_unreadable' END AS skip_reason FROM v_tables WHERE table_type IN ('VIEW', 'STREAMING_TABLE', 'FOREIGN') AND table_schema <> 'information_schema' AND NOT starts_with(table_name, 'event_log_'))", "v_tables")
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = view(spark, sf_dir, "v_tables").filter("table_schema <> 'information_schema' AND NOT startswith(table_name, 'event_log_')")
+    ddl = t.filter("length(table_name) % 2 = 1").select(F.col("fqn").alias("full_name"), F.lit("CREATE").alias("ddl"))
+    got = metadata.definitions(t.select(F.col("fqn").alias("full_name")), t, ddl)
+    return got.join(t.select(F.col("fqn").alias("full_name"), "table_type"), "full_name").select("full_name", "table_type", "skip_reason")

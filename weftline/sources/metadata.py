@@ -209,14 +209,19 @@ def one_artifact_each(artifacts: DataFrame) -> DataFrame:
 
 
 def entity_names(entities: DataFrame, jobs: DataFrame, pipelines: DataFrame, paths: DataFrame) -> DataFrame:
-    """(entity_type, entity_id, name, owner); without a name the type and the first twelve characters of the id. Ids that could not be an id are left out."""
-    ok = entities.filter(F.col("entity_id").rlike(r"^[A-Za-z0-9_.\-/]{1,255}$")).select("entity_type", "entity_id").distinct()
+    """(entity_type, entity_id, name, owner). A notebook that is named by its path has the path's last part. Without a name, or with an id that could
+    not be one, the name is the type and the first twelve characters of the id."""
+    every = entities.select("entity_type", "entity_id").filter("entity_id is not null").distinct()
     j = jobs.select(F.lit("JOB").alias("entity_type"), F.col("job_id").alias("entity_id"), "name", F.coalesce("run_as_user_name", "creator_user_name").alias("owner"))
     p = pipelines.select(F.lit("PIPELINE").alias("entity_type"), F.col("pipeline_id").alias("entity_id"), "name", F.lit(None).cast("string").alias("owner"))
     n = paths.select(F.lit("NOTEBOOK").alias("entity_type"), F.col("notebook_id").alias("entity_id"), F.substring_index("nb_path", "/", -1).alias("name"), F.lit(None).cast("string").alias("owner"))
     known = j.unionByName(p).unionByName(n).groupBy("entity_type", "entity_id").agg(F.min("name").alias("name"), F.min("owner").alias("owner"))
-    fallback = F.concat_ws(" ", "entity_type", F.substring("entity_id", 1, 12))
-    return ok.join(known, ["entity_type", "entity_id"], "left").withColumn("name", F.coalesce(F.nullif("name", F.lit("")), fallback))
+    is_notebook = F.col("entity_type") == "NOTEBOOK"
+    by_path = F.when(is_notebook & F.col("entity_id").contains("/"), F.substring_index("entity_id", "/", -1))
+    fallback = F.concat_ws(" ", F.when(is_notebook, "Notebook").otherwise(F.col("entity_type")), F.substring("entity_id", 1, 12))
+    safe = F.col("entity_id").rlike(r"^[A-Za-z0-9_./@ +\-]{1,512}$")
+    name = F.coalesce(F.when(safe, F.coalesce(by_path, F.nullif("name", F.lit("")))), fallback)
+    return every.join(known, ["entity_type", "entity_id"], "left").select("entity_type", "entity_id", name.alias("name"), F.when(safe, F.col("owner")).alias("owner"))
 
 
 def diagnostics(spark: SparkSession, required: dict[str, DataFrame | None], optional: dict[str, DataFrame | None]) -> DataFrame:

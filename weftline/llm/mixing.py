@@ -80,19 +80,20 @@ def _all():  # noqa: ANN202
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], size: float = SIZE, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (margins, tokens) with ``weighted``: shares of the sample's tokens whose sums agree with every target, as closely as the cells allow.
 
-    No cell gives more tokens than it has (``most``): scarce ones are taken whole, and the raking spreads what they lack over the others."""
+    No cell gives more tokens than it has (``most``): scarce ones are taken whole, and the raking spreads what they lack over the others. The
+    table has a row per combination of categories, not per document, so it is kept in one partition, where its sums need no shuffles."""
     share = F.col("tokens") / F.sum("tokens").over(_all())
     now = cells.withColumn("weighted", share).withColumn("most", share / size)
     for m, t in targets.items():
         now = now.join(t.withColumnRenamed("target", f"target_{m}"), m)
-    now = saved(now.coalesce(1), "raked")
+    now = saved(now.coalesce(1), "raked").coalesce(1)
     for _ in range(rounds):
         worst = []
         for m in targets:
             total = F.sum("weighted").over(_by(m))
             now = now.withColumn("_s", total).withColumn("weighted", F.when(F.col("_s") > 0, F.least("most", F.col("weighted") * F.col(f"target_{m}") / F.col("_s"))).otherwise(F.lit(0.0))).withColumn(f"_off_{m}", F.abs(F.col("_s") - F.col(f"target_{m}"))).drop("_s")
             worst.append(f"_off_{m}")
-        now = saved(now, "raked")
+        now = saved(now, "raked").coalesce(1)
         off = now.agg(F.max(F.greatest(*worst))).first()[0] or 0.0
         now = now.drop(*worst)
         if off < tolerance:

@@ -25,7 +25,7 @@ WINDOW = 4096
 END_ID = 2
 DOCS_PER_SHARD = 8000
 #: Words, and pieces of words, that a worker remembers; the memory of a task is bounded by it and by one document.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 1_200_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"

@@ -160,7 +160,7 @@ def test_estimates_and_counts():
             assert a == b or abs(j[a, b] - len(x & y) / len(x | y)) < 1e-12
     e = ngram_join.estimated([s[: ngram_join.SKETCH] for s in sets], np.array(list(map(len, sets))))
     assert abs(e - j)[~np.eye(len(sets), dtype=bool)].max() < 0.25
-    assert ngram_join.runs_needed(0.8, 2.0, 3, 0.999) == 6
+    assert ngram_join.runs_needed(0.8, (2.0, 2.0, 1.25), 0.999) == 7
 
 
 def test_substring_dedup(spark, documents, rows):

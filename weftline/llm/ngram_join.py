@@ -23,8 +23,9 @@ from weftline.llm.common import gram_hashes, mix, saved, word_hashes
 from weftline.llm.linking import connected_components, in_blocks, mapped_groups, pair_mask, small, stars
 
 N, LEAST = 5, 0.8
-#: Expected number of tokens that a path chooses in a set, levels of splitting, and recall of a pair at the threshold.
-CHOSEN, DEPTH, TARGET_RECALL = 2.0, 3, 0.999
+#: Expected number of tokens that a path chooses in a set, by level of splitting (the last level is not split again and needs fewer), and
+#: recall of a pair at the threshold.
+CHOSEN, TARGET_RECALL = (2.0, 2.0, 1.25), 0.999
 BUCKET_ROWS, BLOCK_ROWS = 64, 1024
 #: Smallest hashes of a set that its sketch keeps, and the estimate under which a pair is not compared exactly
 #: (4.5 standard deviations below the threshold).
@@ -34,13 +35,13 @@ MEETINGS = 3
 _U = np.uint64
 
 
-def runs_needed(least: float, chosen: float, depth: int, recall: float) -> int:
+def runs_needed(least: float, chosen: tuple[float, ...], recall: float) -> int:
     """Runs after which a pair at ``least`` shares a path to the full depth with the target probability.
 
     The common nodes of two sets form a branching process with chosen * least children on average, Poisson as sets grow."""
     lost = 0.0
-    for _ in range(depth):
-        lost = math.exp(-chosen * least * (1 - lost))
+    for c in reversed(chosen):
+        lost = math.exp(-c * least * (1 - lost))
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
 
 
@@ -67,12 +68,12 @@ def choose(tokens: np.ndarray, paths: np.ndarray, chosen: float) -> tuple[np.nda
     return of, mix(paths[of] * _U(0x9FB21C651E98DF25) + tokens[token])
 
 
-def path_tree(tokens: np.ndarray, runs: int, chosen: float, depth: int) -> list[np.ndarray]:
-    """Paths by level, as rows (path, index of its parent in the level above); they depend on the set alone."""
+def path_tree(tokens: np.ndarray, runs: int, chosen: tuple[float, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Paths by level, each with the index of its parent in the level above; they depend on the set alone."""
     paths = mix(np.arange(1, runs + 1, dtype=_U))
     levels = []
-    for _ in range(depth):
-        parent, paths = choose(tokens, paths, chosen)
+    for c in chosen:
+        parent, paths = choose(tokens, paths, c)
         levels.append((paths.view(np.int64), parent))
         if not len(paths):
             break
@@ -116,7 +117,7 @@ def estimated(sketches: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     return both / (held + held.T - both)
 
 
-def ngram_join(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: float = TARGET_RECALL, chosen: float = CHOSEN, depth: int = DEPTH) -> DataFrame:
+def ngram_join(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: float = TARGET_RECALL, chosen: tuple[float, ...] = CHOSEN) -> DataFrame:
     """doc_id, class_id, n_links for every row.
 
     Two rows are linked if the Jaccard similarity of their sets of ``n`` consecutive words is ``least`` or more; words are runs of
@@ -125,7 +126,7 @@ def ngram_join(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
     words links with nothing. A row with a null doc_id links with nothing and has a null class_id. Rows that repeat link with each other. Other
     columns are ignored; an empty table gives no rows.
     """
-    runs = runs_needed(least, chosen, depth, recall)
+    runs = runs_needed(least, chosen, recall)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,7 @@ def ngram_join(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
                     continue
                 kid.append(set_id(x))
                 sketch.append(x[:SKETCH].tobytes())
-                levels = path_tree(x, runs, chosen, depth)
+                levels = path_tree(x, runs, chosen)
                 p1.append(np.unique(levels[0][0]).tobytes() if levels else b"")
                 deep = []
                 for k in (1, 2):
@@ -262,7 +263,7 @@ def ngram_join(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
         return now.select(F.xxhash64("path", "part").alias("g"), "kid", "component", F.lit(0).alias("block"), F.lit(1).alias("alone")), both.filter(~fits).select("kid", "path", "component")
 
     ready, large = open_buckets(meeting.select("kid", "path"))
-    for column in ("p2", "p3")[: depth - 1]:
+    for column in ("p2", "p3")[: len(chosen) - 1]:
         above = large.select("kid", F.col("path").alias("parent"))
         # only the sets in large buckets are taken apart further
         crowded = single.join(small(saved(above.select("kid").distinct(), "crowded")), "kid", "left_semi")

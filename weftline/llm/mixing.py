@@ -20,7 +20,7 @@ from weftline.llm.common import saved, word_spans
 MARGINS = ("source", "lang", "topic")
 #: Target share of a category by default: its share of tokens to this power, which lifts small ones.
 FLATTEN = 0.9
-ROUNDS, TOLERANCE = 30, 1e-6
+ROUNDS, ROUNDS_PER_JOB, TOLERANCE = 30, 5, 1e-6
 #: Tokens of the sample as a share of all tokens.
 SIZE = 0.7
 TOPICS, SEED = 8, 97
@@ -87,12 +87,14 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], size: float = SIZE,
     for m, t in targets.items():
         now = now.join(t.withColumnRenamed("target", f"target_{m}"), m)
     now = saved(now.coalesce(1), "raked").coalesce(1)
-    for _ in range(rounds):
-        worst = []
+    for done in range(1, rounds + 1):
+        worst = [f"_off_{m}" for m in targets]
         for m in targets:
             total = F.sum("weighted").over(_by(m))
             now = now.withColumn("_s", total).withColumn("weighted", F.when(F.col("_s") > 0, F.least("most", F.col("weighted") * F.col(f"target_{m}") / F.col("_s"))).otherwise(F.lit(0.0))).withColumn(f"_off_{m}", F.abs(F.col("_s") - F.col(f"target_{m}"))).drop("_s")
-            worst.append(f"_off_{m}")
+        if done % ROUNDS_PER_JOB and done < rounds:
+            now = now.drop(*worst)
+            continue
         now = saved(now, "raked").coalesce(1)
         off = now.agg(F.max(F.greatest(*worst))).first()[0] or 0.0
         now = now.drop(*worst)

@@ -1,7 +1,7 @@
 """Graph queries as iterative joins over an edge table (source, target).
 
 A walk keeps what it has visited and the frontier of the last hop; each hop joins the frontier to the edges, drops
-what is known and is cut off as a checkpointed table, so plans stay small and lost executors cost one hop at most. Spark picks
+what is known and is cut off as a table in the shared folder, so plans stay small and lost executors cost one hop at most. Spark picks
 broadcast or shuffled joins by the frontier's size. Edges are deduplicated and kept once before the first hop.
 """
 
@@ -10,15 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.durable import saved, shared_folder
+from weftline.plans.durable import saved
 
 MAX_HOPS, NODE_CAP = 16, 2500
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as a table in the shared folder: computed once (an RDD checkpoint would compute it twice) and safe from lost executors."""
+    return saved(df, "hop")
 
 
 def is_entity(node: Column) -> Column:

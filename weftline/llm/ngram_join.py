@@ -26,7 +26,7 @@ N, LEAST = 5, 0.8
 #: Expected number of tokens that a path chooses in a set, by level of splitting (the last level is not split again and needs fewer), and
 #: recall of a pair at the threshold.
 CHOSEN, TARGET_RECALL = (2.0, 2.0, 1.25), 0.999
-BUCKET_ROWS, BLOCK_ROWS = 64, 1024
+BUCKET_ROWS, BLOCK_ROWS = 128, 1024
 #: Smallest hashes of a set that its sketch keeps, and the estimate under which a pair is not compared exactly
 #: (4.5 standard deviations below the threshold).
 SKETCH, SKETCH_LEAST = 64, 0.575

@@ -58,7 +58,7 @@ def test_diagnostics(spark):
     assert metadata.diagnostics(spark, {"access": ok}, {"billing": None}).first()["ok"]
 
 
-NOTEBOOK = """# Databricks notebook source
+NOTEBOOK = """# Notebook source
 # DBTITLE 1,Load
 # MAGIC %sql
 # MAGIC CREATE TABLE main.gold.t AS

@@ -1,6 +1,6 @@
 """Lineage inputs derived from the driver's tables, in SQL that Spark and DuckDB read alike.
 
-The lineage graph is acyclic by construction: a table's number is larger than those that it is made from.
+The lineage graph is acyclic by construction: a table's place in its block of 160 is later than the places of those that it is made from.
 """
 
 from __future__ import annotations
@@ -11,22 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _fqn(k: str) -> str:
-    return f"concat('cat', CAST(({k}) % 3 AS STRING), '.', CASE WHEN ({k}) < 40 THEN 'bronze' WHEN ({k}) < 80 THEN 'silver' WHEN ({k}) < 120 THEN 'gold' ELSE 'mart' END, '.t', CAST(({k}) AS STRING))"
+    return f"concat('cat', CAST(({k}) % 3 AS STRING), '.', CASE WHEN ({k}) % 160 < 40 THEN 'bronze' WHEN ({k}) % 160 < 80 THEN 'silver' WHEN ({k}) % 160 < 120 THEN 'gold' ELSE 'mart' END, '.t', CAST(({k}) AS STRING))"
 
 
-_KEYS = "SELECT l_orderkey, l_partkey % 120 AS k0, l_partkey % 120 + 1 + l_suppkey % 39 AS k1, l_linenumber, l_returnflag, l_suppkey, l_shipdate, l_quantity FROM lineitem WHERE l_orderkey % 97 = 0"
+# Every row counts. 120 part keys are the sources of a block of 160 tables and 25 entities; targets lie in the own or the next block, in a later place
+# of it. So tables and entities grow with the part keys, and no path has more than 160 tables.
+_KEYS = """SELECT l_orderkey, b * 160 + p AS k0, b * 160 + p + 1 + l_suppkey % 39 + l_orderkey % 2 * 160 AS k1, b * 25 + l_suppkey % 25 AS e, l_linenumber, l_returnflag, l_suppkey, l_shipdate, l_quantity
+ FROM (SELECT l.*, l_partkey % 120 AS p, CAST((l_partkey - l_partkey % 120) / 120 AS BIGINT) AS b FROM lineitem l) n"""
 
 #: View name -> SQL over the driver's tables and earlier views.
 VIEWS: dict[str, str] = {
     "v_lineage": f"""SELECT CASE WHEN l_linenumber = 6 THEN NULL ELSE {_fqn("k0")} END AS source_table_full_name, {_fqn("k1")} AS target_table_full_name,
        CASE WHEN l_linenumber = 6 THEN concat(CASE WHEN k0 % 2 = 0 THEN 'dbfs:' ELSE '' END, '/Volumes/cat', CAST(k0 % 3 AS STRING), '/bronze/v', CAST(k0 % 7 AS STRING), '/f.csv') END AS source_path,
        CASE l_returnflag WHEN 'A' THEN 'JOB' WHEN 'R' THEN 'PIPELINE' END AS entity_type,
-       CASE WHEN l_returnflag IN ('A', 'R') THEN CAST(l_suppkey % 25 AS STRING) END AS entity_id,
+       CASE WHEN l_returnflag IN ('A', 'R') THEN CAST(e AS STRING) END AS entity_id,
        concat('u', CAST(l_suppkey % 5 AS STRING)) AS created_by, l_shipdate AS event_time
 FROM ({_KEYS}) k""",
     "v_column_lineage": f"""SELECT {_fqn("k0")} AS source_table_full_name, concat('c', CAST(l_linenumber % 3 AS STRING)) AS source_column_name,
        {_fqn("k1")} AS target_table_full_name, concat('c', CAST((l_linenumber + 1) % 3 AS STRING)) AS target_column_name, l_shipdate AS event_time,
-       CASE l_returnflag WHEN 'A' THEN 'JOB' WHEN 'R' THEN 'PIPELINE' ELSE 'NOTEBOOK' END AS entity_type, CAST(l_suppkey % 25 AS STRING) AS entity_id,
+       CASE l_returnflag WHEN 'A' THEN 'JOB' WHEN 'R' THEN 'PIPELINE' ELSE 'NOTEBOOK' END AS entity_type, CAST(e AS STRING) AS entity_id,
        CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 11 = 0 THEN concat('x', CAST(l_suppkey AS STRING)) ELSE CAST(l_orderkey AS STRING) END AS entity_run_id, CAST(l_shipdate AS DATE) AS event_date, 'w1' AS workspace_id
 FROM ({_KEYS}) k WHERE l_linenumber <> 6""",
     "v_hops": """SELECT DISTINCT concat('col:', source_table_full_name, '::', source_column_name) AS src_node_id, source_table_full_name AS src_fqn, source_column_name AS src_col,
@@ -37,16 +40,16 @@ FROM ({_KEYS}) k WHERE l_linenumber <> 6""",
 FROM v_column_lineage""",
     "v_usage": f"""SELECT CASE l_returnflag WHEN 'A' THEN 'P_JOBS_SERVERLESS_X' WHEN 'R' THEN 'DLT_CORE' ELSE 'ALL_PURPOSE' END AS sku_name, 'DBU' AS usage_unit,
        CAST(l_quantity AS DECIMAL(18,4)) AS usage_quantity, l_shipdate AS usage_start_time,
-       CASE WHEN l_returnflag = 'A' THEN CAST(l_suppkey % 25 AS STRING) END AS job_id, CASE WHEN l_returnflag = 'R' THEN CAST(l_suppkey % 25 AS STRING) END AS dlt_pipeline_id
+       CASE WHEN l_returnflag = 'A' THEN CAST(e AS STRING) END AS job_id, CASE WHEN l_returnflag = 'R' THEN CAST(e AS STRING) END AS dlt_pipeline_id
 FROM ({_KEYS}) k""",
     "v_list_prices": """SELECT sku_name, 'DBU' AS usage_unit, CAST(p AS DECIMAL(18,4)) AS price, CAST(s AS TIMESTAMP) AS price_start_time, CAST(e AS TIMESTAMP) AS price_end_time FROM (VALUES
  ('P_JOBS_SERVERLESS_X', '0.35', '1990-01-01 00:00:00', '1996-01-01 00:00:00'), ('P_JOBS_SERVERLESS_X', '0.39', '1996-01-01 00:00:00', NULL),
  ('DLT_CORE', '0.20', '1990-01-01 00:00:00', '1995-07-01 00:00:00'), ('DLT_CORE', '0.25', '1995-07-01 00:00:00', NULL)) AS t(sku_name, p, s, e)""",
-    "v_tables": f"""SELECT concat('cat', CAST(k % 3 AS STRING)) AS table_catalog, CASE WHEN k % 41 = 40 THEN 'information_schema' WHEN k < 40 THEN 'bronze' WHEN k < 80 THEN 'silver' WHEN k < 120 THEN 'gold' ELSE 'mart' END AS table_schema,
+    "v_tables": f"""SELECT concat('cat', CAST(k % 3 AS STRING)) AS table_catalog, CASE WHEN k % 41 = 40 THEN 'information_schema' WHEN k % 160 < 40 THEN 'bronze' WHEN k % 160 < 80 THEN 'silver' WHEN k % 160 < 120 THEN 'gold' ELSE 'mart' END AS table_schema,
        CASE WHEN k % 37 = 36 THEN concat('event_log_', CAST(k AS STRING)) ELSE concat('t', CAST(k AS STRING)) END AS table_name,
        CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 'VIEW' WHEN k % 5 = 2 THEN 'STREAMING_TABLE' WHEN k % 5 = 3 THEN 'FOREIGN' ELSE 'MANAGED' END AS table_type,
        concat('u', CAST(k % 4 AS STRING)) AS table_owner, p_name AS comment, CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS created, CAST('2024-02-01 00:00:00' AS TIMESTAMP) AS last_altered, {_fqn("k")} AS fqn
-FROM (SELECT CAST(p_partkey AS INT) AS k, p_name FROM part WHERE p_partkey < 170) p""",
+FROM (SELECT CAST(p_partkey AS INT) AS k, p_name FROM part) p""",
     "v_columns": """SELECT table_catalog, table_schema, table_name, concat('c', CAST(n AS STRING)) AS column_name, CASE n WHEN 0 THEN 'bigint' WHEN 1 THEN 'string' ELSE 'decimal' END AS data_type,
        CASE n WHEN 0 THEN 'bigint' WHEN 1 THEN 'string' ELSE 'decimal(18,2)' END AS full_data_type, CASE WHEN n = 0 THEN 'NO' ELSE 'YES' END AS is_nullable, n + 1 AS ordinal_position
 FROM v_tables CROSS JOIN (VALUES (2), (0), (1)) AS c(n)""",

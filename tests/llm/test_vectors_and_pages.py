@@ -124,3 +124,16 @@ def test_mined_rules(spark):
     df = spark.createDataFrame([(1, "http://new.spam-farm.org/de/7"), (2, "http://new.good.org/de/7"), (3, "http://else.com/")], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(df, labelled, rules=(), min_support=0.05, min_confidence=0.9).collect()}
     assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_copies_of_an_article_stay(spark):
+    def page(k, story):
+        return f"<body><ul class=tabs><li>Tab {k}</ul><article><p>{story}</p></article></body>"
+
+    rows = [(k, f"http://one.example/{k}", page(k, "The story that all carry" if k < 19 else "A story of its own")) for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in site_tree.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "The story that all carry" if k < 19 else "A story of its own" for k in range(20)}
+    # near copies too: every page has a different date line
+    rows = [(k, f"http://one.example/{k}", f"<body><article><h1>Day {k}</h1><p>{'The same' if k < 19 else 'Another'} story</p></article></body>") for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in site_tree.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Day {k} {'The same' if k < 19 else 'Another'} story" for k in range(20)}

@@ -137,3 +137,9 @@ def test_copies_of_an_article_stay(spark):
     rows = [(k, f"http://one.example/{k}", f"<body><article><h1>Day {k}</h1><p>{'The same' if k < 19 else 'Another'} story</p></article></body>") for k in range(20)]
     got = {r["page_id"]: r["text"] for r in site_tree.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: f"Day {k} {'The same' if k < 19 else 'Another'} story" for k in range(20)}
+
+
+def test_negative_zero_is_zero(spark):
+    df = spark.createDataFrame([(1, [1.0, -0.0], "a"), (2, [1.0, 0.0], "a"), (3, [1.0, 0.01], "a"), (4, [-0.0, 1.0], "a")], "vec_id long, embedding array<double>, label string")
+    got = sorted(tuple(r) for r in embedding_dedup.embedding_dedup(df).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]

@@ -45,7 +45,8 @@ def embedding_dedup(vectors: DataFrame, *, least: float = LEAST_COSINE, recall:
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").alias("label"))
     whole = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     usable = F.coalesce(whole, F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    rows = saved(v.withColumn("e", F.when(usable, F.col("e"))), "vectors")
+    # plus 0.0, -0.0 is 0.0: a grouping key has it so, and the bytes that rows are joined by must be the same
+    rows = saved(v.withColumn("e", F.when(usable, F.transform("e", lambda x: x + F.lit(0.0)))), "vectors")
     good = rows.filter("e is not null")
     kinds = good.groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     kind = good.schema["label"].dataType.simpleString()

@@ -329,3 +329,22 @@ def test_pipeline_stages(spark, sf):
             assert len({re.sub(r"[\x20\x09-\x0D]+", " ", r["text"]) for r in after}) == len(after)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids
+
+
+def test_rows_that_share_an_id_are_told_apart(spark, documents):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = documents([(1, a), (2, a + " z"), (2, b), (3, None), (3, "")])
+    assert sorted((r["doc_id"], r["text"] or "") for r in ngram_join.one_of_each(docs).collect()) == [(1, a), (2, b), (3, ""), (3, "")]
+    docs = documents([(7, a), (7, a), (7, a + " z"), (8, b)])
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [7, 8]
+
+
+def test_mixing_keeps_rows_by_their_own_topic(spark):
+    rng = random.Random(1)
+    rows = [(None, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randint(1, 40))), "en", "a") for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    # ids are null, so all rows are drawn alike, and by this seed some topics are taken and others not
+    want = mixing.mix_sources(df.withColumn("copy", df["text"]), seed=407).filter("selected").select("copy").collect()
+    assert 0 < len(want) < 300
+    assert sorted(r["text"] for r in mixing.sampled(df, seed=407).collect()) == sorted(r["copy"] for r in want)

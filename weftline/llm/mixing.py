@@ -137,9 +137,12 @@ def mix_sources(docs: DataFrame, *, targets: Mapping[str, Mapping[str, float]] |
 
 
 def sampled(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``docs`` that ``mix_sources`` selects, with all their columns; the topic and probability are worked out again row by row, so texts are not shuffled."""
+    """The rows of ``docs`` that ``mix_sources`` selects, with all their columns.
+
+    What is left out is found by id, source, language and a hash of id and text, which together decide about a row; texts are not shuffled."""
     from weftline.llm.linking import small
 
-    chosen = mix_sources(docs, **options)
-    gone = saved(chosen.filter("not selected").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("n_tokens").alias("_n")).distinct(), "left-out")
-    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")), "left_anti")
+    key = F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
+    chosen = mix_sources(docs.withColumn("_row", key), **options)
+    gone = saved(chosen.filter("not selected").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("lang").alias("_lang"), "_row").distinct(), "left-out")
+    return docs.join(small(gone), docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & docs["lang"].eqNullSafe(F.col("_lang")) & (key == F.col("_row")), "left_anti")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import gram_hashes, mix, saved, word_hashes
@@ -126,8 +126,19 @@ def ngram_join(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
     words links with nothing. A row with a null doc_id links with nothing and has a null class_id. Rows that repeat link with each other. Other
     columns are ignored; an empty table gives no rows.
     """
+    return classes_of(docs, least=least, n=n, recall=recall, chosen=chosen).select("doc_id", "class_id", "n_links")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of id and text, so that rows with one doc_id but different texts stay apart."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
+def classes_of(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: float = TARGET_RECALL, chosen: tuple[float, ...] = CHOSEN) -> DataFrame:
+    """What ``ngram_join`` returns, with ``row`` (``row_key``) and ``component``, which is null for rows without words or doc_id. Two components can
+    have one class_id where a doc_id repeats."""
     runs = runs_needed(least, chosen, recall)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs).alias("row"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,11 +164,11 @@ def ngram_join(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
                 p2.append(deep[0])
                 p3.append(deep[1])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(kid, pa.int64()), pa.array(size, pa.int32()), *(pa.array(c, pa.binary()) for c in (sketch, p1, p2, p3))],
-                ["doc_id", "kid", "size", "sketch", "p1", "p2", "p3"],
+                [b.column("doc_id"), b.column("row"), pa.array(kid, pa.int64()), pa.array(size, pa.int32()), *(pa.array(c, pa.binary()) for c in (sketch, p1, p2, p3))],
+                ["doc_id", "row", "kid", "size", "sketch", "p1", "p2", "p3"],
             )
 
-    rows = saved(texts.mapInArrow(describe, "doc_id long, kid long, size int, sketch binary, p1 binary, p2 binary, p3 binary"), "sets")
+    rows = saved(texts.mapInArrow(describe, "doc_id long, row long, kid long, size int, sketch binary, p1 binary, p2 binary, p3 binary"), "sets")
     sets = rows.filter("kid is not null")
     kinds = saved(sets.groupBy("kid").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")), "kinds")
 
@@ -311,12 +322,24 @@ def ngram_join(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
 
     named = kinds.join(component.withColumnRenamed("id", "kid"), "kid", "left").withColumn("component", F.coalesce("component", "kid"))
     classes = named.groupBy("component").agg(F.min("doc").alias("class_id"))
-    result = saved(named.join(classes, "component").join(counted, "kid", "left").select("kid", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0).cast("long"))).alias("n_links")), "classes")
-    out = rows.select("doc_id", "kid").join(result, "kid", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    result = saved(named.join(classes, "component").join(counted, "kid", "left").select("kid", "component", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0).cast("long"))).alias("n_links")), "classes")
+    out = rows.select("doc_id", "row", "kid").join(result, "kid", "left")
+    return out.select("doc_id", "row", "component", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, **join: float) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate class (all rows with a null doc_id stay)."""
-    gone = saved(ngram_join(docs, **join).filter("doc_id != class_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+    """One row of each near-duplicate class, with the smallest doc_id (then the smallest hash of its text); all rows without words or with a null doc_id stay.
+
+    Of rows that agree in doc_id and text one stays, whatever their other columns are. Rows that share a doc_id but no text are told apart."""
+    rows = saved(classes_of(docs, **join).filter("component is not null").select("component", "doc_id", "row"), "class-rows")
+    groups = rows.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = saved(rows.join(groups, "component").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), (F.struct("doc_id", "row") == F.col("first")).alias("_first")), "shared")
+    gone = saved(shared.filter("not _first").select("_id", "_row").distinct(), "gone")
+    same = (docs["doc_id"].cast("long") == F.col("_id")) & (row_key(docs) == F.col("_row"))
+    kept = docs.join(small(gone), same, "left_anti")
+    twins = saved(shared.filter("_first").groupBy("_id", "_row").count().filter("count > 1").select("_id", "_row"), "twins")
+    if twins.isEmpty():
+        return kept
+    again = docs.join(small(twins), same)
+    once = again.dropDuplicates(["_id", "_row"]).select(docs.columns)
+    return kept.join(small(twins), same, "left_anti").unionByName(once)

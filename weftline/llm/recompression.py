@@ -1,12 +1,12 @@
 """Substring deduplication by recompression.
 
-A document is a sequence of word symbols. In each round every symbol is on the left or on the right by a bit of its name, and each left
-symbol directly before a right one becomes one new symbol, named by a hash of the two names. Names are thereby global without any table: equal word
-sequences get equal names wherever they stand. A symbol of a run cannot pair with its equal, so a run stays as it is and falls together when names are compared.
+A document is a sequence of word symbols. In each round every left symbol directly before a right one (a bit of its name decides the side) becomes one
+new symbol, named by its parts; a run of one symbol stays a row of equal symbols. Names are thereby global without any table: equal word
+sequences get equal interior symbols wherever they stand.
 Whether two symbols are apart after r rounds depends on the 2**(r-1) words on either side alone; after three rounds, and with
 symbols of at most six words, each window of 13 words has a border whose eight words around it lie in the window and are named alike in all its copies.
-Those eight-word names at borders are compared over the corpus; only windows around names that occur in two documents are
-compared whole, by the smallest doc_id that has each, and words are removed by that.
+A first Spark round over all documents finds the shared high-level names, those of the eight words around borders that occur in two documents. A second one names
+the windows around them from these and further symbols, finds the smallest doc_id of each, and removes words by that.
 """
 
 from __future__ import annotations
@@ -19,15 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import mix, saved, word_hashes
-from weftline.llm.linking import mapped_groups, small
-from weftline.llm.repeats import merged_ranges, pack, range_bits, repeated_anchors, top_key, unpack
+from weftline.llm.linking import small
+from weftline.llm.repeats import repeated_names
 
 WINDOW = 13
 #: Fixed by the window: rounds, words on either side of a border that decide about it, and the longest symbol.
 ROUNDS, SIDE, LONGEST = 3, 4, 6
-BATCH_WINDOWS = 1_000_000
 #: Bytes of removals that may be broadcast to the texts; beyond it they are joined by shuffle.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 _U = np.uint64
 
 
@@ -36,13 +35,15 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def borders(words: np.ndarray) -> np.ndarray:
-    """Positions where symbols begin after the rounds."""
+    """Positions where symbols begin after the rounds.
+
+    A symbol never pairs with its equal, so a run stays a row of equal symbols, each of which begins one: what a run's own name would hide from windows
+    that begin inside it."""
     name, at = words, np.arange(len(words))
     size = np.ones(len(words), np.int64)
     for r in range(ROUNDS):
         right = (name >> _U(8 + r)) & _U(1) == 1
-        join = ~right[:-1] & right[1:] & (size[:-1] + size[1:] <= LONGEST)
-        first = np.flatnonzero(join)
+        first = np.flatnonzero(~right[:-1] & right[1:] & (size[:-1] + size[1:] <= LONGEST))
         name, size = name.copy(), size.copy()
         name[first] = _pairs(name[first], name[first + 1])
         size[first] += size[first + 1]
@@ -61,29 +62,32 @@ def grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return eight, _pairs(_pairs(eight[:n], four[8 : 8 + n]), words[12 : 12 + n])
 
 
+def _inner_borders(words: np.ndarray) -> np.ndarray:
+    at = borders(words)
+    return at[(at >= SIDE) & (at + SIDE <= len(words))]
+
+
 def anchors(text: str) -> np.ndarray:
     """Names of the eight words around each border, for texts that have a window."""
     words = word_hashes(text)
     if len(words) < WINDOW:
         return words[:0]
-    at = borders(words)
-    at = at[(at >= SIDE) & (at + SIDE <= len(words))]
-    return grams(words)[0][at - SIDE]
+    return grams(words)[0][_inner_borders(words) - SIDE]
 
 
-def candidate_windows(text: str, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, name) of the windows around borders whose eight words are ``known`` to occur in two documents."""
+def candidate_windows(text: str, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, name, second name) of the windows around borders whose eight words are ``known`` to occur in two documents; the second name is
+    made of the first and last words by other factors, so that two names of 64 bits tell windows apart."""
     words = word_hashes(text)
-    at = borders(words)
-    at = at[(at >= SIDE) & (at + SIDE <= len(words))]
+    at = _inner_borders(words)
     eight, whole = grams(words)
-    at = at[np.isin(top_key(eight[at - SIDE]), known, assume_unique=False)]
+    at = at[np.isin(eight[at - SIDE].view(np.int64), known)]
     open_ = np.zeros(len(words) + 1, np.int64)
-    lo, hi = np.clip(at + SIDE - WINDOW, 0, len(whole)), np.clip(at - SIDE + 1, 0, len(whole))
-    np.add.at(open_, lo, 1)
-    np.add.at(open_, hi, -1)
+    np.add.at(open_, np.clip(at + SIDE - WINDOW, 0, len(whole)), 1)
+    np.add.at(open_, np.clip(at - SIDE + 1, 0, len(whole)), -1)
     start = np.flatnonzero(np.cumsum(open_)[: len(whole)] > 0)
-    return start, whole[start]
+    second = mix(eight[start + WINDOW - 8] * _U(0xC2B2AE3D27D4EB4F) ^ eight[start])
+    return start, whole[start], second
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -92,85 +96,34 @@ def identified(docs: DataFrame) -> DataFrame:
     return rows.withColumn("rk", F.xxhash64("doc_id", "text"))
 
 
-def within(docs: DataFrame, found: DataFrame, size_of: str) -> DataFrame:
-    """``found`` (saved, one row per rk) marked for broadcast if the bytes of its blobs are few enough, else as it is."""
-    total = found.agg(F.coalesce(F.sum(F.length(size_of) + 64), F.lit(0))).first()[0]
+def within(found: DataFrame, column: str, width: int) -> DataFrame:
+    """``found`` (saved, one row per document) marked for broadcast if the bytes of its arrays are few enough, else as it is."""
+    total = found.agg(F.coalesce(F.sum(F.size(column) * width + 64), F.lit(0))).first()[0]
     return F.broadcast(found) if total <= BROADCAST_BYTES else found
 
 
-def repeated_words(docs: DataFrame) -> DataFrame:
-    """(rk, ranges): the word ranges to remove, for rows that lose words; ``ranges`` has packed starts, then packed ends."""
-    rows = identified(docs)
-    usable = rows.filter("doc_id is not null")
-    n = docs.count()
-    known = saved(repeated_anchors(usable, anchors, documents=n, across_documents=True), "known")
-    some = usable.join(small(known.select("rk")), "rk", "left_semi").join(known, "rk")
-    bits = range_bits(n)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        count = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal count
-            name = np.concatenate([x[3] for x in held])
-            sizes = [len(x[3]) for x in held]
-            order = np.argsort(name, kind="stable")
-            name = name[order]
-            cols = [np.repeat(np.array([x[0] for x in held], "<i8"), sizes)[order], np.repeat(np.array([x[1] for x in held], "<i8"), sizes)[order], np.concatenate([x[2] for x in held]).astype("<i4")[order]]
-            cut = np.searchsorted((name >> _U(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-            out = [(p, pack(name[a:b]), *(_column(c[a:b]) for c in cols)) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
-            held.clear()
-            count = 0
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 5))], ["part", "name", "rk", "doc", "start"])
-
-        for b in batches:
-            for rk, doc, text, blob in zip(b.column("rk").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), b.column("anchors").to_pylist(), strict=True):
-                start, name = candidate_windows(text.as_py(), unpack(blob))
-                if len(start):
-                    held.append((rk, doc, start, name))
-                    count += len(start)
-                    if count >= BATCH_WINDOWS:
-                        yield flush()
-        if held:
-            yield flush()
-
-    sent = some.select("rk", "doc_id", "text", "anchors").mapInArrow(send, "part long, name binary, rk binary, doc binary, start binary")
-
-    def judge(table: pa.Table) -> list[tuple]:
-        name = np.concatenate([unpack(x) for x in table.column("name").to_pylist()])
-        rk, doc, start = (np.concatenate([_uncolumn(x, t) for x in table.column(c).to_pylist()]) for c, t in (("rk", "<i8"), ("doc", "<i8"), ("start", "<i4")))
-        order = np.lexsort((doc, name))
-        name, rk, doc, start = name[order], rk[order], doc[order], start[order]
-        new = np.concatenate([[True], name[1:] != name[:-1]])
-        gone = doc > doc[new][np.cumsum(new) - 1]
-        rk, start = rk[gone], start[gone]
-        order = np.lexsort((start, rk))
-        rk, start = rk[order], start[order]
-        cut = np.flatnonzero(np.concatenate([[True], rk[1:] != rk[:-1], [True]])) if len(rk) else [0]
-        start = start.astype("<i4")
-        return [(int(rk[a]), start[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-    def unite(table: pa.Table) -> list[tuple]:
-        start = np.frombuffer(b"".join(table.column("starts").to_pylist()), "<i4").astype(np.int64)
-        a, b = merged_ranges(start, start + WINDOW)
-        return [(int(table.column("rk")[0].as_py()), pack(a.astype(np.uint64)), pack(b.astype(np.uint64)))]
-
-    judged = mapped_groups(sent, "part", judge, "rk long, starts binary")
-    return mapped_groups(judged, "rk", unite, "rk long, starts binary, ends binary")
+def earlier_copies(rows: DataFrame) -> DataFrame:
+    """(same, first): digests of texts that several doc_ids have, and the smallest of these; ``rows`` has doc_id and same."""
+    return saved(rows.filter("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("same", "first"), "copies")
 
 
-def _column(x: np.ndarray) -> bytes:
-    import zstandard
+def removals(rows: DataFrame) -> DataFrame:
+    """(rk, doc, starts): the starts of the windows to remove, for the documents (doc_id, text, rk) that lose any."""
+    known = saved(repeated_names(rows, anchors, across_documents=True), "known")
+    some = rows.join(small(saved(known.select("rk"), "holders")), "rk", "left_semi").join(known, "rk")
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
-
-
-def _uncolumn(blob: bytes, kind: str) -> np.ndarray:
-    import zstandard
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [candidate_windows(t.as_py(), k.values.to_numpy()) for t, k in zip(b.column("text"), b.column("names"), strict=True)]
+            sizes = [len(x[0]) for x in found]
+            start, name, second = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, _U) for k in range(3))
+            cols = [name.view(np.int64), second.view(np.int64), np.repeat(b.column("rk").to_numpy(), sizes), np.repeat(b.column("doc_id").to_numpy(), sizes), start.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["name", "second", "rk", "doc", "start"])
 
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(width, -1).T).view(kind).ravel()
+    windows = saved(some.select("rk", "doc_id", "text", "names").mapInArrow(send, "name long, second long, rk long, doc long, start int"), "windows")
+    first = windows.groupBy("name", "second").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
+    gone = windows.join(first, ["name", "second"]).filter("doc > first")
+    return gone.groupBy("rk", "doc").agg(F.collect_set("start").alias("starts"))
 
 
 def with_kept_text(docs: DataFrame) -> DataFrame:
@@ -179,24 +132,31 @@ def with_kept_text(docs: DataFrame) -> DataFrame:
     A word is removed if a window of 13 words that covers it also starts in a document with a smaller doc_id; windows are
     judged on the input. Null texts have no words. A row with a null doc_id loses nothing and takes nothing from others; rows with one
     doc_id take nothing from each other. Texts of fewer than 13 words stay whole. Other columns are ignored; an empty table gives no rows.
+    A text that repeats under a larger doc_id loses all its windows and is not looked at further.
     """
-    gone = saved(repeated_words(docs), "removals")
-    rows = identified(docs).join(within(docs, gone, "starts"), "rk", "left").select("doc_id", "text", "starts", "ends")
+    rows = identified(docs).withColumn("same", F.md5("text"))
+    copies = small(earlier_copies(rows.select("doc_id", "same")))
+    marked = rows.join(copies, "same", "left").withColumn("whole", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    gone = saved(removals(marked.filter("doc_id is not null and not whole").select("doc_id", "text", "rk")), "removals")
+    gone = within(gone, "starts", 4)
+    joined = marked.join(gone.withColumnRenamed("rk", "_rk"), (F.col("rk") == F.col("_rk")) & (F.col("doc_id") == F.col("doc")), "left").select("doc_id", "text", "whole", "starts")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, m, kept = [], [], []
-            for text, starts, ends in zip(b.column("text"), b.column("starts").to_pylist(), b.column("ends").to_pylist(), strict=True):
+            for text, whole, starts in zip(b.column("text"), b.column("whole").to_pylist(), b.column("starts"), strict=True):
                 words = text.as_py().encode("utf-8", "surrogatepass").split()
                 n.append(len(words))
-                if starts is None:
-                    m.append(0)
-                else:
-                    a, z = unpack(starts).astype(np.int64), unpack(ends).astype(np.int64)
-                    m.append(int((z - a).sum()))
-                    left = np.concatenate([[0], z])
-                    words = [w for lo, hi in zip(left.tolist(), [*a.tolist(), len(words)], strict=True) for w in words[lo:hi]]
+                if whole and len(words) >= WINDOW:
+                    words = []
+                elif starts.is_valid:
+                    at = starts.values.to_numpy()
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    edge[at] += 1
+                    np.add.at(edge, at + WINDOW, -1)
+                    words = [w for w, covered in zip(words, np.cumsum(edge).tolist(), strict=False) if not covered]
+                m.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return rows.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept binary")
+    return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept binary")

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.durable import saved
+from weftline.plans.durable import saved, saved_with_count
 
 MAX_HOPS, NODE_CAP = 16, 2500
+#: Rounds of layering in a job, and rounds after which cycles are suspected.
+ROUNDS_PER_JOB, LONG = 4, 64
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,6 +22,12 @@ def cut(df: DataFrame) -> DataFrame:
     return saved(df, "hop")
 
 
+def hop(df: DataFrame) -> tuple[DataFrame, bool]:
+    """``cut``, and whether there are rows; they are counted while they are written, so a hop is one job."""
+    out, n = saved_with_count(df, "hop")
+    return out, n > 0
+
+
 def is_entity(node: Column) -> Column:
     return node.startswith("entity:")
 
@@ -37,12 +45,12 @@ def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> Da
     """(node, depth): the least number of hops from any seed (node) along the edges, seeds included at 0."""
     edges = saved(prepared(edges), "edges")
     seen = frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    hop = 0
-    while max_hops is None or hop < max_hops:
-        hop += 1
+    depth = 0
+    while max_hops is None or depth < max_hops:
+        depth += 1
         step = edges.join(frontier.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).distinct()
-        frontier = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(hop)))
-        if frontier.isEmpty():
+        frontier, found = hop(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if not found:
             break
         seen = seen.unionByName(frontier)
     return seen
@@ -84,8 +92,8 @@ def cone(edges: DataFrame, seed: str, max_depth: int = 0) -> DataFrame:
                 step = step.filter(F.col("depth") <= max_depth)
             step = step.groupBy("node").agg(F.min("depth").alias("depth"))
             known = best.withColumnRenamed("depth", "had")
-            better = cut(step.join(known, "node", "left").filter("had is null or depth < had").select("node", "depth"))
-            if better.isEmpty():
+            better, found = hop(step.join(known, "node", "left").filter("had is null or depth < had").select("node", "depth"))
+            if not found:
                 return best
             best = cut(best.unionByName(better).groupBy("node").agg(F.min("depth").alias("depth")))
             frontier = better
@@ -156,17 +164,30 @@ def undirected_ball(edges: DataFrame, seeds: DataFrame, max_hops: int = 6) -> Da
 def layers(edges: DataFrame, cap: int = NODE_CAP) -> DataFrame:
     """(node, layer): longest path from a root, for an acyclic graph; edges that close a cycle are left out first.
 
-    Every round raises nodes by their predecessors' layers, as often as the longest path has hops. A node that is still raised after as many rounds
-    as there are nodes lies behind a cycle; ``acyclic`` takes care of these before. Nodes are those of the edges."""
-    edges = saved(acyclic(edges, cap), "edges")
+    A round raises nodes above their predecessors' layers; ``ROUNDS_PER_JOB`` rounds are one job, until none is raised. Only a graph whose nodes still rise
+    after ``LONG`` rounds is searched for cycles, without which the rounds start anew. Nodes are those of the edges."""
+    edges = saved(prepared(edges), "edges")
+    found = _raised(edges, LONG)
+    if found is None:
+        found = _raised(saved(acyclic(edges, cap), "edges"), None)
+    return found
+
+
+def _raised(edges: DataFrame, most: int | None) -> DataFrame | None:
+    """Nodes with their layers; None if they still rise after ``most`` rounds."""
     now = cut(edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct().withColumn("layer", F.lit(0)))
-    while True:
-        pushed = edges.join(now.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg((F.max("layer") + 1).alias("at_least"))
-        nxt = cut(now.join(pushed, "node", "left").select("node", F.greatest("layer", F.coalesce("at_least", F.lit(0))).alias("layer"), (F.coalesce("at_least", F.lit(0)) > F.col("layer")).alias("moved")))
-        moved = not nxt.filter("moved").isEmpty()
-        now = nxt.select("node", "layer")
-        if not moved:
-            return now
+    done = 0
+    while most is None or done < most:
+        for _ in range(ROUNDS_PER_JOB):
+            before = now
+            pushed = edges.join(now.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg((F.max("layer") + 1).alias("at_least"))
+            now = before.select("node", "layer").join(pushed, "node", "left").select("node", F.greatest("layer", F.coalesce("at_least", F.lit(0))).alias("layer"), (F.coalesce("at_least", F.lit(0)) > F.col("layer")).alias("moved"))
+        done += ROUNDS_PER_JOB
+        now = cut(now)
+        if now.filter("moved").isEmpty():
+            return now.select("node", "layer")
+        now = now.select("node", "layer")
+    return None
 
 
 def acyclic(edges: DataFrame, cap: int = NODE_CAP) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import refs
-from weftline.operators.graph import cut, seed_of
+from weftline.operators.graph import cut, hop, seed_of
 from weftline.plans.durable import saved
 
 MAX_DEPTH, SERVICE_DEPTH, MAX_PATHS = 6, 8, 50
@@ -37,8 +37,8 @@ def backtrack(hops: DataFrame, target: str, max_depth: int = MAX_DEPTH, include:
         edges = walk.join(frontier.select(F.col("node").alias("dst_node_id")), "dst_node_id", "left_semi").select("src_node_id", "dst_node_id", "edge_id").distinct().withColumn("depth", F.lit(depth))
         edges = cut(edges)
         taken = edges if taken is None else taken.unionByName(edges)
-        frontier = cut(edges.select(F.col("src_node_id").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        frontier, found = hop(edges.select(F.col("src_node_id").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if not found:
             break
         seen = seen.unionByName(frontier)
     fed = hops.select(F.col("dst_node_id").alias("node")).distinct().withColumn("fed", F.lit(True))

@@ -110,8 +110,8 @@ def trace_rows(rows: DataFrame, seed: str, max_hops: int = graph.MAX_HOPS, node_
         seen = frontier = graph.cut(graph.seed_of(rows, seed))
         for _ in range(max_hops):
             step = along.join(frontier.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("node")).distinct()
-            frontier = graph.cut(step.join(seen, "node", "left_anti"))
-            if frontier.isEmpty():
+            frontier, found = graph.hop(step.join(seen, "node", "left_anti"))
+            if not found:
                 break
             if node_cap is not None and seen.count() >= node_cap:
                 truncated = True

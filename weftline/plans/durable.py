@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or, where that is unset (tests on one machine), a temporary folder that is then set as the checkpoint folder."""
+    """``spark.checkpoint.dir``, or, where that is unset in local mode (tests on one machine), a temporary folder that is then set as the checkpoint folder.
+
+    On a cluster a folder of one machine would lose rows, so there the setting is required."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -41,3 +47,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def saved_with_count(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``saved`` and the number of rows, counted while they are written."""
+    seen = Observation()
+    out = saved(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get.get("n", 0)

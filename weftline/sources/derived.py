@@ -1,6 +1,6 @@
 """Lineage inputs derived from the driver's tables, in SQL that Spark and DuckDB read alike.
 
-The lineage graph is acyclic by construction: a table's place in its block of 160 is later than the places of those that it is made from.
+The lineage graph is acyclic by construction: a block of 160 tables has 16 layers of ten, and a table's layer is later than the layers of those that it is made from.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ def _fqn(k: str) -> str:
     return f"concat('cat', CAST(({k}) % 3 AS STRING), '.', CASE WHEN ({k}) % 160 < 40 THEN 'bronze' WHEN ({k}) % 160 < 80 THEN 'silver' WHEN ({k}) % 160 < 120 THEN 'gold' ELSE 'mart' END, '.t', CAST(({k}) AS STRING))"
 
 
-# Every row counts. 120 part keys are the sources of a block of 160 tables and 25 entities; targets lie in the own or the next block, in a later place
-# of it. So tables and entities grow with the part keys, and no path has more than 160 tables.
-_KEYS = """SELECT l_orderkey, b * 160 + p AS k0, b * 160 + p + 1 + l_suppkey % 39 + l_orderkey % 2 * 160 AS k1, b * 25 + l_suppkey % 25 AS e, l_linenumber, l_returnflag, l_suppkey, l_shipdate, l_quantity
+# Every row counts. 120 part keys are the sources of a block of 160 tables and 25 entities; targets lie in the own or the next block, in a later layer
+# of it. So tables and entities grow with the part keys, and no path has more than 16 tables.
+_KEYS = """SELECT l_orderkey, b * 160 + p AS k0, b * 160 + p - p % 10 + 10 + l_suppkey % 39 + l_orderkey % 2 * 160 AS k1, b * 25 + l_suppkey % 25 AS e, l_linenumber, l_returnflag, l_suppkey, l_shipdate, l_quantity
  FROM (SELECT l.*, l_partkey % 120 AS p, CAST((l_partkey - l_partkey % 120) / 120 AS BIGINT) AS b FROM lineitem l) n"""
 
 #: View name -> SQL over the driver's tables and earlier views.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset
-    (tests on one machine), a temporary folder that is then set as the checkpoint folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset in local mode
+    (tests on one machine), a temporary folder that is then set as the checkpoint folder. On a cluster the setting is required."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -51,6 +54,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, *keys: Column) -> DataFrame:
+    """``docs`` as one struct column ``row_`` beside its keys ``k0_``, ``k1_`` and so on, so that no name of an input column can clash in a join."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row_"), *(k.alias(f"k{i}_") for i, k in enumerate(keys)))
+
+
+def named_keys(keys: DataFrame) -> DataFrame:
+    """The columns of ``keys`` as ``g0_``, ``g1_`` and so on, to be joined to ``keyed`` rows."""
+    return keys.toDF(*(f"g{i}_" for i in range(len(keys.columns))))
+
+
+def same_keys(rows: DataFrame, keys: DataFrame) -> Column:
+    """Whether the keys of ``keyed`` rows and of ``named_keys`` agree, nulls with nulls."""
+    out = F.lit(True)
+    for i in range(len(keys.columns)):
+        out = out & rows[f"k{i}_"].eqNullSafe(keys[f"g{i}_"])
+    return out
+
+
 def squeezed(text: Column) -> Column:
     """Null as empty; each run of ASCII white space as one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")

@@ -9,10 +9,10 @@ than once are then checked on the full bytes of their texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import new_folder, saved, squeezed
+from weftline.llm.common import keyed, named_keys, new_folder, same_keys, saved, squeezed
 from weftline.llm.linking import small
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -27,8 +27,12 @@ STATE_CONF = {
 FILES_PER_BATCH = 256
 
 
+def digest(text: Column) -> Column:
+    return F.sha2(squeezed(text.cast("string")), 256)
+
+
 def with_digest(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text_sha256", F.sha2(squeezed(F.col("text")), 256))
+    return docs.withColumn("text_sha256", digest(F.col("text")))
 
 
 def arrival_log(docs: DataFrame) -> DataFrame:
@@ -105,15 +109,18 @@ def _empty(spark: SparkSession, log: DataFrame) -> str:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact deduplication keeps, with all their columns."""
-    result = exact_dedup(docs)
-    result = saved(result, "decided")
-    gone = saved(result.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "gone")
-    twice = result.filter("kept").select("doc_id", "text_sha256").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left_semi")
-    spare = saved(twice.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "spare")
-    marked = with_digest(docs)
-    same = marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["text_sha256"] == F.col("_sha"))
-    kept = marked.join(small(gone), same, "left_anti").select(docs.columns)
+    """The rows of ``docs`` that exact deduplication keeps, with all their columns, which may have any names.
+
+    Null texts are empty texts and one group; of rows with one doc_id and one text one stays. An empty table stays empty."""
+    result = saved(exact_dedup(docs), "decided")
+    gone = saved(result.filter("not kept").select("doc_id", "text_sha256").distinct(), "gone")
+    twice = named_keys(gone)
+    first = keyed(result.filter("kept").select("doc_id", "text_sha256"), F.col("doc_id"), F.col("text_sha256"))
+    spare = named_keys(saved(first.join(twice, same_keys(first, twice), "left_semi").select("k0_", "k1_"), "spare"))
+    own = keyed(docs, docs["doc_id"].cast("long"), digest(docs["text"]))
+    gone = small(twice)
+    kept = own.join(gone, same_keys(own, gone), "left_anti").select("row_.*")
     # ids that occur twice with one text: one of the repeated rows stays
-    again = marked.join(small(spare), same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(docs.columns)
-    return kept.unionByName(again)
+    spare = small(spare)
+    again = own.join(spare, same_keys(own, spare), "left_semi").groupBy("k0_", "k1_").agg(F.first("row_").alias("row_"))
+    return kept.unionByName(again.select("row_.*"))

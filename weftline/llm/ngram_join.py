@@ -19,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import gram_hashes, mix, saved, word_hashes
+from weftline.llm.common import gram_hashes, keyed, mix, named_keys, same_keys, saved, word_hashes
 from weftline.llm.linking import connected_components, in_blocks, mapped_groups, pair_mask, small, stars
 
 N, LEAST = 5, 0.8
 #: Expected number of tokens that a path chooses in a set, by level of splitting (the last level is not split again and needs fewer), and
 #: recall of a pair at the threshold.
 CHOSEN, TARGET_RECALL = (2.0, 2.0, 1.25), 0.999
-BUCKET_ROWS, BLOCK_ROWS = 128, 1024
+BUCKET_ROWS, BLOCK_ROWS = 64, 1024
+#: Rows from which a level-one bucket is not streamed through a task, and values in a table of paths by tokens.
+HOT_ROWS, TABLE = 4096, 4_000_000
 #: Smallest hashes of a set that its sketch keeps, and the estimate under which a pair is not compared exactly
 #: (4.5 standard deviations below the threshold).
 SKETCH, SKETCH_LEAST = 64, 0.575
@@ -64,8 +66,10 @@ def choose(tokens: np.ndarray, paths: np.ndarray, chosen: float) -> tuple[np.nda
     """For each path the tokens it samples: (index of the path, the longer path). A token's chance is chosen / size of the set."""
     odd = mix(paths) | _U(1)
     limit = _U(min(2**64 - 1, int(2**64 * min(1.0, chosen / len(tokens)))))
-    of, token = np.nonzero((tokens[None, :] * odd[:, None]) <= limit)
-    return of, mix(paths[of] * _U(0x9FB21C651E98DF25) + tokens[token])
+    some = max(1, TABLE // len(tokens))  # paths at a time: a long text needs no more memory than TABLE values or its own
+    found = [np.nonzero((tokens[None, :] * odd[at : at + some, None]) <= limit) for at in range(0, max(1, len(paths)), some)]
+    of = np.concatenate([f[0] + k * some for k, f in enumerate(found)])
+    return of, mix(paths[of] * _U(0x9FB21C651E98DF25) + tokens[np.concatenate([f[1] for f in found])])
 
 
 def path_tree(tokens: np.ndarray, runs: int, chosen: tuple[float, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -172,23 +176,17 @@ def classes_of(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
     sets = rows.filter("kid is not null")
     kinds = saved(sets.groupBy("kid").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")), "kinds")
 
-    def explode(column: str, width: int, of: DataFrame) -> DataFrame:
-        names = ["path"] if width == 1 else ["parent", "path"]
-
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                parts = [np.frombuffer(x, "<i8").reshape(-1, width) for x in b.column(column).to_pylist()]
-                kid = np.repeat(b.column("kid").to_numpy(), [len(x) for x in parts])
-                flat = np.concatenate(parts) if parts else np.zeros((0, width), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(kid), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(width))], ["kid", *names])
-
-        return of.select("kid", column).mapInArrow(spread, ", ".join(["kid long", *(f"{x} long" for x in names)]))
+    def first_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(x, "<i8") for x in b.column("p1").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("kid").to_numpy(), [len(x) for x in parts])), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], ["kid", "path"])
 
     # one row of each distinct set: rows that repeat a set are left out by the few sets that have copies
     twice = small(saved(kinds.filter("copies > 1").select(F.col("kid").alias("_kid"), F.col("doc").alias("_doc")), "twice"))
     single = sets.join(twice, (F.col("kid") == F.col("_kid")) & (F.col("doc_id") != F.col("_doc")), "left_anti")
 
-    # level-one buckets with company, and the smallest set in each: a task streams through its sorted paths and holds one row of a bucket
+    # level-one buckets with company, and the smallest set in each: a task streams through its sorted paths and holds one row of a bucket; of large
+    # buckets the smallest set is found by partial minima
     def with_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leader, told = None, 0, False
         for b in batches:
@@ -211,8 +209,11 @@ def classes_of(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
             last, leader = path[-1], lead[-1]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (out_kid, out_path, out_lead)], ["kid", "path", "leader"])
 
-    placed_paths = explode("p1", 1, single).repartition("path").sortWithinPartitions("path", "kid")
-    meeting = saved(placed_paths.mapInArrow(with_leader, "kid long, path long, leader long"), "meeting")
+    paths = saved(single.select("kid", "p1").mapInArrow(first_paths, "kid long, path long"), "paths")
+    hot = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("kid").alias("leader")).filter(F.col("n") > HOT_ROWS)
+    hot = small(saved(hot.select("path", "leader"), "hot"))  # one row for HOT_ROWS paths at most; their rows stay where they are
+    cool = paths.join(hot, "path", "left_anti").repartition("path").sortWithinPartitions("path", "kid")
+    meeting = saved(cool.mapInArrow(with_leader, "kid long, path long, leader long").unionByName(paths.join(hot, "path")), "meeting")
 
     # first round: each set against the set it meets most often
     often = meeting.filter("kid != leader").groupBy("kid", "leader").count().filter(F.col("count") >= MEETINGS)
@@ -263,7 +264,7 @@ def classes_of(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
 
         A bucket is ready if it is small, or if few of its rows are outside its largest component: each block of that component's rows then
         meets all the others, and rows of the component need not meet each other."""
-        own = members.join(component.withColumnRenamed("id", "kid"), "kid", "left").withColumn("component", F.coalesce("component", "kid"))
+        own = members
         parts = own.groupBy("path", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("most"))
         sizes = parts.filter("n > most.c").select("path", "n", F.col("n") - F.col("most.c"), F.col("most.component")).toDF("path", "n", "outside", "main")
         both = saved(own.join(sizes, "path").select("kid", "path", "component", "n", "outside", "main"), "open")
@@ -273,13 +274,27 @@ def classes_of(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
         now = both.filter(fits).withColumn("part", F.explode(part))
         return now.select(F.xxhash64("path", "part").alias("g"), "kid", "component", F.lit(0).alias("block"), F.lit(1).alias("alone")), both.filter(~fits).select("kid", "path", "component")
 
-    ready, large = open_buckets(meeting.select("kid", "path"))
+    def split(column: str, sets_to_split: DataFrame) -> DataFrame:
+        """(kid, component, path): the paths of ``column`` below those in ``parents``; others are never made into rows."""
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = []
+                for blob, parents in zip(b.column(column).to_pylist(), b.column("parents"), strict=True):
+                    pairs = np.frombuffer(blob, "<i8").reshape(-1, 2)
+                    found.append(np.unique(pairs[np.isin(pairs[:, 0], parents.values.to_numpy()), 1]))
+                sizes = [len(x) for x in found]
+                of = [pa.array(np.repeat(b.column(c).to_numpy(), sizes)) for c in ("kid", "component")]
+                yield pa.RecordBatch.from_arrays([*of, pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["kid", "component", "path"])
+
+        return sets_to_split.select("kid", "component", "parents", column).mapInArrow(spread, "kid long, component long, path long")
+
+    first = meeting.select("kid", "path").join(component.withColumnRenamed("id", "kid"), "kid", "left").withColumn("component", F.coalesce("component", "kid"))
+    ready, large = open_buckets(first)
     for column in ("p2", "p3")[: len(chosen) - 1]:
-        above = large.select("kid", F.col("path").alias("parent"))
-        # only the sets in large buckets are taken apart further
-        crowded = single.join(small(saved(above.select("kid").distinct(), "crowded")), "kid", "left_semi")
-        deeper = explode(column, 2, crowded).join(above, ["kid", "parent"], "left_semi").select("kid", "path").distinct()
-        more, large = open_buckets(deeper)
+        # only the sets in large buckets are taken apart further: one row a set, with the paths to split (a set has few, whatever its size)
+        above = saved(large.groupBy("kid", "component").agg(F.collect_set("path").alias("parents")), "crowded")
+        more, large = open_buckets(saved(split(column, single.join(above, "kid")), "deeper"))
         ready = ready.unionByName(more)
     # what is large to the end is compared block by block
     candidates = saved(ready.unionByName(in_blocks(large, "path", "kid", BLOCK_ROWS).select("g", "kid", "component", "block", "alone")), "candidates")
@@ -330,16 +345,17 @@ def classes_of(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
 def one_of_each(docs: DataFrame, **join: float) -> DataFrame:
     """One row of each near-duplicate class, with the smallest doc_id (then the smallest hash of its text); all rows without words or with a null doc_id stay.
 
-    Of rows that agree in doc_id and text one stays, whatever their other columns are. Rows that share a doc_id but no text are told apart."""
+    Of rows that agree in doc_id and text one stays, whatever their other columns are. Rows that share a doc_id but no text are told apart. Columns may have
+    any names. An empty table stays empty."""
     rows = saved(classes_of(docs, **join).filter("component is not null").select("component", "doc_id", "row"), "class-rows")
     groups = rows.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shared = saved(rows.join(groups, "component").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), (F.struct("doc_id", "row") == F.col("first")).alias("_first")), "shared")
-    gone = saved(shared.filter("not _first").select("_id", "_row").distinct(), "gone")
-    same = (docs["doc_id"].cast("long") == F.col("_id")) & (row_key(docs) == F.col("_row"))
-    kept = docs.join(small(gone), same, "left_anti")
-    twins = saved(shared.filter("_first").groupBy("_id", "_row").count().filter("count > 1").select("_id", "_row"), "twins")
+    shared = saved(rows.join(groups, "component").select("doc_id", "row", (F.struct("doc_id", "row") == F.col("first")).alias("is_first")), "shared")
+    gone = small(named_keys(saved(shared.filter("not is_first").select("doc_id", "row").distinct(), "gone")))
+    twins = named_keys(saved(shared.filter("is_first").groupBy("doc_id", "row").count().filter("count > 1").select("doc_id", "row"), "twins"))
+    own = keyed(docs, docs["doc_id"].cast("long"), row_key(docs))
+    kept = own.join(gone, same_keys(own, gone), "left_anti")
     if twins.isEmpty():
-        return kept
-    again = docs.join(small(twins), same)
-    once = again.dropDuplicates(["_id", "_row"]).select(docs.columns)
-    return kept.join(small(twins), same, "left_anti").unionByName(once)
+        return kept.select("row_.*")
+    twins = small(twins)
+    once = own.join(twins, same_keys(own, twins), "left_semi").groupBy("k0_", "k1_").agg(F.first("row_").alias("row_"))
+    return kept.join(twins, same_keys(own, twins), "left_anti").select("row_.*").unionByName(once.select("row_.*"))

@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import mix, saved, word_hashes
-from weftline.llm.linking import small
-from weftline.llm.repeats import repeated_names
+from weftline.llm.linking import mapped_groups, small
+from weftline.llm.repeats import merged_ranges, pack, range_bits, repeated_anchors, top_key, unpack
 
 WINDOW = 13
 #: Fixed by the window: rounds, words on either side of a border that decide about it, and the longest symbol.
 ROUNDS, SIDE, LONGEST = 3, 4, 6
+#: Windows that a task gathers before it sends them.
+BATCH_WINDOWS = 400_000
 #: Bytes of removals that may be broadcast to the texts; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 _U = np.uint64
@@ -81,7 +83,7 @@ def candidate_windows(text: str, known: np.ndarray) -> tuple[np.ndarray, np.ndar
     words = word_hashes(text)
     at = _inner_borders(words)
     eight, whole = grams(words)
-    at = at[np.isin(eight[at - SIDE].view(np.int64), known)]
+    at = at[np.isin(top_key(eight[at - SIDE]), known)]
     open_ = np.zeros(len(words) + 1, np.int64)
     np.add.at(open_, np.clip(at + SIDE - WINDOW, 0, len(whole)), 1)
     np.add.at(open_, np.clip(at - SIDE + 1, 0, len(whole)), -1)
@@ -96,34 +98,108 @@ def identified(docs: DataFrame) -> DataFrame:
     return rows.withColumn("rk", F.xxhash64("doc_id", "text"))
 
 
-def within(found: DataFrame, column: str, width: int) -> DataFrame:
-    """``found`` (saved, one row per document) marked for broadcast if the bytes of its arrays are few enough, else as it is."""
-    total = found.agg(F.coalesce(F.sum(F.size(column) * width + 64), F.lit(0))).first()[0]
+def within(found: DataFrame) -> DataFrame:
+    """``found`` (saved, one row per document, with packed starts) marked for broadcast if its bytes are few enough, else as it is."""
+    total = found.agg(F.coalesce(F.sum(2 * F.length("starts") + 64), F.lit(0))).first()[0]
     return F.broadcast(found) if total <= BROADCAST_BYTES else found
 
 
+def bytes_of(texts: DataFrame) -> int:
+    return texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
 def earlier_copies(rows: DataFrame) -> DataFrame:
     """(same, first): digests of texts that several doc_ids have, and the smallest of these; ``rows`` has doc_id and same."""
     return saved(rows.filter("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("same", "first"), "copies")
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """(rk, doc, starts): the starts of the windows to remove, for the documents (doc_id, text, rk) that lose any."""
-    known = saved(repeated_names(rows, anchors, across_documents=True), "known")
-    some = rows.join(small(saved(known.select("rk"), "holders")), "rk", "left_semi").join(known, "rk")
+    """(rk, starts, ends): the packed word ranges to remove, for the documents (doc_id, text, rk) that lose any.
+
+    Of the windows of a batch with one name all but those of its smallest doc_id are lost whatever other batches have, so only the latter go on to
+    the range of their name: a passage that a third of all documents share costs a range no more than a document a batch."""
+    size = bytes_of(rows)
+    known = saved(repeated_anchors(rows, anchors, text_bytes=size, across_documents=True), "known")
+    some = rows.join(small(known.select("rk")), "rk", "left_semi").join(known, "rk")
+    bits = range_bits(size)
+    names = ["part", "name", "second", "rk", "doc", "start"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        count = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal count
+            sizes = [len(x[2]) for x in held]
+            rk, doc = (np.repeat(np.array([x[k] for x in held], "<i8"), sizes) for k in (0, 1))
+            start, name, second = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
+            held.clear()
+            count = 0
+            order = np.lexsort((doc, second, name))
+            name, second, rk, doc, start = (x[order] for x in (name, second, rk, doc, start.astype("<i4")))
+            new = np.concatenate([[True], (name[1:] != name[:-1]) | (second[1:] != second[:-1])])
+            lost = doc > doc[new][np.cumsum(new) - 1]
+            out = [(-1, None, None, int(r), None, s) for r, s in _by_row(rk[lost], start[lost])]
+            name, second, rk, doc, start = (x[~lost] for x in (name, second, rk, doc, start))
+            part = (name >> _U(64 - bits)).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
+            for a, z in zip(cut[:-1], cut[1:], strict=True):
+                out.append((int(part[a]), pack(name[a:z]), _column(second[a:z]), None, _column(np.stack([rk[a:z], doc[a:z]], 1)), _column(start[a:z])))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names)
+
         for b in batches:
-            found = [candidate_windows(t.as_py(), k.values.to_numpy()) for t, k in zip(b.column("text"), b.column("names"), strict=True)]
-            sizes = [len(x[0]) for x in found]
-            start, name, second = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, _U) for k in range(3))
-            cols = [name.view(np.int64), second.view(np.int64), np.repeat(b.column("rk").to_numpy(), sizes), np.repeat(b.column("doc_id").to_numpy(), sizes), start.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["name", "second", "rk", "doc", "start"])
+            for rk, doc, text, blob in zip(b.column("rk").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), b.column("anchors"), strict=True):
+                start, name, second = candidate_windows(text.as_py(), unpack(blob.as_py()))
+                if len(start):
+                    held.append((rk, doc, start, name, second))
+                    count += len(start)
+                    if count >= BATCH_WINDOWS:
+                        yield flush()
+        if held:
+            yield flush()
+
+    sent = saved(some.select("rk", "doc_id", "text", "anchors").mapInArrow(send, "part long, name binary, second binary, rk long, doc binary, start binary"), "windows")
+
+    def judge(table: pa.Table) -> list[tuple]:
+        lists = [[f(x) for x in table.column(c).to_pylist()] for c, f in (("name", unpack), ("second", lambda x: _uncolumn(x, "<u8").ravel()), ("doc", lambda x: _uncolumn(x, "<i8")), ("start", lambda x: _uncolumn(x, "<i4").ravel()))]
+        name, second, row, start = (np.concatenate(x) for x in lists)
+        order = np.lexsort((row[:, 1], second, name))
+        name, second, row, start = name[order], second[order], row[order], start[order]
+        new = np.concatenate([[True], (name[1:] != name[:-1]) | (second[1:] != second[:-1])])
+        lost = row[:, 1] > row[new, 1][np.cumsum(new) - 1]
+        return [(int(r), s) for r, s in _by_row(row[lost, 0], start[lost])]
+
+    def unite(table: pa.Table) -> list[tuple]:
+        start = np.frombuffer(b"".join(table.column("starts").to_pylist()), "<i4").astype(np.int64)
+        a, z = merged_ranges(start, start + WINDOW)
+        return [(int(table.column("rk")[0].as_py()), pack(a.astype(_U)), pack(z.astype(_U)))]
+
+    judged = mapped_groups(sent.filter("part >= 0").drop("rk"), "part", judge, "rk long, starts binary")
+    return mapped_groups(judged.unionByName(sent.filter("part = -1").select("rk", F.col("start").alias("starts"))), "rk", unite, "rk long, starts binary, ends binary")
+
+
+def _by_row(rk: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Starts by row, as bytes."""
+    order = np.lexsort((start, rk))
+    rk, start = rk[order], start[order].astype("<i4")
+    cut = np.flatnonzero(np.concatenate([[True], rk[1:] != rk[:-1], [True]])) if len(rk) else np.zeros(0, np.int64)
+    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield rk[a], start[a:z].tobytes()
+
+
+def _column(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes() + len(x).to_bytes(8, "little"))
+
+
+def _uncolumn(blob: bytes, kind: str) -> np.ndarray:
+    import zstandard
 
-    windows = saved(some.select("rk", "doc_id", "text", "names").mapInArrow(send, "name long, second long, rk long, doc long, start int"), "windows")
-    first = windows.groupBy("name", "second").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
-    gone = windows.join(first, ["name", "second"]).filter("doc > first")
-    return gone.groupBy("rk", "doc").agg(F.collect_set("start").alias("starts"))
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(data[-8:], "little")
+    return np.ascontiguousarray(np.frombuffer(data[:-8], np.uint8).reshape(-1, n).T).view(kind)
 
 
 def with_kept_text(docs: DataFrame) -> DataFrame:
@@ -138,23 +214,19 @@ def with_kept_text(docs: DataFrame) -> DataFrame:
     copies = small(earlier_copies(rows.select("doc_id", "same")))
     marked = rows.join(copies, "same", "left").withColumn("whole", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     gone = saved(removals(marked.filter("doc_id is not null and not whole").select("doc_id", "text", "rk")), "removals")
-    gone = within(gone, "starts", 4)
-    joined = marked.join(gone.withColumnRenamed("rk", "_rk"), (F.col("rk") == F.col("_rk")) & (F.col("doc_id") == F.col("doc")), "left").select("doc_id", "text", "whole", "starts")
+    joined = marked.join(within(gone), "rk", "left").select("doc_id", "text", "whole", "starts", "ends")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, m, kept = [], [], []
-            for text, whole, starts in zip(b.column("text"), b.column("whole").to_pylist(), b.column("starts"), strict=True):
+            for text, whole, starts, ends in zip(b.column("text"), b.column("whole").to_pylist(), b.column("starts").to_pylist(), b.column("ends").to_pylist(), strict=True):
                 words = text.as_py().encode("utf-8", "surrogatepass").split()
                 n.append(len(words))
                 if whole and len(words) >= WINDOW:
                     words = []
-                elif starts.is_valid:
-                    at = starts.values.to_numpy()
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    edge[at] += 1
-                    np.add.at(edge, at + WINDOW, -1)
-                    words = [w for w, covered in zip(words, np.cumsum(edge).tolist(), strict=False) if not covered]
+                elif starts is not None and not whole:
+                    left = [0, *unpack(ends).tolist()]
+                    words = [w for lo, hi in zip(left, [*unpack(starts).tolist(), len(words)], strict=True) for w in words[lo:hi]]
                 m.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])

@@ -83,6 +83,24 @@ def test_style_nodes_that_do_not_vary_are_removed(spark):
     assert few == {f"Always the same line Story number {k} is new" for k in range(3)}
 
 
+def test_the_tree_alone_removes_what_no_name_tells(spark):
+    """Unnamed menus of a host, among them one that is on a few pages only, fall by counts; the same pages stay whole without the tree."""
+    menu = lambda k: f"<div><span>Menu {k % 3}</span></div>" if k % 9 else "<div><p>Rare menu</p></div>"
+    rows = [(k, f"http://two.example/{k}", f"<body>{menu(k)}<section><p>Text {k} of its own, long enough to count</p></section></body>") for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    alone = {r["page_id"]: r["text"] for r in site_tree.extract_text(df, markup=False).collect()}
+    assert alone == {k: f"Text {k} of its own, long enough to count" for k in range(40)}
+    off = {r["page_id"]: r["text"] for r in site_tree.extract_text(df, markup=False, low=0.0).collect()}
+    assert all(off[k] != alone[k] and off[k].endswith(alone[k]) for k in range(40))
+
+
+def test_vectors_of_extreme_size(spark):
+    """Squares that overflow or vanish, and components of either zero."""
+    rows = [(1, [1e200, 1e200], 1), (2, [2e200, 2e200], 1), (3, [1e-200, 1e-200], 1), (4, [5e-324, 5e-324], 1), (5, [-0.0, 1.0], 2), (6, [0.0, 1.0], 2), (7, [-0.0, 2.0], 2)]
+    got = sorted(tuple(r) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 2, 5, True), (6, 2, 5, False), (7, 2, 5, False)]
+
+
 def test_pages_of_the_test_data(spark, sf):
     pages = {r["page_id"]: r["html"] for r in queries.table(spark, sf, "pages").collect()}
     for r in queries.op4_html(spark, sf).collect():

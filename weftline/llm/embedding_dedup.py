@@ -31,10 +31,15 @@ def plan_tables(n: int, least: float, recall: float) -> tuple[int, int]:
 
 def _unit(table: pa.Table) -> np.ndarray:
     dims = table.column("dim")[0].as_py()
-    x = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<f8").reshape(-1, dims)
+    x = _scaled(np.frombuffer(b"".join(table.column("vector").to_pylist()), "<f8").reshape(-1, dims))
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows over their largest component, so that squares neither overflow nor vanish."""
+    return x / np.abs(x).max(axis=1)[:, None]
+
+
 def embedding_dedup(vectors: DataFrame, *, least: float = LEAST_COSINE, recall: float = TARGET_RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
@@ -70,7 +75,7 @@ def embedding_dedup(vectors: DataFrame, *, least: float = LEAST_COSINE, recall:
                     planes[d] = np.random.default_rng([SEED, d]).standard_normal((d, tables * bits))
                 own = np.flatnonzero(dims == d)
                 part = b.take(pa.array(own))
-                x = np.frombuffer(b"".join(part.column("vector").to_pylist()), "<f8").reshape(-1, d)
+                x = _scaled(np.frombuffer(b"".join(part.column("vector").to_pylist()), "<f8").reshape(-1, d))
                 sign = (x @ planes[d] > 0).reshape(len(own), tables, bits)
                 codes = (sign * weights).sum(axis=2)
                 rep = np.repeat(np.arange(len(own)), tables)

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, path) of the production rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 0.8, 3
+MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
+#: Labelled URLs that a rule must stand on, however few there are.
+MIN_URLS = 10
 #: Mined rules that a task may hold. FP-growth at a minimum support s has at most 1/s frequent tokens a URL
 #: position, so this is far above what the production support can give; beyond it the caller must raise the support.
 RULES_BOUND = 200_000
@@ -50,16 +52,19 @@ def rule_columns(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return name, verdict
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> list[tuple[tuple[str, ...], str, float, float]]:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_urls: int = MIN_URLS) -> list[tuple[tuple[str, ...], str, float, float]]:
     """(tokens, verdict, confidence, support) of the rules that are left after pruning, from rows (url, verdict).
 
-    Rows with a null url or verdict are left out. A rule falls if one with fewer of its tokens has the same verdict and at least its confidence."""
+    Rows with a null url or verdict are left out. A rule holds for ``min_support`` of the rows and ``min_urls`` of them at least. A rule falls if one with fewer of its tokens has the same verdict and at least its confidence."""
     verdicts = ("allow", "block")
     rows = labelled.filter(F.col("url").isNotNull() & F.col("verdict").isin(*verdicts)).select(url_tokens(F.col("url")).alias("items"), "verdict").filter(F.size("items") > 0)
     rows = rows.select(F.concat("items", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
+    n = rows.count()
+    if n < min_urls:
+        return []
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_urls / n)), minConfidence=min_confidence).fit(rows)
     aims = [f"={v}" for v in verdicts]
-    said = model.associationRules.filter(F.col("consequent")[0].isin(*aims) & (F.size("antecedent") <= max_tokens) & ~F.arrays_overlap("antecedent", F.array(*map(F.lit, aims))))
+    said = model.associationRules.filter(F.col("consequent")[0].isin(*aims) & ~F.arrays_overlap("antecedent", F.array(*map(F.lit, aims))))
     found = said.select("antecedent", "consequent", "confidence", "support").limit(RULES_BOUND + 1).collect()
     if len(found) > RULES_BOUND:
         raise ValueError(f"over {RULES_BOUND} rules: raise min_support")

@@ -8,14 +8,16 @@ categories, and they stay in Spark.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from weftline.llm.common import saved, word_spans
+from weftline.llm.common import keyed, named_keys, same_keys, saved, word_spans
 
 MARGINS = ("source", "lang", "topic")
 #: Target share of a category by default: its share of tokens to this power, which lifts small ones.
@@ -32,7 +34,7 @@ _LETTER[128:] = 32 + np.arange(128) % 32
 
 
 def measured(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
-    """``docs`` with n_tokens (words of the whole text) and topic.
+    """The columns of ``docs`` but its text as one struct ``row_``, n_tokens (words of the whole text) and topic.
 
     A topic is the nearest of ``topics`` fixed random directions to the shares of letter pairs in the text: an unsupervised stand-in
     for a topic model that puts like vocabulary together. A text without words has the topic ``t_``."""
@@ -41,7 +43,7 @@ def measured(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             count, topic = [], []
-            for text in b.column("_text"):
+            for text in b.column("text_"):
                 data = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
                 n = len(word_spans(data)[0])
                 count.append(n)
@@ -52,12 +54,11 @@ def measured(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
                     topic.append(f"t{int(np.argmax(directions @ (share - 1 / 64)))}")
                 else:
                     topic.append("t_")
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(count, pa.int64()), pa.array(topic, pa.string())], [*b.schema.names[:-1], "n_tokens", "topic"])
+            yield pa.RecordBatch.from_arrays([b.column("row_"), pa.array(count, pa.int64()), pa.array(topic, pa.string())], ["row_", "n_tokens", "topic"])
 
-    keys = [c for c in docs.columns if c not in ("n_tokens", "topic")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in keys), F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(measure, f"{schema}, n_tokens long, topic string")
+    keys = [c for c in docs.columns if c not in ("text", "n_tokens", "topic")]
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in keys)).alias("row_"), docs["text"].cast("string").alias("text_"))
+    return rows.mapInArrow(measure, StructType([rows.schema["row_"], StructField("n_tokens", LongType()), StructField("topic", StringType())]))
 
 
 def targets_of(cells: DataFrame, margin: str, given: Mapping[str, float] | None, flatten: float) -> DataFrame:
@@ -87,6 +88,7 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], size: float = SIZE,
     for m, t in targets.items():
         now = now.join(t.withColumnRenamed("target", f"target_{m}"), m)
     now = saved(now.coalesce(1), "raked").coalesce(1)
+    off = 0.0
     for done in range(1, rounds + 1):
         worst = [f"_off_{m}" for m in targets]
         for m in targets:
@@ -99,7 +101,8 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], size: float = SIZE,
         off = now.agg(F.max(F.greatest(*worst))).first()[0] or 0.0
         now = now.drop(*worst)
         if off < tolerance:
-            break
+            return now
+    warnings.warn(f"after {rounds} rounds a margin is {off:.2g} off its target: the cells hold too few tokens for these targets and this size", stacklevel=2)
     return now
 
 
@@ -124,25 +127,29 @@ def mix_sources(docs: DataFrame, *, targets: Mapping[str, Mapping[str, float]] |
     or selected are replaced; others stay. An empty table gives no rows.
     """
     docs = docs.drop("probability", "selected")
-    rows = saved(measured(docs).drop("text"), "measured")
-    named = rows.withColumns({f"_{m}": F.coalesce(F.col(m).cast("string"), F.lit(NONE)) for m in MARGINS})
-    cells = named.groupBy(*(F.col(f"_{m}").alias(m) for m in MARGINS)).agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0")
+    rows = saved(measured(docs), "measured")
+    kind = {"source": F.col("row_.source"), "lang": F.col("row_.lang"), "topic": F.col("topic")}
+    named = rows.select("row_", "n_tokens", "topic", *(F.coalesce(kind[m].cast("string"), F.lit(NONE)).alias(f"in_{m}") for m in MARGINS))
+    cells = named.groupBy(*(F.col(f"in_{m}").alias(m) for m in MARGINS)).agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0")
     cells = saved(cells, "cells")
     raked = rake(cells, {m: targets_of(cells, m, (targets or {}).get(m), flatten) for m in MARGINS}, size)
-    chance = raked.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), F.least(F.lit(1.0), F.col("weighted") / F.col("most")).alias("p"))
+    chance = raked.select(*(F.col(m).alias(f"in_{m}") for m in MARGINS), F.least(F.lit(1.0), F.col("weighted") / F.col("most")).alias("p_"))
     chance = saved(chance, "chances")
-    out = named.join(chance, [f"_{m}" for m in MARGINS], "left")
-    p = F.coalesce("p", F.when(F.col("n_tokens") > 0, F.lit(0.0)).otherwise(F.lit(1.0)))
-    return out.withColumn("probability", p).withColumn("selected", drawn(F.col("doc_id"), seed) < F.col("probability")).drop("p", *(f"_{m}" for m in MARGINS))
+    out = named.join(chance, [f"in_{m}" for m in MARGINS], "left")
+    p = F.coalesce("p_", F.when(F.col("n_tokens") > 0, F.lit(0.0)).otherwise(F.lit(1.0)))
+    return out.select("row_.*", "n_tokens", "topic", p.alias("probability"), (drawn(F.col("row_.doc_id"), seed) < p).alias("selected"))
 
 
 def sampled(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``docs`` that ``mix_sources`` selects, with all their columns.
+    """The rows of ``docs`` that ``mix_sources`` selects, with all their columns, which may have any names.
 
-    What is left out is found by id, source, language and a hash of id and text, which together decide about a row; texts are not shuffled."""
+    What is left out is found by id, source, language and a hash of id and text, which together decide about a row; texts are not shuffled. Null
+    sources and languages are a category of their own, and rows that repeat are all kept or all left out. An empty table stays empty."""
     from weftline.llm.linking import small
 
     key = F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
-    chosen = mix_sources(docs.withColumn("_row", key), **options)
-    gone = saved(chosen.filter("not selected").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("lang").alias("_lang"), "_row").distinct(), "left-out")
-    return docs.join(small(gone), docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & docs["lang"].eqNullSafe(F.col("_lang")) & (key == F.col("_row")), "left_anti")
+    slim = docs.select("doc_id", "source", "lang", "text", key.alias("key"))
+    chosen = mix_sources(slim, **options)
+    gone = small(named_keys(saved(chosen.filter("not selected").select("doc_id", "source", "lang", "key").distinct(), "left-out")))
+    own = keyed(docs, docs["doc_id"], docs["source"], docs["lang"], key)
+    return own.join(gone, same_keys(own, gone), "left_anti").select("row_.*")

@@ -1,7 +1,8 @@
 """Column mappings from source code.
 
 SQL is parsed by Spark itself: the unresolved logical plan of a statement is walked for its target, its sources and the expressions of its output
-columns. Python cells are read with the standard ``ast`` module by a small helper that follows DataFrame variables to the table
+columns. Statements are cut out in executors and each distinct one is parsed once, on the driver, where Spark's parser is; results go to the
+shared folder in bounded batches. Python cells are read with the standard ``ast`` module by a small helper that follows DataFrame variables to the table
 they are saved as; it runs in executors over a table of artifacts. The private accessor of the SQL parser is used in ``plan_of`` alone.
 """
 
@@ -13,11 +14,16 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.plans.durable import new_folder, saved
 
 MAPPING = "artifact_id string, output_column string, output_table_fqn string, source_fqn string, source_column string, source_ref string, expr string, expr_lang string"
 READ = "artifact_id string, table_fqn string"
 CELL = "artifact_id string, cell int, language string, source string"
 EXPR_LIMIT = 2000
+#: Rows of parsed statements that the driver holds before it writes them.
+PARSED_ROWS = 5000
 
 # Fixed values of notebook source files.
 CELL_BREAK = re.compile(r"^# COMMAND -+\s*$", re.M)
@@ -149,36 +155,90 @@ class _Query:
             relation = outputs or (next(iter(inner.values())) if len(inner) == 1 else [])
             return outputs, {str(plan.alias()).lower(): relation}
         children = [self.columns(c, ctes) for c in _list(plan.children())]
+        if kind == "Union":  # columns of the branches belong together by position, or by name where a star hides positions
+            outputs = list(children[0][0])
+            for other, _ in children[1:]:
+                named = {o[0].lower(): o for o in other}
+                for k, (name, text, refs) in enumerate(outputs):
+                    more = other[k] if len(other) == len(outputs) else named.get(name.lower())
+                    outputs[k] = (name, text, refs + [r for r in (more[2] if more else ()) if r not in refs])
+            return outputs, {}
         scope = {k: v for _, s in children for k, v in s.items()}
         if kind in ("Project", "Aggregate"):
             items = _list(plan.projectList() if kind == "Project" else plan.aggregateExpressions())
-            return [x for x in (self.output(e, scope) for e in items) if x], scope
+            outputs = [x for x in (self.output(e, scope, ctes) for e in items) if x]
+            return outputs, scope
+        for e in _list(plan.expressions()):  # filters and join conditions: their subqueries are read
+            self.references(e, scope, [], ctes)
         return (children[0][0] if children else []), scope
 
-    def output(self, expression, scope: dict):  # noqa: ANN001, ANN201
+    def writes(self, plan, ctes: dict) -> list[tuple]:  # noqa: ANN001
+        """(target's name parts or None, outputs) of each query that a statement holds; several for inserts that share a FROM."""
+        kind = _name(plan)
+        if kind == "UnresolvedWith":
+            known = dict(ctes)
+            for entry in _list(plan.cteRelations()):
+                known[str(entry._1()).lower()] = self.columns(entry._2(), known)[0]
+            return self.writes(plan.child(), known)
+        if kind == "Union" and all(_name(c) == "InsertIntoStatement" for c in _list(plan.children())):
+            return [w for c in _list(plan.children()) for w in self.writes(c, ctes)]
+        name, query = _target(plan)
+        outputs = self.columns(query, ctes)[0]
+        if kind == "InsertIntoStatement":
+            wanted = _parts(plan.userSpecifiedCols())
+            if len(wanted) == len(outputs):
+                outputs = [(w, text, refs) for w, (_, text, refs) in zip(wanted, outputs, strict=True)]
+        return [(name, outputs)]
+
+    def merged(self, plan) -> list[tuple]:  # noqa: ANN001
+        """The same of a MERGE: a column of the target for each assignment of its actions."""
+        target = _Query(*self.default).columns(plan.targetTable(), {})[1]
+        outputs, source = self.columns(plan.sourceTable(), {})
+        scope = {**target, **source}
+        self.references(plan.mergeCondition(), scope, [], {})
+        found = []
+        for actions in (plan.matchedActions(), plan.notMatchedActions(), plan.notMatchedBySourceActions()):
+            for action in _list(actions):
+                if _name(action) in ("UpdateAction", "InsertAction"):
+                    for pair in _list(action.assignments()):
+                        refs: list[tuple] = []
+                        self.references(pair.value(), scope, refs, {})
+                        found.append((_parts(pair.key().nameParts())[-1], pair.value().sql(), refs))
+        table = next((t for t in target.values() if isinstance(t, str)), None)
+        return [(table, found)]
+
+    def output(self, expression, scope: dict, ctes: dict):  # noqa: ANN001, ANN201
         kind = _name(expression)
+        found: list[tuple] = []
         if "Star" in kind:
             return None
-        text = expression.sql()
+        self.references(expression, scope, found, ctes)
         if kind == "Alias":
-            name, body = str(expression.name()), expression.child()
-            text = body.sql()
-        elif kind == "UnresolvedAttribute":
-            name = _parts(expression.nameParts())[-1]
-            text = ".".join(_parts(expression.nameParts()))
-        else:
-            return None
-        found: list[tuple] = []
-        self.references(expression, scope, found)
-        return name, text, found
-
-    def references(self, expression, scope: dict, found: list) -> None:  # noqa: ANN001
-        if _name(expression) == "UnresolvedAttribute":
-            for ref in self.resolve(_parts(expression.nameParts()), scope):
-                if ref not in found:
-                    found.append(ref)
+            return str(expression.name()), expression.child().sql(), found
+        if kind == "UnresolvedAttribute":
+            return _parts(expression.nameParts())[-1], ".".join(_parts(expression.nameParts())), found
+        return None
+
+    def references(self, expression, scope: dict, found: list, ctes: dict) -> None:  # noqa: ANN001
+        """Adds what an expression is made from; a scalar subquery gives the sources of its column, tables of any subquery are read."""
+        kind = _name(expression)
+        if kind == "UnresolvedAttribute":
+            found += [ref for ref in self.resolve(_parts(expression.nameParts()), scope) if ref not in found]
+        elif kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
+            outputs = self.inner(expression.plan(), ctes)
+            if kind == "ScalarSubquery":
+                found += [ref for ref in outputs if ref[0] and ref not in found]
         for c in _list(expression.children()):
-            self.references(c, scope, found)
+            self.references(c, scope, found, ctes)
+
+    def inner(self, plan, ctes: dict) -> list[tuple]:  # noqa: ANN001
+        """The sources of all columns of a subquery, named or not."""
+        outputs, scope = self.columns(plan, ctes)
+        found = [ref for o in outputs for ref in o[2]]
+        if not outputs and _name(plan) in ("Project", "Aggregate"):
+            for e in _list(plan.projectList() if _name(plan) == "Project" else plan.aggregateExpressions()):
+                self.references(e, scope, found, ctes)
+        return found
 
     @staticmethod
     def resolve(parts: list[str], scope: dict) -> list[tuple]:
@@ -212,10 +272,25 @@ def _target(plan):  # noqa: ANN001, ANN202
     return None, plan
 
 
+def statement_lineage(spark: SparkSession, sql: str, catalog: str | None, schema: str | None) -> tuple[list[tuple], list[str]]:
+    """(mappings without their artifact, tables read) of one statement; an error of Spark's parser is passed on."""
+    q = _Query(catalog, schema)
+    plan = plan_of(spark, sql)
+    if _name(plan) == "MergeIntoTable":
+        written = q.merged(plan)
+    else:
+        written = [(qualified(name, catalog, schema) if name else None, outputs) for name, outputs in q.writes(plan, {})]
+    mappings = [(column, target, table, source, as_written, expr[:EXPR_LIMIT], "sql") for target, outputs in written for column, expr, refs in outputs for table, source, as_written in refs if not (table == target and source == column)]
+    return mappings, q.tables
+
+
+def _fault(e: Exception) -> str:
+    return (getattr(e, "desc", None) or str(e).strip() or type(e).__name__).splitlines()[0][:200]
+
+
 def sql_mappings(spark: SparkSession, artifact: str, sql: str, catalog: str | None = None, schema: str | None = None) -> tuple[list[tuple], list[tuple], list[str]]:
-    """(mappings, reads, warnings) of the statements of one artifact. Statements that Spark cannot parse are named in the warnings; MERGE gives its sources and target only."""
+    """(mappings, reads, warnings) of the statements of one artifact. Statements that Spark cannot parse are named in the warnings."""
     use = used(sql)
-    default = (use[0] or catalog, use[1] or schema)
     mappings: list[tuple] = []
     reads: list[tuple] = []
     warnings: list[str] = []
@@ -223,35 +298,55 @@ def sql_mappings(spark: SparkSession, artifact: str, sql: str, catalog: str | No
         if re.match(r"\s*USE\b", text, re.I):
             continue
         try:
-            plan = plan_of(spark, text)
+            found, tables = statement_lineage(spark, text, use[0] or catalog, use[1] or schema)
         except Exception as e:  # noqa: BLE001  the parser's own error, from the JVM
-            warnings.append((getattr(e, "desc", None) or str(e).strip() or type(e).__name__).splitlines()[0][:200])
-            continue
-        q = _Query(*default)
-        if _name(plan) == "MergeIntoTable":
-            q.columns(plan.sourceTable(), {})
-            reads += [(artifact, t) for t in q.tables]
+            warnings.append(_fault(e))
             continue
-        name, query = _target(plan)
-        outputs, _ = q.columns(query, {})
-        target = qualified(name, *default) if name else None
-        reads += [(artifact, t) for t in q.tables]
-        for column, expr, refs in outputs:
-            for table, source, written in refs:
-                if not (table == target and source == column):
-                    mappings.append((artifact, column, target, table, source, written, expr[:EXPR_LIMIT], "sql"))
+        mappings += [(artifact, *m) for m in found]
+        reads += [(artifact, t) for t in tables]
     return mappings, list(dict.fromkeys(reads)), warnings
 
 
+def sql_statements(sql_cells: DataFrame, catalog: str | None = None, schema: str | None = None) -> DataFrame:
+    """(artifact_id, statement, catalog, schema) of SQL cells (artifact_id, source), with the defaults that USE sets; cut out in executors."""
+    import pandas as pd
+
+    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for artifact, text in zip(p["artifact_id"], p["source"], strict=True):
+                c, s = used(text or "")
+                rows += [(artifact, x, c or catalog, s or schema) for x in statements(text or "") if not re.match(r"\s*USE\b", x, re.I)]
+            yield pd.DataFrame(rows, columns=["artifact_id", "statement", "catalog", "schema"])
+
+    return sql_cells.select("artifact_id", "source").mapInPandas(split, "artifact_id string, statement string, catalog string, schema string")
+
+
 def sql_lineage(spark: SparkSession, sql_cells: DataFrame, catalog: str | None = None, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(mappings, reads) of SQL cells (artifact_id, source). The parser lives on the driver, so cells stream through it one by one."""
-    mappings: list[tuple] = []
-    reads: list[tuple] = []
-    for row in sql_cells.select("artifact_id", "source").toLocalIterator():
-        m, r, _ = sql_mappings(spark, row[0], row[1], catalog, schema)
-        mappings += m
-        reads += r
-    return spark.createDataFrame(mappings, MAPPING), spark.createDataFrame(reads, READ)
+    """(mappings, reads) of SQL cells (artifact_id, source).
+
+    Only distinct statements pass the driver, where Spark's parser is, one by one; what they give is written in batches of ``PARSED_ROWS`` and
+    joined back to all artifacts that hold them."""
+    key = F.sha2(F.to_json(F.struct("statement", "catalog", "schema")), 256)
+    said = saved(sql_statements(sql_cells, catalog, schema).withColumn("key", key), "statements")
+    folder, rows = new_folder(spark, "parsed"), []
+    kind = "key string, kind string, " + MAPPING.partition(", ")[2]
+
+    def flush() -> None:
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(folder)
+        rows.clear()
+
+    for r in said.dropDuplicates(["key"]).select("key", "statement", "catalog", "schema").toLocalIterator():
+        try:
+            found, tables = statement_lineage(spark, r["statement"], r["catalog"], r["schema"])
+        except Exception:  # noqa: BLE001, S112  not a statement of Spark's: it has no lineage
+            continue
+        rows += [(r["key"], "m", *m) for m in found] + [(r["key"], "r", None, None, t, None, None, None, None) for t in tables]
+        if len(rows) >= PARSED_ROWS:
+            flush()
+    flush()
+    parsed = said.select("artifact_id", "key").distinct().join(spark.read.schema(kind).parquet(folder), "key").drop("key")
+    return parsed.filter("kind = 'm'").drop("kind"), parsed.filter("kind = 'r'").select("artifact_id", F.col("source_fqn").alias("table_fqn"))
 
 
 # --- Python ---------------------------------------------------------------------------------------
@@ -297,132 +392,198 @@ def _column_names(node: ast.AST) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def python_mappings(artifact: str, source: str) -> tuple[list[tuple], list[tuple]]:
-    """(mappings, reads) of one Python source: what select, agg, withColumn and withColumnRenamed make on the way from tables to ``saveAsTable`` (or ``insertInto``, or a decorated table function)."""
-    try:
-        tree = ast.parse(source)
-    except SyntaxError:
-        return [], []
-    known: dict[str, str] = {}
-    frames: dict[str, tuple[list[str], dict[str, list[tuple]], dict[str, str]]] = {}  # variable -> tables, outputs, aliases
-    mappings: list[tuple] = []
-    reads: list[tuple] = []
+_LOOSE_READ = re.compile(r"""\b(?:spark|dlt)\s*\.\s*(?:read(?:Stream)?\s*\.\s*)?table\(\s*["']([\w.]+)["']""")
 
-    def frame(node: ast.AST) -> tuple[list[str], dict[str, list[tuple]], dict[str, str]]:
-        """Tables that a chain reads, its derived columns with their sources, and its aliases."""
-        tables: list[str] = []
-        outputs: dict[str, list[tuple]] = {}
-        aliases: dict[str, str] = {}
-        root = node
-        while isinstance(root, (ast.Call, ast.Attribute)):
-            root = root.func if isinstance(root, ast.Call) else root.value
-        if isinstance(root, ast.Name) and root.id in frames:
-            t, o, a = frames[root.id]
-            tables, outputs, aliases = list(t), dict(o), dict(a)
-        for call in _calls(node):
-            method = call.func.attr if isinstance(call.func, ast.Attribute) else getattr(call.func, "id", "")
-            if method in _READS and call.args:
-                name = _text(call.args[0], known)
-                if name:
-                    tables.append(name)
-            elif method == "alias" and call.args and len(tables) == 1:
-                name = _text(call.args[0], known)
-                if name:
-                    aliases[name] = tables[0]
-            elif method in ("join", "union", "unionByName", "crossJoin") and call.args:
-                t, o, a = frame(call.args[0])
-                tables += [x for x in t if x not in tables]
-                outputs = {**o, **outputs}
-                aliases |= a
-            elif method == "withColumn" and len(call.args) == 2:
-                made(_text(call.args[0], known), call.args[1], tables, outputs, aliases)
-            elif method == "withColumnRenamed" and len(call.args) == 2:
-                old, new = _text(call.args[0], known), _text(call.args[1], known)
-                if old and new:
-                    outputs[new] = outputs.pop(old, None) or sources([old], tables, outputs, aliases, old)
-            elif method in ("select", "agg"):
-                for a in call.args:
-                    chain = _calls(a)
-                    last = chain[-1] if chain else None
-                    if last is not None and isinstance(last.func, ast.Attribute) and last.func.attr == "alias" and last.args:
-                        made(_text(last.args[0], known), last.func.value, tables, outputs, aliases)
-                    else:
-                        names = _column_names(a) or ([a.value] if isinstance(a, ast.Constant) and isinstance(a.value, str) else [])
-                        if len(names) == 1:
-                            outputs.setdefault(names[0].rpartition(".")[2], sources(names, tables, outputs, aliases, ast.unparse(a)))
-        return tables, outputs, aliases
 
-    def sources(names: list[str], tables: list[str], outputs: dict, aliases: dict, expr: str) -> list[tuple]:
+def _constants(tree: ast.Module) -> dict[str, str]:
+    """Names that stand for one and the same string wherever they are assigned."""
+    values: dict[str, set] = {}
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Assign) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name):
+            values.setdefault(n.targets[0].id, set()).add(n.value.value if isinstance(n.value, ast.Constant) and isinstance(n.value.value, str) else None)
+    return {k: next(iter(v)) for k, v in values.items() if len(v) == 1 and None not in v}
+
+
+class _Frame:
+    """What a DataFrame expression is made of: tables, derived columns with their sources, aliases, and the keys of an open grouping."""
+
+    def __init__(self, tables: list[str] = (), outputs: dict[str, list[tuple]] | None = None, aliases: dict[str, str] | None = None):
+        self.tables, self.outputs, self.aliases, self.keys = list(tables), dict(outputs or {}), dict(aliases or {}), []
+
+    def sources(self, names: list[str], expr: str) -> list[tuple]:
         out: list[tuple] = []
         for n in names:
             prefix, _, column = n.rpartition(".")
-            if not prefix and column in outputs:  # made before: its sources stand for it
-                out += [(t, c, w, expr) for t, c, w, _ in outputs[column]]
-            elif prefix in aliases:
-                out.append((aliases[prefix], column, n, expr))
+            if not prefix and column in self.outputs:  # made before: its sources stand for it
+                out += [(t, c, w, expr) for t, c, w, _ in self.outputs[column]]
+            elif prefix in self.aliases:
+                out.append((self.aliases[prefix], column, n, expr))
             else:
-                out.append((tables[0] if tables else None, column, n, expr))
+                out.append((self.tables[0] if self.tables else None, column, n, expr))
         return out
 
-    def made(name: str | None, body: ast.AST, tables: list[str], outputs: dict, aliases: dict) -> None:
-        if name:
-            outputs[name] = sources(_column_names(body), tables, outputs, aliases, ast.unparse(body))
 
-    def write(target: str | None, node: ast.AST) -> None:
-        tables, outputs, _ = frame(node)
-        reads.extend((artifact, t) for t in tables)
-        if target:
-            for column, refs in outputs.items():
-                mappings.extend((artifact, column, target, t, c, w, e[:EXPR_LIMIT], "pyspark") for t, c, w, e in refs if not (t == target and c == column))
+class _Reader:
+    """Walks the statements of one Python source in order, into branches and function bodies too."""
+
+    def __init__(self, artifact: str, tree: ast.Module):
+        self.artifact, self.known = artifact, _constants(tree)
+        self.frames: dict[str, _Frame] = {}
+        self.mappings: list[tuple] = []
+        self.reads: list[tuple] = []
 
-    def visit(body: list[ast.stmt]) -> None:
+    def text(self, node: ast.AST | None) -> str | None:
+        return _text(node, self.known)
+
+    def items(self, frame: _Frame, nodes: list[ast.AST], named: list[ast.keyword] = ()) -> tuple[dict[str, list[tuple]], bool]:
+        """Columns that the arguments of select or agg give, and whether a star keeps those there are."""
+        made: dict[str, list[tuple]] = {k.arg: frame.sources(_column_names(k.value), ast.unparse(k.value)) for k in named if k.arg}
+        star = False
+        for a in nodes:
+            if isinstance(a, (ast.List, ast.Tuple)):
+                more, s = self.items(frame, a.elts)
+                made, star = made | more, star or s
+                continue
+            chain = _calls(a)
+            last = chain[-1] if chain else None
+            if last is not None and isinstance(last.func, ast.Attribute) and last.func.attr == "alias" and last.args:
+                name = self.text(last.args[0])
+                if name:
+                    made[name] = frame.sources(_column_names(last.func.value), ast.unparse(last.func.value))
+                continue
+            if isinstance(a, ast.Constant) and a.value == "*":
+                star = True
+                continue
+            names = _column_names(a) or ([t] if (t := self.text(a)) else [])
+            if len(names) == 1:
+                made[names[0].rpartition(".")[2]] = frame.sources(names, ast.unparse(a))
+        return made, star
+
+    def frame(self, node: ast.AST) -> _Frame:
+        root = node
+        while isinstance(root, (ast.Call, ast.Attribute)):
+            root = root.func if isinstance(root, ast.Call) else root.value
+        known = self.frames.get(root.id) if isinstance(root, ast.Name) else None
+        f = _Frame(known.tables, known.outputs, known.aliases) if known else _Frame()
+        for call in _calls(node):
+            self.step(f, call.func.attr if isinstance(call.func, ast.Attribute) else getattr(call.func, "id", ""), call)
+        return f
+
+    def step(self, f: _Frame, method: str, call: ast.Call) -> None:
+        """What one call of a method chain does to the frame."""
+        first = self.text(call.args[0]) if call.args else None
+        if method in _READS and first:
+            f.tables.append(first)
+        elif method == "alias" and first and len(f.tables) == 1:
+            f.aliases[first] = f.tables[0]
+        elif method in ("join", "union", "unionByName", "crossJoin") and call.args:
+            other = self.frame(call.args[0])
+            f.tables += [x for x in other.tables if x not in f.tables]
+            if method.startswith("union"):
+                for name, refs in other.outputs.items():
+                    f.outputs[name] = f.outputs.get(name, []) + [r for r in refs if r not in f.outputs.get(name, [])]
+            else:
+                f.outputs = {**other.outputs, **f.outputs}
+            f.aliases |= other.aliases
+        elif method == "withColumn" and len(call.args) == 2 and first:
+            f.outputs[first] = f.sources(_column_names(call.args[1]), ast.unparse(call.args[1]))
+        elif method == "withColumns" and call.args and isinstance(call.args[0], ast.Dict):
+            made = {self.text(k): f.sources(_column_names(v), ast.unparse(v)) for k, v in zip(call.args[0].keys, call.args[0].values, strict=True)}
+            f.outputs |= {k: v for k, v in made.items() if k}
+        elif method == "withColumnRenamed" and len(call.args) == 2:
+            new = self.text(call.args[1])
+            if first and new:
+                f.outputs[new] = f.outputs.pop(first, None) or f.sources([first], first)
+        elif method == "drop":
+            for name in filter(None, map(self.text, call.args)):
+                f.outputs.pop(name, None)
+        elif method == "select":
+            made, star = self.items(f, call.args)
+            f.outputs = f.outputs | made if star else made
+        elif method in ("groupBy", "groupby"):
+            f.keys = call.args
+        elif method == "agg":
+            made = self.items(f, f.keys)[0]
+            if call.args and isinstance(call.args[0], ast.Dict):
+                pairs = zip(map(self.text, call.args[0].keys), map(self.text, call.args[0].values), strict=True)
+                made |= {f"{how}({name})": f.sources([name], f"{how}({name})") for name, how in pairs if name and how}
+            else:
+                made |= self.items(f, call.args, call.keywords)[0]
+            f.outputs, f.keys = made, []
+
+    def write(self, target: str | None, node: ast.AST) -> None:
+        f = self.frame(node)
+        self.reads.extend((self.artifact, t) for t in f.tables)
+        if target:
+            for column, refs in f.outputs.items():
+                self.mappings.extend((self.artifact, column, target, t, c, w, e[:EXPR_LIMIT], "pyspark") for t, c, w, e in refs if not (t == target and c == column))
+
+    def function(self, s: ast.FunctionDef) -> None:
+        """The body is read where it stands; a name of the function stands for what it returns. A decorated table function is written under its name."""
+        self.visit([x for x in s.body if not isinstance(x, ast.Return)])
+        last = next((x.value for x in reversed(s.body) if isinstance(x, ast.Return) and x.value is not None), None)
+        if last is None:
+            return
+        for d in s.decorator_list:
+            called = d.func if isinstance(d, ast.Call) else d
+            if isinstance(called, ast.Attribute) and called.attr in ("table", "view", "materialized_view", "create_table", "create_view"):
+                named = next((self.text(k.value) for k in getattr(d, "keywords", []) if k.arg == "name"), None)
+                self.write(named or s.name, last)
+        self.frames[s.name] = self.frame(last)
+
+    def visit(self, body: list[ast.stmt]) -> None:
         for s in body:
-            if isinstance(s, ast.FunctionDef):
-                for d in s.decorator_list:
-                    called = d.func if isinstance(d, ast.Call) else d
-                    if isinstance(called, ast.Attribute) and called.attr in ("table", "view", "materialized_view", "create_table", "create_view"):
-                        named = next((_text(k.value, known) for k in getattr(d, "keywords", []) if k.arg == "name"), None)
-                        visit([x for x in s.body if not isinstance(x, ast.Return)])
-                        last = next((x.value for x in reversed(s.body) if isinstance(x, ast.Return) and x.value is not None), None)
-                        if last is not None:
-                            write(named or s.name, last)
-            elif isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name):
-                text = _text(s.value, known)
-                if text is not None:
-                    known[s.targets[0].id] = text
-                else:
-                    frames[s.targets[0].id] = frame(s.value)
+            if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                self.function(s)
+            elif isinstance(s, (ast.Assign, ast.AnnAssign)) and s.value is not None:
+                name = s.targets[0] if isinstance(s, ast.Assign) and len(s.targets) == 1 else getattr(s, "target", None)
+                if isinstance(name, ast.Name):
+                    text = self.text(s.value)
+                    if text is not None:
+                        self.known[name.id] = text
+                    else:
+                        self.frames[name.id] = self.frame(s.value)
             elif isinstance(s, ast.Expr):
                 chain = _calls(s.value)
-                if chain and isinstance(chain[-1].func, ast.Attribute) and chain[-1].func.attr in ("saveAsTable", "insertInto") and chain[-1].args:
-                    write(_text(chain[-1].args[0], known), chain[-1].func.value)
-            elif hasattr(s, "body"):
-                visit(s.body)
+                if chain and isinstance(chain[-1].func, ast.Attribute) and chain[-1].func.attr in ("saveAsTable", "insertInto", "toTable") and chain[-1].args:
+                    self.write(self.text(chain[-1].args[0]), chain[-1].func.value)
+            for part in ("body", "orelse", "finalbody"):
+                if not isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                    self.visit(getattr(s, part, None) or [])
+            for handler in getattr(s, "handlers", None) or []:
+                self.visit(handler.body)
+
+
+def python_mappings(artifact: str, source: str) -> tuple[list[tuple], list[tuple]]:
+    """(mappings, reads) of one Python source: what select, agg, withColumn and withColumnRenamed make on the way from tables to ``saveAsTable`` (or ``insertInto``, ``toTable``, or a decorated table function).
+
+    A select or an aggregation replaces the columns before it. A source that is no Python gives the tables that it reads by name."""
+    try:
+        tree = ast.parse(source)
+    except SyntaxError:
+        return [], [(artifact, t) for t in dict.fromkeys(_LOOSE_READ.findall(source))]
+    reader = _Reader(artifact, tree)
+    reader.visit(tree.body)
+    return reader.mappings, list(dict.fromkeys(reader.reads))
 
-    visit(tree.body)
-    return mappings, list(dict.fromkeys(reads))
+
+_LOOSE_SQL = re.compile(r"""\.sql\(\s*(\"{3}|'{3}|"|')(.*?)\1""", re.S)
 
 
 def sql_in_python(source: str) -> list[str]:
-    """SQL texts given to ``spark.sql`` as constants."""
+    """SQL texts given to ``spark.sql`` as constants; of a source that is no Python those that stand there in quotes."""
     try:
         tree = ast.parse(source)
     except SyntaxError:
-        return []
-    known = {s.targets[0].id: s.value.value for s in tree.body if isinstance(s, ast.Assign) and isinstance(s.targets[0], ast.Name) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str)}
-    found = []
-    for n in ast.walk(tree):
-        if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr == "sql" and n.args:
-            text = _text(n.args[0], known)
-            if text:
-                found.append(text)
-    return found
+        return [m[1] for m in _LOOSE_SQL.findall(source)]
+    known = _constants(tree)
+    calls = [n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr == "sql" and n.args]
+    return [t for t in (_text(n.args[0], known) for n in calls) if t]
 
 
 def python_lineage(python_cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(mappings, reads) of artifacts' Python cells (artifact_id, cell, source), in executors. Cells of an artifact are read in order as one program."""
     import pandas as pd
-    from pyspark.sql import functions as F
 
     whole = python_cells.groupBy("artifact_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "source"))), lambda c: c["source"]), "\n").alias("source"))
 
@@ -438,11 +599,24 @@ def python_lineage(python_cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.filter("kind = 'm'").drop("kind"), found.filter("kind = 'r'").select("artifact_id", F.col("source_fqn").alias("table_fqn"))
 
 
+def sql_inside(python_cells: DataFrame) -> DataFrame:
+    """(artifact_id, source) of the SQL texts in Python cells, found in executors; an artifact's cells are read as one program."""
+    import pandas as pd
+
+    whole = python_cells.groupBy("artifact_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "source"))), lambda c: c["source"]), "\n").alias("source"))
+
+    def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(a, sql) for a, text in zip(p["artifact_id"], p["source"], strict=True) for sql in sql_in_python(text)]
+            yield pd.DataFrame(rows, columns=["artifact_id", "source"])
+
+    return whole.mapInPandas(find, "artifact_id string, source string")
+
+
 def lineage_of(spark: SparkSession, artifacts: DataFrame, catalog: str | None = None, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(mappings, reads) of artifacts of either language, with the SQL that Python cells run."""
     every = cells(artifacts)
     m1, r1 = python_lineage(every.filter("lower(language) in ('python', 'py', 'pyspark', 'code')"))
     m2, r2 = sql_lineage(spark, every.filter("lower(language) = 'sql'"), catalog, schema)
-    inside = [(row[0], text) for row in every.filter("lower(language) not in ('sql') and source like '%.sql(%'").select("artifact_id", "source").toLocalIterator() for text in sql_in_python(row[1])]
-    m3, r3 = sql_lineage(spark, spark.createDataFrame(inside, "artifact_id string, source string"), catalog, schema)
+    m3, r3 = sql_lineage(spark, sql_inside(every.filter("lower(language) != 'sql' and source like '%.sql(%'")), catalog, schema)
     return m1.unionByName(m2).unionByName(m3), r1.unionByName(r2).unionByName(r3).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import refs
 from weftline.operators import cost, graph, hops, paths, report, scope, sharing
 from weftline.plans.durable import saved
-from weftline.sources import metadata
+from weftline.sources import code, metadata
 from weftline.sources.derived import view, with_views
 
 SEED, LAST, SCHEMA = "cat0.bronze.t0", "cat2.gold.t119", ("cat0", "silver")
@@ -583,3 +583,50 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ddl = t.filter("length(table_name) % 2 = 1").select(F.col("fqn").alias("full_name"), F.lit("CREATE").alias("ddl"))
     got = metadata.definitions(t.select(F.col("fqn").alias("full_name")), t, ddl)
     return got.join(t.select(F.col("fqn").alias("full_name"), "table_type"), "full_name").select("full_name", "table_type", "skip_reason")
+
+
+# --- source code: every nation has one artifact of each kind ---------------------------------------
+
+
+def _per_nation(rows: list[str]) -> str:
+    """SQL rows for each nation key; ``{n}`` stands for the key."""
+    return " UNION ALL ".join("SELECT " + r.replace("{n}", "' || CAST(n_nationkey AS VARCHAR) || '") + " FROM nation" for r in rows)
+
+
+#: Artifacts by name: language, source, (target, output column, source table, source column) of each mapping, tables read.
+_ARTIFACTS: dict[str, tuple[str, str, list[tuple[str, str, str, str]], list[str]]] = {
+    "union": ("sql", "INSERT INTO m.s.u{n} SELECT p AS c FROM m.s.x{n} UNION ALL SELECT r AS c FROM m.s.y{n}", [("m.s.u{n}", "c", "m.s.x{n}", "p"), ("m.s.u{n}", "c", "m.s.y{n}", "r")], ["m.s.x{n}", "m.s.y{n}"]),
+    "subqueries": ("sql", "INSERT INTO m.s.q{n} SELECT x.p AS p2, (SELECT max(z) FROM m.s.y{n}) AS top FROM m.s.x{n} x WHERE i IN (SELECT i FROM m.s.w{n})", [("m.s.q{n}", "p2", "m.s.x{n}", "p"), ("m.s.q{n}", "top", "m.s.y{n}", "z")], ["m.s.x{n}", "m.s.y{n}", "m.s.w{n}"]),
+    "inserts": ("sql", "FROM m.s.x{n} INSERT INTO m.s.a{n} SELECT p AS c1 INSERT INTO m.s.b{n} SELECT r AS c2", [("m.s.a{n}", "c1", "m.s.x{n}", "p"), ("m.s.b{n}", "c2", "m.s.x{n}", "r")], ["m.s.x{n}"]),
+    "merge": ("sql", "MERGE INTO m.s.t{n} t USING m.s.f{n} f ON t.id = f.id WHEN MATCHED THEN UPDATE SET t.v = f.v + 1 WHEN NOT MATCHED THEN INSERT (id, v) VALUES (f.id, f.w)", [("m.s.t{n}", "v", "m.s.f{n}", "v"), ("m.s.t{n}", "id", "m.s.f{n}", "id"), ("m.s.t{n}", "v", "m.s.f{n}", "w")], ["m.s.f{n}"]),
+    "defaults": ("sql", "USE CATALOG m; USE SCHEMA s; WITH c AS (SELECT a + 1 AS b FROM x{n}) INSERT INTO y{n} SELECT b AS d FROM c", [("m.s.y{n}", "d", "m.s.x{n}", "a")], ["m.s.x{n}"]),
+    "join": ("sql", "CREATE TABLE m.s.j{n} AS SELECT o.id, c.name AS who, coalesce(o.v, c.v) AS v FROM m.s.x{n} o JOIN m.s.y{n} c ON o.id = c.id", [("m.s.j{n}", "id", "m.s.x{n}", "id"), ("m.s.j{n}", "who", "m.s.y{n}", "name"), ("m.s.j{n}", "v", "m.s.x{n}", "v"), ("m.s.j{n}", "v", "m.s.y{n}", "v")], ["m.s.x{n}", "m.s.y{n}"]),
+    "grouped": ("python", 'df = spark.table("m.s.x{n}")\ndf.groupBy("g").agg(F.sum("v").alias("total")).write.mode("append").saveAsTable("m.s.g{n}")', [("m.s.g{n}", "g", "m.s.x{n}", "g"), ("m.s.g{n}", "total", "m.s.x{n}", "v")], ["m.s.x{n}"]),
+    "dropped": ("python", 'df = spark.read.table("m.s.x{n}").withColumn("tmp", F.col("a")).withColumn("q", F.col("tmp") + 1)\ndf.select("q").write.saveAsTable("m.s.d{n}")', [("m.s.d{n}", "q", "m.s.x{n}", "a")], ["m.s.x{n}"]),
+    "branches": ("python", 'def load():\n    return spark.table("m.s.x{n}")\nif full:\n    pass\nelse:\n    load().select("k").write.saveAsTable("m.s.e{n}")', [("m.s.e{n}", "k", "m.s.x{n}", "k")], ["m.s.x{n}"]),
+    "texts": ("python", 'cat = "m"\nspark.sql(f"CREATE TABLE {cat}.s.z{n} AS SELECT p AS k FROM {cat}.s.x{n}")', [("m.s.z{n}", "k", "m.s.x{n}", "p")], ["m.s.x{n}"]),
+    "cells": ("python", '# Databricks notebook source\nx = "m.s.x{n}"\n# COMMAND ----------\n# MAGIC %md\n# MAGIC words\n# COMMAND ----------\nspark.table(x).select(F.upper(F.col("a")).alias("b")).write.saveAsTable("m.s.c{n}")', [("m.s.c{n}", "b", "m.s.x{n}", "a")], ["m.s.x{n}"]),
+}
+
+
+def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = spark.createDataFrame([(k, language, text) for k, (language, text, _, _) in _ARTIFACTS.items()], "kind string, language string, text string")
+    keys = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("n"))
+    every = keys.select("n", F.explode(F.array(*(F.lit(k) for k in _ARTIFACTS))).alias("kind")).join(kinds, "kind")
+    return every.select(F.concat_ws("_", "kind", "n").alias("extraction_id"), "language", F.replace("text", F.lit("{n}"), F.col("n")).alias("raw_source"))
+
+
+@query(_per_nation([f"'{k}_{{n}}' AS artifact_id, '{t}' AS output_table_fqn, '{o}' AS output_column, '{s}' AS source_fqn, '{c}' AS source_column" for k, (_, _, maps, _) in _ARTIFACTS.items() for t, o, s, c in maps]))
+def code_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.lineage_of(spark, _artifacts(spark, sf_dir))[0].select("artifact_id", "output_table_fqn", "output_column", "source_fqn", "source_column").distinct()
+
+
+@query(_per_nation([f"'{k}_{{n}}' AS artifact_id, '{t}' AS table_fqn" for k, (_, _, _, reads) in _ARTIFACTS.items() for t in reads]))
+def code_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.lineage_of(spark, _artifacts(spark, sf_dir))[1].distinct()
+
+
+@query("SELECT CASE k WHEN 0 THEN 'cells' ELSE 'grouped' END || '_' || CAST(n_nationkey AS VARCHAR) AS artifact_id, count(*) AS cells FROM nation CROSS JOIN (VALUES (0), (0), (1)) v(k) GROUP BY k, n_nationkey")
+def code_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    two = _artifacts(spark, sf_dir).filter(F.col("extraction_id").rlike("^(cells|grouped)_"))
+    return code.cells(two).groupBy("artifact_id").agg(F.count(F.lit(1)).alias("cells"))

@@ -605,7 +605,7 @@ _ARTIFACTS: dict[str, tuple[str, str, list[tuple[str, str, str, str]], list[str]
     "dropped": ("python", 'df = spark.read.table("m.s.x{n}").withColumn("tmp", F.col("a")).withColumn("q", F.col("tmp") + 1)\ndf.select("q").write.saveAsTable("m.s.d{n}")', [("m.s.d{n}", "q", "m.s.x{n}", "a")], ["m.s.x{n}"]),
     "branches": ("python", 'def load():\n    return spark.table("m.s.x{n}")\nif full:\n    pass\nelse:\n    load().select("k").write.saveAsTable("m.s.e{n}")', [("m.s.e{n}", "k", "m.s.x{n}", "k")], ["m.s.x{n}"]),
     "texts": ("python", 'cat = "m"\nspark.sql(f"CREATE TABLE {cat}.s.z{n} AS SELECT p AS k FROM {cat}.s.x{n}")', [("m.s.z{n}", "k", "m.s.x{n}", "p")], ["m.s.x{n}"]),
-    "cells": ("python", '# Databricks notebook source\nx = "m.s.x{n}"\n# COMMAND ----------\n# MAGIC %md\n# MAGIC words\n# COMMAND ----------\nspark.table(x).select(F.upper(F.col("a")).alias("b")).write.saveAsTable("m.s.c{n}")', [("m.s.c{n}", "b", "m.s.x{n}", "a")], ["m.s.x{n}"]),
+    "cells": ("python", '# a notebook\nx = "m.s.x{n}"\n# COMMAND ----------\n# MAGIC %md\n# MAGIC words\n# COMMAND ----------\nspark.table(x).select(F.upper(F.col("a")).alias("b")).write.saveAsTable("m.s.c{n}")', [("m.s.c{n}", "b", "m.s.x{n}", "a")], ["m.s.x{n}"]),
 }
 
 
@@ -630,3 +630,93 @@ def code_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = _artifacts(spark, sf_dir).filter(F.col("extraction_id").rlike("^(cells|grouped)_"))
     return code.cells(two).groupBy("artifact_id").agg(F.count(F.lit(1)).alias("cells"))
+
+
+# --- runs, sources, history -------------------------------------------------------------------------
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows: each order names a notebook (one per customer) and a path; every seventh order has no path."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    path = F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("/Users/n"), F.col("o_orderkey").cast("string")))
+    params = F.create_map(F.lit("notebookId"), F.col("o_custkey").cast("string"), F.lit("path"), path)
+    return o.select(F.to_date("o_orderdate").alias("event_date"), F.col("o_orderdate").cast("timestamp").alias("event_time"), params.alias("request_params"))
+
+
+_AUDIT_SQL = "SELECT CAST(o_custkey AS VARCHAR) AS notebook_id, '/Users/n' || CAST(o_orderkey AS VARCHAR) AS nb_path, CAST(o_orderdate AS TIMESTAMP) AS t FROM orders WHERE o_orderkey % 7 <> 0 AND CAST(o_orderdate AS DATE) >= CAST('1997-01-01' AS DATE) - 365"
+
+
+@query(f"WITH a AS ({_AUDIT_SQL}) SELECT notebook_id, arg_max(nb_path, {{'t': t, 'p': nb_path}}) AS nb_path FROM a WHERE CAST(notebook_id AS BIGINT) % 2 = 0 GROUP BY 1")
+def notebook_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audit = _audit(spark, sf_dir)
+    wanted = audit.select(F.col("request_params")["notebookId"].alias("notebook_id")).filter(F.col("notebook_id").cast("bigint") % 2 == 0)
+    return metadata.notebook_paths(audit, wanted, as_of="1997-01-01", days=365)
+
+
+@query(f"WITH a AS ({_AUDIT_SQL}), w AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS notebook_id FROM orders) SELECT notebook_id, CASE WHEN CAST(notebook_id AS BIGINT) % 3 = 0 THEN '/cached/' || notebook_id ELSE p END AS nb_path FROM w LEFT JOIN (SELECT notebook_id, arg_max(nb_path, {{'t': t, 'p': nb_path}}) AS p FROM a GROUP BY 1) USING (notebook_id) WHERE CAST(notebook_id AS BIGINT) % 3 = 0 OR p IS NOT NULL")
+def cached_notebook_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audit = _audit(spark, sf_dir)
+    wanted = audit.select(F.col("request_params")["notebookId"].alias("notebook_id")).distinct()
+    cache = wanted.filter(F.col("notebook_id").cast("bigint") % 3 == 0).select("notebook_id", F.concat(F.lit("/cached/"), "notebook_id").alias("nb_path"), F.lit("1996-12-31").cast("timestamp").alias("resolved_at"))
+    return metadata.cached_paths(audit, wanted, cache, as_of="1997-01-01", days=365)[0]
+
+
+def _run_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run per order with a task per line: notebooks, Python files, SQL files, some of them in git, some without a source."""
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    kind, name = F.col("l_partkey") % 4, F.col("l_partkey").cast("string")
+    task = F.struct(
+        F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("task_key"), F.when(kind == 0, F.concat(F.lit("/n/"), name)).alias("notebook_path"), F.when(kind == 1, F.concat(F.lit("/f/"), name, F.lit(".py"))).alias("python_file"),
+        F.when(kind == 2, F.concat(F.lit("/q/"), name, F.lit(".sql"))).alias("sql_file"), F.when(F.col("l_suppkey") % 5 == 0, F.lit("git@host")).alias("git_url"),
+    )
+    return x.groupBy(F.col("l_orderkey").alias("run_id")).agg(F.collect_list(task).alias("tasks"))
+
+
+@query("""SELECT l_orderkey AS run_id, 't' || CAST(l_linenumber AS VARCHAR) AS task_key, CASE WHEN l_suppkey % 5 = 0 THEN 'git' ELSE 'workspace' END || CASE l_partkey % 4 WHEN 0 THEN '_notebook' WHEN 1 THEN '_python' ELSE '_sql' END AS source_kind,
+ CASE l_partkey % 4 WHEN 0 THEN '/n/' || CAST(l_partkey AS VARCHAR) WHEN 1 THEN '/f/' || CAST(l_partkey AS VARCHAR) || '.py' ELSE '/q/' || CAST(l_partkey AS VARCHAR) || '.sql' END AS source_path, CASE l_partkey % 4 WHEN 2 THEN 'sql' ELSE 'python' END AS language FROM lineitem WHERE l_partkey % 4 <> 3""")
+def run_task_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.task_sources(_run_tasks(spark, sf_dir))
+
+
+def _pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    name = F.col("s_suppkey").cast("string")
+    library = F.struct(F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("/nb/"), name)).alias("notebook"), F.when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("/lib/"), name, F.lit(".sql"))).alias("file"))
+    return s.groupBy((F.col("s_suppkey") % 10).cast("string").alias("pipeline_id")).agg(F.collect_list(library).alias("libraries"))
+
+
+_LIBRARIES = "SELECT CAST(s_suppkey % 10 AS VARCHAR) AS pipeline_id, CASE s_suppkey % 3 WHEN 0 THEN 'pipeline_notebook' ELSE 'pipeline_file' END AS source_kind, CASE s_suppkey % 3 WHEN 0 THEN '/nb/' || CAST(s_suppkey AS VARCHAR) ELSE '/lib/' || CAST(s_suppkey AS VARCHAR) || '.sql' END AS source_path, CASE s_suppkey % 3 WHEN 0 THEN 'python' ELSE 'sql' END AS language FROM supplier WHERE s_suppkey % 3 <> 2"
+
+
+@query(_LIBRARIES)
+def pipeline_library_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.library_sources(_pipelines(spark, sf_dir))
+
+
+@query(f"SELECT l.*, CASE WHEN source_kind = 'pipeline_file' THEN 'SELECT ' || substr(source_path, 6) ELSE '' END AS raw_source FROM ({_LIBRARIES}) l")
+def fetched_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = pipeline_library_sources(spark, sf_dir)
+    files = sources.filter("source_kind = 'pipeline_file'").select(F.col("source_path").alias("path"), F.concat(F.lit("SELECT "), F.substr("source_path", F.lit(6))).alias("content"))
+    return metadata.fetched(sources, files)
+
+
+@query("SELECT CASE WHEN p_partkey % 5 = 0 THEN 'empty_source' WHEN p_partkey % 5 = 1 THEN 'external_source' END AS skip_reason, count(*) AS n FROM part WHERE p_partkey % 5 < 2 GROUP BY 1")
+def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    return metadata.skip_report(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.when(k == 0, "empty_source").when(k == 1, "external_source").alias("skip_reason")))
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished statements, one an order; each writes the table of its customer, some only read it, and one in nine is no SQL."""
+    o, name = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.concat(F.lit("m.s.c"), F.col("o_custkey").cast("string"))
+    text = F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit("NOT SQL "), name)).when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("SELECT a FROM "), name)).otherwise(F.concat(F.lit("INSERT INTO "), name, F.lit(" SELECT a FROM m.s.x")))
+    return o.select(text.alias("statement_text"), F.lit("FINISHED").alias("execution_status"), F.lit("OTHER").alias("statement_type"), F.col("o_orderdate").cast("timestamp").alias("start_time"), name.alias("full_name"), "o_custkey")
+
+
+@query("""WITH h AS (SELECT 'm.s.c' || CAST(o_custkey AS VARCHAR) AS full_name, CASE WHEN o_orderkey % 9 = 0 THEN 'NOT SQL m.s.c' || CAST(o_custkey AS VARCHAR) WHEN o_orderkey % 2 = 0 THEN 'SELECT a FROM m.s.c' || CAST(o_custkey AS VARCHAR) ELSE 'INSERT INTO m.s.c' || CAST(o_custkey AS VARCHAR) || ' SELECT a FROM m.s.x' END AS statement_text, CAST(o_orderdate AS TIMESTAMP) AS start_time FROM orders WHERE o_custkey < 30),
+n AS (SELECT DISTINCT * FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY full_name ORDER BY start_time DESC, statement_text) AS n FROM n)
+SELECT full_name, min(n) AS n, arg_min(statement_text, n) AS statement_text, CASE WHEN min(n) IS NULL THEN 'no_producing_query' END AS skip_reason FROM (SELECT DISTINCT full_name FROM h) w LEFT JOIN (SELECT * FROM r WHERE n <= 40 AND starts_with(statement_text, 'INSERT')) USING (full_name) GROUP BY full_name""")
+def producers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = _history(spark, sf_dir)
+    wanted = history.filter("o_custkey < 30").select("full_name").distinct()
+    return code.producers(spark, metadata.producing_queries(history.drop("full_name", "o_custkey"), wanted, as_of="2000-01-01", hours=24 * 365 * 20), wanted)

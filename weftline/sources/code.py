@@ -620,3 +620,36 @@ def lineage_of(spark: SparkSession, artifacts: DataFrame, catalog: str | None =
     m2, r2 = sql_lineage(spark, every.filter("lower(language) = 'sql'"), catalog, schema)
     m3, r3 = sql_lineage(spark, sql_inside(every.filter("lower(language) != 'sql' and source like '%.sql(%'")), catalog, schema)
     return m1.unionByName(m2).unionByName(m3), r1.unionByName(r2).unionByName(r3).distinct()
+
+
+def producers(spark: SparkSession, queries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(full_name, n, statement_text, skip_reason): of each wanted table the newest of its ``queries`` (full_name, n, statement_text) that Spark parses as writing to it;
+    ``no_producing_query`` where none does. Names agree in any case of letters."""
+    key = F.sha2(F.to_json(F.struct(F.col("statement_text").alias("statement"), F.lit(None).cast("string").alias("catalog"), F.lit(None).cast("string").alias("schema"))), 256)
+    kept = saved(queries.select("full_name", "n", "statement_text", key.alias("artifact_id")), "history")
+    written = sql_targets(spark, kept.select("artifact_id", F.col("statement_text").alias("source")).distinct())
+    hit = kept.join(written, "artifact_id").filter(F.lower("target") == F.lower("full_name"))
+    first = hit.groupBy("full_name").agg(F.min(F.struct("n", "statement_text")).alias("q")).select("full_name", "q.n", "q.statement_text")
+    return wanted.select("full_name").distinct().join(first, "full_name", "left").withColumn("skip_reason", F.when(F.col("n").isNull(), "no_producing_query"))
+
+
+def sql_targets(spark: SparkSession, sql_cells: DataFrame) -> DataFrame:
+    """(artifact_id, target) of the tables that statements (artifact_id, source) write; parsed like those of ``sql_lineage``."""
+    folder, rows, kind = new_folder(spark, "targets"), [], "artifact_id string, target string"
+
+    def flush() -> None:
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(folder)
+        rows.clear()
+
+    for r in sql_statements(sql_cells).distinct().toLocalIterator():
+        try:
+            plan = plan_of(spark, r["statement"])
+            q = _Query(r["catalog"], r["schema"])
+            names = [q.merged(plan)[0][0]] if _name(plan) == "MergeIntoTable" else [qualified(n, r["catalog"], r["schema"]) for n, _ in q.writes(plan, {}) if n]
+        except Exception:  # noqa: BLE001, S112  not a statement of Spark's
+            continue
+        rows += [(r["artifact_id"], n) for n in names if n]
+        if len(rows) >= PARSED_ROWS:
+            flush()
+    flush()
+    return spark.read.schema(kind).parquet(folder)

@@ -229,14 +229,25 @@ def test_suffix_array_and_prefixes():
         order = sorted(range(len(s)), key=lambda i: tuple(s[i:]))
         sa = suffix_dedup.suffix_array(s)
         assert list(sa) == order
-        shared = suffix_dedup.permuted_prefixes(s, sa, 128)
+        shared = suffix_dedup.permuted_prefixes(s, sa)  # they end at separators, which are zeros
         for a, b in zip(order, order[1:], strict=False):
             k = 0
-            while max(a, b) + k < len(s) and s[a + k] == s[b + k]:
+            while max(a, b) + k < len(s) and s[a + k] == s[b + k] != 0:
                 k += 1
             assert shared[b] == k
 
 
+def test_repeated_windows_have_no_cap():
+    """Equal strings in one order twice share far more than any one of them holds; every window of each is found, and those of a long pair too."""
+    rng = np.random.default_rng(6)
+    strings = [rng.integers(97, 123, 560).astype(np.uint8) for _ in range(8)]
+    long = rng.integers(97, 123, 6000).astype(np.uint8)
+    parts = [*strings, *strings, long, np.concatenate([long[:10], long])]
+    found = suffix_dedup.repeated_windows(parts, np.ones(len(parts), np.int64), np.arange(len(parts), dtype=np.int64) << 40)
+    assert [len(x) for x in found[:16]] == [161] * 16
+    assert len(found[16]) == 5601 and list(found[17]) == list(range(10, 5611))
+
+
 def test_minimizers_of_equal_windows_agree():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 101, 3000).astype(np.uint8)

@@ -117,19 +117,23 @@ def removals(rows: DataFrame) -> DataFrame:
     """(rk, starts, ends): the packed word ranges to remove, for the documents (doc_id, text, rk) that lose any.
 
     Of the windows of a batch with one name all but those of its smallest doc_id are lost whatever other batches have, so only the latter go on to
-    the range of their name: a passage that a third of all documents share costs a range no more than a document a batch."""
+    the range of their name: a passage that a third of all documents share costs a range no more than a document a batch. A range answers each batch
+    in one row, whatever documents it names, and a batch's answers, bounded by its windows, are sorted out into documents in one place."""
     size = bytes_of(rows)
     known = saved(repeated_anchors(rows, anchors, text_bytes=size, across_documents=True), "known")
     some = rows.join(small(known.select("rk")), "rk", "left_semi").join(known, "rk")
     bits = range_bits(size)
-    names = ["part", "name", "second", "rk", "doc", "start"]
+    names = ["part", "batch", "name", "second", "doc", "start"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 20
         held: list[tuple] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal count
+            nonlocal count, number
             sizes = [len(x[2]) for x in held]
             rk, doc = (np.repeat(np.array([x[k] for x in held], "<i8"), sizes) for k in (0, 1))
             start, name, second = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
@@ -139,13 +143,14 @@ def removals(rows: DataFrame) -> DataFrame:
             name, second, rk, doc, start = (x[order] for x in (name, second, rk, doc, start.astype("<i4")))
             new = np.concatenate([[True], (name[1:] != name[:-1]) | (second[1:] != second[:-1])])
             lost = doc > doc[new][np.cumsum(new) - 1]
-            out = [(-1, None, None, int(r), None, s) for r, s in _by_row(rk[lost], start[lost])]
+            out = [(-1, number, None, None, *_packed(rk[lost], start[lost]))] if lost.any() else []
             name, second, rk, doc, start = (x[~lost] for x in (name, second, rk, doc, start))
             part = (name >> _U(64 - bits)).astype(np.int64)
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
             for a, z in zip(cut[:-1], cut[1:], strict=True):
-                out.append((int(part[a]), pack(name[a:z]), _column(second[a:z]), None, _column(np.stack([rk[a:z], doc[a:z]], 1)), _column(start[a:z])))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+                out.append((int(part[a]), number, pack(name[a:z]), _column(second[a:z]), _column(np.stack([rk[a:z], doc[a:z]], 1)), _column(start[a:z])))
+            number += 1
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names)
 
         for b in batches:
@@ -159,33 +164,47 @@ def removals(rows: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    sent = saved(some.select("rk", "doc_id", "text", "anchors").mapInArrow(send, "part long, name binary, second binary, rk long, doc binary, start binary"), "windows")
+    sent = saved(some.select("rk", "doc_id", "text", "anchors").mapInArrow(send, "part long, batch long, name binary, second binary, doc binary, start binary"), "windows")
 
     def judge(table: pa.Table) -> list[tuple]:
         lists = [[f(x) for x in table.column(c).to_pylist()] for c, f in (("name", unpack), ("second", lambda x: _uncolumn(x, "<u8").ravel()), ("doc", lambda x: _uncolumn(x, "<i8")), ("start", lambda x: _uncolumn(x, "<i4").ravel()))]
+        origin = np.repeat(table.column("batch").to_numpy(), [len(x) for x in lists[0]])
         name, second, row, start = (np.concatenate(x) for x in lists)
         order = np.lexsort((row[:, 1], second, name))
-        name, second, row, start = name[order], second[order], row[order], start[order]
+        name, second, row, start, origin = name[order], second[order], row[order], start[order], origin[order]
         new = np.concatenate([[True], (name[1:] != name[:-1]) | (second[1:] != second[:-1])])
         lost = row[:, 1] > row[new, 1][np.cumsum(new) - 1]
-        return [(int(r), s) for r, s in _by_row(row[lost, 0], start[lost])]
+        rk, start, origin = row[lost, 0], start[lost], origin[lost]
+        order = np.argsort(origin, kind="stable")
+        rk, start, origin = rk[order], start[order], origin[order]
+        return [(int(origin[a]), *_packed(rk[a:z], start[a:z])) for a, z in _stretches(origin)]
 
     def unite(table: pa.Table) -> list[tuple]:
-        start = np.frombuffer(b"".join(table.column("starts").to_pylist()), "<i4").astype(np.int64)
-        a, z = merged_ranges(start, start + WINDOW)
-        return [(int(table.column("rk")[0].as_py()), pack(a.astype(_U)), pack(z.astype(_U)))]
+        rk, start = (np.concatenate([_uncolumn(x, kind).ravel() for x in table.column(c).to_pylist()]) for c, kind in (("rks", "<i8"), ("starts", "<i4")))
+        order = np.lexsort((start, rk))
+        rk, start = rk[order], start[order].astype(np.int64)
+        out = []
+        for a, z in _stretches(rk):
+            lo, hi = merged_ranges(start[a:z], start[a:z] + WINDOW)
+            out.append((int(rk[a]), pack(lo.astype(_U)), pack(hi.astype(_U))))
+        return out
+
+    judged = mapped_groups(sent.filter("part >= 0"), "part", judge, "batch long, rks binary, starts binary")
+    answers = judged.unionByName(sent.filter("part = -1").select("batch", F.col("doc").alias("rks"), F.col("start").alias("starts")))
+    # a row that repeats with its doc_id may stand in several batches, each with the same answer
+    return mapped_groups(answers, "batch", unite, "rk long, starts binary, ends binary").dropDuplicates(["rk"])
+
 
-    judged = mapped_groups(sent.filter("part >= 0").drop("rk"), "part", judge, "rk long, starts binary")
-    return mapped_groups(judged.unionByName(sent.filter("part = -1").select("rk", F.col("start").alias("starts"))), "rk", unite, "rk long, starts binary, ends binary")
+def _stretches(x: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the stretches of equal values."""
+    cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])).tolist() if len(x) else []
+    return list(zip(cut[:-1], cut[1:], strict=True))
 
 
-def _by_row(rk: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Starts by row, as bytes."""
+def _packed(rk: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes]:
+    """Rows and starts, sorted and compressed."""
     order = np.lexsort((start, rk))
-    rk, start = rk[order], start[order].astype("<i4")
-    cut = np.flatnonzero(np.concatenate([[True], rk[1:] != rk[:-1], [True]])) if len(rk) else np.zeros(0, np.int64)
-    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        yield rk[a], start[a:z].tobytes()
+    return _column(rk[order].astype("<i8")), _column(start[order].astype("<i4"))
 
 
 def _column(x: np.ndarray) -> bytes:

@@ -144,6 +144,36 @@ def test_build_serve_and_clear(spark):
     assert store.read("lineage_nodes").isEmpty()
 
 
+def test_runs_are_swapped_and_others_stay(spark):
+    store = Store(spark, "lineage_swap")
+    store.ensure()
+    node = "node_id string, table_fqn string"
+    for run in ("r1", "r2", "it's"):
+        store.replace_run("lineage_nodes", spark.createDataFrame([(f"{run}-a", "main.a"), (f"{run}-b", "main.b")], node), run)
+    left = lambda: {(r["pipeline_run_id"], r["node_id"]) for r in store.read("lineage_nodes").collect()}
+    assert len(left()) == 6
+    store.replace_run("lineage_nodes", spark.createDataFrame([("new", "main.a")], node), "r1")
+    assert left() == {("r1", "new"), ("r2", "r2-a"), ("r2", "r2-b"), ("it's", "it's-a"), ("it's", "it's-b")}
+    with pytest.raises(Exception, match="broken"):  # a write that fails leaves what was there
+        store.replace_run("lineage_nodes", spark.createDataFrame([("x", "main.a")], node).withColumn("label", F.raise_error(F.lit("broken"))), "r1")
+    assert ("r1", "new") in left()
+    store.replace_run("lineage_nodes", spark.createDataFrame([], node), "it's")
+    store.keep_only("lineage_nodes", F.col("table_fqn") == "main.b")
+    assert left() == {("r2", "r2-b")}
+    with pytest.raises(ValueError):
+        store.keep_only("lineage_notebook_path_cache", F.lit(True))
+
+
+def test_service_latency(spark):
+    rows = [(i, f"2026-01-01 00:{i // 60:02d}:{i % 60:02d}", None if i == 99 else float(i % 7)) for i in range(100)]
+    requests = spark.createDataFrame(rows, "id long, t string, ms double").withColumn("t", F.col("t").cast("timestamp"))
+    got = report.service_latency(requests, "t", "id", "ms", last=50).first()
+    v = sorted(r[2] for r in rows[50:99])
+    assert tuple(got) == (v[24], v[46], v[48], 49, 50)
+    assert report.service_latency(requests, "t", "id", "ms").first()["rate_per_min"] == 60
+    assert tuple(report.service_latency(requests.limit(0), "t", "id", "ms").first()) == (0.0, 0.0, 0.0, 0, 0)
+
+
 def test_version_hash_and_changes(spark):
     h = spark.createDataFrame([("r1", "a"), ("r1", "b"), ("r2", "b"), ("r2", "a"), ("r3", "c")], "pipeline_run_id string, edge_id string")
     v = {r[0]: r[1] for r in hops.version_hash(h).collect()}

@@ -96,6 +96,17 @@ def percentiles(values: DataFrame, column: str, shares: tuple[float, ...] = (0.5
     return found.select("share", "value")
 
 
+def service_latency(requests: DataFrame, at: str, ident: str, value: str, *, now: str | None = None, last: int = 1000, seconds: int = 60) -> DataFrame:
+    """One row about the ``last`` newest requests (ties by ``ident``): p50, p95, p99 of their values by nearest rank, sample_count, and rate_per_min, how many of them began less
+    than ``seconds`` before ``now`` (the newest request's time, if it is not given). Requests without a value count for the rate alone; without requests all are 0."""
+    newest = requests.select(at, ident, value).orderBy(F.desc(at), F.desc(ident)).limit(last)
+    end = F.max(at).over(Window.partitionBy(F.lit(1))) if now is None else F.lit(now).cast("timestamp")  # at most ``last`` rows
+    timed = newest.select(value, (F.unix_micros(end.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))).alias("age"))
+    one = timed.agg(F.array_sort(F.collect_list(value)).alias("v"), F.count_if(F.col("age") < seconds * 1_000_000).alias("rate_per_min"))
+    rank = lambda share: F.coalesce(F.get("v", F.floor(F.size("v") * F.lit(share)).cast("int")), F.lit(0.0))
+    return one.select(rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.size("v").cast("long").alias("sample_count"), "rate_per_min")
+
+
 def inventory(entries: DataFrame, now: float, ttl: float, limit: int = 15) -> DataFrame:
     """The largest cache entries (key, size, stored_at) with the seconds that they have left."""
     return entries.withColumn("ttl_remaining", F.greatest(F.lit(0.0), F.lit(ttl) - (F.lit(now) - F.col("stored_at")))).orderBy(F.desc("size"), "key").limit(limit)

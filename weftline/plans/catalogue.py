@@ -284,6 +284,12 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.percentiles(spark.read.parquet(f"{sf_dir}/events.parquet"), "value").withColumn("share", F.col("share").cast("decimal(3,2)"))
 
 
+@query("WITH l AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000), r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM l WHERE value IS NOT NULL) SELECT max(CASE WHEN k = floor(n * 0.5) THEN value END) AS p50, max(CASE WHEN k = floor(n * 0.95) THEN value END) AS p95, max(CASE WHEN k = floor(n * 0.99) THEN value END) AS p99, max(n) AS sample_count, (SELECT count(*) FROM l WHERE (SELECT max(ts) FROM l) - ts < INTERVAL 60 SECOND) AS rate_per_min FROM r")
+def service_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 1000 requests are the feature."""
+    return report.service_latency(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "event_id", "value")
+
+
 # --- sharing ------------------------------------------------------------------------------------
 
 R_SHARE = "rc AS (SELECT share_name, string_agg(DISTINCT recipient_name, ',' ORDER BY recipient_name) AS recipients FROM v_privileges WHERE privilege_type = 'SELECT' GROUP BY 1)"

@@ -1,7 +1,7 @@
 """The lineage store: twelve tables, partitioned by run where they hold runs.
 
-Tables are Parquet tables of the session's catalog. A run is written again by overwriting its partition, so a job that is repeated after a lost
-driver leaves no rows twice.
+Tables are Parquet tables of the session's catalog. Rows are replaced by partition: the new files are written whole beside the old ones, which go only when
+the job commits, so a write that fails leaves what was there. A job that is repeated after a lost driver leaves no rows twice.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.plans.durable import saved
+from weftline.plans.durable import new_folder, saved
 
 # The tables' columns.
 TABLES: dict[str, str] = {
@@ -62,19 +62,41 @@ class Store:
     def append(self, table: str, rows: DataFrame, run: str | None = None) -> None:
         self._ready(table, rows, run).write.mode("append").insertInto(self.name(table))
 
+    def _swap(self, table: str, rows: DataFrame) -> bool:
+        """Replace the runs that occur in ``rows``, and say whether there are any; no other run is touched.
+
+        Only partitions with new rows are overwritten, which is a session's setting: a session of its own has it, so that the caller's keeps its own."""
+        path = new_folder(self.spark, table)
+        rows.write.parquet(path)
+        own = self.spark.newSession()
+        own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        ready = own.read.schema(rows.schema).parquet(path)
+        if ready.isEmpty():
+            return False
+        ready.write.mode("overwrite").insertInto(self.name(table))
+        self.spark.catalog.refreshTable(self.name(table))  # the caller's session has listed the files that are gone
+        return True
+
+    def _drop_run(self, table: str, run: str) -> None:
+        self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({RUN} = '{_quoted(run)}')")
+
     def replace_run(self, table: str, rows: DataFrame, run: str) -> None:
-        """The run's rows anew; other runs stay."""
-        ready = self._ready(table, rows, run)
+        """The run's rows anew, none if ``rows`` is empty; other runs stay."""
         if RUN not in TABLES[table]:
             raise ValueError(f"{table} holds no runs")
-        self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({RUN} = '{_quoted(run)}')")
-        ready.write.mode("append").insertInto(self.name(table))
+        if not self._swap(table, self._ready(table, rows, run)):
+            self._drop_run(table, run)
 
     def keep_only(self, table: str, condition: Column) -> None:
-        """Rewrite a table with the rows that meet a condition (null counts as not)."""
-        rest = saved(self.spark.table(self.name(table)).filter(condition), "rest")
-        self.spark.sql(f"TRUNCATE TABLE {self.name(table)}")
-        rest.write.mode("append").insertInto(self.name(table))
+        """Rewrite the runs of a table with the rows that meet a condition (null counts as not). Runs that lose no row stay as they are; of runs only the ids of those that lose all come to the driver."""
+        if RUN not in TABLES[table]:
+            raise ValueError(f"{table} holds no runs")
+        now = self.spark.table(self.name(table))
+        good = F.coalesce(condition, F.lit(False))
+        changed = saved(now.groupBy(RUN).agg(F.count_if(~good).alias("lost"), F.count_if(good).alias("left")).filter("lost > 0"), "changed")
+        self._swap(table, now.filter(good).join(changed.filter("left > 0").select(RUN), RUN, "left_semi").select(*now.columns))
+        for row in changed.filter("left = 0").select(RUN).toLocalIterator():
+            self._drop_run(table, row[0])
 
     def clear(self, scope: str, table_fqn: str | None = None) -> list[str]:
         """Forget cached results (``cache``), all about one table (``table``), or everything but KEPT (``all``). Returns the tables that were touched."""

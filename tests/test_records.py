@@ -133,6 +133,10 @@ def test_build_serve_and_clear(spark):
     steps = api.find_paths(store, "col:main.a.b::x", "col:main.a.d::z", run="run1", now="2026-01-01 01:00:00").orderBy("step").collect()
     assert [r["node"] for r in steps] == ["col:main.a.b::x", "col:main.a.c::y", "col:main.a.d::z"]
     assert store.read("lineage_sublineage_cache").count() == 1
+    again = api.find_paths(store, "col:main.a.b::x", "col:main.a.d::z", run="run1", now="2026-01-01 01:30:00")
+    assert again.orderBy("step").collect() == steps and store.read("lineage_sublineage_cache").count() == 1  # answered from the cache
+    assert api.find_paths(store, "col:main.a.b::x", "col:main.a.d::z", run="run1", mode="k", now="2026-01-01 01:30:00").count() == 3
+    assert store.read("lineage_sublineage_cache").count() == 2
     back = api.backtrack(store, "col:main.a.d::z", run="run1")
     assert {(r["node"], r["depth"]) for r in back["levels"].collect()} == {("col:main.a.d::z", 0), ("col:main.a.c::y", 1), ("col:main.a.b::x", 2)}
     assert "error" in api.backtrack(store, "col:no::thing", run="run1")

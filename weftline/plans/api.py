@@ -160,24 +160,33 @@ def step_of(percent: float) -> tuple[int, str]:
 
 
 def find_paths(store: Store, source: str, target: str, *, run: str | None = None, mode: str = "shortest", max_depth: int = paths.MAX_DEPTH, max_paths: int = paths.MAX_PATHS, now: str | None = None) -> DataFrame:
-    """(path, step, node, edge_id, expression) of paths between columns of a run (the latest by default); ``mode`` is shortest, all or k."""
+    """(path, step, node, edge_id, expression) of paths between columns of a run (the latest by default); ``mode`` is shortest, all or k.
+
+    With ``now`` the shortest and the k paths, which are bounded, are kept in the path cache under the hash of the run's edges, and a question asked before is
+    answered from it without a walk."""
+    if mode not in ("shortest", "all", "k"):
+        raise ValueError("mode is shortest, all or k")
     every = store.read("lineage_edge_endpoints")
     run = run or hops.latest_run(every).first()["pipeline_run_id"]
     own = saved(every.filter(F.col("pipeline_run_id") == run), "run")
+    kept_as = None if mode == "all" else now
+    if kept_as is not None:
+        version = hops.version_hash(own).first()["version_hash"]
+        key = f"steps|{source}|{target}|{mode}|{max_depth}|{max_paths}|{version}"
+        kept = store.read("lineage_sublineage_cache", run).filter(F.col("cache_key") == key).select("paths_json").limit(1)
+        known = saved(kept.select(F.inline(F.from_json("paths_json", "array<struct<path int, step int, node string, edge_id string, expression string>>"))), "known")
+        if not known.isEmpty():
+            return known
     if mode == "shortest":
         steps = paths.shortest_path(own, source, target, max_depth)
         one = steps.agg(F.sort_array(F.collect_list(F.struct("step", "dst_node_id", "edge_id"))).alias("s")).filter(F.size("s") > 0)  # a path has max_depth steps at most
         found = one.select(F.lit(1).alias("path"), F.concat(F.array(F.lit(source)), F.transform("s", lambda x: x["dst_node_id"])).alias("nodes"), F.transform("s", lambda x: x["edge_id"]).alias("edges"))
-    elif mode in ("all", "k"):
-        found = paths.simple_paths(own, source, target, max_depth, max_paths if mode == "k" else None)
     else:
-        raise ValueError("mode is shortest, all or k")
+        found = paths.simple_paths(own, source, target, max_depth, max_paths if mode == "k" else None)
     shown = saved(paths.rendered(found, own), "paths")
-    if now is not None and not shown.isEmpty():
-        version = hops.version_hash(own).first()["version_hash"]
-        key = f"{source}|{target}|{mode}|{max_depth}|{max_paths}|{version}"
-        sums = shown.agg(F.countDistinct("path").cast("int").alias("path_count"), F.max("step").alias("hop_count"), F.to_json(F.sort_array(F.collect_list(F.struct("path", "step", "node", "edge_id")))).alias("paths_json"))
-        store.append("lineage_sublineage_cache", sums.withColumns({"cache_key": F.lit(key), "src_node_id": F.lit(source), "dst_node_id": F.lit(target), "mode": F.lit(mode), "version_hash": F.lit(version), "computed_at": F.lit(now).cast("timestamp")}), run)
+    if kept_as is not None and not shown.isEmpty():
+        sums = shown.agg(F.countDistinct("path").cast("int").alias("path_count"), F.max("step").alias("hop_count"), F.to_json(F.sort_array(F.collect_list(F.struct(*shown.columns)))).alias("paths_json"))
+        store.append("lineage_sublineage_cache", sums.withColumns({"cache_key": F.lit(key), "src_node_id": F.lit(source), "dst_node_id": F.lit(target), "mode": F.lit(mode), "version_hash": F.lit(version), "computed_at": F.lit(kept_as).cast("timestamp")}), run)
     return shown
 
 

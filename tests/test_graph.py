@@ -45,6 +45,55 @@ def test_layers_by_hand(spark):
     assert got["raw"] == 0 < got["mid"] < got["deep"]
 
 
+def python_components(pairs):
+    nodes = {x for p in pairs for x in p}
+    reached = {n: set(python_reach(pairs, n, len(nodes))) for n in nodes}
+    return {n: min(m for m in nodes if m in reached[n] and n in reached[m]) for n in nodes if any(m != n and m in reached[n] and n in reached[m] for m in nodes)}
+
+
+def python_layers(pairs):
+    """Edges inside a component that do not lead away from its smallest node fall; then the longest paths."""
+    own = python_components(pairs)
+    inner = [(s, t) for s, t in pairs if s in own and own.get(t) == own[s]]
+    away = {}
+    for first in set(own.values()):
+        away |= {n: d for n, d in python_reach(inner, first, len(own)).items()}
+    kept = [(s, t) for s, t in pairs if (s, t) not in inner or away[s] < away[t]]
+    layer = {x: 0 for p in pairs for x in p}
+    for _ in layer:
+        for s, t in kept:
+            layer[t] = max(layer[t], layer[s] + 1)
+    return layer
+
+
+@pytest.mark.parametrize("n", [3, 4])
+def test_components_and_layers_of_random_cyclic_graphs(spark, n, monkeypatch):
+    monkeypatch.setattr(graph, "LONG", 8)
+    rng = random.Random(n)
+    pairs = sorted({(f"n{rng.randrange(24):02}", f"n{rng.randrange(24):02}") for _ in range(32)})
+    pairs = [(s, t) for s, t in pairs if s != t]
+    want = python_components(pairs)
+    assert want
+    assert {r[0]: r[1] for r in graph.strong_components(frame(spark, pairs)).select("node", "component").collect()} == want
+    assert layered(spark, pairs) == python_layers(pairs)
+
+
+def test_a_ring_is_cut_at_its_smallest_node(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LONG", 8)
+    ring = [(f"r{k:02}", f"r{(k + 1) % 20:02}") for k in range(20)]
+    assert layered(spark, [("a", "r05"), *ring]) == {"a": 0, **{f"r{k:02}": max(k, k - 4 if k >= 5 else 0) for k in range(20)}}
+    assert graph.strong_components(frame(spark, [("a", "b"), ("b", "c")])).count() == 0
+
+
+def test_hubs_meet_in_blocks(spark):
+    reads = spark.createDataFrame([("h", f"s{k}") for k in range(40)] + [("e", "s1")], "entity string, source string")
+    writes = spark.createDataFrame([("h", f"t{k}") for k in range(5)] + [("e", "t9"), ("f", "t1")], "entity string, target string")
+    want = {("h", f"s{k}", f"t{j}") for k in range(40) for j in range(5)} | {("e", "s1", "t9")}
+    for block in (7, 1000):
+        got = [tuple(r) for r in graph.met(reads, writes, block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_status_counts_entity_edges(spark):
     e = frame(spark, [("raw", "entity:JOB:1"), ("entity:JOB:1", "gold")])
     n = spark.createDataFrame([("raw",), ("gold",), ("lonely",)], "node string")
@@ -111,6 +160,30 @@ def test_paths_on_a_random_graph(spark):
     assert [r["length"] for r in best] == sorted(len(p) - 1 for p in found)[:2]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shortest_paths_of_many_pairs(spark, seed):
+    rng = random.Random(seed)
+    pairs = sorted({(f"c{rng.randrange(40)}", f"c{rng.randrange(40)}") for _ in range(70)}) + [("c1", "c2"), ("c1", "c2")]
+    h = hops_of(spark, pairs)
+    asked = [(f"col:t::c{a}", f"col:t::c{b}") for a in range(0, 40, 3) for b in range(0, 40, 7)] + [("col:t::c1", "col:t::c2"), ("col:t::nothing", "col:t::c1")]
+    got = {}
+    for r in paths.shortest_paths(h, spark.createDataFrame(asked, "source string, target string"), 5).collect():
+        got.setdefault((r["source"], r["target"]), {})[r["step"]] = (r["src_node_id"], r["dst_node_id"], r["edge_id"])
+    edges = [(f"col:t::{a}", f"col:t::{b}", f"e{k}") for k, (a, b) in enumerate(pairs) if a != b]
+    want = {}
+    for s, t in set(asked):
+        away = python_reach([(a, b) for a, b, _ in edges], s, 5)
+        if s == t or t not in away:
+            continue
+        path, node = {}, t
+        for d in range(away[t], 0, -1):
+            e, a = min((e, a) for a, b, e in edges if b == node and away.get(a) == d - 1)
+            path[d] = (a, node, e)
+            node = a
+        want[s, t] = path
+    assert got == want and len({len(p) for p in want.values()}) > 2
+
+
 def test_paths_to_itself_and_to_nowhere(spark):
     h = hops_of(spark, [("a", "b")])
     assert paths.shortest_path(h, "col:t::a", "col:t::a").count() == 0

@@ -15,6 +15,8 @@ from weftline.plans.durable import saved, saved_with_count
 MAX_HOPS, NODE_CAP = 16, 2500
 #: Rounds of layering in a job, and rounds after which cycles are suspected.
 ROUNDS_PER_JOB, LONG = 4, 64
+#: Reads of an entity in one block when its reads meet its writes.
+HUB_READS = 1000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -110,13 +112,27 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi").select("source", "target")
 
 
+def met(reads: DataFrame, writes: DataFrame, block: int | None = None) -> DataFrame:
+    """(entity, source, target): each source that an entity reads with each target that it writes.
+
+    Entities with over ``block`` reads are found by counts first; their reads are dealt into blocks, each of which meets a copy of the writes, so that
+    no task holds a hub's whole product."""
+    block = block or HUB_READS
+    hubs = saved(reads.groupBy("entity").count().filter(F.col("count") > block).select("entity", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "hubs")
+    if hubs.isEmpty():
+        return reads.join(writes, "entity").select("entity", "source", "target")
+    dealt = reads.join(hubs, "entity", "left").withColumn("block", F.pmod(F.xxhash64("source"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    copied = writes.join(hubs, "entity", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    return dealt.join(copied, ["entity", "block"]).select("entity", "source", "target")
+
+
 def table_view(edges: DataFrame) -> DataFrame:
     """Edges between tables: the direct ones, and each source of an entity to each of its targets."""
     source, target = is_entity(F.col("source")), is_entity(F.col("target"))
     direct = edges.filter(~source & ~target).select("source", "target")
     reads = edges.filter(~source & target).select("source", F.col("target").alias("entity")).distinct()
     writes = edges.filter(source & ~target).select(F.col("source").alias("entity"), "target").distinct()
-    through = reads.join(writes, "entity").filter("source != target").select("source", "target")
+    through = met(reads, writes).filter("source != target").select("source", "target")
     return direct.unionByName(through).distinct()
 
 
@@ -161,15 +177,15 @@ def undirected_ball(edges: DataFrame, seeds: DataFrame, max_hops: int = 6) -> Da
     return reach(edges.select("source", "target").unionByName(reversed_edges(edges)), seeds, max_hops)
 
 
-def layers(edges: DataFrame, cap: int = NODE_CAP) -> DataFrame:
-    """(node, layer): longest path from a root, for an acyclic graph; edges that close a cycle are left out first.
+def layers(edges: DataFrame) -> DataFrame:
+    """(node, layer): longest path from a root; edges that lead back inside a cycle are left out first (see ``acyclic``).
 
     A round raises nodes above their predecessors' layers; ``ROUNDS_PER_JOB`` rounds are one job, until none is raised. Only a graph whose nodes still rise
     after ``LONG`` rounds is searched for cycles, without which the rounds start anew. Nodes are those of the edges."""
     edges = saved(prepared(edges), "edges")
     found = _raised(edges, LONG)
     if found is None:
-        found = _raised(saved(acyclic(edges, cap), "edges"), None)
+        found = _raised(saved(acyclic(edges), "edges"), None)
     return found
 
 
@@ -190,44 +206,58 @@ def _raised(edges: DataFrame, most: int | None) -> DataFrame | None:
     return None
 
 
-def acyclic(edges: DataFrame, cap: int = NODE_CAP) -> DataFrame:
-    """``edges`` without those that close a cycle in a depth-first walk from roots and then the rest in order of their names.
-
-    Only the part that lies on cycles is walked by the driver: nodes without predecessors or without successors are peeled off by joins first. A cyclic core over
-    ``cap`` nodes, which no display could show, is refused."""
-    edges = core = saved(prepared(edges), "edges")
-    while True:
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """The edges that are left when nodes without predecessors or without successors are peeled off until none is left to peel."""
+    core, n = saved_with_count(edges, "core")
+    while n:
         inner = core.join(core.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(core.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        inner = cut(inner)
-        if inner.isEmpty():
-            return edges
-        if inner.count() == core.count():
+        before = n
+        core, n = saved_with_count(inner, "core")
+        if n == before:
             break
-        core = inner
-    nodes = core.select("source").unionByName(core.select(F.col("target").alias("source"))).distinct().count()
-    if nodes > cap:
-        raise ValueError(f"{nodes} nodes lie on cycles; over {cap} are not laid out")
-    after: dict[str, list[str]] = {}
-    for s, t in core.orderBy("source", "target").collect():
-        after.setdefault(s, []).append(t)
-    state: dict[str, int] = {}
-    closing = []
-    for root in sorted(after):
-        if root in state:
-            continue
-        state[root] = 1
-        path = [(root, iter(after[root]))]
-        while path:
-            node, rest = path[-1]
-            for t in rest:
-                if state.get(t) == 1:
-                    closing.append((node, t))
-                elif t not in state:
-                    state[t] = 1
-                    path.append((t, iter(after.get(t, ()))))
-                    break
-            else:
-                state[node] = 2
-                path.pop()
-    gone = edges.sparkSession.createDataFrame(closing, "source string, target string")
-    return edges.join(F.broadcast(gone), ["source", "target"], "left_anti")  # at most the edges among cap nodes
+    return core
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): for each node on a cycle the smallest node that it reaches and that reaches it.
+
+    Every round handles all components that it can at once: each node takes the smallest node that reaches it as its colour, carried forward along the
+    edges; a node that has its own name as colour is the first of its component, and what reaches it backwards within the colour is the rest. These are
+    taken out, the remains are trimmed, and the next round begins. All state lies in tables; nothing is collected but counts."""
+    live = on_cycles(saved(prepared(edges), "edges"))
+    found = live.select(F.col("source").alias("node"), F.col("source").alias("component")).filter("false")
+    while not live.isEmpty():
+        colour = cut(live.select(F.col("source").alias("node")).distinct().withColumn("colour", F.col("node")))
+        moved = True
+        while moved:
+            start = colour.select("node", F.col("colour").alias("had"))
+            for _ in range(ROUNDS_PER_JOB):
+                carried = live.join(colour.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("least"))
+                colour = colour.join(carried, "node", "left").select("node", F.least("colour", F.coalesce("least", "colour")).alias("colour"))
+            colour = cut(colour)
+            moved = not colour.join(start, "node").filter("colour != had").isEmpty()
+        ends = colour.select(F.col("node").alias("source"), F.col("colour").alias("of")), colour.select(F.col("node").alias("target"), F.col("colour").alias("to"))
+        within = live.join(ends[0], "source").join(ends[1], "target").filter("of = to").select("source", "target")
+        first = colour.filter("node = colour").select("node")
+        own = cut(reach(reversed_edges(within), first).select("node").join(colour, "node").withColumnRenamed("colour", "component"))
+        alone = live.join(own.withColumnRenamed("node", "source"), "source").join(own.select(F.col("node").alias("target"), F.col("component").alias("other")), "target").filter("component = other").select("component").distinct()
+        found = found.unionByName(own.join(alone, "component", "left_semi").select("node", "component"))
+        gone = own.select("node")
+        rest = live.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti")
+        live = on_cycles(rest)
+    return found
+
+
+def acyclic(edges: DataFrame) -> DataFrame:
+    """``edges`` without those that lead back: inside a strong component only edges that lead away from its smallest node, by hops, are kept.
+
+    The rest is acyclic: between components there are no cycles, and inside one every kept edge goes one hop further from its first node."""
+    edges = saved(prepared(edges), "edges")
+    member = saved(strong_components(edges), "components")
+    if member.isEmpty():
+        return edges
+    inner = edges.join(member.withColumnRenamed("node", "source"), "source").join(member.select(F.col("node").alias("target"), F.col("component").alias("other")), "target").filter("component = other").select("source", "target")
+    inner = saved(inner, "inner")
+    away = reach(inner, member.select(F.col("component").alias("node")).distinct())
+    back = inner.join(away.select(F.col("node").alias("source"), F.col("depth").alias("a")), "source").join(away.select(F.col("node").alias("target"), F.col("depth").alias("b")), "target").filter("a >= b").select("source", "target")
+    return edges.join(back, ["source", "target"], "left_anti")

@@ -72,31 +72,69 @@ def shortest_path(hops: DataFrame, source: str, target: str, max_depth: int = MA
     """(step, src_node_id, dst_node_id, edge_id) of a shortest path; among equals the one whose steps back from the target have the smallest edge ids.
 
     No rows if there is none within ``max_depth`` hops, or if source and target are one."""
-    hops = saved(hops.filter("src_node_id != dst_node_id").select("src_node_id", "dst_node_id", "edge_id"), "hops")
-    none = hops.filter("false").select(F.lit(0).alias("step"), "src_node_id", "dst_node_id", "edge_id")
-    if source == target:
+    pair = hops.sparkSession.createDataFrame([(source, target)], "source string, target string")
+    return shortest_paths(hops, pair, max_depth).select("step", "src_node_id", "dst_node_id", "edge_id")
+
+
+def shortest_paths(hops: DataFrame, pairs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(source, target, step, src_node_id, dst_node_id, edge_id): a shortest path of every pair (source, target) that has one within ``max_depth`` hops.
+
+    Two searches, from all sources and from all targets, each a frontier of (pair, node). A round carries the smaller frontier one hop further and asks where
+    it meets what the other search has seen: both know all nodes within their depths, so the first meeting is a shortest one, and the pair leaves both frontiers.
+    From the middle the nodes on shortest paths are followed out through the levels of either side; ties go to the smallest edge ids from the target back."""
+    hops = saved(hops.filter("src_node_id != dst_node_id").select("src_node_id", "dst_node_id", "edge_id").distinct(), "hops")
+    pairs = saved(pairs.select("source", "target").filter("source != target").distinct().withColumn("pair", F.xxhash64("source", "target")), "pairs")
+    along = {True: saved(hops.select(F.col("src_node_id").alias("node"), F.col("dst_node_id").alias("next")).distinct(), "along")}
+    along[False] = along[True].select(F.col("next").alias("node"), F.col("node").alias("next"))
+    key = ["source", "target", "node"]
+    seen = {True: pairs.select("source", "target", F.col("source").alias("node"), F.lit(0).alias("depth")), False: pairs.select("source", "target", F.col("target").alias("node"), F.lit(0).alias("depth"))}
+    front = {side: seen[side].drop("depth") for side in seen}
+    size = {True: pairs.count(), False: 0}
+    size[False], depth = size[True], {True: 0, False: 0}
+    middle = None
+    while depth[True] + depth[False] < max_depth and size[True] and size[False]:
+        side = size[True] <= size[False]
+        depth[side] += 1
+        step = front[side].join(along[side], "node").select("source", "target", F.col("next").alias("node")).distinct().join(seen[side], key, "left_anti")
+        front[side] = cut(step)
+        seen[side] = seen[side].unionByName(front[side].withColumn("depth", F.lit(depth[side])))
+        hit = cut(front[side].join(seen[not side].filter(F.col("depth") == depth[not side]), key, "left_semi").withColumns({"fore": F.lit(depth[True]), "back": F.lit(depth[False])}))
+        middle = hit if middle is None else middle.unionByName(hit)
+        done = hit.select("source", "target").distinct()
+        for k in (True, False):
+            front[k] = cut(front[k].join(done, ["source", "target"], "left_anti"))
+            size[k] = front[k].count()
+    none = hops.select(F.col("src_node_id").alias("source"), F.col("dst_node_id").alias("target"), F.lit(0).alias("step"), "src_node_id", "dst_node_id", "edge_id").filter("false")
+    if middle is None or middle.isEmpty():
         return none
-    seen = frontier = cut(seed_of(hops, source).withColumn("depth", F.lit(0)))
-    length = 0
-    for depth in range(1, max_depth + 1):
-        step = hops.join(frontier.select(F.col("node").alias("src_node_id")), "src_node_id", "left_semi").select(F.col("dst_node_id").alias("node")).distinct()
-        frontier = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(frontier)
-        if frontier.isEmpty():
-            return none
-        if not frontier.filter(F.col("node") == target).isEmpty():
-            length = depth
+    middle = saved(middle, "middle")
+    level = {0: middle.withColumn("at", F.col("fore"))}  # nodes on shortest paths, with their distance from the source
+    for way in (1, -1):
+        held = level[0]
+        for k in range(1, max_depth + 1):
+            there = seen[way < 0].select(*key, F.col("depth").alias("have"))
+            step = held.join(along[way > 0], "node").select("source", "target", F.col("next").alias("node"), "fore", "back", (F.col("at") + way).alias("at")).distinct()
+            left = F.col("at") if way < 0 else F.col("fore") + F.col("back") - F.col("at")
+            held = step.join(there, key).filter(F.col("have") == left).drop("have")
+            held = cut(held)
+            if held.isEmpty():
+                break
+            level[way * k] = held
+    on = level.pop(0)
+    for more in level.values():
+        on = on.unionByName(more)
+    on = saved(on.select(*key, "at", (F.col("fore") + F.col("back")).alias("length")).distinct(), "on")
+    path, at = None, saved(on.filter("at = length").select(*key, "at"), "at")
+    for _ in range(max_depth):
+        before = on.select("source", "target", F.col("node").alias("src_node_id"), (F.col("at") + 1).alias("at"))
+        edges = at.withColumnRenamed("node", "dst_node_id").join(hops, "dst_node_id").join(before, ["source", "target", "src_node_id", "at"])
+        best = edges.groupBy("source", "target", F.col("at").alias("step"), "dst_node_id").agg(F.min(F.struct("edge_id", "src_node_id")).alias("e"))
+        best = cut(best.select("source", "target", "step", "e.src_node_id", "dst_node_id", "e.edge_id"))
+        if best.isEmpty():
             break
-    if not length:
-        return none
-    path, node = none, target
-    for depth in range(length, 0, -1):  # one hop back a step; a path has max_depth steps at most
-        before = seen.filter(F.col("depth") == depth - 1).select(F.col("node").alias("src_node_id"))
-        best = hops.filter(F.col("dst_node_id") == node).join(before, "src_node_id", "left_semi").orderBy("edge_id", "src_node_id").limit(1)
-        row = best.first()
-        node = row["src_node_id"]
-        path = path.unionByName(hops.sparkSession.createDataFrame([(depth, row["src_node_id"], row["dst_node_id"], row["edge_id"])], none.schema))
-    return path
+        path = best if path is None else path.unionByName(best)
+        at = best.select("source", "target", F.col("src_node_id").alias("node"), (F.col("step") - 1).alias("at"))
+    return none if path is None else path
 
 
 def simple_paths(hops: DataFrame, source: str, target: str, max_depth: int = MAX_DEPTH, max_paths: int | None = MAX_PATHS) -> DataFrame:

@@ -55,6 +55,7 @@ def ends(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def routed(rows: DataFrame) -> DataFrame:
     """Edges of traced rows: source to entity to target; what an entity both writes and reads points straight at what it made from it, which
     keeps false cycles out; records without an entity are direct."""
+    rows = saved(rows.select("source", "target", "entity").distinct(), "triples")
     _, written = ends(rows)
     back = written.select("entity", F.col("target").alias("source"), F.lit(True).alias("own"))
     named = rows.filter("entity is not null").join(back, ["entity", "source"], "left")
@@ -75,17 +76,19 @@ def scope_graph(rows: DataFrame, tables: DataFrame, catalog: str, schema: str |
     if schema is None and local.count() > node_cap:
         raise ValueError(f"catalog {catalog} has more than {node_cap} tables; choose a schema")
     here = local.select("node")
-    near = scoped(rows, catalog, schema)
+    five = ["source", "target", "entity", "source_kind", "target_kind"]
+    near = saved(scoped(rows, catalog, schema).select(*five).distinct(), "near")
     touching = [near.filter("entity is not null").join(here.withColumnRenamed("node", end), end, "left_semi").select("entity") for end in ("source", "target")]
     entities = saved(touching[0].unionByName(touching[1]).distinct(), "entities")
-    whole = rows.filter("entity is not null").join(entities, "entity", "left_semi")
+    whole = saved(rows.filter("entity is not null").join(entities, "entity", "left_semi").select(*five).distinct(), "whole")
     loose = near.filter("entity is null and source is not null and target is not null").select("source", "target", "source_kind", "target_kind").distinct()
     side = [loose.join(here.withColumnRenamed("node", end), end, "left_semi") for end in ("source", "target")]
     loose = side[0].unionByName(side[1]).distinct()
 
     reads, writes = ends(whole)
-    covered = reads.join(writes, "entity").select("source", "target").distinct()
-    direct = loose.select("source", "target").distinct().join(covered, ["source", "target"], "left_anti")
+    bare = loose.select("source", "target").distinct()
+    covered = bare.join(reads, "source").join(writes, ["entity", "target"], "left_semi").select("source", "target").distinct()
+    direct = bare.join(covered, ["source", "target"], "left_anti")
     kept = reads.join(writes.select("entity", F.col("target").alias("source")), ["entity", "source"], "left_anti")
     again = whole.filter("source is not null and target is not null").join(writes.select("entity", F.col("target").alias("source")), ["entity", "source"], "left_semi").select("source", "target")
     edges = kept.select("source", F.col("entity").alias("target")).unionByName(writes.select(F.col("entity").alias("source"), "target")).unionByName(direct).unionByName(again).distinct()

@@ -612,7 +612,39 @@ _ARTIFACTS: dict[str, tuple[str, str, list[tuple[str, str, str, str]], list[str]
     "branches": ("python", 'def load():\n    return spark.table("m.s.x{n}")\nif full:\n    pass\nelse:\n    load().select("k").write.saveAsTable("m.s.e{n}")', [("m.s.e{n}", "k", "m.s.x{n}", "k")], ["m.s.x{n}"]),
     "texts": ("python", 'cat = "m"\nspark.sql(f"CREATE TABLE {cat}.s.z{n} AS SELECT p AS k FROM {cat}.s.x{n}")', [("m.s.z{n}", "k", "m.s.x{n}", "p")], ["m.s.x{n}"]),
     "cells": ("python", '# a notebook\nx = "m.s.x{n}"\n# COMMAND ----------\n# MAGIC %md\n# MAGIC words\n# COMMAND ----------\nspark.table(x).select(F.upper(F.col("a")).alias("b")).write.saveAsTable("m.s.c{n}")', [("m.s.c{n}", "b", "m.s.x{n}", "a")], ["m.s.x{n}"]),
+    # settled by the catalog's columns
+    "star": ("sql", "INSERT INTO m.s.st{n} SELECT * FROM m.s.x{n}", [("m.s.st{n}", c, "m.s.x{n}", c) for c in ("id", "a", "p")], ["m.s.x{n}"]),
+    "except": ("sql", "CREATE TABLE m.s.ex{n} AS SELECT y.* EXCEPT (r), x.a FROM m.s.x{n} x JOIN m.s.y{n} y ON x.id = y.id", [("m.s.ex{n}", "id", "m.s.y{n}", "id"), ("m.s.ex{n}", "z", "m.s.y{n}", "z"), ("m.s.ex{n}", "a", "m.s.x{n}", "a")], ["m.s.x{n}", "m.s.y{n}"]),
+    "using": ("sql", "CREATE TABLE m.s.us{n} AS SELECT id, a, max(z) AS top FROM m.s.x{n} JOIN m.s.y{n} USING (id) GROUP BY id, a", [("m.s.us{n}", "id", "m.s.x{n}", "id"), ("m.s.us{n}", "a", "m.s.x{n}", "a"), ("m.s.us{n}", "top", "m.s.y{n}", "z")], ["m.s.x{n}", "m.s.y{n}"]),
+    "allusing": ("sql", "CREATE TABLE m.s.au{n} AS SELECT * FROM m.s.x{n} RIGHT JOIN m.s.y{n} USING (id)", [("m.s.au{n}", "a", "m.s.x{n}", "a"), ("m.s.au{n}", "p", "m.s.x{n}", "p"), *[("m.s.au{n}", c, "m.s.y{n}", c) for c in ("id", "r", "z")]], ["m.s.x{n}", "m.s.y{n}"]),
+    "inner": ("sql", "CREATE TABLE m.s.in{n} AS SELECT * FROM (SELECT a, p + 1 AS q FROM m.s.x{n}) i", [("m.s.in{n}", "a", "m.s.x{n}", "a"), ("m.s.in{n}", "q", "m.s.x{n}", "p")], ["m.s.x{n}"]),
+    "mergeall": ("sql", "MERGE INTO m.s.t{n} t USING m.s.y{n} f ON t.id = f.id WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *", [("m.s.t{n}", "id", "m.s.y{n}", "id"), ("m.s.t{n}", "r", "m.s.y{n}", "r")], ["m.s.y{n}"]),
+    "unnamed": ("sql", "INSERT INTO m.s.t{n} SELECT id, (a + p) FROM m.s.x{n}", [("m.s.t{n}", "id", "m.s.x{n}", "id"), ("m.s.t{n}", "v", "m.s.x{n}", "a"), ("m.s.t{n}", "v", "m.s.x{n}", "p")], ["m.s.x{n}"]),
+    "update": ("sql", "UPDATE m.s.t{n} SET v = (SELECT max(z) FROM m.s.y{n}) WHERE id = 3", [("m.s.t{n}", "v", "m.s.y{n}", "z")], ["m.s.y{n}"]),
+    "lateral": ("sql", "INSERT INTO m.s.la{n} SELECT e AS item FROM m.s.x{n} LATERAL VIEW explode(p) q AS e", [("m.s.la{n}", "item", "m.s.x{n}", "p")], ["m.s.x{n}"]),
+    "live": ("sql", "CREATE OR REFRESH LIVE TABLE lv{n} (CONSTRAINT ok EXPECT (a IS NOT NULL) ON VIOLATION DROP ROW) AS SELECT a + 1 AS b FROM LIVE.raw{n}", [("lv{n}", "b", "raw{n}", "a")], ["raw{n}"]),
+    # one cell's views and frames in another cell
+    "pyview": ("python", 'spark.table("m.s.x{n}").select(F.col("a").alias("b")).createOrReplaceTempView("v")\n# COMMAND ----------\n# MAGIC %sql\n# MAGIC CREATE TABLE m.s.pv{n} AS SELECT b + 1 AS c FROM v', [("m.s.pv{n}", "c", "m.s.x{n}", "a")], ["m.s.x{n}"]),
+    "sqlview": ("python", '# MAGIC %sql\n# MAGIC CREATE OR REPLACE TEMP VIEW w AS SELECT *, p * 2 AS d FROM m.s.x{n}\n# COMMAND ----------\nspark.table("w").select("d", "a").write.saveAsTable("m.s.sv{n}")', [("m.s.sv{n}", "d", "m.s.x{n}", "p"), ("m.s.sv{n}", "a", "m.s.x{n}", "a")], ["m.s.x{n}"]),
+    "viewchain": ("sql", "CREATE TEMP VIEW v1 AS SELECT * FROM m.s.x{n}; CREATE TEMP VIEW v2 AS SELECT a AS b, id FROM v1; CREATE TEMP VIEW v3 AS SELECT v2.b, y.z FROM v2 JOIN m.s.y{n} y USING (id); INSERT INTO m.s.vc{n} SELECT * FROM v3", [("m.s.vc{n}", "b", "m.s.x{n}", "a"), ("m.s.vc{n}", "z", "m.s.y{n}", "z")], ["m.s.x{n}", "m.s.y{n}"]),
+    "sqlframe": ("python", 'df = spark.sql("SELECT a AS b, max(p) AS q FROM m.s.x{n} GROUP BY a")\ndf.withColumn("s", F.col("q") + 1).write.saveAsTable("m.s.sf{n}")', [("m.s.sf{n}", "b", "m.s.x{n}", "a"), ("m.s.sf{n}", "q", "m.s.x{n}", "p"), ("m.s.sf{n}", "s", "m.s.x{n}", "p")], ["m.s.x{n}"]),
+    "selectexpr": ("python", 'spark.table("m.s.x{n}").selectExpr("a + p AS s").write.saveAsTable("m.s.se{n}")', [("m.s.se{n}", "s", "m.s.x{n}", "a"), ("m.s.se{n}", "s", "m.s.x{n}", "p")], ["m.s.x{n}"]),
+    "argument": ("python", 'def add(d, name):\n    k = d.withColumn(name, d.a + F.lit("p"))\n    return k.select(name)\n# COMMAND ----------\nadd(spark.table("m.s.x{n}"), "e").write.saveAsTable("m.s.ar{n}")\nspark.table("m.s.y{n}").transform(add, "f").writeTo("m.s.tr{n}").append()', [("m.s.ar{n}", "e", "m.s.x{n}", "a"), ("m.s.tr{n}", "f", "m.s.y{n}", "a")], ["m.s.x{n}", "m.s.y{n}"]),
+    "joined": ("python", 'x = spark.table("m.s.x{n}").alias("l")\ny = spark.table("m.s.y{n}")\nj = x.join(y, x.id == y.id).select(F.col("l.a").alias("k"), y.z, F.col("r"))\nj.write.insertInto("m.s.jo{n}")', [("m.s.jo{n}", "k", "m.s.x{n}", "a"), ("m.s.jo{n}", "z", "m.s.y{n}", "z"), ("m.s.jo{n}", "r", "m.s.y{n}", "r")], ["m.s.x{n}", "m.s.y{n}"]),
+    "assigned": ("python", 'q = spark.readStream.table("m.s.x{n}").select("p").writeStream.option("o", "1").toTable("m.s.as{n}")', [("m.s.as{n}", "p", "m.s.x{n}", "p")], ["m.s.x{n}"]),
+    "scopes": ("python", 'd = spark.table("m.s.w{n}")\n@dlt.table\ndef one{n}():\n    d = spark.read.table("m.s.x{n}")\n    if d is None:\n        return d.select("zero")\n    return d.select("a")\n@dlt.table(name="two{n}")\ndef other():\n    d = dlt.read("m.s.y{n}")\n    return d.select("z")\nd.select("o").write.saveAsTable("m.s.sc{n}")', [("one{n}", "a", "m.s.x{n}", "a"), ("two{n}", "z", "m.s.y{n}", "z"), ("m.s.sc{n}", "o", "m.s.w{n}", "o")], ["m.s.x{n}", "m.s.y{n}", "m.s.w{n}"]),
+    "whole": ("python", 'spark.table("m.s.x{n}").drop("id").withColumnRenamed("a", "b").write.saveAsTable("m.s.wh{n}")', [("m.s.wh{n}", "b", "m.s.x{n}", "a"), ("m.s.wh{n}", "p", "m.s.x{n}", "p")], ["m.s.x{n}"]),
+    "broken": ("python", 'print "two"\nt = "m.s.x{n}"\nspark.table(t).withColumn("k", F.col("a") + 1).select(F.col("k").alias("y"), "p").write.saveAsTable("m.s.br{n}")', [("m.s.br{n}", "k", "m.s.x{n}", "a"), ("m.s.br{n}", "y", "m.s.x{n}", "a"), ("m.s.br{n}", "p", "m.s.x{n}", "p")], ["m.s.x{n}"]),
 }
+#: Columns of the tables that artifacts name, in the order of the catalog.
+_COLUMNS_OF = {"m.s.x{n}": ("id", "a", "p"), "m.s.y{n}": ("id", "r", "z"), "m.s.t{n}": ("id", "v", "r")}
+
+
+def _code_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog's columns of those tables: (table_fqn, column_name, ordinal_position)."""
+    kinds = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(c).alias("column_name"), F.lit(k + 1).alias("ordinal_position")) for t, names in _COLUMNS_OF.items() for k, c in enumerate(names)))
+    keys = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("n"), F.explode(kinds).alias("c"))
+    return keys.select(F.replace("c.t", F.lit("{n}"), F.col("n")).alias("table_fqn"), "c.column_name", "c.ordinal_position")
 
 
 def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -624,12 +656,12 @@ def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_per_nation([f"'{k}_{{n}}' AS artifact_id, '{t}' AS output_table_fqn, '{o}' AS output_column, '{s}' AS source_fqn, '{c}' AS source_column" for k, (_, _, maps, _) in _ARTIFACTS.items() for t, o, s, c in maps]))
 def code_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.lineage_of(spark, _artifacts(spark, sf_dir))[0].select("artifact_id", "output_table_fqn", "output_column", "source_fqn", "source_column").distinct()
+    return code.lineage_of(spark, _artifacts(spark, sf_dir), columns=_code_columns(spark, sf_dir))[0].select("artifact_id", "output_table_fqn", "output_column", "source_fqn", "source_column").distinct()
 
 
 @query(_per_nation([f"'{k}_{{n}}' AS artifact_id, '{t}' AS table_fqn" for k, (_, _, _, reads) in _ARTIFACTS.items() for t in reads]))
 def code_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.lineage_of(spark, _artifacts(spark, sf_dir))[1].distinct()
+    return code.lineage_of(spark, _artifacts(spark, sf_dir))[1]
 
 
 @query("SELECT CASE k WHEN 0 THEN 'cells' ELSE 'grouped' END || '_' || CAST(n_nationkey AS VARCHAR) AS artifact_id, count(*) AS cells FROM nation CROSS JOIN (VALUES (0), (0), (1)) v(k) GROUP BY k, n_nationkey")

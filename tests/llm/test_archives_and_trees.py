@@ -182,7 +182,7 @@ def test_tree_visits_less_than_all():
     got = shard.nearest(False, hi // 3, hi, 5)
     at = sorted((-int(v), i) for i, v in enumerate(s) if hi // 3 <= v <= hi and i % 2 == 0)[:5]
     assert [(a, i) for a, i, _ in got] == [(-a, i) for a, i in at]
-    assert len(shard.scores) < len(shard.tree.leaves) / 2
+    assert len(shard.ranked) < len(shard.tree.leaves) / 2
 
 
 def test_moved_labels(spark):

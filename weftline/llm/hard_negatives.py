@@ -26,7 +26,7 @@ SCALE, POSITIVES, NEGATIVES = 256, 5, 10
 #: The window: low * positive <= out_of * negative <= high * positive.
 LOW, HIGH, OUT_OF = 30, 90, 100
 #: Rows that the top of the tree is fitted on, its leaves at most, bytes of a shard's vectors, rows of a shard's leaf.
-SAMPLE_ROWS, TOP_LEAVES, SHARD_BYTES, LEAF_ROWS = 20_000, 1024, 8 << 20, 256
+SAMPLE_ROWS, TOP_LEAVES, SHARD_BYTES, LEAF_ROWS = 5_000, 1024, 8 << 20, 256
 _FAR = 1 << 62
 
 
@@ -119,40 +119,48 @@ class Shard:
         self.x = x[order].astype(float) if mm < 1 << 53 else x[order]
 
     def ask(self, rid: int, label: object, q: np.ndarray) -> None:
-        """Begin the searches of one anchor: distances to all vantage points and scores of leaves serve all its windows."""
+        """Begin the searches of one anchor: distances to all vantage points and the ranked rows of leaves serve all its windows."""
         self.own, self.q, self.qq = rid, q.astype(self.x.dtype), float((q.astype(float) ** 2).sum())
         self.same = self.label == self.names.get(label, -1)
         self.d = np.sqrt(((self.tree.vantage - np.append(q.astype(float), 0.0)) ** 2).sum(axis=1))
-        self.scores: dict[int, np.ndarray] = {}
+        self.ranked: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+
+    def leaf(self, node: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(negated scores, positions) of a leaf's rows with an equal, or a different, label, in the order of results."""
+        if (node, same) not in self.ranked:
+            start, end = self.cut[-node - 1], self.cut[-node]
+            at = np.flatnonzero((self.same[start:end] == same) & (self.rid[start:end] != self.own)) + start
+            s = -(self.x[start:end] @ self.q)[at - start]
+            order = np.lexsort((self.rid[at], self.ids[at], s))
+            self.ranked[node, same] = s[order], at[order]
+        return self.ranked[node, same]
 
     def nearest(self, same: bool, lo: int, hi: int, k: int) -> list[tuple[int, int, int]]:
-        """The first ``k`` (score, vec_id, row) with lo <= score <= hi and an equal, or a different, label: nodes and rows wait in one queue by score."""
+        """The first ``k`` (score, vec_id, row) with lo <= score <= hi and an equal, or a different, label: nodes and the next row of each open leaf wait in one queue by score."""
         total, spare, tree = self.qq + self.mm, 1 + 1e-9 * (self.qq + self.mm), self.tree
         queue: list[tuple] = [(-float("inf"), 0, tree.root, 0.0, float("inf"))]
         out: list[tuple[int, int, int]] = []
+
+        def wait(node: int, i: int) -> None:
+            s, at = self.leaf(node, same)
+            if i < len(s) and s[i] <= -lo:
+                heapq.heappush(queue, (s[i], 1, int(self.ids[at[i]]), int(self.rid[at[i]]), node, i))
+
         while queue and len(out) < k:
             item = heapq.heappop(queue)
             if item[1]:
-                out.append((-item[0], item[2], item[3]))
+                out.append((-int(item[0]), item[2], item[3]))
+                wait(item[4], item[5] + 1)
                 continue
             node, a, b = item[2:]
-            if node >= 0:
-                for side in (0, 1):
-                    low, high = tree.within(node, side, self.d, a, b)
-                    most = (total - low * low) / 2 + spare
-                    if most >= lo and (total - high * high) / 2 - spare <= hi:
-                        heapq.heappush(queue, (-most, 0, int(tree.child[node, side]), low, high))
+            if node < 0:
+                wait(node, int(np.searchsorted(self.leaf(node, same)[0], -hi)))
                 continue
-            start, end = self.cut[-node - 1], self.cut[-node]
-            if node not in self.scores:
-                self.scores[node] = self.x[start:end] @ self.q
-            s = self.scores[node]
-            at = np.flatnonzero((s >= lo) & (s <= hi) & (self.same[start:end] == same) & (self.rid[start:end] != self.own))
-            if len(at) > k:
-                at = at[s[at] >= -np.partition(-s[at], k - 1)[k - 1]]
-            first = np.lexsort((self.rid[start:end][at], self.ids[start:end][at], -s[at]))[:k]
-            for i in at[first].tolist():
-                heapq.heappush(queue, (-int(s[i]), 1, int(self.ids[start + i]), int(self.rid[start + i])))
+            for side in (0, 1):
+                low, high = tree.within(node, side, self.d, a, b)
+                most = (total - low * low) / 2 + spare
+                if most >= lo and (total - high * high) / 2 - spare <= hi:
+                    heapq.heappush(queue, (-most, 0, int(tree.child[node, side]), low, high))
         return out
 
 

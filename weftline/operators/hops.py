@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import refs
+from weftline.plans.durable import saved
 
 EXPR_LIMIT = 2000
 PARSER = "weftline_1"
@@ -81,15 +83,44 @@ def enriched(hops: DataFrame, cache: DataFrame, translate: Callable[[Column], Co
     return joined.withColumn("expr_sql", F.coalesce("expr_sql", "_sql")).drop("_sha", "_sql"), cache
 
 
+def translated(hops: DataFrame, cache: DataFrame, setup: Callable[[], Callable[[list[str]], list[str | None]]], *, batch: int = 64, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``enriched`` by a model that translates lists of expressions.
+
+    ``setup`` makes the model once in each worker task that has work; expressions go to it ``batch`` at a time. A batch that fails is tried again, ``attempts`` times in all, then its
+    expressions stay pending. What was translated is written once and is in the returned cache by its key, so a second run with it translates nothing."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for part in parts:
+            model = model or setup()
+            said: list[str | None] = []
+            texts = part.column("pyspark_expr").to_pylist()
+            for at in range(0, len(texts), batch):
+                own, found = texts[at : at + batch], None
+                for _ in range(attempts):
+                    try:
+                        found = model(own)
+                        break
+                    except Exception:  # noqa: BLE001, S112  whatever the model raises: the batch is tried again, then left pending
+                        continue
+                said += found if found is not None and len(found) == len(own) else [None] * len(own)
+            yield pa.RecordBatch.from_arrays([part.column("expr_sha"), part.column("pyspark_expr"), pa.array(said, pa.string())], ["expr_sha", "pyspark_expr", "sql_expr"])
+
+    kept = cache.select("expr_sha", "pyspark_expr", "sql_expr")
+    new = saved(pending_expressions(hops, kept).mapInArrow(run, "expr_sha string, pyspark_expr string, sql_expr string").filter("sql_expr is not null"), "translated")
+    return enriched(hops, kept.unionByName(new))
+
+
 def changed(artifacts: DataFrame, versions: DataFrame, force: bool = False) -> DataFrame:
     """(extraction_id, token, is_new): artifacts whose source (or the parser) is not what was last recorded."""
-    last = versions.groupBy("extraction_id").agg(F.max_by("content_sha256", "recorded_at").alias("last"))
+    last = versions.groupBy("extraction_id").agg(F.max_by("content_sha256", F.struct("recorded_at", "content_sha256")).alias("last"))
     now = artifacts.select("extraction_id", refs.version_token(F.col("raw_source"), PARSER).alias("token"))
     return now.join(last, "extraction_id", "left").select("extraction_id", "token", (F.lit(force) | F.col("last").isNull() | (F.col("last") != F.col("token"))).alias("is_new"))
 
 
 def latest_sha(versions: DataFrame) -> DataFrame:
-    return versions.groupBy("extraction_id").agg(F.max_by("content_sha256", "recorded_at").alias("content_sha256"))
+    """The digest of each artifact's latest version; of versions of one time the greatest digest."""
+    return versions.groupBy("extraction_id").agg(F.max_by("content_sha256", F.struct("recorded_at", "content_sha256")).alias("content_sha256"))
 
 
 def version_hash(hops: DataFrame) -> DataFrame:

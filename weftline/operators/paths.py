@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import refs
 from weftline.operators.graph import cut, hop, seed_of
-from weftline.plans.durable import saved
+from weftline.plans.durable import saved, saved_with_count
 
 MAX_DEPTH, SERVICE_DEPTH, MAX_PATHS = 6, 8, 50
 
@@ -83,58 +83,48 @@ def shortest_paths(hops: DataFrame, pairs: DataFrame, max_depth: int = MAX_DEPTH
     it meets what the other search has seen: both know all nodes within their depths, so the first meeting is a shortest one, and the pair leaves both frontiers.
     From the middle the nodes on shortest paths are followed out through the levels of either side; ties go to the smallest edge ids from the target back."""
     hops = saved(hops.filter("src_node_id != dst_node_id").select("src_node_id", "dst_node_id", "edge_id").distinct(), "hops")
-    pairs = saved(pairs.select("source", "target").filter("source != target").distinct().withColumn("pair", F.xxhash64("source", "target")), "pairs")
-    along = {True: saved(hops.select(F.col("src_node_id").alias("node"), F.col("dst_node_id").alias("next")).distinct(), "along")}
-    along[False] = along[True].select(F.col("next").alias("node"), F.col("node").alias("next"))
-    key = ["source", "target", "node"]
-    seen = {True: pairs.select("source", "target", F.col("source").alias("node"), F.lit(0).alias("depth")), False: pairs.select("source", "target", F.col("target").alias("node"), F.lit(0).alias("depth"))}
-    front = {side: seen[side].drop("depth") for side in seen}
-    size = {True: pairs.count(), False: 0}
-    size[False], depth = size[True], {True: 0, False: 0}
-    middle = None
+    pairs, n = saved_with_count(pairs.select("source", "target").filter("source != target").distinct(), "pairs")
+    fore = hops.select(F.col("src_node_id").alias("node"), F.col("dst_node_id").alias("next"))
+    along = {True: fore, False: fore.select(F.col("next").alias("node"), F.col("node").alias("next"))}
+    pair, key = ["source", "target"], ["source", "target", "node"]
+    front = {True: pairs.withColumn("node", F.col("source")), False: pairs.withColumn("node", F.col("target"))}
+    seen = {side: front[side].withColumn("depth", F.lit(0)) for side in front}
+    size, depth = {True: n, False: n}, {True: 0, False: 0}
+    middle = done = None
     while depth[True] + depth[False] < max_depth and size[True] and size[False]:
         side = size[True] <= size[False]
         depth[side] += 1
-        step = front[side].join(along[side], "node").select("source", "target", F.col("next").alias("node")).distinct().join(seen[side], key, "left_anti")
-        front[side] = cut(step)
+        open_ = front[side] if done is None else front[side].join(done, pair, "left_anti")
+        step = open_.join(along[side], "node").select("source", "target", F.col("next").alias("node")).distinct().join(seen[side].select(key), key, "left_anti")
+        other = seen[not side].filter(F.col("depth") == depth[not side]).select(*key, F.lit(True).alias("met"))
+        front[side], size[side] = saved_with_count(step.join(other, key, "left"), "front")
+        hit = front[side].filter("met").select(*key, F.lit(depth[True]).alias("fore"), F.lit(depth[False]).alias("back"))
+        front[side] = front[side].select(key)
         seen[side] = seen[side].unionByName(front[side].withColumn("depth", F.lit(depth[side])))
-        hit = cut(front[side].join(seen[not side].filter(F.col("depth") == depth[not side]), key, "left_semi").withColumns({"fore": F.lit(depth[True]), "back": F.lit(depth[False])}))
         middle = hit if middle is None else middle.unionByName(hit)
-        done = hit.select("source", "target").distinct()
-        for k in (True, False):
-            front[k] = cut(front[k].join(done, ["source", "target"], "left_anti"))
-            size[k] = front[k].count()
+        done = middle.select(pair).distinct()
     none = hops.select(F.col("src_node_id").alias("source"), F.col("dst_node_id").alias("target"), F.lit(0).alias("step"), "src_node_id", "dst_node_id", "edge_id").filter("false")
-    if middle is None or middle.isEmpty():
+    if middle is None:
         return none
-    middle = saved(middle, "middle")
-    level = {0: middle.withColumn("at", F.col("fore"))}  # nodes on shortest paths, with their distance from the source
-    for way in (1, -1):
-        held = level[0]
-        for k in range(1, max_depth + 1):
-            there = seen[way < 0].select(*key, F.col("depth").alias("have"))
-            step = held.join(along[way > 0], "node").select("source", "target", F.col("next").alias("node"), "fore", "back", (F.col("at") + way).alias("at")).distinct()
+    middle = saved(middle.withColumn("at", F.col("fore")), "middle")  # at: distance from the source
+    on = middle
+    for way, most in ((1, depth[False]), (-1, depth[True])):
+        held = middle
+        for _ in range(most):  # a few joins, by the depths that were searched
             left = F.col("at") if way < 0 else F.col("fore") + F.col("back") - F.col("at")
-            held = step.join(there, key).filter(F.col("have") == left).drop("have")
-            held = cut(held)
-            if held.isEmpty():
-                break
-            level[way * k] = held
-    on = level.pop(0)
-    for more in level.values():
-        on = on.unionByName(more)
+            step = held.join(along[way > 0], "node").select("source", "target", F.col("next").alias("node"), "fore", "back", (F.col("at") + way).alias("at")).distinct()
+            held = step.join(seen[way < 0].select(*key, F.col("depth").alias("have")), key).filter(F.col("have") == left).select(middle.columns)
+            on = on.unionByName(held)
     on = saved(on.select(*key, "at", (F.col("fore") + F.col("back")).alias("length")).distinct(), "on")
-    path, at = None, saved(on.filter("at = length").select(*key, "at"), "at")
-    for _ in range(max_depth):
-        before = on.select("source", "target", F.col("node").alias("src_node_id"), (F.col("at") + 1).alias("at"))
+    path, at = none, on.filter("at = length").select(*key, "at")
+    before = on.select("source", "target", F.col("node").alias("src_node_id"), (F.col("at") + 1).alias("at"))
+    for _ in range(depth[True] + depth[False]):
         edges = at.withColumnRenamed("node", "dst_node_id").join(hops, "dst_node_id").join(before, ["source", "target", "src_node_id", "at"])
         best = edges.groupBy("source", "target", F.col("at").alias("step"), "dst_node_id").agg(F.min(F.struct("edge_id", "src_node_id")).alias("e"))
         best = cut(best.select("source", "target", "step", "e.src_node_id", "dst_node_id", "e.edge_id"))
-        if best.isEmpty():
-            break
-        path = best if path is None else path.unionByName(best)
+        path = path.unionByName(best)
         at = best.select("source", "target", F.col("src_node_id").alias("node"), (F.col("step") - 1).alias("at"))
-    return none if path is None else path
+    return path
 
 
 def simple_paths(hops: DataFrame, source: str, target: str, max_depth: int = MAX_DEPTH, max_paths: int | None = MAX_PATHS) -> DataFrame:

@@ -45,6 +45,14 @@ def lineage_sheet(real_edges: DataFrame, names: DataFrame) -> DataFrame:
     return real_edges.join(names.select("entity_type", "entity_id", "name"), ["entity_type", "entity_id"], "left").select("source", "target", label.alias("via")).distinct().orderBy("source", "target", "via")
 
 
+def client_lineage_sheet(edges: DataFrame, catalog: str, schema: str | None = None) -> DataFrame:
+    """(source, target): the Lineage sheet of a client without the server's records: entities are collapsed, so each of their sources stands with each of their targets; pairs that touch the scope."""
+    from weftline.operators.graph import table_view
+
+    prefix = f"{catalog}.{schema}." if schema else f"{catalog}."
+    return table_view(edges).filter(F.col("source").startswith(prefix) | F.col("target").startswith(prefix)).distinct().orderBy("source", "target")
+
+
 def pipelines_sheet(entities: DataFrame, names: DataFrame, cost: DataFrame) -> DataFrame:
     """(entity_type, name, entity_id, last_run, owner, cost_usd)."""
     keys = ["entity_type", "entity_id"]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
+from collections import OrderedDict
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from weftline.functions import refs
 from weftline.operators import cost as costs
 from weftline.operators import graph, hops, paths, scope
-from weftline.plans.durable import saved
+from weftline.plans.durable import saved, size_of
 from weftline.plans.store import Store
 from weftline.sources import code
 
@@ -57,35 +59,72 @@ def checked_entity(kind: str, ident: str) -> str:
 
 
 class Memo:
-    """Results by key for a while: DataFrames that were written once. Empty, failed and truncated results are not kept."""
+    """Results by key for a while: DataFrames that were written once. Empty, failed and truncated results are not kept.
 
-    def __init__(self, seconds: float = 8 * 3600, clock: Callable[[], float] = time.time):
-        self.seconds, self.clock, self.kept = seconds, clock, {}
+    Callers that ask for one key at one time wait for one computation. Results are kept up to ``max_bytes`` of their files; beyond it those go that were used least recently."""
+
+    def __init__(self, seconds: float = 8 * 3600, clock: Callable[[], float] = time.time, max_bytes: int = 8 << 30):
+        self.seconds, self.clock, self.max_bytes = seconds, clock, max_bytes
+        self.kept: OrderedDict[str, tuple[DataFrame, float, int]] = OrderedDict()
+        self.lock = threading.Lock()
+        self.under_way: dict[str, threading.Lock] = {}
+        self.waiting: dict[str, int] = {}
 
     def get(self, key: str, make: Callable[[], DataFrame], *, fresh: bool = False, keep: Callable[[DataFrame], bool] | None = None) -> tuple[DataFrame, dict]:
         """The result and its metadata: whether it was kept, since when, until when. ``fresh`` makes it anew and keeps it."""
-        held = self.kept.get(key)
-        if held and not fresh and self.clock() - held[1] < self.seconds:
-            return held[0], {"cached": True, "cached_at": held[1], "expires_at": held[1] + self.seconds}
+        held = None if fresh else self._held(key)
+        if held is None:
+            with self.lock:
+                turn = self.under_way.setdefault(key, threading.Lock())
+                self.waiting[key] = self.waiting.get(key, 0) + 1
+            try:
+                with turn:
+                    held = None if fresh else self._held(key)  # another caller may have made it meanwhile
+                    if held is None:
+                        return self._made(key, make, keep)
+            finally:
+                with self.lock:
+                    self.waiting[key] -= 1
+                    if not self.waiting[key]:
+                        del self.waiting[key], self.under_way[key]
+        return held[0], {"cached": True, "cached_at": held[1], "expires_at": held[1] + self.seconds}
+
+    def _held(self, key: str) -> tuple[DataFrame, float, int] | None:
+        with self.lock:
+            held = self.kept.get(key)
+            if held is None or self.clock() - held[1] >= self.seconds:
+                return None
+            self.kept.move_to_end(key)
+            return held
+
+    def _made(self, key: str, make: Callable[[], DataFrame], keep: Callable[[DataFrame], bool] | None) -> tuple[DataFrame, dict]:
         df = saved(make(), "memo")
         now = self.clock()
         if not df.isEmpty() and (keep is None or keep(df)):
-            self.kept[key] = (df, now)
+            size = size_of(df)
+            with self.lock:
+                self.kept.pop(key, None)
+                self.kept[key] = (df, now, size)
+                while len(self.kept) > 1 and sum(n for _, _, n in self.kept.values()) > self.max_bytes:
+                    self.kept.popitem(last=False)
         return df, {"cached": False, "cached_at": now, "expires_at": now + self.seconds}
 
     def invalidate(self, prefix: str = "") -> int:
-        gone = [k for k in self.kept if k.startswith(prefix)]
-        for k in gone:
-            del self.kept[k]
+        with self.lock:
+            gone = [k for k in self.kept if k.startswith(prefix)]
+            for k in gone:
+                del self.kept[k]
         return len(gone)
 
     def evict(self, key: str) -> bool:
-        return self.kept.pop(key, None) is not None
+        with self.lock:
+            return self.kept.pop(key, None) is not None
 
     def snapshot(self) -> list[tuple[str, float]]:
         """(key, seconds left), the oldest first."""
         now = self.clock()
-        return sorted(((k, max(0.0, self.seconds - (now - at))) for k, (_, at) in self.kept.items()), key=lambda x: (x[1], x[0]))
+        with self.lock:
+            return sorted(((k, max(0.0, self.seconds - (now - at))) for k, (_, at, _) in self.kept.items()), key=lambda x: (x[1], x[0]))
 
 
 class Lineage:
@@ -123,16 +162,16 @@ class Lineage:
         return paths.column_trace(self.columns, checked_table(table), column)
 
 
-def build(store: Store, artifacts: DataFrame, run: str, now: str, *, catalog: str | None = None, schema: str | None = None, force: bool = False) -> dict[str, int]:
+def build(store: Store, artifacts: DataFrame, run: str, now: str, *, catalog: str | None = None, schema: str | None = None, force: bool = False, columns: DataFrame | None = None) -> dict[str, int]:
     """Write a run of the store from artifacts (extraction_id, source_path, language, raw_source): code, versions, graph, hops. Returns counts; artifacts that
-    have not changed since they were last recorded are left out unless forced."""
+    have not changed since they were last recorded are left out unless forced. ``columns`` (table_fqn, column_name, ordinal_position) settles stars and bare names."""
     spark: SparkSession = store.spark
     at = F.lit(now).cast("timestamp")
     versions = saved(hops.changed(artifacts, store.read("lineage_code_versions").filter(F.col("pipeline_run_id") != run), force), "versions")
     wanted = saved(artifacts.join(versions.filter("is_new").select("extraction_id"), "extraction_id", "left_semi"), "wanted")
     store.replace_run("lineage_raw_code", wanted.withColumn("extracted_at", at).withColumn("content_sha256", F.sha2("raw_source", 256)), run)
     store.replace_run("lineage_code_versions", versions.select("extraction_id", F.col("token").alias("content_sha256"), F.col("is_new").alias("is_new_version"), at.alias("recorded_at")), run)
-    mappings, reads = code.lineage_of(spark, wanted, catalog, schema)
+    mappings, reads = code.lineage_of(spark, wanted, catalog, schema, columns)
     mappings, reads = saved(mappings, "mappings"), saved(reads, "reads")
     nodes, edges = hops.graph_of(mappings, reads)
     nodes, edges = saved(nodes, "nodes"), saved(edges, "edges")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import refs
@@ -40,7 +41,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scope.records(view(spark, sf_dir, "v_lineage"))
+    """Records of the derived lineage rows, written once a query: expressions over expressions would be copied into every use of a name."""
+    return scope.records(saved(view(spark, sf_dir, "v_lineage"), "lineage"))
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +148,7 @@ def grid_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.grid(view(spark, sf_dir, "v_tables"), "SILVER", "table_name")
 
 
-@query(f"SELECT DISTINCT workspace_id, entity_type, entity_id, entity_run_id, source_table_full_name, target_table_full_name FROM v_column_lineage WHERE event_time > CAST('1999-01-01' AS TIMESTAMP) AND entity_type IN ('JOB', 'NOTEBOOK') AND entity_run_id IS NOT NULL AND (source_table_full_name IN ('{SEED}', 'cat1.bronze.t1') OR target_table_full_name IN ('{SEED}', 'cat1.bronze.t1', 'cat2.gold.t80') OR source_table_full_name = 'cat2.gold.t80')", "v_column_lineage")
+@query(f"SELECT DISTINCT workspace_id, entity_type, entity_id, entity_run_id, source_table_full_name, target_table_full_name, source_column_name, target_column_name, event_time FROM v_column_lineage WHERE event_time > CAST('1999-01-01' AS TIMESTAMP) AND entity_type IN ('JOB', 'NOTEBOOK') AND entity_run_id IS NOT NULL AND (source_table_full_name IN ('{SEED}', 'cat1.bronze.t1') OR target_table_full_name IN ('{SEED}', 'cat1.bronze.t1', 'cat2.gold.t80') OR source_table_full_name = 'cat2.gold.t80')", "v_column_lineage")
 def discover_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.discover_runs(view(spark, sf_dir, "v_column_lineage"), [SEED, "cat1.bronze.t1", "cat2.gold.t80"], as_of=AS_OF, days=DAYS, kinds=("JOB", "NOTEBOOK"))
 
@@ -252,11 +254,9 @@ def real_table_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.real_edges(_records(spark, sf_dir), *SCHEMA)
 
 
-@query("SELECT extraction_id, max_by(content_sha256, recorded_at) AS content_sha256 FROM (SELECT extraction_id, recorded_at, max(content_sha256) AS content_sha256 FROM v_versions GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1", "v_versions")
+@query("SELECT extraction_id, max_by(content_sha256, {'t': recorded_at, 's': content_sha256}) AS content_sha256 FROM v_versions GROUP BY 1", "v_versions")
 def latest_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = view(spark, sf_dir, "v_versions")
-    one = v.groupBy("extraction_id", "recorded_at").agg(F.max("content_sha256").alias("content_sha256"), F.count(F.lit(1)).alias("n")).filter("n = 1")
-    return hops.latest_sha(one)
+    return hops.latest_sha(view(spark, sf_dir, "v_versions"))
 
 
 @query(f"SELECT pipeline_run_id, max(CASE WHEN dst_fqn = '{LAST}' THEN 1 ELSE 0 END) AS writes, max(materialized_at) AS materialized_at FROM v_run_hops WHERE src_fqn = '{LAST}' OR dst_fqn = '{LAST}' GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 DESC LIMIT 1", "v_run_hops")
@@ -264,9 +264,9 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hops.latest_run(view(spark, sf_dir, "v_run_hops"), LAST)
 
 
-@query(f"SELECT count(*) > 0 AS exists, count(*) AS edge_count, max(materialized_at) AS last_built, CAST(floor(date_diff('second', max(materialized_at), TIMESTAMP '2003-01-01 00:00:00') / 86400) AS BIGINT) || 'd ago' AS age, true AS is_stale FROM v_run_hops WHERE src_fqn = '{SEED}' OR dst_fqn = '{SEED}'", "v_run_hops")
+@query(f"SELECT count(*) > 0 AS exists, count(*) AS edge_count, max(materialized_at) AS last_built, CAST(floor(date_diff('second', max(materialized_at), TIMESTAMP '2003-01-01 00:00:00') / 86400) AS BIGINT) || 'd ago' AS age, date_diff('second', max(materialized_at), TIMESTAMP '2003-01-01 00:00:00') > 36000 * 3600 AS is_stale FROM v_run_hops WHERE src_fqn = '{SEED}' OR dst_fqn = '{SEED}'", "v_run_hops")
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hops.freshness(view(spark, sf_dir, "v_run_hops"), SEED, "2003-01-01 00:00:00")
+    return hops.freshness(view(spark, sf_dir, "v_run_hops"), SEED, "2003-01-01 00:00:00", 36_000)
 
 
 @query("SELECT (SELECT count(*) FROM v_column_lineage WHERE event_time > CAST('1999-01-01' AS TIMESTAMP)) AS system_lineage_row_count, (SELECT count(*) FROM v_run_hops WHERE pipeline_run_id = 'run1') AS parsed_edge_count_run", "v_column_lineage", "v_run_hops")
@@ -428,8 +428,8 @@ def column_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.column_trace(view(spark, sf_dir, "v_column_lineage"), R_MID, "C1")
 
 
-R_TARGET_TABLE = "cat0.gold.t114"
-R_TARGET = f"col:{R_TARGET_TABLE}::c1"
+R_TARGET_TABLE = "cat2.silver.t236"
+R_TARGET = f"col:{R_TARGET_TABLE}::c0"
 R_HE = "he AS (SELECT src_node_id AS source, dst_node_id AS target, edge_id FROM v_hops WHERE src_node_id <> dst_node_id)"
 
 
@@ -448,19 +448,19 @@ def backtrack_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.backtrack(_hops(spark, sf_dir), R_TARGET, 6, ("CAST", "projection"), ("^CAT1",))[0]
 
 
-@query(f"WITH RECURSIVE {R_HE}, {_walk('he', R_TARGET, False, 8)} SELECT min(depth) AS level, CASE WHEN min(depth) = 0 THEN 'Target Column' ELSE 'Upstream Layer ' || min(depth) END AS label, node, split_part(substr(node, 5), '::', 1) AS \"table\", split_part(node, '::', 2) AS \"column\", node NOT IN (SELECT target FROM he) AS is_source_column FROM walk WHERE node IN (SELECT source FROM he UNION SELECT target FROM he) GROUP BY node", "v_hops")
+@query(f"WITH RECURSIVE {R_HE}, {_walk('he', R_TARGET, False, 8)} SELECT min(depth) AS level, CASE WHEN min(depth) = 0 THEN 'Target Column' ELSE 'Upstream Layer ' || min(depth) END AS label, node, split_part(substr(node, 5), '::', 1) AS \"table\", split_part(node, '::', 2) AS \"column\", ['#FF4433', '#3B82F6', '#A855F7', '#10B981', '#F59E0B', '#6366F1', '#EC4899', '#06B6D4'][least(min(depth), 7) + 1] AS colour, node NOT IN (SELECT target FROM he) AS is_source_column FROM walk WHERE node IN (SELECT source FROM he UNION SELECT target FROM he) GROUP BY node", "v_hops")
 def transform_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.service_backtrack(_hops(spark, sf_dir), R_TARGET_TABLE, "c1")[0].drop("colour")
+    return paths.service_backtrack(_hops(spark, sf_dir), R_TARGET_TABLE, "c0")[0]
 
 
 @query(f"SELECT 1 AS level, src_node_id AS source, dst_node_id AS target, expr AS expression, upper(transform_category) AS category FROM v_hops WHERE dst_node_id = '{R_TARGET}' AND src_node_id <> dst_node_id", "v_hops")
 def transform_edges_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.service_backtrack(_hops(spark, sf_dir), R_TARGET_TABLE, "c1", touching_only=True)[1].drop("colour")
+    return paths.service_backtrack(_hops(spark, sf_dir), R_TARGET_TABLE, "c0", touching_only=True)[1].drop("colour")
 
 
-R_FROM = "col:cat2.silver.t50::c0"
-R_PATHS = f"{R_HE}, reach(node, depth, nodes) AS (SELECT '{R_FROM}', 0, ['{R_FROM}'] UNION ALL SELECT e.target, reach.depth + 1, list_append(reach.nodes, e.target) FROM reach JOIN he e ON e.source = reach.node WHERE reach.depth < 4 AND NOT list_contains(reach.nodes, e.target))"
-R_TO = R_TARGET
+R_FROM = "col:cat2.bronze.t2::c1"
+R_PATHS = f"{R_HE}, reach(node, depth, nodes) AS (SELECT '{R_FROM}', 0, ['{R_FROM}'] UNION ALL SELECT e.target, reach.depth + 1, list_append(reach.nodes, e.target) FROM reach JOIN he e ON e.source = reach.node WHERE reach.depth < 6 AND NOT list_contains(reach.nodes, e.target))"
+R_TO = "col:cat0.silver.t360::c2"
 
 
 @query(f"WITH RECURSIVE {R_HE}, {_walk('he', R_FROM, True, 6)} SELECT min(depth) AS hops FROM walk WHERE node = '{R_TO}'", "v_hops")
@@ -468,9 +468,26 @@ def shortest_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.shortest_path(_hops(spark, sf_dir), R_FROM, R_TO).agg(F.max("step").alias("hops"))
 
 
+@query(f"WITH RECURSIVE {R_HE}, {_walk('he', R_FROM, True, 6)} SELECT node AS target, min(depth) AS hops, min(depth) AS last_step FROM walk WHERE node <> '{R_FROM}' GROUP BY 1", "v_hops")
+def shortest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From one column to every column that hops lead to: paths of 1 to 6 steps; most have none."""
+    h = saved(_hops(spark, sf_dir), "hops")
+    pairs = h.select(F.lit(R_FROM).alias("source"), F.col("dst_node_id").alias("target")).distinct()
+    return paths.shortest_paths(h, pairs).groupBy("target").agg(F.count(F.lit(1)).alias("hops"), F.max("step").alias("last_step"))
+
+
+@query(f"WITH RECURSIVE {R_PATHS}, p AS (SELECT row_number() OVER (ORDER BY len(nodes), array_to_string(nodes, ' ')) AS path, nodes FROM reach WHERE node = '{R_TO}'), s AS (SELECT path, nodes, unnest(range(0, len(nodes))) AS step FROM p) SELECT s.path, s.step, s.nodes[s.step + 1] AS node, h.edge_id, h.expr AS expression FROM s LEFT JOIN v_hops h ON s.step > 0 AND h.src_node_id = s.nodes[s.step] AND h.dst_node_id = s.nodes[s.step + 1]", "v_hops")
+def rendered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of all paths with its expression; paths are numbered by length and nodes, which is the order of their edges."""
+    h = saved(_hops(spark, sf_dir), "hops")
+    found = paths.simple_paths(h, R_FROM, R_TO, 6, None)
+    order = Window.partitionBy(F.lit(1)).orderBy("length", F.array_join("nodes", " "))  # the paths between two columns, as the feature lists them
+    return paths.rendered(found.withColumn("path", F.row_number().over(order)), h)
+
+
 @query(f"WITH RECURSIVE {R_PATHS} SELECT array_to_string(nodes, ' ') AS nodes, depth AS length FROM reach WHERE node = '{R_TO}'", "v_hops")
 def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.simple_paths(_hops(spark, sf_dir), R_FROM, R_TO, 4, None).select(F.array_join("nodes", " ").alias("nodes"), "length")
+    return paths.simple_paths(_hops(spark, sf_dir), R_FROM, R_TO, 6, None).select(F.array_join("nodes", " ").alias("nodes"), "length")
 
 
 @query("SELECT source, via, target FROM (SELECT DISTINCT source_table_full_name AS source, target_table_full_name AS target, coalesce(CASE entity_type WHEN 'JOB' THEN j.name WHEN 'PIPELINE' THEN p.name END, entity_type || ' ' || entity_id, 'direct') AS via FROM v_lineage LEFT JOIN v_jobs j ON entity_type = 'JOB' AND j.job_id = entity_id LEFT JOIN v_pipelines p ON entity_type = 'PIPELINE' AND p.pipeline_id = entity_id WHERE (source_table_full_name LIKE 'cat0.silver.%' OR target_table_full_name LIKE 'cat0.silver.%') AND source_table_full_name IS NOT NULL AND source_table_full_name <> target_table_full_name)", "v_lineage", "v_jobs", "v_pipelines")
@@ -499,11 +516,11 @@ def _mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select(F.concat(F.lit("ext_"), F.substring_index("dst_fqn", ".", -1)).alias("artifact_id"), F.col("dst_col").alias("output_column"), F.col("dst_fqn").alias("output_table_fqn"), F.col("src_fqn").alias("source_fqn"), F.col("src_col").alias("source_column"), F.concat_ws(".", F.substring_index("src_fqn", ".", -1), "src_col").alias("source_ref"), "expr", F.when(F.col("transform_category") == "cast", "pyspark").otherwise("sql").alias("expr_lang"))
 
 
-@query("SELECT node_type, count(*) AS n FROM (SELECT 'transformation' AS node_type, split_part(dst_fqn, '.', 3) AS id FROM v_hops UNION SELECT 'table', src_fqn FROM v_hops UNION SELECT 'column', src_node_id FROM v_hops UNION SELECT 'column', dst_node_id FROM v_hops) GROUP BY 1", "v_hops")
+@query("SELECT 'transformation' AS node_type, 'xfm:ext_' || split_part(dst_fqn, '.', 3) AS node_id, CAST(NULL AS VARCHAR) AS table_fqn, CAST(NULL AS VARCHAR) AS column_name FROM v_hops UNION SELECT 'table', 'tbl:' || src_fqn, src_fqn, NULL FROM v_hops UNION SELECT 'column', src_node_id, src_fqn, src_col FROM v_hops UNION SELECT 'column', dst_node_id, dst_fqn, dst_col FROM v_hops", "v_hops")
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _mappings(spark, sf_dir)
     nodes, _ = hops.graph_of(m, m.select("artifact_id", F.col("source_fqn").alias("table_fqn")).distinct())
-    return nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
+    return nodes.select("node_type", "node_id", "table_fqn", "column_name")
 
 
 @query("SELECT src_node_id, src_fqn, src_col, dst_node_id, dst_fqn, dst_col, '/src/' || split_part(dst_fqn, '.', 3) AS source_path, expr, CASE WHEN transform_category <> 'cast' THEN expr ELSE 'T(' || expr || ')' END AS expr_sql, CASE WHEN src_col = 'c0' THEN 'aggregation' WHEN src_col = 'c1' THEN 'cast' ELSE 'projection' END AS transform_category FROM v_hops", "v_hops")
@@ -516,7 +533,7 @@ def edge_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.drop("edge_id", "artifact_id", "expr_lang")
 
 
-@query("SELECT extraction_id, sha256('weftline_1' || chr(0) || extraction_id) AS token, max_by(content_sha256, recorded_at) <> sha256('weftline_1' || chr(0) || extraction_id) AS is_new FROM (SELECT extraction_id, recorded_at, seq, CASE WHEN seq % 2 = 0 THEN content_sha256 ELSE sha256('weftline_1' || chr(0) || extraction_id) END AS content_sha256 FROM v_versions) GROUP BY 1", "v_versions")
+@query("SELECT extraction_id, sha256('weftline_1' || chr(0) || extraction_id) AS token, max_by(content_sha256, {'t': recorded_at, 's': content_sha256}) <> sha256('weftline_1' || chr(0) || extraction_id) AS is_new FROM (SELECT extraction_id, recorded_at, seq, CASE WHEN seq % 2 = 0 THEN content_sha256 ELSE sha256('weftline_1' || chr(0) || extraction_id) END AS content_sha256 FROM v_versions) GROUP BY 1", "v_versions")
 def changed_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = view(spark, sf_dir, "v_versions").withColumn("content_sha256", F.when(F.col("seq") % 2 == 0, F.col("content_sha256")).otherwise(refs.version_token(F.col("extraction_id"), hops.PARSER)))
     return hops.changed(v.select("extraction_id", F.col("extraction_id").alias("raw_source")).distinct(), v)
@@ -527,7 +544,7 @@ def changed_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {R_HE}, {_walk('he', R_TARGET, False, 7)}, l AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1) SELECT DISTINCT depth + 1 AS level, src_node_id AS source, dst_node_id AS target, upper(transform_category) AS category FROM v_hops JOIN l ON l.node = dst_node_id WHERE upper(transform_category) <> 'CAST' AND src_node_id <> dst_node_id", "v_hops")
 def transform_edges_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.visible(paths.service_backtrack(_hops(spark, sf_dir), R_TARGET_TABLE, "c1")[1], ["cast"]).select("level", "source", "target", "category")
+    return paths.visible(paths.service_backtrack(_hops(spark, sf_dir), R_TARGET_TABLE, "c0")[1], ["cast"]).select("level", "source", "target", "category")
 
 
 @query("SELECT DISTINCT upper(transform_category) AS category FROM v_hops", "v_hops")
@@ -535,11 +552,28 @@ def trace_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.categories(_hops(spark, sf_dir).select(F.upper("transform_category").alias("category")))
 
 
-@query("SELECT DISTINCT expr AS pyspark_expr FROM v_hops WHERE transform_category = 'cast' AND expr NOT IN (SELECT 'cast(c9 as int)')", "v_hops")
+@query("SELECT DISTINCT expr || '@' || split_part(src_fqn, '.', 3) AS pyspark_expr FROM v_hops WHERE transform_category = 'cast' AND split_part(src_fqn, '.', 1) <> 'cat1'", "v_hops")
 def pending_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _hops(spark, sf_dir).select("expr", F.when(F.col("transform_category") == "cast", "pyspark").otherwise("sql").alias("expr_lang"), F.lit(None).cast("string").alias("expr_sql"))
-    cache = spark.createDataFrame([("cast(c9 as int)",)], "e string").select(F.sha2("e", 256).alias("expr_sha"))
-    return hops.pending_expressions(h, cache).select("pyspark_expr")
+    """An expression a source table; what the tables of one catalog use is in the cache."""
+    return hops.pending_expressions(*_expressions(spark, sf_dir)).select("pyspark_expr")
+
+
+def _expressions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    named = F.concat("expr", F.lit("@"), F.substring_index("src_fqn", ".", -1))
+    h = saved(_hops(spark, sf_dir).select(named.alias("expr"), F.when(F.col("transform_category") == "cast", "pyspark").otherwise("sql").alias("expr_lang"), F.lit(None).cast("string").alias("expr_sql"), "src_fqn", "edge_id"), "said")
+    cache = h.filter("src_fqn like 'cat1.%'").select(F.sha2("expr", 256).alias("expr_sha"), F.col("expr").alias("pyspark_expr"), F.concat(F.lit("kept "), "expr").alias("sql_expr")).distinct()
+    return h, cache
+
+
+@query("SELECT edge_id, CASE WHEN transform_category = 'cast' THEN CASE WHEN split_part(src_fqn, '.', 1) = 'cat1' THEN 'kept ' ELSE 'sql ' END || expr || '@' || split_part(src_fqn, '.', 3) END AS expr_sql FROM v_hops", "v_hops")
+def translated_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, cache = _expressions(spark, sf_dir)
+    return hops.translated(h, cache, _translator)[0].select("edge_id", "expr_sql")
+
+
+def _translator() -> Callable[[list[str]], list[str | None]]:
+    """Stands for a model: set up once a worker."""
+    return lambda batch: [f"sql {e}" for e in batch]
 
 
 @query("SELECT extraction_id, content_sha256 AS source_path, priority FROM (SELECT *, row_number() OVER (PARTITION BY extraction_id ORDER BY priority, content_sha256) AS n FROM (SELECT extraction_id, content_sha256, seq % 3 AS priority FROM v_versions)) WHERE n = 1", "v_versions")
@@ -591,6 +625,51 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.join(t.select(F.col("fqn").alias("full_name"), "table_type"), "full_name").select("full_name", "table_type", "skip_reason")
 
 
+@query("SELECT pipeline_run_id, substr(sha256(CAST(CAST(sum(CAST('0x' || substr(sha256(edge_id), 1, 12) AS HUGEINT)) AS HUGEINT) AS VARCHAR) || '|' || CAST(count(*) AS VARCHAR)), 1, 32) AS version_hash FROM (SELECT DISTINCT pipeline_run_id, edge_id FROM v_run_hops) GROUP BY 1", "v_run_hops")
+def version_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hops.version_hash(view(spark, sf_dir, "v_run_hops"))
+
+
+@query(f"WITH {R_SHARE}, t AS (SELECT share_name, count(DISTINCT catalog_name || '.' || schema_name || '.' || table_name) AS tables FROM v_table_shares GROUP BY 1) SELECT share_name, coalesce(tables, 0) AS tables, coalesce(recipients, '') AS recipients FROM (SELECT DISTINCT share_name FROM v_privileges) s LEFT JOIN t USING (share_name) LEFT JOIN rc USING (share_name)", "v_privileges", "v_table_shares")
+def sharing_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "v_privileges")
+    every = sharing.overview(p.select("share_name").distinct(), p.select("recipient_name").distinct(), view(spark, sf_dir, "v_providers"), view(spark, sf_dir, "v_catalog_uses"), view(spark, sf_dir, "v_table_shares"), p)
+    return every["shares"].select("share_name", "tables", F.coalesce(F.array_join("recipients", ","), F.lit("")).alias("recipients"))
+
+
+@query("SELECT DISTINCT 'shared_out' AS part, catalog_name || '.' || schema_name || '.' || table_name AS name FROM v_table_shares", "v_table_shares")
+def provider_audience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a provider sees: what goes out, no catalogs that come in."""
+    half = sharing.overlay(view(spark, sf_dir, "v_table_shares"), view(spark, sf_dir, "v_privileges"), view(spark, sf_dir, "v_catalog_uses"), view(spark, sf_dir, "v_providers"), "provider")
+    rows = [df.select(F.lit(part).alias("part"), F.col("catalog_name" if part == "foreign_catalogs" else "full_name").alias("name")) for part, df in half.items()]
+    return functools.reduce(DataFrame.unionByName, rows).distinct()
+
+
+@query("SELECT split_part(dst_fqn, '.', 3) AS artifact_id, 'sql' AS language, CAST(count(*) AS INTEGER) AS mapping_count, CAST(count(DISTINCT src_fqn) AS INTEGER) AS table_ref_count, '' AS warnings FROM v_hops GROUP BY 1", "v_hops")
+def parse_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _hops(spark, sf_dir).groupBy(F.substring_index("dst_fqn", ".", -1).alias("artifact_id")).agg(F.collect_list("edge_id").alias("column_mappings"), F.collect_set("src_fqn").alias("table_references"))
+    parsed = own.select("*", F.lit("sql").alias("language"), F.lit(1).alias("statements_parsed"), F.lit(0).alias("statements_skipped"), F.array().cast("array<string>").alias("warnings"))
+    return report.parse_metrics(parsed).drop("statements_parsed", "statements_skipped")
+
+
+@query("SELECT DISTINCT source_table_full_name, source_column_name, target_table_full_name, target_column_name FROM v_column_lineage WHERE (source_table_full_name LIKE 'cat0.silver.%' OR target_table_full_name LIKE 'cat0.silver.%') AND (source_table_full_name <> target_table_full_name OR source_column_name <> target_column_name) ORDER BY ALL LIMIT 100", "v_column_lineage")
+def column_edges_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cap is the feature: the first rows in order."""
+    return paths.column_edges(view(spark, sf_dir, "v_column_lineage"), *SCHEMA, limit=100)
+
+
+@query(f"WITH RECURSIVE {R_PAIRS}, {_walk('pairs', R_MID, False, 16, 'up')}, {_walk('pairs', R_MID, True, 16, 'down')} SELECT (SELECT count(DISTINCT node) FROM up) > 3 OR (SELECT count(DISTINCT node) FROM down) > 3 AS truncated", "v_lineage")
+def trace_node_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a trace with a cap of three nodes says that it stopped."""
+    truncated = scope.trace_rows(_records(spark, sf_dir), R_MID, node_cap=3)[1]
+    return spark.range(1).select(F.lit(truncated).alias("truncated"))
+
+
+@query(f"WITH {R_ROUTED}, {R_TABLE_VIEW} SELECT DISTINCT source, target FROM tv WHERE split_part(source, '.', 1) || '.' || split_part(source, '.', 2) = 'cat0.silver' OR split_part(target, '.', 1) || '.' || split_part(target, '.', 2) = 'cat0.silver'", "v_lineage")
+def sheet_client_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.client_lineage_sheet(_routed(spark, sf_dir), *SCHEMA)
+
+
 # --- source code: every nation has one artifact of each kind ---------------------------------------
 
 
@@ -599,6 +678,12 @@ def _per_nation(rows: list[str]) -> str:
     return " UNION ALL ".join("SELECT " + r.replace("{n}", "' || CAST(n_nationkey AS VARCHAR) || '") + " FROM nation" for r in rows)
 
 
+def _languages(language: str, text: str) -> list[str]:
+    """Languages of the cells of a source with the breaks and marks that are used here; words have none."""
+    parts = text.split("# COMMAND ----------")
+    return [m for m in ("sql" if "%sql" in x else "md" if "%md" in x else language for x in parts) if m != "md"]
+
+
 #: Artifacts by name: language, source, (target, output column, source table, source column) of each mapping, tables read.
 _ARTIFACTS: dict[str, tuple[str, str, list[tuple[str, str, str, str]], list[str]]] = {
     "union": ("sql", "INSERT INTO m.s.u{n} SELECT p AS c FROM m.s.x{n} UNION ALL SELECT r AS c FROM m.s.y{n}", [("m.s.u{n}", "c", "m.s.x{n}", "p"), ("m.s.u{n}", "c", "m.s.y{n}", "r")], ["m.s.x{n}", "m.s.y{n}"]),
@@ -664,10 +749,9 @@ def code_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.lineage_of(spark, _artifacts(spark, sf_dir))[1]
 
 
-@query("SELECT CASE k WHEN 0 THEN 'cells' ELSE 'grouped' END || '_' || CAST(n_nationkey AS VARCHAR) AS artifact_id, count(*) AS cells FROM nation CROSS JOIN (VALUES (0), (0), (1)) v(k) GROUP BY k, n_nationkey")
+@query(_per_nation([f"'{k}_{{n}}' AS artifact_id, {i} AS cell, '{c}' AS language" for k, (language, text, _, _) in _ARTIFACTS.items() for i, c in enumerate(_languages(language, text))]))
 def code_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    two = _artifacts(spark, sf_dir).filter(F.col("extraction_id").rlike("^(cells|grouped)_"))
-    return code.cells(two).groupBy("artifact_id").agg(F.count(F.lit(1)).alias("cells"))
+    return code.cells(_artifacts(spark, sf_dir)).select("artifact_id", "cell", "language")
 
 
 # --- runs, sources, history -------------------------------------------------------------------------
@@ -684,10 +768,10 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AUDIT_SQL = "SELECT CAST(o_custkey AS VARCHAR) AS notebook_id, '/Users/n' || CAST(o_orderkey AS VARCHAR) AS nb_path, CAST(o_orderdate AS TIMESTAMP) AS t FROM orders WHERE o_orderkey % 7 <> 0 AND CAST(o_orderdate AS DATE) >= CAST('1997-01-01' AS DATE) - 365"
 
 
-@query(f"WITH a AS ({_AUDIT_SQL}) SELECT notebook_id, arg_max(nb_path, {{'t': t, 'p': nb_path}}) AS nb_path FROM a WHERE CAST(notebook_id AS BIGINT) % 2 = 0 GROUP BY 1")
+@query(f"WITH a AS ({_AUDIT_SQL}) SELECT notebook_id, arg_max(nb_path, {{'t': t, 'p': nb_path}}) AS nb_path FROM a GROUP BY 1")
 def notebook_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     audit = _audit(spark, sf_dir)
-    wanted = audit.select(F.col("request_params")["notebookId"].alias("notebook_id")).filter(F.col("notebook_id").cast("bigint") % 2 == 0)
+    wanted = audit.select(F.col("request_params")["notebookId"].alias("notebook_id"))
     return metadata.notebook_paths(audit, wanted, as_of="1997-01-01", days=365)
 
 
@@ -744,6 +828,16 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.skip_report(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.when(k == 0, "empty_source").when(k == 1, "external_source").alias("skip_reason")))
 
 
+@query("""WITH a AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'workspace_notebook' WHEN 1 THEN 'git_python' ELSE 'pipeline_file' END AS source_kind, CASE WHEN p_partkey % 5 = 0 THEN 'empty_source' WHEN p_partkey % 5 = 1 THEN 'external_source' END AS skip_reason, CASE WHEN p_partkey % 11 = 0 THEN 'no access to ' || p_brand END AS error, p_size AS seconds FROM part)
+SELECT 'artifacts_extracted' AS item, CAST(NULL AS VARCHAR) AS name, CAST(count(*) FILTER (skip_reason IS NULL AND error IS NULL) AS DOUBLE) AS value FROM a UNION ALL SELECT 'artifacts_skipped', NULL, count(skip_reason) FROM a UNION ALL SELECT 'artifacts_failed', NULL, count(error) FROM a
+UNION ALL SELECT 'by_source_kind', source_kind, count(*) FROM a WHERE skip_reason IS NULL AND error IS NULL GROUP BY 2 UNION ALL SELECT 'skip_reasons', skip_reason, count(*) FROM a WHERE skip_reason IS NOT NULL GROUP BY 2 UNION ALL SELECT 'errors', error, count(*) FROM a WHERE error IS NOT NULL GROUP BY 2 UNION ALL SELECT 'timings', source_kind, sum(seconds) FROM a GROUP BY 2""")
+def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    kind = F.when(k % 3 == 0, "workspace_notebook").when(k % 3 == 1, "git_python").otherwise("pipeline_file")
+    tried = spark.read.parquet(f"{sf_dir}/part.parquet").select(kind.alias("source_kind"), F.when(k % 5 == 0, "empty_source").when(k % 5 == 1, "external_source").alias("skip_reason"), F.when(k % 11 == 0, F.concat(F.lit("no access to "), "p_brand")).alias("error"), F.col("p_size").alias("seconds"))
+    return metadata.extraction_report(tried)
+
+
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished statements, one an order; each writes the table of its customer, some only read it, and one in nine is no SQL."""
     o, name = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.concat(F.lit("m.s.c"), F.col("o_custkey").cast("string"))
@@ -751,10 +845,10 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(text.alias("statement_text"), F.lit("FINISHED").alias("execution_status"), F.lit("OTHER").alias("statement_type"), F.col("o_orderdate").cast("timestamp").alias("start_time"), name.alias("full_name"), "o_custkey")
 
 
-@query("""WITH h AS (SELECT 'm.s.c' || CAST(o_custkey AS VARCHAR) AS full_name, CASE WHEN o_orderkey % 9 = 0 THEN 'NOT SQL m.s.c' || CAST(o_custkey AS VARCHAR) WHEN o_orderkey % 2 = 0 THEN 'SELECT a FROM m.s.c' || CAST(o_custkey AS VARCHAR) ELSE 'INSERT INTO m.s.c' || CAST(o_custkey AS VARCHAR) || ' SELECT a FROM m.s.x' END AS statement_text, CAST(o_orderdate AS TIMESTAMP) AS start_time FROM orders WHERE o_custkey < 30),
+@query("""WITH h AS (SELECT 'm.s.c' || CAST(o_custkey AS VARCHAR) AS full_name, CASE WHEN o_orderkey % 9 = 0 THEN 'NOT SQL m.s.c' || CAST(o_custkey AS VARCHAR) WHEN o_orderkey % 2 = 0 THEN 'SELECT a FROM m.s.c' || CAST(o_custkey AS VARCHAR) ELSE 'INSERT INTO m.s.c' || CAST(o_custkey AS VARCHAR) || ' SELECT a FROM m.s.x' END AS statement_text, CAST(o_orderdate AS TIMESTAMP) AS start_time FROM orders),
 n AS (SELECT DISTINCT * FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY full_name ORDER BY start_time DESC, statement_text) AS n FROM n)
 SELECT full_name, min(n) AS n, arg_min(statement_text, n) AS statement_text, CASE WHEN min(n) IS NULL THEN 'no_producing_query' END AS skip_reason FROM (SELECT DISTINCT full_name FROM h) w LEFT JOIN (SELECT * FROM r WHERE n <= 40 AND starts_with(statement_text, 'INSERT')) USING (full_name) GROUP BY full_name""")
 def producers(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = _history(spark, sf_dir)
-    wanted = history.filter("o_custkey < 30").select("full_name").distinct()
+    wanted = history.select("full_name").distinct()
     return code.producers(spark, metadata.producing_queries(history.drop("full_name", "o_custkey"), wanted, as_of="2000-01-01", hours=24 * 365 * 20), wanted)

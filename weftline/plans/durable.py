@@ -54,3 +54,12 @@ def saved_with_count(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     seen = Observation()
     out = saved(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
     return out, seen.get.get("n", 0)
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of the files that a saved table is read from."""
+    spark, total = df.sparkSession, 0
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        total += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return total

@@ -949,6 +949,22 @@ def producers(spark: SparkSession, queries: DataFrame, wanted: DataFrame) -> Dat
     return wanted.select("full_name").distinct().join(first, "full_name", "left").withColumn("skip_reason", F.when(F.col("n").isNull(), "no_producing_query"))
 
 
+def _targets(plan) -> list[tuple[list[str], bool]]:  # noqa: ANN001
+    """(name parts, whether it is a view's own name) of what a statement writes, without a look at its queries."""
+    kind = _name(plan)
+    if kind == "UnresolvedWith":
+        return _targets(plan.child())
+    if kind == "Union":
+        return [t for c in _list(plan.children()) for t in _targets(c)]
+    if kind in ("MergeIntoTable", "UpdateTable"):
+        table = plan.targetTable() if kind == "MergeIntoTable" else plan.table()
+        while _name(table) == "SubqueryAlias":
+            table = table.child()
+        return [(_parts(table.multipartIdentifier()), False)]
+    name, _ = _target(plan)
+    return [(name, kind == "CreateViewCommand")] if name else []
+
+
 def sql_targets(spark: SparkSession, sql_cells: DataFrame) -> DataFrame:
     """(artifact_id, target) of the tables that statements (artifact_id, source) write; parsed like those of ``sql_lineage``."""
     folder, rows, kind = new_folder(spark, "targets"), [], "artifact_id string, target string"
@@ -959,10 +975,7 @@ def sql_targets(spark: SparkSession, sql_cells: DataFrame) -> DataFrame:
 
     for r in sql_statements(sql_cells).distinct().toLocalIterator():
         try:
-            plan = plan_of(spark, r["statement"])
-            q = _Query(r["catalog"], r["schema"])
-            found = q.merged(plan) if _name(plan) == "MergeIntoTable" else q.writes(plan, {})
-            names = [n[0] if isinstance(n, tuple) else qualified(n, r["catalog"], r["schema"]) for n, _, _ in found if n]
+            names = [".".join(n) if whole else qualified(n, r["catalog"], r["schema"]) for n, whole in _targets(plan_of(spark, r["statement"]))]
         except Exception:  # noqa: BLE001, S112  not a statement of Spark's
             continue
         rows += [(r["artifact_id"], n) for n in names if n]

@@ -119,7 +119,7 @@ def discover_runs(column_lineage: DataFrame, tables: Sequence[str], *, as_of: st
     """Distinct runs that touch the tables; the date column prunes partitions before the exact window is applied."""
     rows = column_lineage.filter(F.col("event_date") >= F.date_sub(F.to_date(F.lit(as_of)), days)).filter(refs.in_window(F.col("event_time"), F.lit(as_of), days))
     rows = rows.filter(F.col("entity_type").isin(*kinds) & F.col("entity_run_id").isNotNull()).filter(touches(tables))
-    return rows.select("workspace_id", "entity_type", "entity_id", "entity_run_id", "source_table_full_name", "target_table_full_name").distinct()
+    return rows.select("workspace_id", "entity_type", "entity_id", "entity_run_id", "source_table_full_name", "target_table_full_name", "source_column_name", "target_column_name", "event_time").distinct()
 
 
 def numeric_run_ids(runs: DataFrame) -> DataFrame:
@@ -239,3 +239,22 @@ def diagnostics(spark: SparkSession, required: dict[str, DataFrame | None], opti
 
 def skip_report(skipped: DataFrame) -> DataFrame:
     return skipped.filter("skip_reason is not null").groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def extraction_report(tried: DataFrame) -> DataFrame:
+    """(item, name, value) about artifacts that were tried (source_kind, skip_reason, error, seconds): how many were extracted, skipped and failed, the extracted ones by kind of source,
+    skipped ones by reason, failed ones by error, and the seconds that each kind took. An artifact with both a reason and an error counts for both."""
+    done = F.col("skip_reason").isNull() & F.col("error").isNull()
+    none = F.lit(None).cast("string")
+    sums = tried.agg(F.count_if(done).alias("artifacts_extracted"), F.count("skip_reason").alias("artifacts_skipped"), F.count("error").alias("artifacts_failed"))
+    names = ("artifacts_extracted", "artifacts_skipped", "artifacts_failed")
+    total = sums.select(F.inline(F.array(*(F.struct(F.lit(n).alias("item"), none.alias("name"), F.col(n).cast("double").alias("value")) for n in names))))
+
+    def by(item: str, column: str, rows: DataFrame, value: F.Column) -> DataFrame:
+        return rows.groupBy(F.col(column).alias("name")).agg(value.cast("double").alias("value")).select(F.lit(item).alias("item"), "name", "value")
+
+    n = F.count(F.lit(1))
+    parts = by("by_source_kind", "source_kind", tried.filter(done), n), by("skip_reasons", "skip_reason", tried.filter("skip_reason is not null"), n), by("errors", "error", tried.filter("error is not null"), n), by("timings", "source_kind", tried, F.sum("seconds"))
+    for p in parts:
+        total = total.unionByName(p)
+    return total

@@ -43,9 +43,9 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(node, depth): the least number of hops from any seed (node) along the edges, seeds included at 0."""
-    edges = saved(prepared(edges), "edges")
+def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, *, ready: bool = False) -> DataFrame:
+    """(node, depth): the least number of hops from any seed (node) along the edges, seeds included at 0. ``ready`` edges are prepared and kept already."""
+    edges = edges if ready else saved(prepared(edges), "edges")
     seen = frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while max_hops is None or depth < max_hops:
@@ -62,18 +62,19 @@ def seed_of(edges: DataFrame, node: str) -> DataFrame:
     return edges.sparkSession.createDataFrame([(node,)], "node string")
 
 
-def descendants(edges: DataFrame, node: str, max_hops: int | None = MAX_HOPS) -> DataFrame:
-    return reach(edges, seed_of(edges, node), max_hops)
+def descendants(edges: DataFrame, node: str, max_hops: int | None = MAX_HOPS, *, ready: bool = False) -> DataFrame:
+    return reach(edges, seed_of(edges, node), max_hops, ready=ready)
 
 
-def ancestors(edges: DataFrame, node: str, max_hops: int | None = MAX_HOPS) -> DataFrame:
-    return reach(reversed_edges(edges), seed_of(edges, node), max_hops)
+def ancestors(edges: DataFrame, node: str, max_hops: int | None = MAX_HOPS, *, ready: bool = False) -> DataFrame:
+    return reach(reversed_edges(edges), seed_of(edges, node), max_hops, ready=ready)
 
 
 def trace_nodes(edges: DataFrame, seed: str, max_hops: int = MAX_HOPS) -> DataFrame:
     """(node, direction, depth) of the directional cone: what feeds the seed, and what it feeds. The two walks do not share what they have visited."""
-    up = ancestors(edges, seed, max_hops).withColumn("direction", F.lit("up"))
-    down = descendants(edges, seed, max_hops).withColumn("direction", F.lit("down"))
+    edges = saved(prepared(edges), "edges")
+    up = ancestors(edges, seed, max_hops, ready=True).withColumn("direction", F.lit("up"))
+    down = descendants(edges, seed, max_hops, ready=True).withColumn("direction", F.lit("down"))
     return up.unionByName(down).select("node", "direction", "depth")
 
 
@@ -163,12 +164,14 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def highlight(edges: DataFrame, node: str) -> DataFrame:
     """What is lit up for a node: its whole closure both ways; for an entity its direct neighbours."""
     hops = 1 if node.startswith("entity:") else None
-    return ancestors(edges, node, hops).select("node").unionByName(descendants(edges, node, hops).select("node")).distinct()
+    edges = saved(prepared(edges), "edges")
+    return ancestors(edges, node, hops, ready=True).select("node").unionByName(descendants(edges, node, hops, ready=True).select("node")).distinct()
 
 
 def isolate(edges: DataFrame, selected: str, target: str) -> DataFrame:
     """Nodes on paths from ``selected`` to ``target``, and the target."""
-    on = ancestors(edges, target, None).select("node").join(descendants(edges, selected, None).select("node"), "node", "left_semi")
+    edges = saved(prepared(edges), "edges")
+    on = ancestors(edges, target, None, ready=True).select("node").join(descendants(edges, selected, None, ready=True).select("node"), "node", "left_semi")
     return on.unionByName(seed_of(edges, target)).distinct()
 
 

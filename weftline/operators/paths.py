@@ -170,14 +170,14 @@ def rendered(paths: DataFrame, hops: DataFrame) -> DataFrame:
 
 def column_trace(edges: DataFrame, table: str, column: str) -> DataFrame:
     """(table, column, direction, depth): columns that feed or are fed by one column, across any schemas; names of columns agree in any case of letters."""
-    from weftline.operators.graph import reach, reversed_edges
+    from weftline.operators.graph import prepared, reach, reversed_edges
 
     def node(end: str) -> F.Column:
         return F.concat(F.col(f"{end}_table_full_name"), F.lit("::"), F.lower(f"{end}_column_name"))
 
-    pairs = edges.select(node("source").alias("source"), node("target").alias("target"))
+    pairs = saved(prepared(edges.select(node("source").alias("source"), node("target").alias("target"))), "pairs")
     seed = seed_of(edges, f"{table}::{column.lower()}")
-    both = reach(reversed_edges(pairs), seed).withColumn("direction", F.lit("up")).unionByName(reach(pairs, seed).withColumn("direction", F.lit("down")))
+    both = reach(reversed_edges(pairs), seed, ready=True).withColumn("direction", F.lit("up")).unionByName(reach(pairs, seed, ready=True).withColumn("direction", F.lit("down")))
     return both.select(F.substring_index("node", "::", 1).alias("table"), F.substring_index("node", "::", -1).alias("column"), "direction", "depth")
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import refs
 from weftline.operators import cost, graph, hops, paths, report, scope, sharing
+from weftline.plans import api
 from weftline.plans.durable import saved
+from weftline.plans.store import Store
 from weftline.sources import code, metadata
 from weftline.sources.derived import view, with_views
 
@@ -460,7 +464,7 @@ def transform_edges_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 R_FROM = "col:cat2.bronze.t2::c1"
 R_PATHS = f"{R_HE}, reach(node, depth, nodes) AS (SELECT '{R_FROM}', 0, ['{R_FROM}'] UNION ALL SELECT e.target, reach.depth + 1, list_append(reach.nodes, e.target) FROM reach JOIN he e ON e.source = reach.node WHERE reach.depth < 6 AND NOT list_contains(reach.nodes, e.target))"
-R_TO = "col:cat0.silver.t360::c2"
+R_TO = "col:cat2.silver.t221::c1"
 
 
 @query(f"WITH RECURSIVE {R_HE}, {_walk('he', R_FROM, True, 6)} SELECT min(depth) AS hops FROM walk WHERE node = '{R_TO}'", "v_hops")
@@ -518,15 +522,16 @@ def _mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'transformation' AS node_type, 'xfm:ext_' || split_part(dst_fqn, '.', 3) AS node_id, CAST(NULL AS VARCHAR) AS table_fqn, CAST(NULL AS VARCHAR) AS column_name FROM v_hops UNION SELECT 'table', 'tbl:' || src_fqn, src_fqn, NULL FROM v_hops UNION SELECT 'column', src_node_id, src_fqn, src_col FROM v_hops UNION SELECT 'column', dst_node_id, dst_fqn, dst_col FROM v_hops", "v_hops")
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _mappings(spark, sf_dir)
+    m = saved(_mappings(spark, sf_dir), "mappings")
     nodes, _ = hops.graph_of(m, m.select("artifact_id", F.col("source_fqn").alias("table_fqn")).distinct())
     return nodes.select("node_type", "node_id", "table_fqn", "column_name")
 
 
 @query("SELECT src_node_id, src_fqn, src_col, dst_node_id, dst_fqn, dst_col, '/src/' || split_part(dst_fqn, '.', 3) AS source_path, expr, CASE WHEN transform_category <> 'cast' THEN expr ELSE 'T(' || expr || ')' END AS expr_sql, CASE WHEN src_col = 'c0' THEN 'aggregation' WHEN src_col = 'c1' THEN 'cast' ELSE 'projection' END AS transform_category FROM v_hops", "v_hops")
 def edge_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _mappings(spark, sf_dir)
+    m = saved(_mappings(spark, sf_dir), "mappings")
     nodes, edges = hops.graph_of(m, m.select("artifact_id", F.col("source_fqn").alias("table_fqn")).distinct())
+    nodes, edges = saved(nodes, "nodes"), saved(edges, "edges")
     code = m.select(F.col("artifact_id").alias("extraction_id"), F.concat(F.lit("/src/"), F.substring("artifact_id", 5, 100)).alias("source_path")).distinct()
     cache = spark.createDataFrame([], "expr_sha string, pyspark_expr string, sql_expr string")
     full, _ = hops.enriched(hops.edge_endpoints(nodes, edges, code), cache, lambda e: F.concat(F.lit("T("), e, F.lit(")")))
@@ -670,6 +675,52 @@ def sheet_client_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.client_lineage_sheet(_routed(spark, sf_dir), *SCHEMA)
 
 
+# --- the store and what is asked of it ----------------------------------------------------------------
+
+
+@contextlib.contextmanager
+def _store(spark: SparkSession) -> Iterator[Store]:
+    """A store of its own for one query, dropped when the answer is written."""
+    store = Store(spark, f"weftline_{uuid.uuid4().hex}")
+    store.ensure()
+    try:
+        yield store
+    finally:
+        spark.sql(f"DROP SCHEMA `{store.schema}` CASCADE")
+
+
+@query(f"SELECT pipeline_run_id, count(*) AS n, count(DISTINCT src_fqn) AS sources, min(edge_id) AS first_edge FROM v_run_hops WHERE (pipeline_run_id <> 'run1' OR edge_id LIKE '%\\_1' ESCAPE '\\') AND pipeline_run_id <> 'run2' AND src_fqn <> '{SEED}' AND dst_fqn <> '{SEED}' GROUP BY 1", "v_run_hops")
+def store_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs appended, one replaced, one replaced by nothing, and all about one table forgotten."""
+    rows = view(spark, sf_dir, "v_run_hops")
+    with _store(spark) as store:
+        store.append("lineage_edge_endpoints", rows)
+        store.replace_run("lineage_edge_endpoints", rows.filter("pipeline_run_id = 'run1' and endswith(edge_id, '_1')"), "run1")
+        store.replace_run("lineage_edge_endpoints", rows.limit(0), "run2")
+        store.clear("table", SEED)
+        return saved(store.read("lineage_edge_endpoints").groupBy("pipeline_run_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src_fqn").alias("sources"), F.min("edge_id").alias("first_edge")), "runs")
+
+
+@query(f"WITH RECURSIVE {R_PATHS}, e AS (SELECT nodes, list_transform(range(1, len(nodes)), lambda i: 'e_' || replace(substr(nodes[i], 5), '::', '.') || '>' || replace(substr(nodes[i + 1], 5), '::', '.')) AS edges FROM reach WHERE node = '{R_TO}'), p AS (SELECT row_number() OVER (ORDER BY len(edges), edges) AS path, nodes FROM e), s AS (SELECT path, nodes, unnest(range(0, len(nodes))) AS step FROM p WHERE path <= 50) SELECT s.path, s.step, s.nodes[s.step + 1] AS node, h.edge_id, h.expr AS expression FROM s LEFT JOIN v_hops h ON s.step > 0 AND h.src_node_id = s.nodes[s.step] AND h.dst_node_id = s.nodes[s.step + 1]", "v_hops")
+def found_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty paths of a run, as the path cache answers when it is asked again (the number is the feature)."""
+    with _store(spark) as store:
+        store.append("lineage_edge_endpoints", _hops(spark, sf_dir), "r")
+        for _ in range(2):
+            found = api.find_paths(store, R_FROM, R_TO, run="r", mode="k", max_depth=6, now=AS_OF)
+        return saved(found, "found")
+
+
+@query(f"WITH RECURSIVE {R_HE}, {_walk('he', R_TARGET, False, 6)} SELECT node, min(depth) AS depth, node NOT IN (SELECT target FROM he) AS is_source FROM walk GROUP BY 1", "v_hops")
+def backtrack_of_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The service's answer over a store with an older and a newer run."""
+    h = _hops(spark, sf_dir)
+    with _store(spark) as store:
+        store.append("lineage_edge_endpoints", h.filter("src_col = 'c0'").withColumn("materialized_at", F.lit("2001-01-01").cast("timestamp")), "old")
+        store.append("lineage_edge_endpoints", h.withColumn("materialized_at", F.lit("2002-01-01").cast("timestamp")), "new")
+        return saved(api.backtrack(store, R_TARGET)["levels"], "levels")
+
+
 # --- source code: every nation has one artifact of each kind ---------------------------------------
 
 

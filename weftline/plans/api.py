@@ -39,6 +39,10 @@ STEPS = (
 )
 
 
+#: Nodes of a graph that the graph cache keeps as one text.
+GRAPH_ROWS = 50_000
+
+
 def checked_identifier(text: str) -> str:
     if not _PART.match(text or ""):
         raise ValueError(f"not an identifier: {text!r}")
@@ -242,10 +246,14 @@ def backtrack(store: Store, target: str, *, run: str | None = None, max_depth: i
 
 
 def kpi_subgraph(store: Store, table: str, run: str, now: str, max_hops: int = 6) -> DataFrame:
-    """Nodes around a table (as it is read, and its columns), whichever way edges point, and their record in the graph cache."""
+    """Nodes around a table (as it is read, and its columns), whichever way edges point, and their record in the graph cache.
+
+    The record is one JSON text; of over ``GRAPH_ROWS`` nodes, which no display shows, there is none, and the nodes are returned all the same."""
     nodes, edges = store.read("lineage_nodes", run), store.read("lineage_edges", run)
     seeds = nodes.filter((F.col("node_id") == f"tbl:{table}") | (F.col("table_fqn") == table)).select(F.col("node_id").alias("node"))
     ball = saved(graph.undirected_ball(edges.select(F.col("src_id").alias("source"), F.col("dst_id").alias("target")), seeds, max_hops), "ball")
+    if ball.count() > GRAPH_ROWS:
+        return ball
     about = ball.agg(F.to_json(F.sort_array(F.collect_list(F.struct("depth", "node")))).alias("graph_json"))  # a display's graph
     store.append("lineage_graph_cache", about.withColumns({"cache_key": F.lit(f"undirected:{table}:{max_hops}"), "kpi_table_fqn": F.lit(table), "version_hash": F.sha2("graph_json", 256), "materialized_at": F.lit(now).cast("timestamp")}), run)
     return ball

@@ -87,7 +87,7 @@ def repeated_anchors(texts: DataFrame, anchors: Callable[[str], np.ndarray], *,
 
     def merge(table: pa.Table) -> list[tuple]:
         lists = [unpack(x) for x in table.column("blob").to_pylist()]
-        origin = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        begin = np.cumsum([0, *(len(x) for x in lists)])
         values = np.concatenate(lists)
         key = values >> np.uint64(DOC_BITS)
         order = np.argsort(key, kind="stable")
@@ -97,7 +97,8 @@ def repeated_anchors(texts: DataFrame, anchors: Callable[[str], np.ndarray], *,
         again = np.zeros(len(values), bool)
         again[order] = (times > 1)[np.cumsum(new) - 1]
         batch = table.column("batch").to_pylist()
-        return [(batch[k], pack(x[again[origin == k]])) for k, x in enumerate(lists) if again[origin == k].any()]
+        picked = (x[again[a:z]] for x, a, z in zip(lists, begin[:-1].tolist(), begin[1:].tolist(), strict=True))
+        return [(b, pack(x)) for b, x in zip(batch, picked, strict=True) if len(x)]
 
     answers = saved(mapped_groups(sent.filter("part >= 0"), "part", merge, "batch long, blob binary"), "answers")
     both = answers.select("batch", "blob", F.lit(0).alias("names")).unionByName(sent.filter("part = -1").select("batch", "blob", F.lit(1).alias("names")))

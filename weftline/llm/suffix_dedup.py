@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import _power_table, mix, saved
@@ -385,6 +385,31 @@ def _region_batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], ["key", "same", "bound", "times", "rk", "at", "shift", "part"])
 
 
+def row_hash(text: Column) -> Column:
+    """The long that stands for a text as long as no other text has it too."""
+    return F.xxhash64(text)
+
+
+def told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with rk, a long that stands for the text, and (_rk) of the texts that several rows have.
+
+    Texts that share a hash are told apart by 60 bits of their SHA-256: where several digests meet in one hash, the digest gives the number."""
+    digest = F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long")
+    rows = rows.withColumn("rk", row_hash(F.col("text")))
+
+    def copies(of: DataFrame) -> DataFrame:
+        several = of.withColumn("digest", digest).groupBy("rk").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+        return saved(several.filter("n > 1").select(F.col("rk").alias("_rk"), (F.col("lo") != F.col("hi")).alias("clash")), "copies")
+
+    found = copies(rows)
+    clash = found.filter("clash").select("_rk")
+    if not clash.isEmpty():
+        rows = rows.join(small(clash), F.col("rk") == F.col("_rk"), "left")
+        rows = rows.withColumn("rk", F.when(F.col("_rk").isNull(), F.col("rk")).otherwise(F.xxhash64(digest))).drop("_rk")
+        found = copies(rows)
+    return rows, found.select("_rk")
+
+
 def with_kept_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every row.
 
@@ -393,8 +418,8 @@ def with_kept_bytes(docs: DataFrame) -> DataFrame:
     whole (from 400 bytes), and one of them stands for all when other texts are compared. A null doc_id takes part like any other. Other
     columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("rk", F.xxhash64("text"))
-    twice = saved(rows.groupBy("rk").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("rk").alias("_rk")), "copies")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows, twice = told_apart(rows)
     several = small(twice)
     one = rows.join(several, F.col("rk") == F.col("_rk"), "left_anti").select("rk", "text")
     repeats = rows.join(several, F.col("rk") == F.col("_rk"), "left_semi").groupBy("rk").agg(F.first("text").alias("text"))

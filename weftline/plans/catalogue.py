@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import refs
-from weftline.operators import cost, graph, hops, paths, report, scope, sharing
+from weftline.operators import cost, graph, hops, paths, reachability, report, scope, sharing
 from weftline.plans import api
 from weftline.plans.durable import saved
 from weftline.plans.store import Store
@@ -400,6 +400,25 @@ def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.highlight(_records(spark, sf_dir), R_MID)
 
 
+@query(f"WITH RECURSIVE {R_PAIRS}, {_walk('pairs', R_MID, False, 60, 'up')}, {_walk('pairs', R_MID, True, 60, 'down')} SELECT DISTINCT node, 'up' AS direction FROM up UNION ALL SELECT DISTINCT node, 'down' FROM down", "v_lineage")
+def indexed_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = reachability.build(_records(spark, sf_dir))
+    return index.ancestors(R_MID).withColumn("direction", F.lit("up")).unionByName(index.descendants(R_MID).withColumn("direction", F.lit("down")))
+
+
+@query(
+    f"WITH RECURSIVE {R_PAIRS}, asked AS (SELECT DISTINCT m.source, rec.target FROM rec JOIN (SELECT entity, min(source) AS source FROM rec WHERE entity IS NOT NULL GROUP BY 1) m USING (entity) WHERE rec.target IS NOT NULL AND m.source IS NOT NULL), "
+    "fed(source, node) AS (SELECT DISTINCT source, source FROM asked UNION SELECT fed.source, p.target FROM fed JOIN pairs p ON p.source = fed.node) "
+    "SELECT a.source, a.target, f.node IS NOT NULL AS reaches FROM asked a LEFT JOIN fed f ON f.source = a.source AND f.node = a.target",
+    "v_lineage",
+)
+def reaching_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the first source of each entity feeds, at any distance, each of the entity's targets."""
+    rows = _records(spark, sf_dir)
+    first = rows.filter("entity is not null").groupBy("entity").agg(F.min("source").alias("source"))
+    return reachability.build(rows).reaches(rows.select("entity", "target").join(first, "entity").select("source", "target"))
+
+
 @query(f"WITH RECURSIVE {R_PAIRS}, walk(node, layer) AS (SELECT source, 0 FROM pairs UNION SELECT target, 0 FROM pairs UNION SELECT p.target, walk.layer + 1 FROM walk JOIN pairs p ON p.source = walk.node) SELECT node, max(layer) AS layer FROM walk GROUP BY 1", "v_lineage")
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.layers(_records(spark, sf_dir))

@@ -370,7 +370,8 @@ def repeated_bytes(texts: DataFrame) -> DataFrame:
         return out
 
     sorted_ = mapped_groups(blocked.withColumn("shard", F.pmod("g", F.lit(shards))), "shard", sort_shard, "key long, same long, a long, z long")
-    spans = saved(alone.unionByName(sorted_), "spans")
+    # surroundings have 560 bytes at most, so any two windows in one overlap: what pieces and blocks found is one range, joined once a place
+    spans = saved(alone.unionByName(sorted_).groupBy("key", "same").agg(F.min("a").alias("a"), F.max("z").alias("z")), "spans")
     placed = regions.select("key", "same", "rk", "at").join(spans, ["key", "same"]).select("rk", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("z")).alias("z"))
 
     def unite(table: pa.Table) -> list[tuple]:

@@ -127,6 +127,19 @@ def met(reads: DataFrame, writes: DataFrame, block: int | None = None) -> DataFr
     return dealt.join(copied, ["entity", "block"]).select("entity", "source", "target")
 
 
+def moved(pairs: DataFrame, reads: DataFrame, writes: DataFrame) -> DataFrame:
+    """The distinct ``pairs`` (source, target) of which some entity reads the source (entity, source) and writes the target (entity, target).
+
+    Each pair asks the entities of the end that has fewer of them, so what all entities read (a volume) never meets all that was made from it."""
+    fewer = F.col("readers") <= F.col("writers")
+    readers = reads.groupBy("source").agg(F.count(F.lit(1)).alias("readers"))
+    writers = writes.groupBy("target").agg(F.count(F.lit(1)).alias("writers"))
+    pairs = saved(pairs.select("source", "target").distinct().join(readers, "source").join(writers, "target").withColumn("by_source", fewer).drop("readers", "writers"), "asked")
+    by_source = pairs.filter("by_source").join(reads, "source").join(writes, ["entity", "target"], "left_semi")
+    by_target = pairs.filter("not by_source").join(writes, "target").join(reads, ["entity", "source"], "left_semi")
+    return by_source.select("source", "target").unionByName(by_target.select("source", "target")).distinct()
+
+
 def table_view(edges: DataFrame) -> DataFrame:
     """Edges between tables: the direct ones, and each source of an entity to each of its targets."""
     source, target = is_entity(F.col("source")), is_entity(F.col("target"))

@@ -87,7 +87,7 @@ def scope_graph(rows: DataFrame, tables: DataFrame, catalog: str, schema: str |
 
     reads, writes = ends(whole)
     bare = loose.select("source", "target").distinct()
-    covered = bare.join(reads, "source").join(writes, ["entity", "target"], "left_semi").select("source", "target").distinct()
+    covered = graph.moved(bare, reads, writes)
     direct = bare.join(covered, ["source", "target"], "left_anti")
     kept = reads.join(writes.select("entity", F.col("target").alias("source")), ["entity", "source"], "left_anti")
     again = whole.filter("source is not null and target is not null").join(writes.select("entity", F.col("target").alias("source")), ["entity", "source"], "left_semi").select("source", "target")

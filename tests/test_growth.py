@@ -1,6 +1,8 @@
 """Work that must not grow faster than the input: rows that plans make on inputs with hubs and many repeats."""
 
-from weftline.operators import graph, scope
+from pyspark.sql import functions as F
+
+from weftline.operators import graph, paths, scope
 
 
 def most_rows(spark, run):
@@ -38,3 +40,16 @@ def test_moved_asks_either_end(spark):
     pairs = [(s, t) for s in "sxyz" for t in "tuwz"]
     got = graph.moved(spark.createDataFrame(pairs, "source string, target string"), spark.createDataFrame(reads, "entity string, source string"), spark.createDataFrame(writes, "entity string, target string"))
     assert sorted(map(tuple, got.collect())) == sorted({(s, t) for s, t in pairs for a, b in reads for c, d in writes if a == c and (b, d) == (s, t)})
+
+
+def test_pairs_of_one_source_share_its_search(spark, monkeypatch):
+    n = 300
+    names = [(f"a{i}", f"a{i + 1}") for i in range(4)] + [("a0", f"b{i}") for i in range(5)] + [(f"x{i}", f"y{i}") for i in range(n)]
+    hops = spark.createDataFrame([(s, t, f"e_{s}_{t}") for s, t in names], "src_node_id string, dst_node_id string, edge_id string")
+    pairs = hops.select(F.lit("a0").alias("source"), F.col("dst_node_id").alias("target"))
+    found = lambda: {(r["target"], r["step"], r["edge_id"]) for r in paths.shortest_paths(hops, pairs).collect()}
+    shared, most = most_rows(spark, found)
+    assert shared == {(f"a{i}", k + 1, f"e_a{k}_a{k + 1}") for i in range(1, 5) for k in range(i)} | {(f"b{i}", 1, f"e_a0_b{i}") for i in range(5)}
+    assert most < 4 * n  # each pair with each successor of the source are 6 * n rows
+    monkeypatch.setattr(paths, "SHARED", 0)
+    assert found() == shared

@@ -12,6 +12,8 @@ from weftline.operators.graph import cut, hop, seed_of
 from weftline.plans.durable import saved, saved_with_count
 
 MAX_DEPTH, SERVICE_DEPTH, MAX_PATHS = 6, 8, 50
+#: Rows of searches that pairs share, at most, as a multiple of the pairs.
+SHARED = 16
 
 
 def pruned(hops: DataFrame, include: Sequence[str] | None = None, exclude_tables: Sequence[str] = ()) -> DataFrame:
@@ -81,11 +83,13 @@ def shortest_paths(hops: DataFrame, pairs: DataFrame, max_depth: int = MAX_DEPTH
 
     Two searches, from all sources and from all targets, each a frontier of (pair, node). A round carries the smaller frontier one hop further and asks where
     it meets what the other search has seen: both know all nodes within their depths, so the first meeting is a shortest one, and the pair leaves both frontiers.
+    Pairs that share an end with many others and have no path are left out first (``_near``).
     From the middle the nodes on shortest paths are followed out through the levels of either side; ties go to the smallest edge ids from the target back."""
     hops = saved(hops.filter("src_node_id != dst_node_id").select("src_node_id", "dst_node_id", "edge_id").distinct(), "hops")
     pairs, n = saved_with_count(pairs.select("source", "target").filter("source != target").distinct(), "pairs")
     fore = hops.select(F.col("src_node_id").alias("node"), F.col("dst_node_id").alias("next"))
     along = {True: fore, False: fore.select(F.col("next").alias("node"), F.col("node").alias("next"))}
+    pairs, n = _near(pairs, n, along, max_depth)
     pair, key = ["source", "target"], ["source", "target", "node"]
     front = {True: pairs.withColumn("node", F.col("source")), False: pairs.withColumn("node", F.col("target"))}
     seen = {side: front[side].withColumn("depth", F.lit(0)) for side in front}
@@ -127,6 +131,26 @@ def shortest_paths(hops: DataFrame, pairs: DataFrame, max_depth: int = MAX_DEPTH
     return path
 
 
+def _near(pairs: DataFrame, n: int, along: dict[bool, DataFrame], max_depth: int) -> tuple[DataFrame, int]:
+    """The ``n`` pairs less those without a path, where many pairs share an end: one search from each such end serves all its pairs.
+
+    Only where searches that find every node would have at most ``SHARED`` times as many rows as there are pairs; else all pairs are left."""
+    nodes = along[True].select("node").unionByName(along[True].select(F.col("next").alias("node"))).distinct().count()
+    for forward, end, other in ((True, "source", "target"), (False, "target", "source")):
+        frontier, size = saved_with_count(pairs.select(F.col(end).alias("end")).distinct().withColumn("node", F.col("end")), "near")
+        if size * nodes > SHARED * n:
+            continue
+        seen = frontier
+        for _ in range(max_depth):
+            step = frontier.join(along[forward], "node").select("end", F.col("next").alias("node")).distinct()
+            frontier, found = hop(step.join(seen, ["end", "node"], "left_anti"))
+            if not found:
+                break
+            seen = seen.unionByName(frontier)
+        return saved_with_count(pairs.join(seen.select(F.col("end").alias(end), F.col("node").alias(other)), ["source", "target"], "left_semi"), "pairs")
+    return pairs, n
+
+
 def simple_paths(hops: DataFrame, source: str, target: str, max_depth: int = MAX_DEPTH, max_paths: int | None = MAX_PATHS) -> DataFrame:
     """(path, length, nodes, edges): simple paths, shortest first and then by their edge ids; parallel edges give paths of their own.
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from weftline.operators import graph, paths, scope
+from weftline.sources import code
 
 
 def most_rows(spark, run):
@@ -53,3 +54,21 @@ def test_pairs_of_one_source_share_its_search(spark, monkeypatch):
     assert most < 4 * n  # each pair with each successor of the source are 6 * n rows
     monkeypatch.setattr(paths, "SHARED", 0)
     assert found() == shared
+
+
+def test_targets_by_shapes_of_statements(spark, monkeypatch):
+    texts = ["INSERT INTO m.s.c{0} SELECT a FROM m.s.x{0}", "SELECT a FROM m.s.c{0}", "NOT SQL m.s.c{0}", "INSERT INTO c{0}.C{0}.`c{0}` SELECT 'c{0}', 1e{0}, 1.e{0} FROM t -- c", "MERGE INTO s{0}.t USING u1 ON s{0}.t.a = u1.a WHEN MATCHED THEN DELETE", "INSERT INTO q.`wl0q{0}` SELECT 1", "INSERT INTO k{0} SELECT 'it''s c{0}' x{0}"]
+    cells = [(f"{j}_{i}", t.format(i)) for i in range(1, 40) for j, t in enumerate(texts)]
+    asked, plan_of = [], code.plan_of
+    monkeypatch.setattr(code, "plan_of", lambda s, sql: asked.append(sql) or plan_of(s, sql))
+    got = {tuple(r) for r in code.sql_targets(spark, spark.createDataFrame(cells, "artifact_id string, source string")).collect()}
+    want = {(a, ".".join(n)) for a, s in cells for n in _written(spark, plan_of, s)}
+    assert got == want and len(want) == 5 * 39
+    assert len(asked) <= 4 + 3 * 39  # four of the seven texts are one shape each, or rejected as one
+
+
+def _written(spark, plan_of, statement):
+    try:
+        return [n for n, _ in code._targets(plan_of(spark, statement))]
+    except Exception:  # noqa: BLE001  not a statement of Spark's
+        return []

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from weftline.operators import graph, paths, scope
+from weftline.plans import catalogue
 from weftline.sources import code
+from weftline.sources.derived import view
 
 
 def most_rows(spark, run):
@@ -72,3 +74,11 @@ def _written(spark, plan_of, statement):
         return [n for n, _ in code._targets(plan_of(spark, statement))]
     except Exception:  # noqa: BLE001  not a statement of Spark's
         return []
+
+
+def test_hops_drop_repeats_by_four_columns(spark, sf):
+    hops = catalogue._hops(spark, sf)
+    want = view(spark, sf, "v_hops")
+    assert hops.columns == want.columns and hops.exceptAll(want).isEmpty() and want.exceptAll(hops).isEmpty()
+    shuffled = [x for x in hops._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
+    assert len(shuffled) == 1 and shuffled[0].count(",") <= 7 and "concat" not in shuffled[0]

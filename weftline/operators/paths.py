@@ -30,7 +30,9 @@ def backtrack(hops: DataFrame, target: str, max_depth: int = MAX_DEPTH, include:
 
     levels: node, depth (the shallowest), is_source (nothing feeds it, before pruning). edges: depth (of the level that they feed), src_node_id,
     dst_node_id, edge_id; edges into nodes that were seen before are kept. A target that no hop has gives no rows."""
-    hops = saved(hops.filter("src_node_id != dst_node_id"), "hops")
+    # only the columns that the walk reads are kept
+    read = ["src_node_id", "dst_node_id", "edge_id", *(["transform_category"] if include is not None else []), *(["src_fqn"] if exclude_tables else [])]
+    hops = saved(hops.filter("src_node_id != dst_node_id").select(*read), "hops")
     walk = pruned(hops, include, exclude_tables)
     known = hops.select(F.col("src_node_id").alias("node")).unionByName(hops.select(F.col("dst_node_id").alias("node")))
     seen = frontier = cut(known.filter(F.col("node") == target).distinct().withColumn("depth", F.lit(0)))
@@ -43,7 +45,7 @@ def backtrack(hops: DataFrame, target: str, max_depth: int = MAX_DEPTH, include:
         if not found:
             break
         seen = seen.unionByName(frontier)
-    fed = hops.select(F.col("dst_node_id").alias("node")).distinct().withColumn("fed", F.lit(True))
+    fed = hops.select(F.col("dst_node_id").alias("node")).join(seen, "node", "left_semi").distinct().withColumn("fed", F.lit(True))
     levels = seen.join(fed, "node", "left").select("node", "depth", F.col("fed").isNull().alias("is_source"))
     return levels, taken
 
@@ -56,7 +58,7 @@ def service_backtrack(hops: DataFrame, table: str, column: str, max_depth: int =
     hops = hops.filter("src_fqn is not null and dst_fqn is not null and src_col is not null and dst_col is not null and src_node_id != dst_node_id")
     if touching_only:
         hops = hops.filter((F.col("src_fqn") == table) | (F.col("dst_fqn") == table))
-    hops = saved(hops, "hops")
+    hops = saved(hops.select("src_node_id", "dst_node_id", "edge_id", *(c for c in ("expr_sql", "expr", "transform_category") if c in hops.columns)), "hops")
     levels, edges = backtrack(hops, f"col:{table}::{column}", max_depth)
     nodes = levels.select(
         F.col("depth").alias("level"), refs.level_label(F.col("depth")).alias("label"), refs.level_colour(F.col("depth")).alias("colour"), "node",

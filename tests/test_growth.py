@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weftline.operators import graph, paths, scope
+from weftline.operators import graph, paths, report, scope
 from weftline.plans import catalogue
 from weftline.sources import code
 from weftline.sources.derived import view
@@ -82,3 +82,12 @@ def test_hops_drop_repeats_by_four_columns(spark, sf):
     assert hops.columns == want.columns and hops.exceptAll(want).isEmpty() and want.exceptAll(hops).isEmpty()
     shuffled = [x for x in hops._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
     assert len(shuffled) == 1 and shuffled[0].count(",") <= 7 and "concat" not in shuffled[0]
+
+
+def test_pairs_outside_the_scope_are_never_made(spark):
+    n = 60
+    edges = [(f"d.s.r{i}", "entity:JOB:1") for i in range(n)] + [("entity:JOB:1", f"d.s.w{i}") for i in range(n)] + [("c.s.a", "entity:JOB:1"), ("entity:JOB:1", "c.s.b"), ("c.s.b", "d.s.q"), ("d.s.q", "d.s.p")]
+    rows = spark.createDataFrame(edges, "source string, target string")
+    got, most = most_rows(spark, lambda: [tuple(r) for r in report.client_lineage_sheet(rows, "c", "s").collect()])
+    assert got == sorted([("c.s.a", f"d.s.w{i}") for i in range(n)] + [(f"d.s.r{i}", "c.s.b") for i in range(n)] + [("c.s.a", "c.s.b"), ("c.s.b", "d.s.q")])
+    assert most < n * n

@@ -140,14 +140,21 @@ def moved(pairs: DataFrame, reads: DataFrame, writes: DataFrame) -> DataFrame:
     return by_source.select("source", "target").unionByName(by_target.select("source", "target")).distinct()
 
 
-def table_view(edges: DataFrame) -> DataFrame:
-    """Edges between tables: the direct ones, and each source of an entity to each of its targets."""
+def table_view(edges: DataFrame, prefix: str | None = None) -> DataFrame:
+    """Edges between tables: the direct ones, and each source of an entity to each of its targets; with ``prefix`` only those with an end whose name begins so."""
     source, target = is_entity(F.col("source")), is_entity(F.col("target"))
     direct = edges.filter(~source & ~target).select("source", "target")
     reads = edges.filter(~source & target).select("source", F.col("target").alias("entity")).distinct()
     writes = edges.filter(source & ~target).select(F.col("source").alias("entity"), "target").distinct()
-    through = met(reads, writes).filter("source != target").select("source", "target")
-    return direct.unionByName(through).distinct()
+    if prefix is None:
+        through = met(reads, writes)
+    else:
+        # pairs outside are never made: sources inside meet all targets, the others only targets inside
+        inside = lambda end: F.col(end).startswith(prefix)
+        direct = direct.filter(inside("source") | inside("target"))
+        reads, writes = saved(reads, "reads"), saved(writes, "writes")
+        through = met(reads.filter(inside("source")), writes).unionByName(met(reads.filter(~inside("source")), writes.filter(inside("target"))))
+    return direct.unionByName(through.filter("source != target").select("source", "target")).distinct()
 
 
 def pipeline_view(edges: DataFrame) -> DataFrame:

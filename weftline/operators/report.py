@@ -50,7 +50,7 @@ def client_lineage_sheet(edges: DataFrame, catalog: str, schema: str | None = No
     from weftline.operators.graph import table_view
 
     prefix = f"{catalog}.{schema}." if schema else f"{catalog}."
-    return table_view(edges).filter(F.col("source").startswith(prefix) | F.col("target").startswith(prefix)).distinct().orderBy("source", "target")
+    return table_view(edges, prefix).orderBy("source", "target")
 
 
 def pipelines_sheet(entities: DataFrame, names: DataFrame, cost: DataFrame) -> DataFrame:

@@ -91,3 +91,24 @@ def test_pairs_outside_the_scope_are_never_made(spark):
     got, most = most_rows(spark, lambda: [tuple(r) for r in report.client_lineage_sheet(rows, "c", "s").collect()])
     assert got == sorted([("c.s.a", f"d.s.w{i}") for i in range(n)] + [(f"d.s.r{i}", "c.s.b") for i in range(n)] + [("c.s.a", "c.s.b"), ("c.s.b", "d.s.q")])
     assert most < n * n
+
+
+def test_maps_meet_an_entity_once_and_not_once_a_schema(spark):
+    schemas, entities = 10, 20
+    tables = [f"c.s{k}.t{i}" for k in range(schemas) for i in range(6)]
+    edges = [(t, f"entity:JOB:{e}") for t in tables for e in range(entities)]
+    e = spark.createDataFrame(edges, "source string, target string")
+    nodes = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    everything = {x for pair in edges for x in pair}
+    for limit in (schemas, 64):
+        got, most = most_rows(spark, lambda m=limit: {tuple(r) for r in report.schema_maps(nodes, e, m).collect()})
+        assert got == {(f"c.s{k}", node) for k in range(schemas) for node in everything}
+        assert most <= 2 * len(edges)  # each entity's neighbours once a schema are ten times the edges
+
+
+def test_maps_of_more_schemas_than_a_word_has_bits(spark):
+    edges = [(f"c.s{k:03d}.a", f"c.s{k:03d}.b") for k in range(130)] + [("c.s000.a", "c.s129.b")]
+    e = spark.createDataFrame(edges, "source string, target string")
+    nodes = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    got = {tuple(r) for r in report.schema_maps(nodes, e, 128).collect()}
+    assert got == {(f"c.s{k:03d}", f"c.s{k:03d}.{x}") for k in range(128) for x in "ab"} | {("c.s000", "c.s129.b")}

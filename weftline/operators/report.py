@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import is_entity
+from weftline.plans.durable import saved
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -68,11 +69,18 @@ def schema_maps(nodes: DataFrame, edges: DataFrame, limit: int = 12) -> DataFram
     """(schema, node): the map of each of the largest schemas with edges: its tables, their neighbours, and the neighbours of entities among them."""
     own = nodes.filter(~is_entity(F.col("node"))).select(schema_of(F.col("node")).alias("schema"), "node")
     both = edges.select(F.col("source").alias("node"), F.col("target").alias("near")).unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("near"))).distinct()
-    near = own.join(both, "node").select("schema", F.col("near").alias("node")).distinct()
-    through = near.filter(is_entity(F.col("node"))).join(both, "node").select("schema", F.col("near").alias("node"))
-    linked = own.join(both.select("node").distinct(), "node", "left_semi")
+    both = saved(both, "both")
+    linked = saved(own.join(both.select("node").distinct(), "node", "left_semi"), "linked")
     size = linked.groupBy("schema").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "schema").limit(limit)
-    return linked.select("schema", "node").unionByName(near).unionByName(through).distinct().join(size.select("schema"), "schema", "left_semi")
+    # a node's schemas are bits of words, so that a neighbour of many tables of a schema is one row and an entity meets its neighbours once, not once a schema
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "schema")) - 1  # at most ``limit`` rows
+    ranked = saved(size.select("schema", F.floor(place / 63).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 63).cast("int")).alias("bits")), "ranked")
+    merged = lambda df: df.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+    known = merged(linked.join(ranked, "schema").select("node", "word", "bits"))
+    near = saved(merged(known.join(both, "node").select(F.col("near").alias("node"), "word", "bits")), "near")
+    through = near.filter(is_entity(F.col("node"))).join(both, "node").select(F.col("near").alias("node"), "word", "bits")
+    shown = merged(known.unionByName(near).unionByName(through))
+    return shown.join(ranked.withColumnRenamed("bits", "bit"), "word").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("schema", "node")
 
 
 def workbook(nodes: DataFrame, edges: DataFrame, *, tables: DataFrame, columns: DataFrame, real_edges: DataFrame, entities: DataFrame, names: DataFrame, cost: DataFrame, column_edges: DataFrame) -> dict[str, DataFrame]:

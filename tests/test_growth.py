@@ -112,3 +112,10 @@ def test_maps_of_more_schemas_than_a_word_has_bits(spark):
     nodes = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
     got = {tuple(r) for r in report.schema_maps(nodes, e, 128).collect()}
     assert got == {(f"c.s{k:03d}", f"c.s{k:03d}.{x}") for k in range(128) for x in "ab"} | {("c.s000", "c.s129.b")}
+
+
+def test_status_does_not_shuffle_distinct_edges_once_more(spark, sf):
+    by_both = "source#"  # an exchange of edges by their ends; those of counts and nodes are by node
+    for q in (catalogue.node_status, catalogue.sheet_by_schema):
+        shuffled = [x for x in q(spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
+        assert shuffled and not any(by_both in x for x in shuffled)

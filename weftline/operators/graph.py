@@ -170,9 +170,9 @@ def view(edges: DataFrame, mode: str) -> DataFrame:
     return {"full": lambda e: e.select("source", "target"), "table": table_view, "pipeline": pipeline_view}[mode](edges)
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, upstream_count, downstream_count, lineage_status) of table nodes, by all edges that end or start at them."""
-    edges = edges.select("source", "target").distinct()
+def degrees(nodes: DataFrame, edges: DataFrame, *, ready: bool = False) -> DataFrame:
+    """(node, upstream_count, downstream_count, lineage_status) of table nodes, by all edges that end or start at them. ``ready`` edges are distinct already."""
+    edges = edges.select("source", "target") if ready else edges.select("source", "target").distinct()
     ends = edges.select(F.col("target").alias("node"), F.lit(1).alias("u"), F.lit(0).alias("d")).unionByName(edges.select(F.col("source").alias("node"), F.lit(0).alias("u"), F.lit(1).alias("d")))
     counts = ends.groupBy("node").agg(F.sum("u").alias("upstream_count"), F.sum("d").alias("downstream_count"))
     out = nodes.select("node").filter(~is_entity(F.col("node"))).distinct().join(counts, "node", "left").na.fill(0)

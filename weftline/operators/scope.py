@@ -98,7 +98,7 @@ def scope_graph(rows: DataFrame, tables: DataFrame, catalog: str, schema: str |
     outside = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3]).filter("node is not null").groupBy("node").agg(F.max("kind").alias("kind")).join(here, "node", "left_anti")
     stubs = outside.select("node", F.coalesce("kind", F.lit("EXTERNAL_LINEAGE")).alias("kind"), F.lit(True).alias("external"))
     nodes = local.withColumn("external", F.lit(False)).unionByName(stubs)
-    counted = nodes.join(graph.degrees(nodes, edges), "node").withColumn("name", refs.display_name(F.col("node")))
+    counted = nodes.join(graph.degrees(nodes, edges, ready=True), "node").withColumn("name", refs.display_name(F.col("node")))
     return counted.select("node", "name", "kind", "external", "upstream_count", "downstream_count", "lineage_status"), edges
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftline.plans.durable import saved, saved_with_count
 
 MAX_HOPS, NODE_CAP = 16, 2500
-#: Rounds of layering in a job, and rounds after which cycles are suspected.
+#: Rounds of colouring in a job, and layers after which their tables become one, so that plans stay short.
 ROUNDS_PER_JOB, LONG = 4, 64
 #: Reads of an entity in one block when its reads meet its writes.
 HUB_READS = 1000
@@ -203,30 +203,56 @@ def undirected_ball(edges: DataFrame, seeds: DataFrame, max_hops: int = 6) -> Da
 def layers(edges: DataFrame) -> DataFrame:
     """(node, layer): longest path from a root; edges that lead back inside a cycle are left out first (see ``acyclic``).
 
-    A round raises nodes above their predecessors' layers; ``ROUNDS_PER_JOB`` rounds are one job, until none is raised. Only a graph whose nodes still rise
-    after ``LONG`` rounds is searched for cycles, without which the rounds start anew. Nodes are those of the edges."""
+    Nodes are taken off in rounds, those first that no edge leads to: a node's round is its layer, and each edge is met once, when its source goes.
+    Only a graph of which something is left that way is searched for cycles. Nodes are those of the edges."""
     edges = saved(prepared(edges), "edges")
-    found = _raised(edges, LONG)
+    found = peeled(edges)
     if found is None:
-        found = _raised(saved(acyclic(edges), "edges"), None)
+        found = peeled(saved(acyclic(edges), "edges"))
     return found
 
 
-def _raised(edges: DataFrame, most: int | None) -> DataFrame | None:
-    """Nodes with their layers; None if they still rise after ``most`` rounds."""
-    now = cut(edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct().withColumn("layer", F.lit(0)))
-    done = 0
-    while most is None or done < most:
-        for _ in range(ROUNDS_PER_JOB):
-            before = now
-            pushed = edges.join(now.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg((F.max("layer") + 1).alias("at_least"))
-            now = before.select("node", "layer").join(pushed, "node", "left").select("node", F.greatest("layer", F.coalesce("at_least", F.lit(0))).alias("layer"), (F.coalesce("at_least", F.lit(0)) > F.col("layer")).alias("moved"))
-        done += ROUNDS_PER_JOB
-        now = cut(now)
-        if now.filter("moved").isEmpty():
-            return now.select("node", "layer")
-        now = now.select("node", "layer")
-    return None
+def numbered(nodes: DataFrame) -> tuple[DataFrame, bool]:
+    """Distinct ``nodes`` (node) with a number ``id`` each, and whether it is their hash; it is not if two nodes share one."""
+    out = saved(nodes.select("node", F.xxhash64("node").alias("id")), "nodes")
+    if out.groupBy("id").count().filter("count > 1").isEmpty():
+        return out, True
+    return saved(nodes.select("node", F.monotonically_increasing_id().alias("id")), "nodes"), False
+
+
+def by_number(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, id) of all nodes, and the edges by numbers (s, t): rounds over them move numbers and no names."""
+    nodes, hashed = numbered(edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct())
+    if hashed:
+        return nodes, saved(edges.select(F.xxhash64("source").alias("s"), F.xxhash64("target").alias("t")), "pairs")
+    ends = [nodes.select(F.col("node").alias(end), F.col("id").alias(to)) for end, to in (("source", "s"), ("target", "t"))]
+    return nodes, saved(edges.join(ends[0], "source").join(ends[1], "target").select("s", "t"), "pairs")
+
+
+def peeled(edges: DataFrame) -> DataFrame | None:
+    """(node, layer) of prepared ``edges``; None if they have a cycle."""
+    nodes, pairs = by_number(edges)
+    layer = _rounds(pairs)
+    return None if layer is None else nodes.join(layer, "id").select("node", "layer")
+
+
+def _rounds(pairs: DataFrame) -> DataFrame | None:
+    """(id, layer) of pairs (s, t): the round in which no edge from what is left leads to a node; None if that never comes for some.
+
+    A round counts the edges from the nodes that went last down from their targets' numbers of edges; nodes that have none left go next."""
+    into = pairs.groupBy(F.col("t").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    state, left = saved_with_count(pairs.select(F.col("s").alias("id")).distinct().join(into, "id", "full").select("id", F.coalesce("n", F.lit(0).cast("long")).alias("n")), "open")
+    found, layer = None, 0
+    while left:
+        gone = state.filter("n = 0").select("id", F.lit(layer).alias("layer"))
+        if gone.isEmpty():
+            return None
+        found = gone if found is None else found.unionByName(gone)
+        less = pairs.join(gone.select(F.col("id").alias("s")), "s", "left_semi").groupBy(F.col("t").alias("id")).agg(F.count(F.lit(1)).alias("less"))
+        state, left = saved_with_count(state.filter("n > 0").join(less, "id", "left").select("id", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")), "open")
+        layer += 1
+        found = saved(found, "layers") if layer % LONG == 0 else found
+    return pairs.select(F.col("s").alias("id"), F.lit(0).alias("layer")).filter("false") if found is None else found
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:

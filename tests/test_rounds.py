@@ -1,8 +1,10 @@
 """Walks that handle each edge once: rows that joins give out, over all jobs of a call."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from weftline.operators import graph
+from weftline.operators import graph, reachability
 
 
 def joined_rows(spark, run):
@@ -35,3 +37,18 @@ def test_layers_of_nodes_that_share_a_hash(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "c")], "source string, target string")
     monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(7).cast("long"))
     assert {r["node"]: r["layer"] for r in graph.layers(edges).collect()} == {"a": 0, "x": 0, "b": 1, "c": 2}
+
+
+def test_open_pairs_share_the_way_down(spark):
+    rng, wide, deep = random.Random(5), 40, 4
+    pairs = sorted({(f"n{d}_{i:02}", f"n{d + 1}_{rng.randrange(wide):02}") for d in range(deep) for i in range(wide) for _ in range(3)})
+    after, reached = {}, {f"n0_{i:02}": {f"n0_{i:02}"} for i in range(wide)}
+    for s, t in pairs:
+        after.setdefault(s, set()).add(t)
+    for _ in range(deep):
+        reached = {s: seen | {t for n in seen for t in after.get(n, ())} for s, seen in reached.items()}
+    index = reachability.build(spark.createDataFrame(pairs, "source string, target string"), 1)
+    asked = [(s, f"n{deep}_{i:02}") for s in reached for i in range(wide)]
+    got, joined = joined_rows(spark, lambda: {(r["source"], r["target"]): r["reaches"] for r in index.reaches(spark.createDataFrame(asked, "source string, target string")).collect()})
+    assert got == {(s, t): t in reached[s] for s, t in asked}
+    assert joined < 15 * len(asked)  # a walk of its own for each pair makes several times as many

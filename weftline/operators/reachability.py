@@ -5,7 +5,8 @@ a subtree is one interval of numbers. What a node reaches is then a short list o
 deepest layer upwards. A list is bounded: the longest ``most`` intervals stay exact, the rest is covered by at most as many wider ones, which may hold numbers
 that are not reached. A number in an exact interval is reached, one in no interval is not, and only what lies in a wider one alone is walked to.
 
-The index is made once (two jobs a layer); a trace is then one lookup, and a walk over the nodes that are left open. It tells whether, not how far.
+The index is made once (two jobs a layer); a trace is then one lookup, and a walk over the nodes that are left open. Of many pairs those that are left open are
+settled together: 64 sources share a word of bits, and words go down the layers once. It tells whether, not how far.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from pyspark.sql import functions as F
 from weftline.operators import graph
 from weftline.plans.durable import saved, saved_with_count
 
-#: Exact intervals of a node, and as many wider ones; layers after which their tables become one, so that plans stay short.
-MOST, LAYERS_A_TABLE = 32, 16
+#: Exact intervals of a node, and as many wider ones: every list meets all predecessors, so it is short; layers after which their tables become one, so that plans stay short.
+MOST, LAYERS_A_TABLE = 1, 16
+#: Sources in a word of bits.
+BITS = 64
 
 
 @dataclass(frozen=True)
 class Index:
-    """Saved tables: members (node, comp), numbers (comp, pre), labels (comp, lo, hi, exact), edges (source, target) between components."""
+    """Saved tables: members (node, comp), numbers (comp, layer, pre), labels (comp, lo, hi, exact), edges (source, target) between components."""
 
     members: DataFrame
     numbers: DataFrame
@@ -64,29 +67,49 @@ class Index:
     def reaches(self, pairs: DataFrame) -> DataFrame:
         """(source, target, reaches) of all distinct ``pairs`` (source, target) without nulls; a node reaches itself, and one that no edge has nothing else.
 
-        Pairs that the labels leave open go one hop on from their sources; each hop asks the labels again."""
+        Pairs that the labels leave open are settled by one pass down the layers for all their sources."""
         pairs = saved(pairs.select("source", "target").dropna().distinct(), "pairs")
         ends = [self.members.select(F.col("node").alias(end), F.col("comp").alias(to)) for end, to in (("source", "comp"), ("target", "to"))]
         asked = pairs.join(ends[0], "source").join(ends[1], "target").select("comp", "to").distinct()
         asked = saved(asked.join(self.numbers.select(F.col("comp").alias("to"), "pre"), "to").select("comp", "to", "pre"), "asked")
-        yes = asked.filter("comp = to").select("comp", "to")
-        front = asked.filter("comp != to").select("comp", "to", "pre", F.col("comp").alias("at"))
-        seen = front.select("comp", "to", "at")
-        while True:
-            told = front.join(self.labels.withColumnRenamed("comp", "at"), "at").filter(F.col("pre").between(F.col("lo"), F.col("hi")))
-            told = saved(told.groupBy("comp", "to", "pre", "at").agg(F.max("exact").alias("exact")), "told")
-            hit = told.filter("exact or at = to").select("comp", "to").distinct()
-            yes = yes.unionByName(hit)
-            left = told.join(hit, ["comp", "to"], "left_anti").select("comp", "to", "pre", F.col("at").alias("source"))
-            step = left.join(self.edges, "source").select("comp", "to", "pre", F.col("target").alias("at")).distinct()
-            front, n = saved_with_count(step.join(seen, ["comp", "to", "at"], "left_anti"), "front")
-            if not n:
-                break
-            seen = seen.unionByName(front.select("comp", "to", "at"))
+        told = asked.filter("comp != to").join(self.labels, "comp").filter(F.col("pre").between(F.col("lo"), F.col("hi")))
+        told = saved(told.groupBy("comp", "to").agg(F.max("exact").alias("exact"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "told")
+        yes = asked.filter("comp = to").select("comp", "to").unionByName(told.filter("exact").select("comp", "to"))
+        open_, n = saved_with_count(told.filter("not exact"), "open")
+        if n:
+            yes = yes.unionByName(self._carried(open_))
         yes = yes.distinct().withColumn("yes", F.lit(True))
         told = pairs.join(ends[0], "source", "left").join(ends[1], "target", "left").join(yes, ["comp", "to"], "left")
         return told.select("source", "target", (F.coalesce("yes", F.lit(False)) | (F.col("source") == F.col("target"))).alias("reaches"))
 
+    def _carried(self, pairs: DataFrame) -> DataFrame:
+        """The ``pairs`` (comp, to, lo, hi) of which comp reaches to.
+
+        Sources that may reach the same numbers are neighbours in ``lo`` and ``hi``, so they share words; a word is carried down to the layer above its last target."""
+        width = pairs.groupBy("comp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        dealt = saved(width.repartitionByRange("lo", "hi", "comp").sortWithinPartitions("lo", "hi", "comp").withColumn("n", F.monotonically_increasing_id()), "dealt")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("n", F.lit(BITS)).cast("int"))
+        dealt = dealt.select("comp", F.floor(F.col("n") / BITS).alias("word"), bit.alias("bit"))
+        layer = self.numbers.select("comp", "layer")
+        asked = saved(pairs.select("comp", "to").join(dealt, "comp").join(layer.withColumnRenamed("comp", "to").withColumnRenamed("layer", "at"), "to").select("comp", "to", "word", "bit", "at"), "asked")
+        last = asked.groupBy("word").agg(F.max("at").alias("last"))
+        start = saved(dealt.join(last, "word").join(layer, "comp").groupBy("comp", "word", "last", "layer").agg(F.bit_or("bit").alias("bits")), "start")
+        ends = [layer.select(F.col("comp").alias(end), F.col("layer").alias(at)) for end, at in (("source", "above"), ("target", "layer"))]
+        # a node takes in what all its predecessors hold when its layer comes: every edge carries a word once
+        along = saved(self.edges.join(ends[0], "source").join(ends[1], "target").select("source", "target", "above", "layer"), "along")
+        first, deepest = start.agg(F.min("layer")).first()[0], asked.agg(F.max("at")).first()[0]
+        held = None
+        for at in range(first, deepest + 1):
+            here = start.filter(F.col("layer") == at).select("comp", "word", "last", "bits")
+            if held is not None:
+                into = along.filter((F.col("layer") == at) & (F.col("above") >= first)).select(F.col("source").alias("comp"), "target")
+                here = here.unionByName(into.join(held.filter(F.col("last") >= at), "comp").select(F.col("target").alias("comp"), "word", "last", "bits"))
+            here = graph.cut(here.groupBy("comp", "word", "last").agg(F.bit_or("bits").alias("bits")))
+            held = here if held is None else held.unionByName(here)
+            held = saved(held, "held") if (at - first + 1) % LAYERS_A_TABLE == 0 else held
+        met = asked.join(held.select(F.col("comp").alias("to"), "word", "bits"), ["to", "word"])
+        return met.filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("comp", "to")
+
 
 def united(rows: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     """(*keys, lo, hi, exact): for each key at most ``most`` exact intervals, the longest, and at most ``most`` wider ones that cover the rest.
@@ -121,21 +144,23 @@ def running(rows: DataFrame, key: str, order: str, value: str, block: int) -> Da
     return dealt.withColumn("_in", inside).join(sums, [key, "block"]).withColumn("before", F.col("_base") + F.col("_in")).drop("_base", "_in", "block")
 
 
-def _condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """(node, comp) of all nodes, the distinct edges between different components, and whether there are cycles."""
+def _condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """(node, comp) of all nodes, the distinct edges between different components, (node, layer) of the components that these have, and whether there are cycles."""
+    found = graph.peeled(edges)
+    if found is not None:
+        layer = saved(found, "layers")
+        return layer.select("node", F.col("node").alias("comp")), edges, layer, False
     nodes = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct()
     found = saved(graph.strong_components(edges), "components")
-    if found.isEmpty():
-        return saved(nodes.withColumn("comp", F.col("node")), "members"), edges, False
     members = saved(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "members")
     ends = [members.select(F.col("node").alias(end), F.col("comp").alias(to)) for end, to in (("source", "s"), ("target", "t"))]
     between = edges.join(ends[0], "source").join(ends[1], "target").filter("s != t").select(F.col("s").alias("source"), F.col("t").alias("target")).distinct()
-    return members, saved(between, "edges"), True
+    between = saved(between, "edges")
+    return members, between, saved(graph.peeled(between), "layers"), True
 
 
-def _forest(members: DataFrame, edges: DataFrame) -> DataFrame:
+def _forest(members: DataFrame, edges: DataFrame, layer: DataFrame) -> DataFrame:
     """(comp, layer, parent): the parent is the predecessor of the layer above with the smallest name, null for roots."""
-    layer = saved(graph.layers(edges), "layers")
     at = [layer.select(F.col("node").alias(end), F.col("layer").alias(to)) for end, to in (("source", "above"), ("target", "layer"))]
     over = edges.join(at[0], "source").join(at[1], "target").filter("above + 1 = layer").groupBy(F.col("target").alias("comp")).agg(F.min("source").alias("parent"))
     comps = members.select("comp").distinct().join(layer.withColumnRenamed("node", "comp"), "comp", "left").na.fill(0, ["layer"])
@@ -170,11 +195,11 @@ def build(edges: DataFrame, most: int = MOST, block: int | None = None) -> Index
 
     Successors of a node with over ``block`` of them are united in blocks of neighbouring numbers before they meet."""
     block = block or graph.HUB_READS
-    members, between, cyclic = _condensed(saved(graph.prepared(edges), "edges"))
-    forest = _forest(members, between)
+    members, between, layered, cyclic = _condensed(saved(graph.prepared(edges), "edges"))
+    forest = _forest(members, between, layered)
     deepest = forest.agg(F.max("layer")).first()[0]
     if deepest is None:
-        numbers = forest.select("comp", F.lit(0).cast("long").alias("pre"))
+        numbers = forest.select("comp", "layer", F.lit(0).cast("long").alias("pre"))
         return Index(members, numbers, numbers.select("comp", F.col("pre").alias("lo"), F.col("pre").alias("hi"), F.lit(True).alias("exact")), between, cyclic)
     numbers = saved(_numbered(forest, deepest, block), "numbers")
     own = numbers.select("comp", F.col("pre").alias("lo"), (F.col("pre") + F.col("size") - 1).alias("hi"), F.lit(True).alias("exact"), "layer")
@@ -198,4 +223,4 @@ def build(edges: DataFrame, most: int = MOST, block: int | None = None) -> Index
         rows = got.select("comp", "lo", "hi", "exact").unionByName(mine).distinct()
         labels = labels.unionByName(graph.cut(united(rows, ["comp"], most)))
         labels = saved(labels, "labels") if layer % LAYERS_A_TABLE == 0 else labels
-    return Index(members, numbers.select("comp", "pre"), labels, between, cyclic)
+    return Index(members, numbers.select("comp", "layer", "pre"), labels, between, cyclic)

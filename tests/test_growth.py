@@ -121,3 +121,40 @@ def test_status_does_not_shuffle_distinct_edges_once_more(spark, sf):
     for q in (catalogue.node_status, catalogue.sheet_by_schema):
         shuffled = [x for x in q(spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
         assert shuffled and not any(by_both in x for x in shuffled)
+
+
+def _crowd(n):
+    """``n`` entities that all read n tables and write n others, some direct edges, and a table with an edge to itself."""
+    edges = [(f"r{i}", f"entity:JOB:{e}") for i in range(n) for e in range(n)] + [(f"entity:JOB:{e}", f"w{i}") for i in range(n) for e in range(n)]
+    return edges + [("w0", "r0"), ("x", "x"), ("r1", "w1"), ("entity:JOB:0", "r2"), ("w1", "entity:JOB:n")]
+
+
+def test_views_do_not_make_a_pair_once_for_each_node_between(spark, monkeypatch):
+    n = 20
+    edges = _crowd(n)
+    e = spark.createDataFrame(edges, "source string, target string")
+    entity = lambda x: x.startswith("entity:")
+    through = {(a, d) for a, b in edges for c, d in edges if b == c and a != d}
+    table = {(a, d) for a, d in through if not entity(a) and not entity(d) and not {(a, "x"), ("x", d)} & set(edges)} & {(a, d) for a, b in edges for c, d in edges if b == c and entity(b)} | {p for p in edges if not entity(p[0]) and not entity(p[1])}
+    pipeline = {(a, d) for a, b in edges for c, d in edges if b == c and entity(a) and entity(d) and not entity(b) and a != d}
+    for most in (None, 100):
+        if most:
+            monkeypatch.setattr(graph, "GROUP_SOURCES", most)
+        for mode, want in (("table", table), ("pipeline", pipeline)):
+            got, rows = most_rows(spark, lambda m=mode: [tuple(r) for r in graph.view(e, m).collect()])
+            assert sorted(got) == sorted(want)
+            assert most or rows < 2 * len(edges)  # each pair once an entity are n * n * n rows
+        assert sorted(r[0] for r in graph.table_nodes(e).collect()) == sorted({x for p in table for x in p})
+
+
+def test_nodes_of_an_entity_that_reads_what_it_writes(spark):
+    e = spark.createDataFrame([("a", "entity:J:1"), ("entity:J:1", "a"), ("b", "entity:J:2"), ("entity:J:2", "b"), ("entity:J:2", "c")], "source string, target string")
+    assert {tuple(r) for r in graph.view(e, "table").collect()} == {("b", "c")}
+    assert {r[0] for r in graph.table_nodes(e).collect()} == {"b", "c"}
+
+
+def test_routed_edges_are_distinct_with_repeats_and_tables_named_as_entities(spark):
+    rows = [("a", "b", "entity:J:1"), ("b", "c", "entity:J:1"), ("a", "b", None), (None, "d", "entity:J:1"), ("f", None, "entity:J:2"), ("entity:J:1", "b", None), ("g", None, None), ("h", "h", "entity:J:3")] * 3
+    e = "entity:J:1"
+    got = [tuple(r) for r in scope.routed(spark.createDataFrame(rows, "source string, target string, entity string")).collect()]
+    assert sorted(got) == sorted({("a", e), (e, "b"), (e, "c"), ("b", "c"), ("a", "b"), (e, "d"), ("f", "entity:J:2"), ("entity:J:3", "h"), ("h", "h")})

@@ -17,6 +17,8 @@ MAX_HOPS, NODE_CAP = 16, 2500
 ROUNDS_PER_JOB, LONG = 4, 64
 #: Reads of an entity in one block when its reads meet its writes.
 HUB_READS = 1000
+#: Sources, repeats included, in all lists of one target that are taken together in one group.
+GROUP_SOURCES = 100_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -140,29 +142,77 @@ def moved(pairs: DataFrame, reads: DataFrame, writes: DataFrame) -> DataFrame:
     return by_source.select("source", "target").unionByName(by_target.select("source", "target")).distinct()
 
 
+def through(reads: DataFrame, writes: DataFrame, direct: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """The distinct pairs (source, target) behind ``reads`` (via, source) and ``writes`` (via, target), and those of ``direct``; none of a node with itself.
+
+    Each ``via`` has its sources in one list, which goes whole to each of its targets; a target's lists are taken together in one group, so pairs that occur
+    often are never rows. A target whose lists have over ``most`` sources in all is met by pairs instead, which are told apart by both ends."""
+    most = most or GROUP_SOURCES
+    direct = reads.select("source", F.col("via").alias("target")).filter("false") if direct is None else direct.select("source", "target")
+    heavy = _heavy(reads, writes, direct, most)
+    pairs = None
+    if heavy is not None:
+        own = writes.join(heavy, "target", "left_semi")
+        pairs = met(reads.withColumnRenamed("via", "entity").distinct(), own.withColumnRenamed("via", "entity").distinct()).select("source", "target")
+        pairs = pairs.unionByName(direct.join(heavy, "target", "left_semi").select("source", "target")).filter("source != target").distinct()
+        writes, direct = (df.join(heavy, "target", "left_anti") for df in (writes, direct))
+        reads = reads.join(writes.select("via").distinct(), "via", "left_semi")  # a list that only heavy targets would take is not made
+    lists = writes.join(reads.groupBy("via").agg(F.sort_array(F.collect_set("source")).alias("sources")), "via").select("target", "sources")  # lists in order compress better
+    together = lists.unionByName(direct.select("target", F.array("source").alias("sources"))).repartition("target").groupBy("target").agg(F.collect_list("sources").alias("lists"))
+    found = together.select(F.explode(F.array_distinct(F.flatten("lists"))).alias("source"), "target").filter("source != target")
+    return found if pairs is None else found.unionByName(pairs)
+
+
+def _heavy(reads: DataFrame, writes: DataFrame, direct: DataFrame, most: int) -> DataFrame | None:
+    """(target) of ``through`` with over ``most`` sources, repeats included; None if there are none, which the largest numbers of rows of an end mostly tell."""
+    ends = reads.select(F.lit("reads").alias("of"), F.col("via").alias("end")).unionByName(writes.select(F.lit("writes").alias("of"), F.col("target").alias("end")))
+    ends = ends.unionByName(direct.select(F.lit("direct").alias("of"), F.col("target").alias("end"))).groupBy("of", "end").count().groupBy("of").agg(F.max("count").alias("n"))
+    at = {r["of"]: r["n"] for r in ends.collect()}  # three numbers
+    if at.get("reads", 0) * at.get("writes", 0) + at.get("direct", 0) <= most:
+        return None
+    counts = reads.groupBy("via").agg(F.count(F.lit(1)).alias("n"))
+    sizes = writes.join(counts, "via").select("target", "n").unionByName(direct.select("target", F.lit(1).cast("long").alias("n")))
+    heavy = saved(sizes.groupBy("target").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("target"), "heavy")
+    return None if heavy.isEmpty() else heavy
+
+
+def table_nodes(edges: DataFrame) -> DataFrame:
+    """(node): the ends of ``table_view``, without its pairs. An entity's source or target counts if it meets another node."""
+    source, target = is_entity(F.col("source")), is_entity(F.col("target"))
+    reads = edges.filter(~source & target).select("source", F.col("target").alias("via"))
+    writes = edges.filter(source & ~target).select(F.col("source").alias("via"), "target")
+
+    def meeting(own: DataFrame, end: str, others: DataFrame, other: str) -> DataFrame:
+        met_by = others.groupBy("via").agg(F.min(other).alias("first"), F.max(other).alias("last"))
+        return own.join(met_by, "via").filter((F.col(end) != F.col("first")) | (F.col(end) != F.col("last"))).select(F.col(end).alias("node"))
+
+    direct = edges.filter(~source & ~target).select(F.explode(F.array("source", "target")).alias("node"))
+    return direct.unionByName(meeting(reads, "source", writes, "target")).unionByName(meeting(writes, "target", reads, "source")).distinct()
+
+
 def table_view(edges: DataFrame, prefix: str | None = None) -> DataFrame:
     """Edges between tables: the direct ones, and each source of an entity to each of its targets; with ``prefix`` only those with an end whose name begins so."""
     source, target = is_entity(F.col("source")), is_entity(F.col("target"))
     direct = edges.filter(~source & ~target).select("source", "target")
-    reads = edges.filter(~source & target).select("source", F.col("target").alias("entity")).distinct()
-    writes = edges.filter(source & ~target).select(F.col("source").alias("entity"), "target").distinct()
+    reads = edges.filter(~source & target).select("source", F.col("target").alias("via"))
+    writes = edges.filter(source & ~target).select(F.col("source").alias("via"), "target")
     if prefix is None:
-        through = met(reads, writes)
+        found = through(reads, writes, direct)
     else:
-        # pairs outside are never made: sources inside meet all targets, the others only targets inside
+        # pairs outside are never made: targets inside meet all sources, the others only sources inside
         inside = lambda end: F.col(end).startswith(prefix)
-        direct = direct.filter(inside("source") | inside("target"))
-        reads, writes = saved(reads, "reads"), saved(writes, "writes")
-        through = met(reads.filter(inside("source")), writes).unionByName(met(reads.filter(~inside("source")), writes.filter(inside("target"))))
-    return direct.unionByName(through.filter("source != target").select("source", "target")).distinct()
+        reads, writes, direct = saved(reads, "reads"), saved(writes, "writes"), saved(direct.filter(inside("source") | inside("target")), "direct")
+        found = through(reads, writes.filter(inside("target")), direct.filter(inside("target")))
+        found = found.unionByName(through(reads.filter(inside("source")), writes.filter(~inside("target")), direct.filter(~inside("target"))))
+    return found.unionByName(direct.filter("source = target").distinct())
 
 
 def pipeline_view(edges: DataFrame) -> DataFrame:
     """Edges between entities: one writes a table that another reads."""
     source, target = is_entity(F.col("source")), is_entity(F.col("target"))
-    writes = edges.filter(source & ~target).select(F.col("source").alias("writer"), F.col("target").alias("t")).distinct()
-    reads = edges.filter(~source & target).select(F.col("target").alias("reader"), F.col("source").alias("t")).distinct()
-    return writes.join(reads, "t").filter("writer != reader").select(F.col("writer").alias("source"), F.col("reader").alias("target")).distinct()
+    writes = edges.filter(source & ~target).select(F.col("target").alias("via"), "source")
+    reads = edges.filter(~source & target).select(F.col("source").alias("via"), "target")
+    return through(writes, reads)
 
 
 def view(edges: DataFrame, mode: str) -> DataFrame:

@@ -55,15 +55,20 @@ def ends(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def routed(rows: DataFrame) -> DataFrame:
     """Edges of traced rows: source to entity to target; what an entity both writes and reads points straight at what it made from it, which
     keeps false cycles out; records without an entity are direct."""
-    rows = saved(rows.select("source", "target", "entity").distinct(), "triples")
-    _, written = ends(rows)
-    back = written.select("entity", F.col("target").alias("source"), F.lit(True).alias("own"))
-    named = rows.filter("entity is not null").join(back, ["entity", "source"], "left")
-    out = named.filter("target is not null").select(F.col("entity").alias("source"), "target")
-    into = named.filter("source is not null and own is null").select("source", F.col("entity").alias("target"))
-    straight = named.filter("own and target is not null").select("source", "target")
+    rows = saved(rows.select("source", "target", "entity"), "triples")
+    named = rows.filter("entity is not null")
+    # what an entity reads and what it writes are told apart in one grouping, which also drops repeats
+    ends = F.explode(F.array(F.struct(F.col("source").alias("node"), F.lit(1).alias("r"), F.lit(0).alias("w")), F.struct(F.col("target").alias("node"), F.lit(0).alias("r"), F.lit(1).alias("w"))))
+    at = named.select("entity", ends.alias("e")).select("entity", "e.*").filter("node is not null").groupBy("entity", "node").agg(F.max("r").alias("r"), F.max("w").alias("w"))
+    at = saved(at, "ends")
+    ended = at.select(F.when(F.col("w") == 1, F.col("entity")).otherwise(F.col("node")).alias("source"), F.when(F.col("w") == 1, F.col("node")).otherwise(F.col("entity")).alias("target"))
+    own = at.filter("r = 1 and w = 1").select("entity", F.col("node").alias("source"))
+    straight = named.filter("target is not null").join(own, ["entity", "source"], "left_semi").select("source", "target")
     direct = rows.filter("entity is null and source is not null and target is not null").select("source", "target")
-    return out.unionByName(into).unionByName(straight).unionByName(direct).distinct()
+    plain = straight.unionByName(direct)
+    if rows.filter(graph.is_entity(F.col("source")) | graph.is_entity(F.col("target"))).isEmpty():
+        return ended.unionByName(plain.distinct())
+    return ended.unionByName(plain).distinct()  # a node is named as an entity: an edge may come from both parts
 
 
 def scope_graph(rows: DataFrame, tables: DataFrame, catalog: str, schema: str | None = None, node_cap: int = graph.NODE_CAP) -> tuple[DataFrame, DataFrame]:

@@ -168,8 +168,8 @@ def simple_paths(hops: DataFrame, source: str, target: str, max_depth: int = MAX
         found = hops.sparkSession.createDataFrame([([source], [])], empty.schema)
     else:
         edges = hops.select(F.col("src_node_id").alias("source"), F.col("dst_node_id").alias("target"))
-        fore = reach(edges, seed_of(hops, source), max_depth).select(F.col("node").alias("src_node_id"), F.col("depth").alias("d"))
-        back = reach(reversed_edges(edges), seed_of(hops, target), max_depth).select(F.col("node").alias("dst_node_id"), F.col("depth").alias("e"))
+        fore = reach(edges, seed_of(hops, source), max_depth, ready=True).select(F.col("node").alias("src_node_id"), F.col("depth").alias("d"))
+        back = reach(reversed_edges(edges), seed_of(hops, target), max_depth, ready=True).select(F.col("node").alias("dst_node_id"), F.col("depth").alias("e"))
         useful = saved(hops.join(fore, "src_node_id").join(back, "dst_node_id").filter(F.col("d") + 1 + F.col("e") <= max_depth).select("src_node_id", "dst_node_id", "edge_id", "e"), "useful")
         open_ = hops.sparkSession.createDataFrame([(source, [source], [])], "node string, nodes array<string>, edges array<string>")
         found = empty
@@ -188,9 +188,10 @@ def simple_paths(hops: DataFrame, source: str, target: str, max_depth: int = MAX
 
 def rendered(paths: DataFrame, hops: DataFrame) -> DataFrame:
     """(path, step, node, edge_id, expression): one row per step of each path; step 0 is the source and has no edge."""
-    steps = paths.select("path", F.posexplode("nodes").alias("step", "node"), "edges").withColumn("edge_id", F.when(F.col("step") > 0, F.element_at("edges", F.greatest(F.col("step"), F.lit(1))))).drop("edges")
+    steps = saved(paths, "paths").select("path", F.posexplode("nodes").alias("step", "node"), "edges").withColumn("edge_id", F.when(F.col("step") > 0, F.element_at("edges", F.greatest(F.col("step"), F.lit(1))))).drop("edges")
     said = F.coalesce(*(F.col(c) for c in ("expr_sql", "expr") if c in hops.columns))
-    about = hops.groupBy("edge_id").agg(F.min(said).alias("expression"))
+    asked = saved(steps.select("edge_id").distinct(), "asked")  # the paths' edges only: other hops are not grouped
+    about = hops.join(asked, "edge_id", "left_semi").groupBy("edge_id").agg(F.min(said).alias("expression"))
     return steps.join(about, "edge_id", "left").select("path", "step", "node", "edge_id", "expression")
 
 

@@ -211,7 +211,7 @@ def find_paths(store: Store, source: str, target: str, *, run: str | None = None
         raise ValueError("mode is shortest, all or k")
     every = store.read("lineage_edge_endpoints")
     run = run or hops.latest_run(every).first()["pipeline_run_id"]
-    own = saved(every.filter(F.col("pipeline_run_id") == run), "run")
+    own = every.filter(F.col("pipeline_run_id") == run)  # a partition of the store's table, which is not copied
     kept_as = None if mode == "all" else now
     if kept_as is not None:
         version = hops.version_hash(own).first()["version_hash"]

@@ -80,11 +80,12 @@ def trace_nodes(edges: DataFrame, seed: str, max_hops: int = MAX_HOPS) -> DataFr
     return up.unionByName(down).select("node", "direction", "depth")
 
 
-def cone(edges: DataFrame, seed: str, max_depth: int = 0) -> DataFrame:
+def cone(edges: DataFrame, seed: str, max_depth: int = 0, *, ready: bool = False) -> DataFrame:
     """Nodes within ``max_depth`` table hops of the seed, either way (0: no limit), with the direct neighbours of all entities among them.
 
-    A hop into an entity costs nothing, so a node's depth is the least number of table hops; tables at the limit are not expanded."""
-    edges = saved(prepared(edges), "edges")
+    A hop into an entity costs nothing, so a node's depth is the least number of table hops; tables at the limit are not expanded.
+    ``ready`` edges are distinct and kept already."""
+    edges = edges.select("source", "target").filter("source != target") if ready else saved(prepared(edges), "edges")
 
     def walk(along: DataFrame) -> DataFrame:
         best = frontier = cut(seed_of(edges, seed).withColumn("depth", F.lit(0)))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weftline.operators import graph, paths, report, scope
+from weftline.operators import graph, hops, paths, report, scope
 from weftline.plans import catalogue
 from weftline.sources import code
 from weftline.sources.derived import view
@@ -158,3 +158,28 @@ def test_routed_edges_are_distinct_with_repeats_and_tables_named_as_entities(spa
     e = "entity:J:1"
     got = [tuple(r) for r in scope.routed(spark.createDataFrame(rows, "source string, target string, entity string")).collect()]
     assert sorted(got) == sorted({("a", e), (e, "b"), (e, "c"), ("b", "c"), ("a", "b"), (e, "d"), ("f", "entity:J:2"), ("entity:J:3", "h"), ("h", "h")})
+
+
+def test_derived_edges_are_made_without_the_reads(spark):
+    m = spark.createDataFrame([("a", "x", "c.s.t", "c.s.u", "y", "u.y", "y + 1", "sql")] * 2 + [("a", "x", "c.s.t", "c.s.v", "y", "v.y", "y", "sql")], "artifact_id string, output_column string, output_table_fqn string, source_fqn string, source_column string, source_ref string, expr string, expr_lang string")
+    nodes, edges = hops.graph_of(m, m.select("artifact_id", F.col("source_fqn").alias("table_fqn")))
+    derived = edges.filter("edge_type = 'derive'")
+    assert derived.count() == 2 and edges.count() == 6 and nodes.count() == 6
+    assert "tbl:" not in derived._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rendering_groups_the_edges_of_the_paths_only(spark):
+    n = 500
+    h = spark.createDataFrame([(f"e{i}", f"x{i}") for i in range(n)], "edge_id string, expr string")
+    found = spark.createDataFrame([(1, ["a", "b", "c"], ["e1", "e2"])], "path int, nodes array<string>, edges array<string>")
+    shown = paths.rendered(found, h)
+    assert sorted(tuple(r) for r in shown.collect()) == [(1, 0, "a", None, None), (1, 1, "b", "e1", "x1"), (1, 2, "c", "e2", "x2")]
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_a_cone_of_ready_edges_does_not_copy_them(spark, monkeypatch):
+    e = spark.createDataFrame([("a", "entity:J:1"), ("entity:J:1", "b"), ("b", "b"), ("b", "c")], "source string, target string")
+    want = {r[0] for r in graph.cone(e, "a", 1).collect()}
+    monkeypatch.setattr(graph, "prepared", lambda _: 1 / 0)
+    assert {r[0] for r in graph.cone(e, "a", 1, ready=True).collect()} == want == {"a", "entity:J:1", "b"}

@@ -36,14 +36,19 @@ def graph_of(mappings: DataFrame, reads: DataFrame) -> tuple[DataFrame, DataFram
     table = F.concat(F.lit("tbl:"), "table_fqn")
     from_tables = reads.select(refs.edge_id(F.lit("read"), table, xfm).alias("edge_id"), table.alias("src_id"), xfm.alias("dst_id"), F.lit("read").alias("edge_type"), "artifact_id", F.lit(None).cast("string").alias("meta_json"))
     from_columns = m.select(refs.edge_id(F.lit("read"), F.col("src_node"), F.col("xfm")).alias("edge_id"), F.col("src_node").alias("src_id"), F.col("xfm").alias("dst_id"), F.lit("read").alias("edge_type"), "artifact_id", F.lit(None).cast("string").alias("meta_json"))
-    edges = derive.unionByName(from_tables).unionByName(from_columns).dropDuplicates(["edge_id"])
+    # an id begins with its edge's type, so no derived edge repeats a read
+    derive, read = derive.dropDuplicates(["edge_id"]), from_tables.unionByName(from_columns).dropDuplicates(["edge_id"])
+    edges = derive.withColumn("edge_type", F.lit("derive")).unionByName(read.withColumn("edge_type", F.lit("read")))  # set anew, so that who wants one type makes one
 
     none = F.lit(None).cast("string")
     transformations = mappings.select("artifact_id").unionByName(reads.select("artifact_id")).distinct().select(xfm.alias("node_id"), F.lit("transformation").alias("node_type"), F.col("artifact_id").alias("label"), none.alias("table_fqn"), none.alias("column_name"), "artifact_id", none.alias("meta_json"))
-    tables = reads.select(table.alias("node_id"), F.lit("table").alias("node_type"), F.col("table_fqn").alias("label"), "table_fqn", none.alias("column_name"), "artifact_id", none.alias("meta_json"))
-    said = F.to_json(F.struct("expr", F.col("category").alias("transform_category"), "expr_lang"))
-    outs = m.select(F.col("out_node").alias("node_id"), F.lit("column").alias("node_type"), F.col("output_column").alias("label"), F.col("output_table_fqn").alias("table_fqn"), F.col("output_column").alias("column_name"), "artifact_id", said.alias("meta_json"))
-    ins = m.select(F.col("src_node").alias("node_id"), F.lit("column").alias("node_type"), F.col("source_column").alias("label"), F.col("source_fqn").alias("table_fqn"), F.col("source_column").alias("column_name"), "artifact_id", none.alias("meta_json"))
+    tables = reads.groupBy("table_fqn").agg(F.min("artifact_id").alias("artifact_id")).select(table.alias("node_id"), F.lit("table").alias("node_type"), F.col("table_fqn").alias("label"), "table_fqn", none.alias("column_name"), "artifact_id", none.alias("meta_json"))
+    # repeats go before texts are made of them: an output once an expression, a source once with its first artifact, as ``one_node_each`` would choose
+    made = m.select("out_node", "output_column", "output_table_fqn", "artifact_id", "expr", "expr_lang").distinct()
+    said = F.to_json(F.struct("expr", refs.category(F.col("expr")).alias("transform_category"), "expr_lang"))
+    outs = made.select(F.col("out_node").alias("node_id"), F.lit("column").alias("node_type"), F.col("output_column").alias("label"), F.col("output_table_fqn").alias("table_fqn"), F.col("output_column").alias("column_name"), "artifact_id", said.alias("meta_json"))
+    fed = m.groupBy("src_node", "source_column", "source_fqn").agg(F.min("artifact_id").alias("artifact_id"))
+    ins = fed.select(F.col("src_node").alias("node_id"), F.lit("column").alias("node_type"), F.col("source_column").alias("label"), F.col("source_fqn").alias("table_fqn"), F.col("source_column").alias("column_name"), "artifact_id", none.alias("meta_json"))
     return one_node_each(transformations.unionByName(tables).unionByName(outs).unionByName(ins)), edges
 
 
@@ -55,8 +60,9 @@ def one_node_each(nodes: DataFrame) -> DataFrame:
 
 def edge_endpoints(nodes: DataFrame, edges: DataFrame, raw_code: DataFrame) -> DataFrame:
     """Hops: derived edges with both columns' tables and the source's path. The source column is taken from the edge's own metadata, so columns of one name in several tables give one hop each."""
+    told = ("src_node_id", "expr", "expr_lang", "transform_category")
     d = edges.filter((F.col("edge_type") == "derive") & F.col("src_id").startswith("xfm:") & F.col("dst_id").startswith("col:"))
-    d = d.select("edge_id", "artifact_id", F.col("dst_id").alias("dst_node_id"), *(F.get_json_object("meta_json", f"$.{c}").alias(c) for c in ("src_node_id", "expr", "expr_lang", "transform_category"))).filter("src_node_id is not null")
+    d = d.select("edge_id", "artifact_id", F.col("dst_id").alias("dst_node_id"), F.json_tuple("meta_json", *told).alias(*told)).filter("src_node_id is not null")
     own = nodes.select("node_id", "table_fqn", "column_name")
     src = own.select(F.col("node_id").alias("src_node_id"), F.col("table_fqn").alias("src_fqn"), F.col("column_name").alias("src_col"))
     dst = own.select(F.col("node_id").alias("dst_node_id"), F.col("table_fqn").alias("dst_fqn"), F.col("column_name").alias("dst_col"))
@@ -76,6 +82,7 @@ def enriched(hops: DataFrame, cache: DataFrame, translate: Callable[[Column], Co
     """(hops, cache) after what is pending went through ``translate`` (a column function, so any function or UDF can serve) and back into expr_sql."""
     cache = cache.select("expr_sha", "pyspark_expr", "sql_expr")
     if translate is not None:
+        hops = saved(hops, "hops")  # asked twice: for what is pending, and to be filled
         new = pending_expressions(hops, cache).withColumn("sql_expr", translate(F.col("pyspark_expr"))).filter("sql_expr is not null")
         cache = cache.unionByName(new)
     best = cache.groupBy(F.col("expr_sha").alias("_sha")).agg(F.min("sql_expr").alias("_sql"))

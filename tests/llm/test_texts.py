@@ -151,6 +151,68 @@ def test_ngram_join_splits_large_buckets(spark, documents, monkeypatch):
     assert got == {i: (0, 23) for i in range(24)}
 
 
+def near_families(size=6, families=8):
+    """Texts of which those of a family share some 70 % of their five-grams, below the threshold, and meet in several buckets."""
+    rng = random.Random(11)
+    out = []
+    for f in range(families):
+        common = [f"c{f}_{k}" for k in range(330)]
+        out += [" ".join(common + [f"o{f}_{m}_{k}" for k in range(rng.randrange(60, 75))]) for m in range(size)]
+        out.append(out[-1] + " end")  # one link a family
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("cluster_rows", [256, 3])
+def test_ngram_join_sends_a_text_to_one_group(spark, documents, monkeypatch, cluster_rows):
+    """A text goes to one group a round, however many buckets its set shares with near ones, and is shuffled for that alone."""
+    monkeypatch.setattr(ngram_join, "MEETINGS", 10**9)  # no first round
+    monkeypatch.setattr(ngram_join, "CLUSTER_ROWS", cluster_rows, raising=False)
+    sent, joins, mapped = [], [], ngram_join.mapped_groups
+
+    def watched(frame, *args):
+        if "text" in frame.columns:
+            joins.append("SortMergeJoin" in frame._jdf.queryExecution().executedPlan().toString())
+            sent.append(Counter(r["kid"] for r in frame.select("kid").collect()))
+        return mapped(frame, *args)
+
+    monkeypatch.setattr(ngram_join, "mapped_groups", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are larger than it
+    try:
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(documents(near_families())).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: (i - 1, 1) if i % 7 == 6 else (i, int(i % 7 == 5)) for i in range(56)}
+    assert not any(joins) and len(max(sent, key=len)) == 56
+    most = max(n for c in sent for n in c.values())
+    assert most == 1 if cluster_rows == 256 else most > 1  # clusters over the limit stay in their buckets
+
+
+def test_paths_below_their_parents():
+    tokens = np.unique(np.random.default_rng(4).integers(0, 1 << 63, 900).astype(np.uint64))
+    levels = ngram_join.path_tree(tokens, 7, (2.0, 2.0, 1.25))
+    p1, p2, p3 = ngram_join.path_blobs(levels)
+    assert ngram_join.path_blobs(levels[:1])[1:] == [b"", b""]
+    for k, (above, blob) in ((1, (p1, p2)), (2, (p2, p3))):
+        (upper, _), (paths, parent) = levels[k - 1], levels[k]
+        for asked in (upper[:0], upper[1:2], upper[::3], upper):
+            want = {int(p) for p, of in zip(paths, parent, strict=True) if upper[of] in asked}
+            assert set(ngram_join.paths_below(above, blob, asked, k == 1).tolist()) == want and (len(want) > 0 or len(asked) < 2)
+    assert len(ngram_join.paths_below(b"", b"", np.zeros(0, np.int64), True)) == 0
+
+
+def test_estimates_to_one_head():
+    rng = np.random.default_rng(3)
+    universe = rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(universe, k, replace=False)) for k in (2, 64, 65, 700, 2000)]
+    sizes, sketches = np.array(list(map(len, sets))), [ngram_join.sketch_of(s) for s in sets]
+    exact = ngram_join.estimated([s[: ngram_join.SKETCH] for s in sets], sizes)
+    assert np.allclose(ngram_join.estimated(sketches, sizes), exact)
+    for head in range(len(sets)):
+        others = np.arange(len(sets)) != head
+        assert np.allclose(ngram_join.estimated_to(head, sketches, sizes)[others], exact[head, others])
+
+
 def test_estimates_and_counts():
     rng = np.random.default_rng(2)
     universe = rng.integers(0, 1 << 63, 4000).astype(np.uint64)

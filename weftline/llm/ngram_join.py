@@ -5,8 +5,9 @@ choose a common token and meet in its bucket. Buckets that stay large are split
 fixed depth. Runs repeat until a pair at the threshold is missed with a probability below a target. A first
 round links each set to the set that it meets most often, which merges large groups of near copies with one comparison
 per member; a second round compares, in every bucket, all pairs that are not yet in one component. Buckets that
-are still over the limit are compared in blocks, so nothing is capped. Last, links are counted inside the components, where
-all links lie, in blocks as well.
+are still over the limit are compared in blocks, so nothing is capped. Sketches are compared first, and texts only where those come
+near; sets that come near one another in several buckets form one cluster, to which each text goes once. Last, links are counted
+inside the components, where all links lie, in blocks as well.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ HOT_ROWS, TABLE = 4096, 4_000_000
 SKETCH, SKETCH_LEAST = 64, 0.575
 #: Common level-one paths from which two sets are linked in the first round.
 MEETINGS = 3
+#: Largest cluster of near sets that is compared as one group; the sets of larger ones are compared bucket by bucket.
+CLUSTER_ROWS = 256
 _U = np.uint64
 
 
@@ -84,6 +87,28 @@ def path_tree(tokens: np.ndarray, runs: int, chosen: tuple[float, ...]) -> list[
     return levels
 
 
+def path_blobs(levels: list[tuple[np.ndarray, np.ndarray]], depth: int = 3) -> list[bytes]:
+    """Each level's distinct paths, from the second on followed by their parents' places among the distinct paths of the level above."""
+    blobs, place = [], np.zeros(0, np.int64)
+    for k, (paths, parent) in enumerate(levels[:depth]):
+        kept, first, now = np.unique(paths, return_index=True, return_inverse=True)
+        blobs.append(kept.astype("<i8").tobytes() + (place[parent[first]].astype("<u4").tobytes() if k else b""))
+        place = now
+    return blobs + [b""] * (depth - len(blobs))
+
+
+def paths_below(above: bytes, blob: bytes, parents: np.ndarray, first: bool) -> np.ndarray:
+    """Distinct paths of a level's blob whose parents, in the blob of the level above (``first``: the first), are among ``parents``."""
+    n = len(blob) // 12
+    upper = np.frombuffer(above, "<i8", len(above) // (8 if first else 12))
+    return np.frombuffer(blob, "<i8", n)[np.isin(upper, parents)[np.frombuffer(blob, "<u4", n, 8 * n)]]
+
+
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """The upper halves of a set's smallest hashes; two hashes that differ only below raise an estimate by one part of a sketch."""
+    return (tokens[:SKETCH] >> _U(32)).astype("<u4")
+
+
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections of a bounded list of sets, from one token-by-set matrix in column chunks."""
     n = len(sets)
@@ -110,17 +135,31 @@ def jaccard(sets: list[np.ndarray]) -> np.ndarray:
     return both / (sizes[:, None] + sizes[None, :] - both)
 
 
+def last_known(sketches: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """The hash up to which each sketch has its set whole."""
+    return np.array([np.iinfo(s.dtype).max if size <= SKETCH else s[-1] for s, size in zip(sketches, sizes, strict=True)], sketches[0].dtype)
+
+
 def estimated(sketches: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """Estimated similarities from sets' smallest hashes. Up to the smaller of two sketches' last hashes both sets are known
     whole, so their similarity there is an unbiased estimate; it is exact for sets that fit in their sketch."""
-    whole = np.iinfo(np.uint64).max
-    last = np.array([whole if size <= SKETCH else s[-1] for s, size in zip(sketches, sizes, strict=True)], _U)
+    last = last_known(sketches, sizes)
     upto = np.minimum(last[:, None], last[None, :])
     held = np.stack([np.searchsorted(s, upto[i], "right") for i, s in enumerate(sketches)]).astype(float)
     both = common_counts(sketches)
     return both / (held + held.T - both)
 
 
+def estimated_to(head: int, sketches: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """The row of ``estimated`` for one of the sets."""
+    last = last_known(sketches, sizes)
+    upto, of, all_ = np.minimum(last, last[head]), np.repeat(np.arange(len(sketches)), [len(s) for s in sketches]), np.concatenate(sketches)
+    known = all_ <= upto[of]
+    held = np.bincount(of[known], minlength=len(sketches)).astype(float)
+    both = np.bincount(of[known & np.isin(all_, sketches[head])], minlength=len(sketches))
+    return both / (held + np.searchsorted(sketches[head], upto, "right") - both)
+
+
 def ngram_join(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: float = TARGET_RECALL, chosen: tuple[float, ...] = CHOSEN) -> DataFrame:
     """doc_id, class_id, n_links for every row.
 
@@ -155,18 +194,9 @@ def classes_of(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
                         c.append(None)
                     continue
                 kid.append(set_id(x))
-                sketch.append(x[:SKETCH].tobytes())
-                levels = path_tree(x, runs, chosen)
-                p1.append(np.unique(levels[0][0]).tobytes() if levels else b"")
-                deep = []
-                for k in (1, 2):
-                    if len(levels) > k:
-                        path, parent = levels[k]
-                        deep.append(np.column_stack([levels[k - 1][0][parent], path]).astype("<i8").tobytes())
-                    else:
-                        deep.append(b"")
-                p2.append(deep[0])
-                p3.append(deep[1])
+                sketch.append(sketch_of(x).tobytes())
+                for c, blob in zip((p1, p2, p3), path_blobs(path_tree(x, runs, chosen)), strict=True):
+                    c.append(blob)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("row"), pa.array(kid, pa.int64()), pa.array(size, pa.int32()), *(pa.array(c, pa.binary()) for c in (sketch, p1, p2, p3))],
                 ["doc_id", "row", "kid", "size", "sketch", "p1", "p2", "p3"],
@@ -218,13 +248,38 @@ def classes_of(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
     # first round: each set against the set it meets most often
     often = meeting.filter("kid != leader").groupBy("kid", "leader").count().filter(F.col("count") >= MEETINGS)
     led = saved(often.groupBy("kid").agg(F.max(F.struct("count", "leader")).alias("m")).select("kid", F.col("m.leader").alias("leader")), "led")
-    star = led.select("kid", F.col("leader").alias("star"), F.lit(0).alias("head"))
-    star = star.unionByName(led.select(F.col("leader").alias("kid"), F.col("leader").alias("star"), F.lit(1).alias("head")).distinct())
 
-    def fetched(wanted: DataFrame) -> DataFrame:
-        """kid and text of the wanted sets, each from one of its rows. A doc_id that repeats may fetch other texts too; ``wanted_sets`` leaves them out."""
-        ids = small(saved(wanted.select("kid").distinct().join(kinds, "kid").select("kid", "doc"), "wanted"))
-        return texts.join(ids, texts["doc_id"] == ids["doc"]).select("kid", "text")
+    def placed(led: DataFrame) -> DataFrame:
+        """Groups of each leader and its followers; a leader with many is sent to each block of them."""
+        star = led.select("kid", F.col("leader").alias("star"), F.lit(0).alias("head"))
+        star = star.unionByName(led.select(F.col("leader").alias("kid"), F.col("leader").alias("star"), F.lit(1).alias("head")).distinct())
+        blocks = saved(led.groupBy("leader").count().select(F.col("leader").alias("star"), F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("b")), "stars")
+        part = F.when(F.col("head") == 1, F.sequence(F.lit(0), F.col("b") - 1)).otherwise(F.array(F.pmod(F.xxhash64("kid"), "b").cast("int")))
+        dealt = star.join(blocks, "star").select("kid", F.col("head").alias("block"), "star", F.explode(part).alias("part"))
+        return saved(dealt.select(F.xxhash64("star", "part").alias("g"), "kid", "block"), "placed")
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        """``rows``, a saved table, with the text of each set ``kid``, from one of its rows. A doc_id that repeats may fetch other texts too; ``wanted_sets``
+        leaves them out. Where the rows can be broadcast, a text is not shuffled before it goes to its group."""
+        ids = small(saved(rows.select("kid").distinct().join(kinds, "kid").select("kid", "doc"), "wanted"))
+        return texts.join(ids, texts["doc_id"] == ids["doc"]).select("kid", "text").join(small(rows), "kid")
+
+    def with_sketches(rows: DataFrame) -> DataFrame:
+        ids = small(saved(rows.select("kid").distinct(), "sketched"))
+        return rows.join(sets.join(ids, "kid", "left_semi").groupBy("kid").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size")), "kid")
+
+    def sketches_in(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+        return [np.frombuffer(x, "<u4") for x in table.column("sketch").to_pylist()], table.column("size").to_numpy()
+
+    def near_head(table: pa.Table) -> list[tuple]:
+        """Followers that may be similar to their leader."""
+        head = np.flatnonzero(table.column("block").to_numpy() == 1)
+        if not len(head):
+            return []
+        kid = table.column("kid").to_numpy()
+        near = estimated_to(int(head[0]), *sketches_in(table)) >= SKETCH_LEAST
+        near[head] = False
+        return [(int(k), int(kid[head[0]])) for k in kid[near]]
 
     def wanted_sets(table: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
         x = [shingles(t, n) for t in table.column("text").to_pylist()]
@@ -250,12 +305,8 @@ def classes_of(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
                     out.append((k, lead))
         return out
 
-    # a leader with many followers is sent to each block of them
-    blocks = saved(led.groupBy("leader").count().select(F.col("leader").alias("star"), F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("b")), "stars")
-    placed = star.join(blocks, "star")
-    part = F.when(F.col("head") == 1, F.sequence(F.lit(0), F.col("b") - 1)).otherwise(F.array(F.pmod(F.xxhash64("kid"), "b").cast("int")))
-    placed = saved(placed.select("kid", F.col("head").alias("block"), "star", F.explode(part).alias("part")).withColumn("g", F.xxhash64("star", "part")), "placed")
-    edges = saved(mapped_groups(placed.join(fetched(placed), "kid").select("g", "kid", "block", "text"), "g", against_head, "a long, b long"), "links")
+    led = saved(mapped_groups(with_sketches(placed(led)).select("g", "kid", "block", "sketch", "size"), "g", near_head, "kid long, leader long"), "led")
+    edges = saved(mapped_groups(with_texts(placed(led)).select("g", "kid", "block", "text"), "g", against_head, "a long, b long"), "links")
     component = saved(connected_components(edges), "components")
 
     # second round: buckets with more than one component
@@ -274,40 +325,37 @@ def classes_of(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
         now = both.filter(fits).withColumn("part", F.explode(part))
         return now.select(F.xxhash64("path", "part").alias("g"), "kid", "component", F.lit(0).alias("block"), F.lit(1).alias("alone")), both.filter(~fits).select("kid", "path", "component")
 
-    def split(column: str, sets_to_split: DataFrame) -> DataFrame:
-        """(kid, component, path): the paths of ``column`` below those in ``parents``; others are never made into rows."""
+    def split(above: str, column: str, sets_to_split: DataFrame) -> DataFrame:
+        """(kid, component, path): the paths of ``column`` below those in ``parents`` of column ``above``; others are never made into rows."""
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = []
-                for blob, parents in zip(b.column(column).to_pylist(), b.column("parents"), strict=True):
-                    pairs = np.frombuffer(blob, "<i8").reshape(-1, 2)
-                    found.append(np.unique(pairs[np.isin(pairs[:, 0], parents.values.to_numpy()), 1]))
+                blobs = zip(b.column(above).to_pylist(), b.column(column).to_pylist(), b.column("parents"), strict=True)
+                found = [paths_below(upper, blob, parents.values.to_numpy(), above == "p1") for upper, blob, parents in blobs]
                 sizes = [len(x) for x in found]
                 of = [pa.array(np.repeat(b.column(c).to_numpy(), sizes)) for c in ("kid", "component")]
                 yield pa.RecordBatch.from_arrays([*of, pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["kid", "component", "path"])
 
-        return sets_to_split.select("kid", "component", "parents", column).mapInArrow(spread, "kid long, component long, path long")
+        return sets_to_split.select("kid", "component", "parents", above, column).mapInArrow(spread, "kid long, component long, path long")
 
     first = meeting.select("kid", "path").join(component.withColumnRenamed("id", "kid"), "kid", "left").withColumn("component", F.coalesce("component", "kid"))
     ready, large = open_buckets(first)
-    for column in ("p2", "p3")[: len(chosen) - 1]:
+    for upper, column in (("p1", "p2"), ("p2", "p3"))[: len(chosen) - 1]:
         # only the sets in large buckets are taken apart further: one row a set, with the paths to split (a set has few, whatever its size)
-        above = saved(large.groupBy("kid", "component").agg(F.collect_set("path").alias("parents")), "crowded")
-        more, large = open_buckets(saved(split(column, single.join(above, "kid")), "deeper"))
+        above = small(saved(large.groupBy("kid", "component").agg(F.collect_set("path").alias("parents")), "crowded"))
+        more, large = open_buckets(saved(split(upper, column, single.join(above, "kid")), "deeper"))
         ready = ready.unionByName(more)
     # what is large to the end is compared block by block
     candidates = saved(ready.unionByName(in_blocks(large, "path", "kid", BLOCK_ROWS).select("g", "kid", "component", "block", "alone")), "candidates")
-    sketches = sets.join(small(saved(candidates.select("kid").distinct(), "sketched")), "kid", "left_semi").groupBy("kid").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"))
 
     def likely(table: pa.Table) -> list[tuple]:
-        """Rows of a bucket that may be similar to a row of another component."""
+        """Rows of a bucket that may be similar to a row of another component, with the smallest set that such pairs reach."""
         kid, comp = table.column("kid").to_numpy(), table.column("component").to_numpy()
         mask = pair_mask(table.column("block").to_numpy(), table.column("alone").to_numpy()) & (comp[:, None] != comp[None, :])
-        near = mask & (estimated([np.frombuffer(x, "<u8") for x in table.column("sketch").to_pylist()], table.column("size").to_numpy()) >= SKETCH_LEAST)
-        keep = near.any(axis=1)
-        g = int(table.column("g")[0].as_py())
-        return [(g, int(k), int(c), int(bl), int(al)) for k, c, bl, al, w in zip(kid, comp, table.column("block").to_pylist(), table.column("alone").to_pylist(), keep, strict=True) if w]
+        near = mask & (estimated(*sketches_in(table)) >= SKETCH_LEAST)
+        reached, g = dict(stars(kid, near)), int(table.column("g")[0].as_py())
+        rows = zip(kid.tolist(), comp.tolist(), table.column("block").to_pylist(), table.column("alone").to_pylist(), near.any(axis=1).tolist(), strict=True)
+        return [(g, k, c, bl, al, reached.get(k, k)) for k, c, bl, al, w in rows if w]
 
     def linked(table: pa.Table) -> list[tuple]:
         table, x = wanted_sets(table)
@@ -317,8 +365,15 @@ def classes_of(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
         mask = comp[:, None] != comp[None, :]
         return stars(kid, (jaccard(x) >= least - 1e-12) & mask)
 
-    close = saved(mapped_groups(candidates.join(sketches, "kid").select("g", "kid", "component", "block", "alone", "sketch", "size"), "g", likely, "g long, kid long, component long, block int, alone int"), "close")
-    bridges = mapped_groups(close.join(fetched(close), "kid").select("g", "kid", "component", "block", "text"), "g", linked, "a long, b long")
+    close = saved(mapped_groups(with_sketches(candidates).select("g", "kid", "component", "block", "alone", "sketch", "size"), "g", likely, "g long, kid long, component long, block int, alone int, reached long"), "close")
+    # near sets meet in several buckets: a text goes to its cluster once, where all pairs meet; clusters that are too large for that stay in their buckets
+    clusters = saved(connected_components(close.select(F.col("kid").alias("a"), F.col("reached").alias("b"))).toDF("kid", "cluster"), "clusters")
+    wide = small(saved(clusters.groupBy("cluster").count().filter(F.col("count") > CLUSTER_ROWS).select("cluster"), "wide"))
+    alike = close.select("kid", "component").distinct().join(clusters.join(wide, "cluster", "left_anti"), "kid")
+    alike = alike.select(F.xxhash64("cluster").alias("g"), "kid", "component", F.lit(0).alias("block"))
+    spread_out = close.join(clusters.join(wide, "cluster", "left_semi"), "kid", "left_semi").select("g", "kid", "component", "block")
+    meet = saved(alike.unionByName(spread_out), "meet")
+    bridges = mapped_groups(with_texts(meet).select("g", "kid", "component", "block", "text"), "g", linked, "a long, b long")
     component = saved(connected_components(edges.unionByName(bridges)), "components")
 
     # links of each set, inside its component
@@ -332,8 +387,8 @@ def classes_of(docs: DataFrame, *, least: float = LEAST, n: int = N, recall: flo
         return list(zip(table.column("kid").to_pylist(), found.tolist(), strict=True))
 
     members = saved(component.withColumnRenamed("id", "kid").join(kinds.select("kid", "copies"), "kid"), "members")
-    in_groups = in_blocks(members, "component", "kid", BLOCK_ROWS).select("g", "kid", "copies", "block", "alone")
-    counted = mapped_groups(in_groups.join(fetched(members), "kid").select("g", "kid", "copies", "block", "alone", "text"), "g", count_of, "kid long, n long").groupBy("kid").agg(F.sum("n").alias("n"))
+    in_groups = saved(in_blocks(members, "component", "kid", BLOCK_ROWS).select("g", "kid", "copies", "block", "alone"), "groups")
+    counted = mapped_groups(with_texts(in_groups).select("g", "kid", "copies", "block", "alone", "text"), "g", count_of, "kid long, n long").groupBy("kid").agg(F.sum("n").alias("n"))
 
     named = kinds.join(component.withColumnRenamed("id", "kid"), "kid", "left").withColumn("component", F.coalesce("component", "kid"))
     classes = named.groupBy("component").agg(F.min("doc").alias("class_id"))

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import reachability
+from weftline.plans import catalogue
 
 
 def frame(spark, pairs):
@@ -71,3 +73,29 @@ def test_lists_are_bounded_and_cover(spark):
     rows = spark.createDataFrame([("k", lo, lo + w, True) for lo, w in ((0, 5), (6, 0), (10, 1), (20, 0), (21, 3), (22, 1), (40, 0))] + [("k", 60, 70, False)], "comp string, lo long, hi long, exact boolean")
     got = {(r["lo"], r["hi"], r["exact"]) for r in reachability.united(rows, ["comp"], 2).collect()}
     assert got == {(0, 6, True), (20, 24, True), (10, 40, False), (60, 70, False)} or got == {(0, 6, True), (20, 24, True), (10, 11, False), (40, 70, False)}
+
+
+@pytest.mark.parametrize(("seed", "cyclic"), [(4, False), (5, True)])
+def test_pairs_asked_once_need_no_index(spark, seed, cyclic, monkeypatch):
+    pairs = random_graph(seed, cyclic)
+    want, asked = closure(pairs), [(s, t) for s in [*closure(pairs), "out"] for t in [*closure(pairs), "out"]]
+    monkeypatch.setattr(reachability, "build", lambda *_: 1 / 0)
+    for bits in (64, 3):
+        monkeypatch.setattr(reachability, "BITS", bits)
+        got = reachability.reaching(frame(spark, [*pairs, *pairs[:3], (None, "n01"), ("n03", "n03")]), frame(spark, [*asked, asked[0], (None, "n01")]))
+        assert sorted(map(tuple, got.collect())) == sorted((s, t, s == t or t in want.get(s, ())) for s, t in asked)
+
+
+def test_pairs_whose_nodes_share_a_hash(spark, monkeypatch):
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    got = reachability.reaching(frame(spark, [("a", "b"), ("b", "c"), ("x", "c")]), frame(spark, [("a", "c"), ("a", "x"), ("c", "a"), ("out", "c"), ("out", "out")]))
+    assert {(s, t): r for s, t, r in got.collect()} == {("a", "c"): True, ("a", "x"): False, ("c", "a"): False, ("out", "c"): False, ("out", "out"): True}
+    assert reachability.reaching(frame(spark, []), frame(spark, [("a", "b"), ("a", "a")])).filter("reaches").collect() == [("a", "a", True)]
+
+
+def test_reaching_pairs_builds_no_index(spark, sf, monkeypatch):
+    monkeypatch.setattr(reachability, "build", lambda *_: 1 / 0)
+    rows = catalogue._records(spark, sf)
+    want = closure({(s, t) for s, t in rows.select("source", "target").collect() if s and t and s != t})
+    got = list(map(tuple, catalogue.reaching_pairs(spark, sf).collect()))
+    assert len({(s, t) for s, t, _ in got}) == len(got) > 100 and all(r == (s == t or t in want.get(s, ())) for s, t, r in got)

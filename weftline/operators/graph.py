@@ -271,23 +271,35 @@ def numbered(nodes: DataFrame) -> tuple[DataFrame, bool]:
     return saved(nodes.select("node", F.monotonically_increasing_id().alias("id")), "nodes"), False
 
 
-def by_number(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, id) of all nodes, and the edges by numbers (s, t): rounds over them move numbers and no names."""
-    nodes, hashed = numbered(edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct())
+def nodes_of(edges: DataFrame) -> DataFrame:
+    """(node): all ends, with repeats."""
+    return edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node")))
+
+
+def by_number(edges: DataFrame, others: DataFrame | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """(node, id) of all nodes, the edges by numbers (s, t), and whether numbers are hashes: rounds over them move numbers and no names.
+
+    ``others`` are pairs (source, target) whose nodes are numbered too."""
+    nodes, hashed = numbered((nodes_of(edges) if others is None else nodes_of(edges).unionByName(nodes_of(others))).distinct())
+    return nodes, saved(in_numbers(edges, nodes, hashed).select("s", "t"), "pairs"), hashed
+
+
+def in_numbers(pairs: DataFrame, nodes: DataFrame, hashed: bool) -> DataFrame:
+    """``pairs`` (source, target) with the numbers s and t of their ends, which are null where ``nodes`` (node, id) has none; hashes need no look there."""
     if hashed:
-        return nodes, saved(edges.select(F.xxhash64("source").alias("s"), F.xxhash64("target").alias("t")), "pairs")
+        return pairs.withColumns({"s": F.xxhash64("source"), "t": F.xxhash64("target")})
     ends = [nodes.select(F.col("node").alias(end), F.col("id").alias(to)) for end, to in (("source", "s"), ("target", "t"))]
-    return nodes, saved(edges.join(ends[0], "source").join(ends[1], "target").select("s", "t"), "pairs")
+    return pairs.join(ends[0], "source", "left").join(ends[1], "target", "left")
 
 
 def peeled(edges: DataFrame) -> DataFrame | None:
     """(node, layer) of prepared ``edges``; None if they have a cycle."""
-    nodes, pairs = by_number(edges)
-    layer = _rounds(pairs)
+    nodes, pairs, _ = by_number(edges)
+    layer = rounds(pairs)
     return None if layer is None else nodes.join(layer, "id").select("node", "layer")
 
 
-def _rounds(pairs: DataFrame) -> DataFrame | None:
+def rounds(pairs: DataFrame) -> DataFrame | None:
     """(id, layer) of pairs (s, t): the round in which no edge from what is left leads to a node; None if that never comes for some.
 
     A round counts the edges from the nodes that went last down from their targets' numbers of edges; nodes that have none left go next."""

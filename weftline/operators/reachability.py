@@ -6,7 +6,8 @@ deepest layer upwards. A list is bounded: the longest ``most`` intervals stay ex
 that are not reached. A number in an exact interval is reached, one in no interval is not, and only what lies in a wider one alone is walked to.
 
 The index is made once (two jobs a layer); a trace is then one lookup, and a walk over the nodes that are left open. Of many pairs those that are left open are
-settled together: 64 sources share a word of bits, and words go down the layers once. It tells whether, not how far.
+settled together: 64 sources share a word of bits, and words go down the layers once. It tells whether, not how far. Pairs that are asked only once need no
+index: ``reaching`` sends the words of all their sources down.
 """
 
 from __future__ import annotations
@@ -111,6 +112,38 @@ class Index:
         return met.filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("comp", "to")
 
 
+def reaching(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(source, target, reaches) as ``Index.reaches`` has it, without an index: every source's bit goes down the layers once, 64 sources in a word.
+
+    Sources with neighbouring names share a word, as they mostly feed the same nodes; that matters for the work alone, not for the answer."""
+    pairs = saved(pairs.select("source", "target").dropna().distinct(), "pairs")
+    edges = saved(graph.prepared(edges), "edges")
+    nodes, along, hashed = graph.by_number(edges, pairs)
+    layer = graph.rounds(along)
+    if layer is None:  # cycles: components take the place of nodes
+        members, between, layered, _ = _condensed(edges)
+        nodes, hashed = members.select("node", F.col("comp").alias("id")), False
+        along, layer = between.select(F.col("source").alias("s"), F.col("target").alias("t")), layered.select(F.col("node").alias("id"), "layer")
+    layer = saved(layer, "layers")
+    asked = graph.in_numbers(pairs, nodes, hashed)
+    first = asked.filter("s != t").select("source", "s").distinct().groupBy("s").agg(F.min("source").alias("source"))
+    dealt = saved(first.repartitionByRange("source", "s").sortWithinPartitions("source", "s").withColumn("n", F.monotonically_increasing_id()), "dealt")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("n", F.lit(BITS)).cast("int"))
+    dealt = dealt.select("s", F.floor(F.col("n") / BITS).alias("word"), bit.alias("bit"))
+    start = saved(dealt.join(layer.withColumnRenamed("id", "s"), "s").groupBy(F.col("s").alias("id"), "word", "layer").agg(F.bit_or("bit").alias("bits")), "start")
+    along = saved(along.join(layer.withColumnRenamed("id", "t"), "t"), "along", ["layer"])
+    top, deepest = start.agg(F.min("layer")).first()[0], layer.agg(F.max("layer")).first()[0]
+    held = start.select("id", "word", "bits").filter("false")
+    for at in range(top, deepest + 1) if top is not None else ():
+        into = along.filter(F.col("layer") == at).select(F.col("s").alias("id"), "t")
+        here = start.filter(F.col("layer") == at).select("id", "word", "bits").unionByName(into.join(held, "id").select(F.col("t").alias("id"), "word", "bits"))
+        held = held.unionByName(graph.cut(here.groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))))
+        held = saved(held, "held") if (at - top + 1) % LAYERS_A_TABLE == 0 else held
+    met = asked.join(dealt, "s", "left").join(held.withColumnRenamed("id", "t"), ["t", "word"], "left")
+    yes = F.coalesce(F.col("s") == F.col("t"), F.lit(False)) | F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
+    return met.select("source", "target", (yes | (F.col("source") == F.col("target"))).alias("reaches"))
+
+
 def united(rows: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     """(*keys, lo, hi, exact): for each key at most ``most`` exact intervals, the longest, and at most ``most`` wider ones that cover the rest.
 

@@ -183,3 +183,25 @@ def test_a_cone_of_ready_edges_does_not_copy_them(spark, monkeypatch):
     want = {r[0] for r in graph.cone(e, "a", 1).collect()}
     monkeypatch.setattr(graph, "prepared", lambda _: 1 / 0)
     assert {r[0] for r in graph.cone(e, "a", 1, ready=True).collect()} == want == {"a", "entity:J:1", "b"}
+
+
+def test_hops_read_from_mappings_are_those_of_the_graph(spark):
+    kind = "artifact_id string, output_column string, output_table_fqn string, source_fqn string, source_column string, source_ref string, expr string, expr_lang string"
+    rows = [(f"a{i % 3}", f"x{i % 4}", "c.s.t" if i % 5 else None, f"c.s.u{i % 2}" if i % 7 else None, f"y{i % 3}", f"u.y{i % 3}", f"y + {i % 6}", "sql" if i % 3 else "pyspark") for i in range(120)]
+    rows += [*rows[:9], ("a1", "x", "c.s.t", "c.s.t", "x", "t.x", "x", "sql"), ("a1", None, "c.s.t", "c.s.u", "y", "y", "y", "sql"), ("a2", "x", "c.s.t", "c.s.u", None, "y", "y", "sql"), (None, "x", "c.s.t", "c.s.u", "y", "y", "y", "sql"), ("a1", None, None, None, None, None, None, None)]
+    m = spark.createDataFrame(rows, kind)
+    code = spark.createDataFrame([("a0", "/q"), ("a0", "/p"), ("a1", "/r")], "extraction_id string, source_path string")
+    want = hops.edge_endpoints(*hops.graph_of(m, m.select("artifact_id", F.col("source_fqn").alias("table_fqn"))), code)
+    got = hops.endpoints_of(m, code)
+    both = [sorted(map(repr, df.collect())) for df in (got, want)]
+    assert got.columns == want.columns and both[0] == both[1] and len(both[0]) > 30
+
+
+def test_endpoints_shuffle_each_hop_once_after_its_repeats(spark, sf, monkeypatch):
+    monkeypatch.setattr(hops, "graph_of", lambda *_: 1 / 0)
+    out = catalogue.edge_endpoints(spark, sf)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not [x for x in plan.splitlines() if "hashpartitioning" in x and "sha2" in x]  # hops of one expression would meet in one task
+    want = view(spark, sf, "v_hops")
+    assert out.count() == want.count() > 1000
+    assert out.select("src_node_id", "dst_node_id", "expr").exceptAll(want.select("src_node_id", "dst_node_id", "expr")).isEmpty()

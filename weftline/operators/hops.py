@@ -21,17 +21,26 @@ def _output(mapping: DataFrame) -> Column:
     return F.when(F.coalesce(table, F.lit("")) != "", refs.column_node(table, column)).otherwise(lost)
 
 
+def _mapped(mappings: DataFrame) -> DataFrame:
+    """``mappings`` with the nodes out_node and src_node, without columns that would feed themselves."""
+    m = mappings.withColumn("expr", F.substring("expr", 1, EXPR_LIMIT)).withColumn("out_node", _output(mappings))
+    src = F.when(F.col("source_fqn").isNotNull(), refs.column_node(F.col("source_fqn"), F.col("source_column"))).otherwise(F.concat(F.lit("col:unresolved:"), "artifact_id", F.lit(":"), F.coalesce("source_column", F.lit("unknown"))))
+    return m.withColumn("src_node", src).filter("src_node != out_node")
+
+
+def _derive_id(artifact: Column, out_node: Column, src_node: Column, expr: Column) -> Column:
+    return refs.edge_id(F.lit("derive"), artifact, out_node, src_node, F.sha2(expr, 256))
+
+
 def graph_of(mappings: DataFrame, reads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of parsed artifacts.
 
     ``mappings``: artifact_id, output_column, output_table_fqn, source_fqn, source_column, source_ref, expr, expr_lang. ``reads``: artifact_id, table_fqn.
     Nodes are transformations, read tables and columns; edges lead from tables and columns to the transformation that reads them and from it to the columns
     that it makes. A column that would feed itself is left out. The id of a derived edge depends on its ends and on the expression."""
-    m = mappings.withColumn("expr", F.substring("expr", 1, EXPR_LIMIT)).withColumn("out_node", _output(mappings))
-    src = F.when(F.col("source_fqn").isNotNull(), refs.column_node(F.col("source_fqn"), F.col("source_column"))).otherwise(F.concat(F.lit("col:unresolved:"), "artifact_id", F.lit(":"), F.coalesce("source_column", F.lit("unknown"))))
-    m = m.withColumn("src_node", src).filter("src_node != out_node").withColumn("category", refs.category(F.col("expr"))).withColumn("xfm", F.concat(F.lit("xfm:"), "artifact_id"))
+    m = _mapped(mappings).withColumn("category", refs.category(F.col("expr"))).withColumn("xfm", F.concat(F.lit("xfm:"), "artifact_id"))
     about = F.to_json(F.struct("source_ref", F.col("src_node").alias("src_node_id"), F.col("category").alias("transform_category"), "expr", "expr_lang"))
-    derive = m.select(refs.edge_id(F.lit("derive"), F.col("artifact_id"), F.col("out_node"), F.col("src_node"), F.sha2("expr", 256)).alias("edge_id"), F.col("xfm").alias("src_id"), F.col("out_node").alias("dst_id"), F.lit("derive").alias("edge_type"), "artifact_id", about.alias("meta_json"))
+    derive = m.select(_derive_id(F.col("artifact_id"), F.col("out_node"), F.col("src_node"), F.col("expr")).alias("edge_id"), F.col("xfm").alias("src_id"), F.col("out_node").alias("dst_id"), F.lit("derive").alias("edge_type"), "artifact_id", about.alias("meta_json"))
     xfm = F.concat(F.lit("xfm:"), "artifact_id")
     table = F.concat(F.lit("tbl:"), "table_fqn")
     from_tables = reads.select(refs.edge_id(F.lit("read"), table, xfm).alias("edge_id"), table.alias("src_id"), xfm.alias("dst_id"), F.lit("read").alias("edge_type"), "artifact_id", F.lit(None).cast("string").alias("meta_json"))
@@ -66,9 +75,30 @@ def edge_endpoints(nodes: DataFrame, edges: DataFrame, raw_code: DataFrame) -> D
     own = nodes.select("node_id", "table_fqn", "column_name")
     src = own.select(F.col("node_id").alias("src_node_id"), F.col("table_fqn").alias("src_fqn"), F.col("column_name").alias("src_col"))
     dst = own.select(F.col("node_id").alias("dst_node_id"), F.col("table_fqn").alias("dst_fqn"), F.col("column_name").alias("dst_col"))
-    code = raw_code.groupBy(F.col("extraction_id").alias("artifact_id")).agg(F.min("source_path").alias("source_path"))
-    out = d.join(src, "src_node_id").join(dst, "dst_node_id").join(code, "artifact_id", "left")
-    return out.select("src_node_id", "src_fqn", "src_col", "dst_node_id", "dst_fqn", "dst_col", "edge_id", "artifact_id", "source_path", "expr", "expr_lang", F.when(F.col("expr_lang") == "sql", F.col("expr")).alias("expr_sql"), "transform_category")
+    out = d.join(src, "src_node_id").join(dst, "dst_node_id").join(_paths(raw_code), "artifact_id", "left")
+    return _hop(out)
+
+
+def _hop(rows: DataFrame) -> DataFrame:
+    names = ("src_node_id", "src_fqn", "src_col", "dst_node_id", "dst_fqn", "dst_col", "edge_id", "artifact_id", "source_path", "expr", "expr_lang")
+    return rows.select(*names, F.when(F.col("expr_lang") == "sql", F.col("expr")).alias("expr_sql"), "transform_category")
+
+
+def _paths(raw_code: DataFrame) -> DataFrame:
+    return raw_code.groupBy(F.col("extraction_id").alias("artifact_id")).agg(F.min("source_path").alias("source_path"))
+
+
+def endpoints_of(mappings: DataFrame, raw_code: DataFrame) -> DataFrame:
+    """The hops that ``edge_endpoints`` finds in the graph of ``mappings``, read from these at once: each has both its ends, so nothing is looked up but the path.
+
+    Repeats are told apart inside their artifact, by columns that are short; ids and categories are made after the only shuffle."""
+    keys = ("artifact_id", "out_node", "src_node", "expr")
+    rest = F.min(F.struct("source_fqn", "source_column", "output_table_fqn", "output_column", "expr_lang")).alias("m")
+    own = ("artifact_id", "output_table_fqn", "output_column", "source_fqn", "source_column", "expr", "expr_lang")
+    d = _mapped(mappings.select(*own).filter("artifact_id is not null").repartition("artifact_id")).groupBy(*keys).agg(rest).join(_paths(raw_code), "artifact_id", "left")
+    named = (F.col("src_node").alias("src_node_id"), F.col("m.source_fqn").alias("src_fqn"), F.col("m.source_column").alias("src_col"), F.col("out_node").alias("dst_node_id"), F.col("m.output_table_fqn").alias("dst_fqn"), F.col("m.output_column").alias("dst_col"))
+    ids = _derive_id(F.col("artifact_id"), F.col("out_node"), F.col("src_node"), F.col("expr")).alias("edge_id"), refs.category(F.col("expr")).alias("transform_category")
+    return _hop(d.select(*named, "artifact_id", "source_path", "expr", F.col("m.expr_lang").alias("expr_lang"), *ids))
 
 
 def pending_expressions(hops: DataFrame, cache: DataFrame) -> DataFrame:
@@ -84,7 +114,7 @@ def enriched(hops: DataFrame, cache: DataFrame, translate: Callable[[Column], Co
     if translate is not None:
         hops = saved(hops, "hops")  # asked twice: for what is pending, and to be filled
         new = pending_expressions(hops, cache).withColumn("sql_expr", translate(F.col("pyspark_expr"))).filter("sql_expr is not null")
-        cache = cache.unionByName(new)
+        cache = saved(cache.unionByName(new), "translated")  # its size is known then: few translations are broadcast, and hops of one expression do not meet in one task
     best = cache.groupBy(F.col("expr_sha").alias("_sha")).agg(F.min("sql_expr").alias("_sql"))
     joined = hops.join(best, (F.sha2("expr", 256) == F.col("_sha")) & (F.col("expr_lang") == "pyspark"), "left")
     return joined.withColumn("expr_sql", F.coalesce("expr_sql", "_sql")).drop("_sha", "_sql"), cache

@@ -1,5 +1,7 @@
 """Work that must not grow faster than the input: rows that plans make on inputs with hubs and many repeats."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from weftline.operators import graph, hops, paths, report, scope
@@ -205,3 +207,36 @@ def test_endpoints_shuffle_each_hop_once_after_its_repeats(spark, sf, monkeypatc
     want = view(spark, sf, "v_hops")
     assert out.count() == want.count() > 1000
     assert out.select("src_node_id", "dst_node_id", "expr").exceptAll(want.select("src_node_id", "dst_node_id", "expr")).isEmpty()
+
+
+def test_lists_of_sources_go_once_to_each_home_of_targets(spark, monkeypatch):
+    n, name = 30, lambda b, i: "r" + hashlib.sha256(f"{b} {i}".encode()).hexdigest()  # names that do not compress
+    edges = [(name(b, i), f"entity:JOB:{b}") for b in range(4) for i in range(n)] + [(f"entity:JOB:{b}", f"w{b}_{i}") for b in range(4) for i in range(n)]
+    want = sorted((name(b, i), f"w{b}_{j}") for b in range(4) for i in range(n) for j in range(n))
+    e = spark.createDataFrame(edges, "source string, target string")
+    got, sent = shuffled_bytes(spark, lambda: sorted(tuple(r) for r in graph.view(e, "table").collect()))
+    monkeypatch.setattr(graph, "HOME_TARGETS", n - 1)  # every target is at home by itself
+    alone, more = shuffled_bytes(spark, lambda: sorted(tuple(r) for r in graph.view(e, "table").collect()))
+    assert got == alone == want and 1.5 * sent < more
+
+
+def shuffled_bytes(spark, run):
+    """What ``run`` returns, and the bytes that its stages shuffled."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before, out = written(), run()
+    return out, sum(n for stage, n in written().items() if stage not in before)
+
+
+def test_views_of_names_with_line_breaks_and_of_none(spark):
+    edges = [("a\nb", "entity:J:1"), ("", "entity:J:1"), ("a", "entity:J:1"), ("entity:J:1", "t\n"), ("b", "t\n"), ("a", "u"), ("entity:J:2", "v"), ("w", "entity:J:3")]
+    kind = "source string, target string"
+    assert sorted(tuple(r) for r in graph.view(spark.createDataFrame(edges, kind), "table").collect()) == [("", "t\n"), ("a", "t\n"), ("a", "u"), ("a\nb", "t\n"), ("b", "t\n")]
+    plain = [(s.replace("\n", ""), t) for s, t in edges]
+    assert sorted(tuple(r) for r in graph.view(spark.createDataFrame(plain, kind), "table").collect()) == [("", "t\n"), ("a", "t\n"), ("a", "u"), ("ab", "t\n"), ("b", "t\n")]
+    assert graph.view(spark.createDataFrame([], kind), "table").count() == 0

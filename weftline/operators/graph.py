@@ -7,7 +7,7 @@ broadcast or shuffled joins by the frontier's size. Edges are deduplicated and k
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.durable import saved, saved_with_count
@@ -19,6 +19,8 @@ ROUNDS_PER_JOB, LONG = 4, 64
 HUB_READS = 1000
 #: Sources, repeats included, in all lists of one target that are taken together in one group.
 GROUP_SOURCES = 100_000
+#: Sources, repeats included, of all targets in one task on average; most targets of a node between that are kept together.
+TASK_SOURCES, HOME_TARGETS = 2_000_000, 256
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -146,11 +148,13 @@ def moved(pairs: DataFrame, reads: DataFrame, writes: DataFrame) -> DataFrame:
 def through(reads: DataFrame, writes: DataFrame, direct: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """The distinct pairs (source, target) behind ``reads`` (via, source) and ``writes`` (via, target), and those of ``direct``; none of a node with itself.
 
-    Each ``via`` has its sources in one list, which goes whole to each of its targets; a target's lists are taken together in one group, so pairs that occur
-    often are never rows. A target whose lists have over ``most`` sources in all is met by pairs instead, which are told apart by both ends."""
+    Targets that have a ``via`` in common mostly have the same home (see ``_homes``). A ``via`` has its sources in one list, which goes once to each home of its
+    targets; there a target's lists are taken together in one group, so pairs that occur often are never rows. A target whose lists have over ``most`` sources in
+    all is met by pairs instead, which are told apart by both ends."""
     most = most or GROUP_SOURCES
     direct = reads.select("source", F.col("via").alias("target")).filter("false") if direct is None else direct.select("source", "target")
-    heavy = _heavy(reads, writes, direct, most)
+    reads, direct = reads.filter("source is not null"), direct.filter("source is not null")
+    heavy, big, total, plain = _weights(reads, writes, direct, most)
     pairs = None
     if heavy is not None:
         own = writes.join(heavy, "target", "left_semi")
@@ -158,23 +162,47 @@ def through(reads: DataFrame, writes: DataFrame, direct: DataFrame | None = None
         pairs = pairs.unionByName(direct.join(heavy, "target", "left_semi").select("source", "target")).filter("source != target").distinct()
         writes, direct = (df.join(heavy, "target", "left_anti") for df in (writes, direct))
         reads = reads.join(writes.select("via").distinct(), "via", "left_semi")  # a list that only heavy targets would take is not made
-    lists = writes.join(reads.groupBy("via").agg(F.sort_array(F.collect_set("source")).alias("sources")), "via").select("target", "sources")  # lists in order compress better
-    together = lists.unionByName(direct.select("target", F.array("source").alias("sources"))).repartition("target").groupBy("target").agg(F.collect_list("sources").alias("lists"))
-    found = together.select(F.explode(F.array_distinct(F.flatten("lists"))).alias("source"), "target").filter("source != target")
+    at = saved(_homes(writes, direct, big), "homes")
+    ordered = F.sort_array(F.collect_set("source"))  # lists in order compress better, and texts better than arrays
+    lists = reads.groupBy("via").agg((F.array_join(ordered, "\n") if plain else ordered).alias("sources"))
+    sent = at.filter("via is not null").repartition("via").groupBy("via", "home").agg(F.collect_list("target").alias("targets")).join(lists, "via").select("home", "targets", "sources")
+    sent = sent.unionByName(at.filter("via is null").select("home", F.array("target").alias("targets"), (F.col("source") if plain else F.array("source")).alias("sources")))
+    here = sent.repartition(max(1, -(-total // TASK_SOURCES)), "home").select("home", F.explode("targets").alias("target"), "sources")
+    together = here.groupBy("home", "target").agg(F.collect_list("sources").alias("lists"))
+    every = F.split(F.array_join("lists", "\n"), "\n") if plain else F.flatten("lists")
+    found = together.select(F.explode(F.array_distinct(every)).alias("source"), "target").filter("source != target")
     return found if pairs is None else found.unionByName(pairs)
 
 
-def _heavy(reads: DataFrame, writes: DataFrame, direct: DataFrame, most: int) -> DataFrame | None:
-    """(target) of ``through`` with over ``most`` sources, repeats included; None if there are none, which the largest numbers of rows of an end mostly tell."""
-    ends = reads.select(F.lit("reads").alias("of"), F.col("via").alias("end")).unionByName(writes.select(F.lit("writes").alias("of"), F.col("target").alias("end")))
-    ends = ends.unionByName(direct.select(F.lit("direct").alias("of"), F.col("target").alias("end"))).groupBy("of", "end").count().groupBy("of").agg(F.max("count").alias("n"))
-    at = {r["of"]: r["n"] for r in ends.collect()}  # three numbers
-    if at.get("reads", 0) * at.get("writes", 0) + at.get("direct", 0) <= most:
-        return None
-    counts = reads.groupBy("via").agg(F.count(F.lit(1)).alias("n"))
-    sizes = writes.join(counts, "via").select("target", "n").unionByName(direct.select("target", F.lit(1).cast("long").alias("n")))
-    heavy = saved(sizes.groupBy("target").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("target"), "heavy")
-    return None if heavy.isEmpty() else heavy
+def _homes(writes: DataFrame, direct: DataFrame, big: DataFrame | None) -> DataFrame:
+    """(target, via, source, home) of both: a target's home is the least hash of what leads to it, a target that nothing leads to is at home by itself.
+
+    A home has the targets of one ``via`` at most, and of ``big`` ones (via), which have many, none."""
+    led = writes.select("target", "via", F.lit(None).cast("string").alias("source"), F.hash("via").alias("near"))
+    if big is not None:
+        led = led.join(big.withColumn("big", F.lit(True)), "via", "left").select("target", "via", "source", F.when(F.col("big").isNull(), F.col("near")).alias("near"))
+    every = led.unionByName(direct.select("target", F.lit(None).cast("string").alias("via"), "source", F.lit(None).cast("int").alias("near")))
+    home = F.coalesce(F.min("near").over(Window.partitionBy("target")), F.hash("target"))  # the order by names makes the table small
+    return every.select("target", "via", "source", home.alias("home"))
+
+
+def _weights(reads: DataFrame, writes: DataFrame, direct: DataFrame, most: int) -> tuple[DataFrame | None, DataFrame | None, int, bool]:
+    """Of ``through``: (target) with over ``most`` sources, repeats included, (via) with over HOME_TARGETS targets, each None if there are none, all sources of all targets, and
+    whether no source's name has a line break. The largest numbers of rows of an end, taken by its hash and so never too small, mostly tell."""
+    broken = F.col("source").contains("\n").cast("int").alias("broken")
+    by = [df.select(F.lit(of).alias("of"), F.hash(of).alias("end"), *(F.lit(int(n == own)).alias(n) for n in ("r", "w", "d")), F.lit(0).alias("broken") if own == "w" else broken) for df, of, own in ((reads, "via", "r"), (writes, "via", "w"), (writes, "target", "w"), (direct, "target", "d"))]
+    ends = by[0].unionByName(by[1]).unionByName(by[2]).unionByName(by[3]).groupBy("of", "end").agg(*(F.sum(n).alias(n) for n in ("r", "w", "d")), F.max("broken").alias("broken"))
+    most_of = [F.max(n).alias(n) for n in ("r", "w", "d", "broken")]
+    at = {r["of"]: r for r in ends.groupBy("of").agg(*most_of, F.sum(F.col("r") * F.col("w") + F.col("d")).alias("all")).collect()}  # two rows
+    via, target = (at.get(of) or {"r": 0, "w": 0, "d": 0, "broken": 0, "all": 0} for of in ("via", "target"))
+    big = saved(writes.groupBy("via").count().filter(F.col("count") > HOME_TARGETS).select("via"), "big") if via["w"] > HOME_TARGETS else None
+    heavy = None
+    if via["r"] * target["w"] + target["d"] > most:
+        counts = reads.groupBy("via").agg(F.count(F.lit(1)).alias("n"))
+        sizes = writes.join(counts, "via").select("target", "n").unionByName(direct.select("target", F.lit(1).cast("long").alias("n")))
+        heavy = saved(sizes.groupBy("target").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("target"), "heavy")
+        heavy = None if heavy.isEmpty() else heavy
+    return heavy, big, via["all"] + target["all"], not (via["broken"] or target["broken"])
 
 
 def table_nodes(edges: DataFrame) -> DataFrame:

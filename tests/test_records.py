@@ -222,6 +222,14 @@ def test_sources_of_runs(spark):
     assert {tuple(r) for r in both.collect()} == {("1", "/b"), ("2", "/two")} and new.count() == 1
 
 
+def test_a_producer_is_found_behind_any_number_of_later_statements(spark):
+    texts = [("INSERT INTO c.s.t SELECT 1", 0), ("INSERT INTO c.s.t SELECT 2", 1), ("INSERT INTO c.s.u SELECT 1", 2)] + [(f"INSERT INTO c.s.u SELECT a + {i} FROM c.s.t", 10 + i) for i in range(90)]
+    history = spark.createDataFrame([(s, "FINISHED", "INSERT", m) for s, m in texts], "statement_text string, execution_status string, statement_type string, m int").withColumn("start_time", F.expr("timestamp'2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, m)"))
+    wanted = spark.createDataFrame([("c.s.t",), ("c.s.u",), ("c.s.v",)], "full_name string")
+    found = code.producers(spark, metadata.producing_queries(history, wanted, as_of="2026-01-01 12:00:00", hours=24), wanted)
+    assert {tuple(r) for r in found.collect()} == {("c.s.t", 91, "INSERT INTO c.s.t SELECT 2", None), ("c.s.u", 1, "INSERT INTO c.s.u SELECT a + 89 FROM c.s.t", None), ("c.s.v", None, None, "no_producing_query")}
+
+
 def test_stream_of_events(spark, tmp_path):
     src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     rows = spark.createDataFrame([("a.b.x", "a.b.y", None, "JOB", "1", "u"), ("a.b.x", "a.b.y", None, "JOB", "1", "u"), ("a.b.y", "a.b.z", None, None, None, "u")], "source_table_full_name string, target_table_full_name string, source_path string, entity_type string, entity_id string, created_by string").withColumn("event_time", F.lit("2026-01-01").cast("timestamp"))

@@ -18,7 +18,7 @@ NOT_PRODUCING = (
     "SELECT", "USE", "SET", "SHOW", "DESCRIBE", "DROP", "ALTER", "GRANT", "REVOKE", "OPTIMIZE", "VACUUM", "ANALYZE", "EXPLAIN", "REFRESH", "COMMENT", "TRUNCATE", "DELETE", "UPDATE",
 )
 DEFINED_TYPES = ("VIEW", "MATERIALIZED_VIEW", "STREAMING_TABLE")
-HISTORY_ROWS, MATCHES_SHOWN = 40, 12
+MATCHES_SHOWN = 12
 
 
 def live_catalogs(spark: SparkSession) -> DataFrame:
@@ -191,15 +191,15 @@ def uncovered(wanted: DataFrame, covered: DataFrame, runs: DataFrame) -> DataFra
 
 
 def producing_queries(history: DataFrame, wanted: DataFrame, *, as_of: str, hours: int) -> DataFrame:
-    """(full_name, n, statement_text, start_time): finished statements that name a wanted table, the newest first, at most HISTORY_ROWS a table (a feature:
-    the newest that parses to the table is its producer)."""
+    """(full_name, n, statement_text, start_time): all finished statements that name a wanted table, numbered from the newest: the newest that parses to the table is its
+    producer, however many that only name it came after it."""
     rows = history.filter((F.col("execution_status") == "FINISHED") & (F.col("start_time") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {max(24, hours)} HOURS")) & ~F.col("statement_type").isin(*NOT_PRODUCING))
     # a statement names a table by its parts, so the join is on words of the text, not on every pair
     words = rows.withColumn("_id", F.xxhash64("statement_text", "start_time")).withColumn("word", F.explode(F.array_distinct(F.split(F.lower("statement_text"), r"[^\w.]+"))))
     names = wanted.select("full_name", F.lower("full_name").alias("word")).unionByName(wanted.select("full_name", F.lower(F.substring_index("full_name", ".", -1)).alias("word"))).unionByName(wanted.select("full_name", F.lower(F.substring_index("full_name", ".", -2)).alias("word")))
     hit = words.join(names.distinct(), "word").select("full_name", "_id", "statement_text", "start_time").distinct()
     order = Window.partitionBy("full_name").orderBy(F.desc("start_time"), "statement_text")
-    return hit.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= HISTORY_ROWS).select("full_name", "n", "statement_text", "start_time")
+    return hit.withColumn("n", F.row_number().over(order)).select("full_name", "n", "statement_text", "start_time")
 
 
 def one_artifact_each(artifacts: DataFrame) -> DataFrame:

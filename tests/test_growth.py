@@ -155,6 +155,16 @@ def test_nodes_of_an_entity_that_reads_what_it_writes(spark):
     assert {r[0] for r in graph.table_nodes(e).collect()} == {"b", "c"}
 
 
+def test_shown_nodes_are_read_without_meeting_entities(spark):
+    rows = [(s, t) for s, t in _crowd(6)] * 2 + [("a", "entity:J:1"), ("entity:J:1", "a"), ("b", "entity:J:2"), ("entity:J:2", "b"), ("entity:J:2", "c"), ("d", "entity:J:3"), ("entity:J:4", "e"), ("f", "entity:J:5"), ("g", "entity:J:5"), ("entity:J:5", "g")]
+    e = spark.createDataFrame(rows, "source string, target string")
+    pairs = {tuple(r) for r in graph.view(e.distinct(), "table").collect()}
+    got, most = most_rows(spark, lambda: sorted(r[0] for r in graph.table_nodes(e).collect()))
+    assert got == sorted({x for p in pairs for x in p}) and "g" in got and "a" not in got
+    plan = graph.table_nodes(e)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "min(source" not in plan
+
+
 def test_routed_edges_are_distinct_with_repeats_and_tables_named_as_entities(spark):
     rows = [("a", "b", "entity:J:1"), ("b", "c", "entity:J:1"), ("a", "b", None), (None, "d", "entity:J:1"), ("f", None, "entity:J:2"), ("entity:J:1", "b", None), ("g", None, None), ("h", "h", "entity:J:3")] * 3
     e = "entity:J:1"

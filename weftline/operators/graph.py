@@ -187,7 +187,7 @@ def _homes(writes: DataFrame, direct: DataFrame, big: DataFrame | None) -> DataF
 
 
 def _weights(reads: DataFrame, writes: DataFrame, direct: DataFrame, most: int) -> tuple[DataFrame | None, DataFrame | None, int, bool]:
-    """Of ``through``: (target) with over ``most`` sources, repeats included, (via) with over HOME_TARGETS targets, each None if there are none, all sources of all targets, and
+    """Of ``through``: (target) with over ``most`` sources, repeats included, (via) with over HOME_TARGETS targets, each None if there are none, the sources of all other targets, and
     whether no source's name has a line break. The largest numbers of rows of an end, taken by its hash and so never too small, mostly tell."""
     broken = F.col("source").contains("\n").cast("int").alias("broken")
     by = [df.select(F.lit(of).alias("of"), F.hash(of).alias("end"), *(F.lit(int(n == own)).alias(n) for n in ("r", "w", "d")), F.lit(0).alias("broken") if own == "w" else broken) for df, of, own in ((reads, "via", "r"), (writes, "via", "w"), (writes, "target", "w"), (direct, "target", "d"))]
@@ -196,13 +196,15 @@ def _weights(reads: DataFrame, writes: DataFrame, direct: DataFrame, most: int)
     at = {r["of"]: r for r in ends.groupBy("of").agg(*most_of, F.sum(F.col("r") * F.col("w") + F.col("d")).alias("all")).collect()}  # two rows
     via, target = (at.get(of) or {"r": 0, "w": 0, "d": 0, "broken": 0, "all": 0} for of in ("via", "target"))
     big = saved(writes.groupBy("via").count().filter(F.col("count") > HOME_TARGETS).select("via"), "big") if via["w"] > HOME_TARGETS else None
-    heavy = None
+    heavy, total = None, via["all"] + target["all"]
     if via["r"] * target["w"] + target["d"] > most:
         counts = reads.groupBy("via").agg(F.count(F.lit(1)).alias("n"))
         sizes = writes.join(counts, "via").select("target", "n").unionByName(direct.select("target", F.lit(1).cast("long").alias("n")))
-        heavy = saved(sizes.groupBy("target").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("target"), "heavy")
+        sizes = saved(sizes.groupBy("target").agg(F.sum("n").alias("n")), "sizes")
+        heavy = saved(sizes.filter(F.col("n") > most).select("target"), "heavy")
         heavy = None if heavy.isEmpty() else heavy
-    return heavy, big, via["all"] + target["all"], not (via["broken"] or target["broken"])
+        total = sizes.filter(F.col("n") <= most).agg(F.sum("n")).first()[0] or 0
+    return heavy, big, total, not (via["broken"] or target["broken"])
 
 
 def table_nodes(edges: DataFrame) -> DataFrame:
@@ -211,12 +213,15 @@ def table_nodes(edges: DataFrame) -> DataFrame:
     reads = edges.filter(~source & target).select("source", F.col("target").alias("via"))
     writes = edges.filter(source & ~target).select(F.col("source").alias("via"), "target")
 
-    def meeting(own: DataFrame, end: str, others: DataFrame, other: str) -> DataFrame:
-        met_by = others.groupBy("via").agg(F.min(other).alias("first"), F.max(other).alias("last"))
-        return own.join(met_by, "via").filter((F.col(end) != F.col("first")) | (F.col(end) != F.col("last"))).select(F.col(end).alias("node"))
-
-    direct = edges.filter(~source & ~target).select(F.explode(F.array("source", "target")).alias("node"))
-    return direct.unionByName(meeting(reads, "source", writes, "target")).unionByName(meeting(writes, "target", reads, "source")).distinct()
+    # an entity with two sources and two targets shows them all; only what the others read and write is looked at by pairs
+    near = lambda end, *no: [f(F.hash(end)).alias(f"{end}_{i}") for i, f in enumerate((F.min, F.max))] + [F.lit(None).cast("int").alias(n) for n in no]
+    told = reads.groupBy("via").agg(*near("source", "target_0", "target_1")).unionByName(writes.groupBy("via").agg(*near("target", "source_0", "source_1")))
+    told = told.groupBy("via").agg(*(F.max(c).alias(c) for c in told.columns[1:]))
+    few = saved(told.filter(~F.coalesce(F.expr("source_0 < source_1 AND target_0 < target_1"), F.lit(False))).select("via"), "few")
+    lone = reads.join(few, "via", "left_semi").distinct().join(writes.join(few, "via", "left_semi").distinct(), "via").filter("source != target")
+    direct = edges.filter(~source & ~target).select("source", "target").unionByName(lone.select("source", "target"))
+    shown = [df.join(few, "via", "left_anti").select(F.col(end).alias("node")) for df, end in ((reads, "source"), (writes, "target"))]
+    return direct.select(F.explode(F.array("source", "target")).alias("node")).unionByName(shown[0]).unionByName(shown[1]).distinct()
 
 
 def table_view(edges: DataFrame, prefix: str | None = None) -> DataFrame:
